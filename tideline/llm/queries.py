@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import sharding, simhash
+from tideline.llm import sentencepieces, sharding, simhash
+
+
+def model_path() -> str:
+    """The merge-type vocabulary that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +22,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, shingle=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sentencepieces.encode(docs, model_path(), ids=False, decoded=False, digests=True)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight contiguous shards of `documents`, nearly equal in bytes."""
     return sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -22,6 +35,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
 }
 
