@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import sentencepieces, sharding, simhash
+from tideline.llm import langid, sentencepieces, sharding, simhash
 
 
 def model_path() -> str:
@@ -33,10 +33,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by the code lengths of frozen context trees."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return langid.predict(docs, langid.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -79,3 +79,32 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values over [first[i], first[i + 1]); zero where that is empty."""
     sums = np.concatenate([[0], np.cumsum(values)])
     return sums[first[1:]] - sums[first[:-1]]
+
+_R = 0x9E3779B97F4A7C15
+_R_BACK = pow(_R, -1, 1 << 64)
+_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2 ** 64; kept, as slices are of one size."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        known[0] = 1
+        known = _powers[base] = np.multiply.accumulate(known)
+    return known[:n]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, the same wherever the span stands."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * _power(_R, len(data)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_R_BACK, len(data) + 1)[starts])
