@@ -19,11 +19,13 @@ Defined cases
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +134,17 @@ class Model:
         return np.stack([per_row(cost[:, l].astype(np.float64), off) for l in range(len(self.langs))], 1)
 
 
+_models: dict[str, Model] = {}
+
+
+def _model(version: str, sent: Broadcast) -> Model:
+    """This worker's table, made once for a version of the counts; the last one is kept."""
+    if version not in _models:
+        _models.clear()
+        _models[version] = Model(*sent.value)
+    return _models[version]
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """crc32 of the id as text, modulo folds, is the fold."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -166,18 +179,17 @@ def predict(docs: DataFrame, counts: pd.DataFrame, id_col: str = "doc_id", text_
     langs = sorted(counts["lang"].unique())
     parts = [counts[counts["lang"] == l] for l in langs]
     sent = spark.sparkContext.broadcast((langs, [p["gram"].to_numpy() for p in parts], [p["n"].to_numpy() for p in parts]))
-    made: dict = {}
+    version = uuid.uuid4().hex
     carried = docs.columns if keep else [id_col]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     text = F.col(text_col).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if langs and "model" not in made:
-            made["model"] = Model(*sent.value)
+        model = _model(version, sent) if langs else None
         for batch in batches:
             best, score, rate = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for lo, hi, data, off in slices(batch.column(len(carried)), STEP) if langs else ():
-                bits = made["model"].bits(data, off)
+                bits = model.bits(data, off)
                 best[lo:hi] = bits.argmin(1)
                 low = bits.min(1)
                 score[lo:hi] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import langid, sentencepieces, sharding, simhash
+from tideline.llm import langid, quality, sentencepieces, sharding, simhash
 
 
 def model_path() -> str:
@@ -33,6 +33,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document by attention over its passages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.learn(docs, labels))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by the code lengths of frozen context trees."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -43,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
 
