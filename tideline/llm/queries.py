@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import langid, quality, sentencepieces, sharding, simhash
+from tideline.llm import decontaminate, langid, quality, sentencepieces, sharding, simhash
 
 
 def model_path() -> str:
@@ -33,6 +33,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(docs, items).drop("_doc_key")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document by attention over its passages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -50,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op7_decontamination": op7_decontamination,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
