@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, langid, quality, sentencepieces, sharding, simhash
+from tideline.llm import decontaminate, langid, licences, quality, sentencepieces, sharding, simhash
 
 
 def model_path() -> str:
@@ -33,6 +33,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line or whole text of `documents` that is a licence notice or text."""
+    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -57,9 +62,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_licenses": licences.oracle_sql(),
+}
