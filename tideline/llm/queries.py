@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, langid, licences, quality, sentencepieces, sharding, simhash
+from tideline.llm import decontaminate, langid, licences, quality, sentencepieces, sharding, simhash, warc
 
 
 def model_path() -> str:
@@ -22,6 +22,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, shingle=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the capture index."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(pages, least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -60,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_licenses": op6_licenses,
