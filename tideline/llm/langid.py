@@ -35,6 +35,8 @@ from tideline.llm.textbytes import per_row, slices
 SAMPLE, SAMPLE_BYTES = 400, 4_000_000
 #: Bytes of a worker's table at most: the most frequent contexts of three bytes stay.
 TABLE_BYTES = 64 << 20
+#: Parts of a language that its sample is first chosen from.
+SPREAD = 32
 #: Bytes worked on at once.
 STEP = 1 << 20
 ORDER = 3
@@ -158,8 +160,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold))
     ids = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"))
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
-    chosen = ids.withColumn("_nth", nth).filter(F.col("_nth") <= sample).select("_id", "_lang").distinct()
+    # the least of each of SPREAD parts of a language, then the least of those, so that no task sees a whole language
+    for part in (["_lang", F.pmod("_h", F.lit(SPREAD))], ["_lang"]):
+        nth = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
+        ids = ids.withColumn("_nth", nth).filter(F.col("_nth") <= sample).drop("_nth")
+    chosen = ids.select("_id", "_lang").distinct()
     texts = rows.join(F.broadcast(chosen), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
 
     def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, langid, licences, quality, sentencepieces, sharding, simhash, warc
+from tideline.llm import decontaminate, langid, licences, quality, sentencepieces, sharding, simhash, urlfilter, warc
 
 
 def model_path() -> str:
@@ -34,6 +34,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(docs, model_path(), ids=False, decoded=False, digests=True)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by rules and then by its host's standing among links."""
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight contiguous shards of `documents`, nearly equal in bytes."""
     return sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
