@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, langid, licences, quality, sentencepieces, sharding, simhash, urlfilter, warc
+from tideline.llm import ann, decontaminate, langid, licences, quality, sentencepieces, sharding, simhash, urlfilter, warc
 
 
 def model_path() -> str:
@@ -56,6 +56,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, items).drop("_doc_key")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document by attention over its passages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
+    "op8_ann": op8_ann,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
