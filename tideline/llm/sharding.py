@@ -81,7 +81,7 @@ def _snapped(numbered: DataFrame, total: int, shards: int, slack: float) -> list
     """The byte offsets at which shards 1, 2, ... begin: a row goes where it starts."""
     if not total:
         return []
-    targets = [total * k // shards for k in range(1, shards)]
+    targets = [-(-total * k // shards) for k in range(1, shards)]
     end = F.col("_from") + F.col("_size")
     at_cut = F.lit(False)
     for t in targets:
