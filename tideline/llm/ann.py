@@ -6,7 +6,8 @@ Each of ``tables`` tables cuts ``dims`` projections to cells of width
 ``width``; a cell of all of them is a bucket. A query visits a table's buckets
 in order of their estimated success: the probability that a vector at distance
 ``reach`` lies there, a product over the projections of normal probabilities
-of the cell given the query's own place (Datar et al. 2004; Lv et al. 2007).
+of the cell given the query's own value (Datar et al. 2004; Lv et al. 2007).
+``reach`` is fitted to a sample of the queries.
 It stops when the buckets visited have probability ``success`` together; as
 that order is one of a threshold, a visited bucket is one of at least the
 query's own least probability, which a task can tell for any bucket.
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 
 from tideline.session import cut
 
-TABLES, DIMS, WIDTH, REACH, SUCCESS = 4, 5, 1.0, 1.12, 0.6
+TABLES, DIMS, WIDTH, SUCCESS = 4, 6, 1.0, 0.5
+#: Queries whose own k-th nearest distances ``reach`` is fitted to, as this quantile of them.
+SAMPLE, QUANTILE = 64, 0.9
 #: Cells on each side of zero; those at the ends hold all beyond.
 SIDE = 3
 #: Vectors of a chunk of a block, and queries of one; candidates compared at once.
@@ -51,7 +54,7 @@ CELLS = 2 * SIDE
 class Tables:
     """The projections, the same wherever they are made."""
 
-    def __init__(self, length: int, tables: int = TABLES, dims: int = DIMS, width: float = WIDTH, reach: float = REACH) -> None:
+    def __init__(self, length: int, tables: int = TABLES, dims: int = DIMS, width: float = WIDTH, reach: float = 1.0) -> None:
         rng = np.random.default_rng(SEED)
         self.a = rng.normal(size=(tables, length, dims))
         self.shift = rng.uniform(0, width, size=(tables, dims))
@@ -65,11 +68,16 @@ class Tables:
         return np.clip(np.floor(self.places(unit, table)) + SIDE, 0, CELLS - 1).astype(np.int64)
 
     def chances(self, unit: np.ndarray, table: int) -> np.ndarray:
-        """Queries x projections x cells: the probability that a vector at ``reach`` falls there."""
-        place = self.places(unit, table)
-        edges = np.arange(-SIDE + 1, SIDE)[None, None, :]
-        z = (edges - place[:, :, None]) * (self.width / self.reach)
-        below = np.concatenate([np.zeros((*place.shape, 1)), _normal(z), np.ones((*place.shape, 1))], 2)
+        """Queries x projections x cells: the probability that a vector at ``reach`` falls there.
+
+        Over the choice of a projection, its values for two unit vectors of cosine c have the
+        joint normal distribution of correlation c, so that of the one given the other is known.
+        """
+        c = min(1 - self.reach**2 / 2, 0.9999)
+        own = unit @ self.a[table]
+        edges = np.arange(-SIDE + 1, SIDE)[None, None, :] * self.width - self.shift[table][None, :, None]
+        z = (edges - c * own[:, :, None]) / sqrt(1 - c * c)
+        below = np.concatenate([np.zeros((*own.shape, 1)), _normal(z), np.ones((*own.shape, 1))], 2)
         return np.diff(below, axis=2)
 
     def least(self, chance: np.ndarray, success: float) -> np.ndarray:
@@ -106,7 +114,7 @@ def _sound(vec: Column, length: int) -> Column:
     return (F.size(vec) == length) & F.coalesce(ok, F.lit(False)) & F.exists(vec, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, dims: int = DIMS, width: float = WIDTH, reach: float = REACH, success: float = SUCCESS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, dims: int = DIMS, width: float = WIDTH, reach: float | None = None, success: float = SUCCESS) -> DataFrame:
     """query_id, rank, id, score: each query's k nearest found."""
     kind = vectors.schema[id_col].dataType.simpleString()
     schema = f"query_id {kind}, vec_id {kind}, score double"
@@ -118,6 +126,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         return df.select(F.col(id_col).alias("_id"), v.alias("_v")).filter(F.col("_id").isNotNull() & _sound(F.col("_v"), length))
 
     rows, asked = sound(vectors), sound(queries)
+    reach = fitted_reach(rows, asked, k) if reach is None else reach
     t = Tables(max(length, 1), tables, dims, width, reach)
     found = _visit(rows, asked, t, k, success, schema, kind)
     found = cut(found.distinct())
@@ -131,6 +140,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
+def fitted_reach(rows: DataFrame, asked: DataFrame, k: int) -> float:
+    """The QUANTILE of the true k-th nearest distances of at most SAMPLE queries, held against all rows."""
+    some = asked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect()
+    if not some:
+        return 1.0
+    ids, u = np.array([r["_id"] for r in some]), _unit(np.array([r["_v"] for r in some]))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(ids), k), -np.inf)
+        for b in batches:
+            near = u @ _unit(_matrix(b.column(1))).T
+            near[ids[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+            best = -np.sort(-np.concatenate([best, near], 1), axis=1)[:, :k]
+        q, c = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[q, c])], names=["q", "s"])
+
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))
+    kth = rows.mapInArrow(nearest, "q long, s double").withColumn("n", nth).filter(F.col("n") <= k).groupBy("q").agg(F.min("s").alias("s")).collect()
+    far = [sqrt(max(0.0, 2 - 2 * r["s"])) for r in kth]
+    return max(0.05, float(np.quantile(far, QUANTILE))) if far else 1.0
+
+
 def _visit(rows: DataFrame, asked: DataFrame, t: Tables, k: int, success: float, schema: str, kind: str) -> DataFrame:
     spark = rows.sparkSession
     blocks = CELLS * CELLS

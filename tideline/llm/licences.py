@@ -65,11 +65,11 @@ def bigrams_of(text: str) -> Counter:
 
 
 def bounds(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, int]]:
-    """Disjoint ranges of bigram counts that some template can meet the threshold with."""
+    """Disjoint ranges that hold all bigram counts which can meet the threshold with some template."""
     spans = []
     for _, text in templates:
         n = sum(bigrams_of(text).values())
-        spans.append((-int(-n * threshold // (2 - threshold)), int(n * (2 - threshold) / threshold)))
+        spans.append((int(n * threshold / (2 - threshold)), int(n * (2 - threshold) / threshold) + 1))
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):
         if out and lo <= out[-1][1] + 1:
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     grams = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.concat(F.col("_words")[i], F.lit(" "), F.col("_words")[i + 1]))
     each = units.filter(fits).select("_id", "_row", "_no", "_n", F.explode(grams).alias("_gram"))
     # t (m + n) <= 2 min(m, n) is the bound on sizes
-    sized = F.least("_n", "_size") * 2.0 >= F.lit(threshold) * (F.col("_n") + F.col("_size"))
+    sized = F.least("_n", "_size") * 2.0 >= F.lit(threshold) * (F.col("_n") + F.col("_size")) - 1e-9
     met = each.join(F.broadcast(table), "_gram").filter(sized)
     shared = met.groupBy("_id", "_row", "_no", "_n", "_template", "_license", "_size", "_gram", "_count").agg(F.count(F.lit(1)).alias("_c"))
     dice = shared.groupBy("_id", "_row", "_no", "_n", "_template", "_license", "_size").agg(F.sum(F.least("_c", "_count")).alias("_both"))
