@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once inside a task, unless one text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
