@@ -59,7 +59,7 @@ def settlements_in(text: str | None, product: str | None) -> list[dict]:
         return []
     heads = list(re.finditer(rf"{re.escape(product)}\s*®?\s*[\w\s]{{0,20}}?Patent Litigation\s*\(([^)]+)\)\s*-\s*", text, re.I))
     out = []
-    for head, following in zip(heads, [*[h.start() for h in heads[1:]], len(text)], strict=True):
+    for head, following in zip(heads, [*[h.start() for h in heads[1:]], len(text)], strict=False):
         block = text[head.end() : min(following, head.end() + BLOCK)].strip()
         if not _SETTLED.search(block):
             continue  # still open
@@ -77,10 +77,13 @@ def settlements_in(text: str | None, product: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(SETTLEMENT)
-def settlements(text: pd.Series, product: pd.Series) -> pd.Series:
-    """The pattern depends on another column, which no built-in function can take."""
-    return pd.Series([settlements_in(t, p) for t, p in zip(text, product, strict=True)])
+def settlements(text: Column | str, product: Column | str) -> Column:
+    """:func:`settlements_in` by row. The pattern depends on another column, which no built-in function can take."""
+
+    def run(texts: pd.Series, products: pd.Series) -> pd.Series:
+        return pd.Series([settlements_in(t, p) for t, p in zip(texts, products, strict=True)])
+
+    return F.pandas_udf(run, SETTLEMENT)(text, product)
 
 
 def _lines(cell: Column) -> Column:
