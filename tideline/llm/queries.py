@@ -89,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.oracle_sql(least=0),
     "op6_licenses": licences.oracle_sql(),
 }

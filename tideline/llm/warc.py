@@ -302,3 +302,17 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     directory = build_index(manifest, f"{folder}/index")
     captures = pages.select(url_key(F.col(url_col).cast("string")).alias("key"), F.col(id_col).alias("page_id"))
     return read(look_up(captures, directory, f"{folder}/index"), f"{folder}/archives", payload)
+
+
+def oracle_sql(least: int = 0) -> str:
+    """What the round trip of `pages` must give, in DuckDB: digests in base32, and which record each revisits."""
+    chars = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    group = "('0x' || substr(h, g * 5 + 1, 5))::INT"
+    base32 = " || ".join(f"substr({chars}, ({group} >> {shift}) % 32 + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(body) AS n, h, array_to_string(list_transform(range(8), lambda g: {base32}), '') AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= {least} THEN max(page_id) OVER (PARTITION BY h) END AS top FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM m
+"""
