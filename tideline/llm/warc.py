@@ -301,7 +301,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     manifest = write(pages, f"{folder}/archives", id_col, url_col, html_col, least)
     directory = build_index(manifest, f"{folder}/index")
     captures = pages.select(url_key(F.col(url_col).cast("string")).alias("key"), F.col(id_col).alias("page_id"))
-    return read(look_up(captures, directory, f"{folder}/index"), f"{folder}/archives", payload)
+    places = written(look_up(captures, directory, f"{folder}/index"), "warc-places")  # else the sort by place would look them up twice
+    return read(places, f"{folder}/archives", payload)
 
 
 def oracle_sql(least: int = 0) -> str:
