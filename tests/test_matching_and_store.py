@@ -112,3 +112,33 @@ def test_feed_order_and_queue(spark):
     assert [(r["date"], r["product"]) for r in stats.confirmations(records).collect()] == [(d(2020, 1, 2), "1 product"), (d(2020, 1, 1), "2 products")]
     due = spark.createDataFrame([(1, None), (2, NOW - dt.timedelta(days=100)), (3, NOW - dt.timedelta(days=10))], "id int, checked timestamp")
     assert [r["id"] for r in stats.queue(due, "checked", NOW, 90, 5, "id").collect()] == [1, 2]
+
+
+def test_link_and_status(spark):
+    links = spark.createDataFrame([("a", "x")], "owner string, item string")
+    more, record = store.link(links, "a", "y", "me", NOW)
+    again, none = store.link(more, "a", "y", "me", NOW)
+    assert more.count() == again.count() == 2 and record.first()["entity_id"] == "a/y" and none.count() == 0
+    runs = store.run_row(spark, "manual", NOW, NOW, 1, 0, 0).unionByName(store.run_row(spark, "manual", NOW - dt.timedelta(days=1), NOW, 1, 5, 0))
+    (s,) = store.status(runs, record).collect()
+    assert (s["source"], s["status"], s["entities"]) == ("manual", "SUCCESS", 1)
+
+
+def test_dispute_parts(spark):
+    from tideline.operators import detail
+
+    d = dt.date
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    parts = detail.dispute_parts(
+        frame([(1, "p"), (2, "p"), (3, "p")], "challenge_id int, product_id string"),
+        frame([(1, d(2020, 1, 1), "ELIGIBLE", []), (2, d(2021, 1, 1), None, []), (3, None, None, [])], "challenge_id int, submission_date date, current_status string, history array<string>"),
+        frame([(7, "p")], "case_id int, product_id string"),
+        frame([(7, d(2020, 5, 1), "ONGOING", "HIGH")], "case_id int, filed date, outcome string, tier string"),
+        frame([(70, 7, d(2020, 6, 1), None), (71, 7, d(2020, 5, 1), d(2022, 1, 1))], "docket_id int, case_id int, filed date, terminated date"),
+        frame([("p", "Acme", d(2028, 1, 1), d(2020, 1, 1), 1), ("p", "ACME", d(2029, 1, 1), d(2021, 1, 1), 2)], "product_id string, counterparty string, licensed_entry date, filed date, disclosure_id int"),
+    )
+    rows = {r["product_id"]: r for r in detail.assemble(frame([("p",), ("q",)], "product_id string"), ["product_id"], parts).collect()}
+    assert [c["challenge_id"] for c in rows["p"]["challenges"]] == [3, 2, 1]  # no date comes first in descending order
+    assert [x["docket_id"] for x in rows["p"]["cases"][0]["dockets"]] == [71, 70]
+    assert [(s["counterparty"], s["licensed_entry"]) for s in rows["p"]["settlements"]] == [("ACME", d(2029, 1, 1))]
+    assert rows["q"]["challenges"] == [] and rows["q"]["cases"] == []

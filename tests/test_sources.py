@@ -86,3 +86,26 @@ def test_printed_table(spark):
     assert got == [(1, 1, "Alpha Beta\ntwo", "Eligible"), (2, 1, "Gamma", ""), (2, 2, "", "")]
     with pytest.raises(ValueError):
         layout.table(i, r, ["a", "b", "c"])
+
+
+def test_archives_and_addresses(spark, tmp_path):
+    import zipfile
+
+    from tideline.sources import archive
+
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("in/Products.TXT", "h\r\na~b\n\n")
+    got = archive.members(spark, str(tmp_path / "r.zip"), ["products.txt"])
+    assert [tuple(r) for r in archive.lines_of(spark, got["products.txt"]).collect()] == [(1, "h"), (2, "a~b")]
+    with pytest.raises(ValueError, match="in/Products.TXT"):
+        archive.members(spark, str(tmp_path / "r.zip"), ["patent.txt"])
+    assert archive.monthly_addresses("https://x.org/", dt.date(2026, 1, 5)) == ["https://x.org/2026/january", "https://x.org/2025/december"]
+    assert archive.is_apology("<!DOCTYPE html><body>We apologize") and not archive.is_apology("N/R/U,Applicant")
+
+
+def test_search_hits(spark):
+    from tideline.sources import responses
+
+    body = '{"results": [{"docket_id": 1, "caseName": "A v. B", "court_id": "deld", "dateFiled": "2020-01-02"}, {"docket_id": null, "caseName": "C v. D", "court_id": "njd"}, {"docket_id": 3, "caseName": "E v. F", "court_id": "njd", "dateFiled": "soon"}]}'
+    good, bad = responses.hits(spark.createDataFrame([(7, body), (8, "no JSON"), (9, None)], "company_id int, body string"))
+    assert sorted((r["docket_id"], r["filed"]) for r in good.collect()) == [(1, dt.date(2020, 1, 2)), (3, None)] and bad.count() == 1

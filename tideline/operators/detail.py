@@ -47,6 +47,15 @@ def lookup(number: str, patents: DataFrame, products: DataFrame, exclusivities:
     return found.join(products.select(*KEY, "name", "company"), KEY).join(codes, KEY, "left")
 
 
+def dispute_parts(links: DataFrame, challenges: DataFrame, case_links: DataFrame, cases: DataFrame, dockets: DataFrame, settlements: DataFrame) -> list[DataFrame]:
+    """Parts for :func:`assemble` by product_id: challenges and cases, the latest first (cases with their dockets, the oldest first), and the latest disclosures."""
+    ch = nested(links.join(challenges, "challenge_id"), ["product_id"], "challenges", "submission_date", ["challenge_id", "submission_date", "current_status", "history"], descending=True)
+    with_dockets = cases.join(nested(dockets, ["case_id"], "dockets", "filed", ["docket_id", "filed", "terminated"]), "case_id", "left")
+    ca = nested(case_links.join(with_dockets, "case_id"), ["product_id"], "cases", "filed", ["case_id", "filed", "outcome", "tier", "dockets"], descending=True)
+    st = nested(latest_disclosures(settlements), ["product_id"], "settlements", "filed", ["counterparty", "licensed_entry", "filed"], descending=True)
+    return [ch, ca, st]
+
+
 def with_references(products: DataFrame) -> DataFrame:
     """Each product's reference by name and, in reverse, the products that refer to it."""
     names = products.select(F.col("product_id").alias("reference_id"), F.col("name").alias("reference"))

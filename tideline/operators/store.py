@@ -133,6 +133,19 @@ def unlinked(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
     return rows.join(links.select(key).distinct(), key, "left_anti")
 
 
+def link(links: DataFrame, owner: object, item: object, entered_by: str, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """One more link, and its provenance; a link that is there already is left as it is, without a record."""
+    new = links.sparkSession.createDataFrame([(owner, item)], links.schema)
+    fresh = new.join(links, links.columns, "left_anti")
+    return links.unionByName(fresh), provenance(fresh, "manual", "link", F.concat_ws("/", *links.columns), now, entered_by)
+
+
+def status(runs: DataFrame, records: DataFrame) -> DataFrame:
+    """Per source its last run and how many entities its records know."""
+    known = records.groupBy("source").agg(F.countDistinct("entity_id").alias("entities"), F.max("verified_at").alias("verified_at"))
+    return latest_runs(runs).join(known, "source", "full")
+
+
 def watchlist(items: DataFrame, products: DataFrame) -> DataFrame:
     """What a user watches, with the products' names; items of products that are gone stay, without a name."""
     return items.join(products.select("source", "product_id", "name", "company"), ["source", "product_id"], "left")

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import classify, dates, parties, text
+from tideline.functions import classify, dates, display, parties, text
 from tideline.operators import detail, enrich, estimate, matching, search, stats, store
 from tideline.plans import binding as b
-from tideline.sources import layout, tilde
+from tideline.sources import layout, responses, tilde
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -568,3 +568,37 @@ def term_enrichment(spark: SparkSession, d: str) -> DataFrame:
     patents = rows.select("patent_number", F.col("day").alias("nominal_expiry"), F.col("day").alias("expiry"), F.lit(None).cast("int").alias("adjustment_days"), F.lit(None).cast("date").alias("filing_date"))
     answers = rows.filter("s > 0").select("patent_number", F.when(F.col("s") == 1, "error").when(F.col("s") == 2, "not_found").otherwise("ok").alias("status"), F.add_months("day", -240).alias("filing"), "days")
     return enrich.outcomes(patents, answers).select("patent_number", "outcome", "expiry", "adjustment_days")
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END AS code, ts::DATE AS d, user_id, event_id % 6 AS k FROM events)
+SELECT event_id AS patent_number, CASE WHEN code = 403 THEN 'denied' WHEN code = 404 OR k = 3 THEN 'not_found' WHEN code <> 200 OR k = 4 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k = 5 THEN d END AS filing, CASE WHEN k = 5 THEN user_id::INT END AS days FROM r"""
+)
+def term_responses(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 6
+    whole = F.to_json(F.struct(F.to_date("ts").cast("string").alias("filingDate"), F.col("user_id").cast("int").alias("ptaDays")))
+    rows = b.table(spark, d, "events").select(
+        F.col("event_id").alias("patent_number"), F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 500).otherwise(200).alias("code"), F.when(k == 3, "").when(k == 4, "no JSON").otherwise(whole).alias("body")
+    )
+    return responses.terms(rows)
+
+
+@query("SELECT s_suppkey, 'https://x.org/data/' || CASE WHEN s_suppkey = 0 THEN '0' ELSE s_suppkey::VARCHAR END || '/' || replace('0001-22-' || s_suppkey, '-', '') || '/a.htm' AS address FROM supplier")
+def filing_addresses(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    rows = b.table(spark, d, "supplier")
+    return rows.select("s_suppkey", responses.filing_address("https://x.org/data/", F.lpad(k, 10, "0"), F.concat(F.lit("0001-22-"), k), F.lit("a.htm")).alias("address"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'Pre-MMA' WHEN 'F' THEN 'Before ' || strftime(o_orderdate, '%b %-d, %Y') ELSE strftime(o_orderdate, '%b %-d, %Y') END AS label, last_day(o_orderdate::DATE) AS month_end FROM orders")
+def submission_labels(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "P", "PRE_MMA").when(F.col("o_orderstatus") == "F", "RECEIVED_PRIOR_TO").otherwise("EXACT_DATE")
+    day = F.to_date("o_orderdate")
+    return b.table(spark, d, "orders").select("o_orderkey", display.submission_label(kind, day).alias("label"), display.month_end(day).alias("month_end"))
+
+
+@query("SELECT e.user_id, count(*) AS n_linked, count(c_custkey) AS n_known FROM events e LEFT JOIN customer ON c_custkey = user_id GROUP BY 1")
+def watchlist_join(spark: SparkSession, d: str) -> DataFrame:
+    items = b.table(spark, d, "events").select("user_id", F.lit("A").alias("source"), F.col("user_id").cast("string").alias("product_id"))
+    products = b.table(spark, d, "customer").select(F.lit("A").alias("source"), F.col("c_custkey").cast("string").alias("product_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("company"))
+    return store.watchlist(items, products).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_linked"), F.count("name").alias("n_known"))
