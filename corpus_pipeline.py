@@ -8,7 +8,6 @@ stage's docs. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, langid, quality, sentencepieces, simhash
 from tideline.llm.queries import model_path
@@ -21,14 +20,12 @@ MOST_BITS = 6.0
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, quality.learn(docs, labels), keep=True)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return quality.keep(docs, quality.learn(docs, labels), least=0.5)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, in one of the learned languages: those whose best code is short enough."""
-    told = langid.predict(docs, langid.learn(docs), keep=True)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
+    return langid.keep(docs, langid.learn(docs), MOST_BITS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
