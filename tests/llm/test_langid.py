@@ -80,8 +80,8 @@ def test_predictions(spark):
         assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 4 == 2)
     assert [by_id[k][0]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3
     assert [r["lang_pred"] for r in by_id[4]] == ["bb", "bb"] and by_id[None][0]["lang_pred"] == "aa"
-    kept = langid.predict(df, langid.learn(df), keep=True)
-    assert kept.columns[:3] == df.columns and kept.count() == len(rows)
+    kept = langid.keep(df, langid.learn(df), 8.0)
+    assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
 def test_nothing_learned(spark):

@@ -96,8 +96,14 @@ def test_run_is_its_stages(spark):
 def test_odd_rows_in_every_stage(spark, stage):
     rows = [(1, None, "en", "s", None), (2, "", None, None, 0), (None, "some words here", "en", "s", 3), (3, "a b " * 30000, "en", "s", 5), (3, "a b " * 30000, "en", "s", 5), (4, "漢字", "zz", "s", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    stage(spark, docs, SF).collect()
+    plain = stage(spark, docs, SF).collect()
     assert stage(spark, docs.limit(0), SF).count() == 0
+    clash = ["_text", "_letter", "score", "predicted", "held_out", "lang_pred", "_fp", "_text_hash", "_row_key", "_row_hash", "_nth", "_doc_key", "_key", "_id", "n_tokens", "quality", "component_id", "_h"]
+    wide = docs.selectExpr("*", *[f"'{c}' AS {c}" for c in clash])
+    got = stage(spark, wide, SF)
+    assert got.count() == len(plain)
+    if stage is not corpus_pipeline.STAGES[-1][1]:
+        assert got.columns == wide.columns and all(r[c] == c for r in got.collect() for c in clash)
 
 
 def test_names():

@@ -72,5 +72,5 @@ def test_odd_rows(spark):
     got = quality.score(docs, net).collect()
     assert len(got) == 5 and all(r["score"] == 0.5 and r["predicted"] == 1 for r in got)
     assert quality.score(docs.limit(0), net).count() == 0
-    kept = quality.score(docs.drop("score"), net, keep=True)
-    assert kept.columns == ["doc_id", "text", "held_out", "score", "predicted"]
+    kept = quality.keep(docs, net)
+    assert kept.columns == docs.columns and kept.count() == 5 and quality.keep(docs, net, least=0.6).count() == 0

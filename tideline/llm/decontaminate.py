@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.textbytes import LOWER, mix, slices, span_hashes, words
-from tideline.session import cut, written
+from tideline.session import cut, fresh_name, written
 
 #: Words of a window; words of it that are no placeholders, at least; words of an item at least.
 WINDOW, PLAIN, LEAST_WORDS = 8, 4, 5
@@ -237,6 +237,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     The keys of those that do are written first, so that their size is known when the
     anti-join is planned: texts move only if the keys are too many to broadcast.
     """
-    gone = written(contaminated(docs, items, id_col, text_col, **how).select("_doc_key").distinct(), "contaminated")
-    keyed = docs.withColumn("_doc_key", F.xxhash64(id_col, text_col))
-    return keyed.join(gone, "_doc_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = fresh_name(docs, "_doc_key")
+    gone = written(contaminated(docs, items, id_col, text_col, **how).select(F.col("_doc_key").alias(key)).distinct(), "contaminated")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ Defined cases
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.textbytes import per_row, slices
+from tideline.session import ddl, fresh_name
 
 #: Labelled texts of each language that the statistics are gathered from, and bytes of them at most.
 SAMPLE, SAMPLE_BYTES = 400, 4_000_000
@@ -158,14 +159,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The sample is the texts whose ids have the least hashes, so it is the same at every
     run. Its ids are chosen first; only their texts are moved, to one task for a language.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold))
-    ids = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"))
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold))
+    rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"), F.col(text_col).cast("string").alias("_text"))
+    ids = rows.select("_id", "_lang", "_h")
     # the least of each of SPREAD parts of a language, then the least of those, so that no task sees a whole language
     for part in (["_lang", F.pmod("_h", F.lit(SPREAD))], ["_lang"]):
         nth = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
         ids = ids.withColumn("_nth", nth).filter(F.col("_nth") <= sample).drop("_nth")
     chosen = ids.select("_id", "_lang").distinct()
-    texts = rows.join(F.broadcast(chosen), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
+    texts = rows.join(F.broadcast(chosen), ["_id", "_lang"])
 
     def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_h", "_text"])
@@ -174,39 +176,64 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         g, n = count([t for t, k in zip(texts, keep, strict=True) if k])
         return pd.DataFrame({"lang": key[0], "gram": g, "n": n})
 
-    grouped = texts.select("_lang", F.col(text_col).cast("string").alias("_text"), F.xxhash64(id_col).alias("_h")).groupBy("_lang")
+    grouped = texts.select("_lang", "_text", "_h").groupBy("_lang")
     return grouped.applyInPandas(gather, "lang string, gram long, n long").toPandas().sort_values(["lang", "gram"], ignore_index=True)
 
 
-def predict(docs: DataFrame, counts: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, folds: int = 4, fold: int = 2) -> DataFrame:
-    """id, held_out, lang_pred, score, bits_per_byte; with ``keep`` all columns of docs before these."""
-    spark = docs.sparkSession
-    langs = sorted(counts["lang"].unique())
-    parts = [counts[counts["lang"] == l] for l in langs]
-    sent = spark.sparkContext.broadcast((langs, [p["gram"].to_numpy() for p in parts], [p["n"].to_numpy() for p in parts]))
-    version = uuid.uuid4().hex
-    carried = docs.columns if keep else [id_col]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def predict(docs: DataFrame, counts: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2) -> DataFrame:
+    """id, held_out, lang_pred, score, bits_per_byte."""
+    coded = _coder(docs, counts)
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "held_out", "lang_pred", "score", "bits_per_byte"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said, score, rate = coded(batch.column(2), batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(score), pa.array(rate)], names=names)
+
     text = F.col(text_col).cast("string")
+    given = docs.select(F.col(id_col), held_out(id_col, folds, fold).alias("_held"), text.alias("_text"), has_letter(text).alias("_letter"))
+    return given.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
+
+
+def keep(docs: DataFrame, counts: pd.DataFrame, most_bits: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs in a learned language, coded in at most ``most_bits`` bits a byte, with their columns as they are."""
+    coded = _coder(docs, counts)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(version, sent) if langs else None
         for batch in batches:
-            best, score, rate = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for lo, hi, data, off in slices(batch.column(len(carried)), STEP) if langs else ():
-                bits = model.bits(data, off)
-                best[lo:hi] = bits.argmin(1)
-                low = bits.min(1)
-                score[lo:hi] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
-                rate[lo:hi] = low / np.maximum(np.diff(off), 1)
-            und = ~np.array(batch.column(len(carried) + 2).to_numpy(zero_copy_only=False), bool) if langs else np.ones(batch.num_rows, bool)
-            said = [None if u else langs[b] for u, b in zip(und, best, strict=True)]
-            score[und] = 0
-            cols = [*batch.columns[: len(carried)], batch.column(len(carried) + 1), pa.array([s or "und" for s in said], pa.string()), pa.array(score), pa.array(rate)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    names = [*carried, "held_out", "lang_pred", "score", "bits_per_byte"]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", held_out boolean, lang_pred string, score double, bits_per_byte double"
-    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(*[F.col(f"`{c}`") for c in carried], text.alias("_text"), held_out(id_col, folds, fold).alias("_held"), letter.alias("_letter"))
-    return given.mapInArrow(run, schema)
+            said, _, rate = coded(batch.column(at), batch.column(batch.num_columns - 1))
+            ok = np.array([s != "und" for s in said], bool) & (rate <= most_bits)
+            kept = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=docs_columns)
+
+    docs_columns = docs.columns
+    return docs.withColumn(fresh_name(docs, "_letter"), has_letter(F.col(text_col).cast("string"))).mapInArrow(run, ddl(docs))
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def _coder(docs: DataFrame, counts: pd.DataFrame) -> Callable[[pa.Array, pa.Array], tuple[list[str], np.ndarray, np.ndarray]]:
+    """A function of texts and whether they have letters: languages, scores, bits a byte."""
+    langs = sorted(counts["lang"].unique())
+    parts = [counts[counts["lang"] == l] for l in langs]
+    sent = docs.sparkSession.sparkContext.broadcast((langs, [p["gram"].to_numpy() for p in parts], [p["n"].to_numpy() for p in parts]))
+    version = uuid.uuid4().hex
+
+    def coded(texts: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        n = len(texts)
+        best, score, rate = np.zeros(n, int), np.zeros(n), np.zeros(n)
+        for lo, hi, data, off in slices(texts, STEP) if langs else ():
+            bits = _model(version, sent).bits(data, off)
+            best[lo:hi] = bits.argmin(1)
+            low = bits.min(1)
+            score[lo:hi] = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
+            rate[lo:hi] = low / np.maximum(np.diff(off), 1)
+        known = np.array(letters.to_numpy(zero_copy_only=False), bool) & bool(langs)
+        score[~known] = 0
+        return [langs[b] if k else "und" for b, k in zip(best, known, strict=True)], score, rate
+
+    return coded

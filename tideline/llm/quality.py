@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.langid import held_out
 from tideline.llm.textbytes import LOWER, slices, span_hashes, words
+from tideline.session import ddl
 
 #: Words of a passage.
 PASSAGE = 64
@@ -159,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = known.select(F.col(id_col).alias("_id"), "_y", F.xxhash64(id_col).alias("_h"))
     least = [ids.filter(F.col("_y") == y).orderBy("_h", "_id").limit(sample) for y in (0, 1)]
     chosen = least[0].unionByName(least[1])
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "_h", "_y", F.col(text_col).cast("string").alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_h", "_y", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,20 +181,33 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x, np.concatenate([[0], np.cumsum(n)]), y)
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, folds: int = 3, fold: int = 1) -> DataFrame:
-    """id, held_out, score, predicted; with ``keep`` all columns of docs before these."""
-    carried = docs.columns if keep else [id_col]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = [*carried, "held_out", "score", "predicted"]
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, fold: int = 1) -> DataFrame:
+    """id, held_out, score, predicted."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "held_out", "score", "predicted"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _scores(net, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=names)
+
+    given = docs.select(F.col(id_col), held_out(id_col, folds, fold).alias("_held"), F.col(text_col).cast("string").alias("_text"))
+    return given.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def keep(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score ``least`` or more, with their columns as they are."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.full(batch.num_rows, 0.5)
-            for lo, hi, data, off in slices(batch.column(len(carried))) if net else ():
-                p[lo:hi] = net.score(*passages(data, off))
-            cols = [*batch.columns[: len(carried)], batch.column(len(carried) + 1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    given = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text_col).cast("string").alias("_text"), held_out(id_col, folds, fold).alias("_held"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", held_out boolean, score double, predicted int"
-    return given.mapInArrow(run, schema)
+            yield batch.filter(pa.array(_scores(net, batch.column(at)) >= least))
+
+    return docs.mapInArrow(run, ddl(docs))
+
+
+def _scores(net: Network | None, texts: pa.Array) -> np.ndarray:
+    p = np.full(len(texts), 0.5)
+    for lo, hi, data, off in slices(texts) if net else ():
+        p[lo:hi] = net.score(*passages(data, off))
+    return p

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.components import components
 from tideline.llm.textbytes import LOWER, single_spaced, slices, words
-from tideline.session import cut
+from tideline.session import cut, fresh_name
 
 SEED = 42
 #: Fingerprints in a block at most, roughly, and blocks at least.
@@ -187,8 +187,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = near_duplicates(docs, id_col, text_col, shingle, radius)
     best = groups.groupBy("_root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_text_hash").alias("h"))).alias("_m"))
-    keep = best.select(F.xxhash64("_m.id", "_m.h").alias("_row_key"), F.col("_m.h").alias("_row_hash"))
-    keyed = docs.withColumn("_row_hash", F.xxhash64(text_col)).withColumn("_row_key", F.xxhash64(F.col(id_col), F.col("_row_hash")))
-    key = ["_row_key", "_row_hash"]
+    key = [fresh_name(docs, "_row_key"), fresh_name(docs, "_row_hash")]
+    keep = best.select(F.xxhash64("_m.id", "_m.h").alias(key[0]), F.col("_m.h").alias(key[1]))
+    keyed = docs.withColumn(key[1], F.xxhash64(text_col)).withColumn(key[0], F.xxhash64(F.col(id_col), F.col(key[1])))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    return keyed.join(keep, key).withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = fresh_name(docs, "_nth")
+    return keyed.join(keep, key).withColumn(place, nth).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
