@@ -13,8 +13,8 @@ from tideline.llm import decontaminate, langid, quality, sentencepieces, simhash
 from tideline.llm.queries import model_path
 from tideline.session import scratch_path
 
-#: Bits a byte above which even the best language's model does not account for a text.
-MOST_BITS = 6.0
+#: Bits a byte above which a text is in no learned language: its best code is no shorter than its bytes.
+MOST_BITS = 8.0
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
