@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import itertools
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.textbytes import texts_of
 
-#: Units that a worker remembers at most; it then begins anew.
+#: Units that a worker remembers at most, roughly; those not met for longest go.
 REMEMBERED = 400_000
 #: Texts between two checks against the library.
 CHECKED = 512
@@ -39,6 +40,7 @@ CHECKED = 512
 SHORT, NONE = 48, 1 << 31
 
 SPACE = "▁"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class Vocabulary:
@@ -59,11 +61,17 @@ class Vocabulary:
         # if no piece goes over such a cut
         pieces = [p for p in self.ids if len(p) > 1]
         alone = "" if any("\n" in p for p in pieces) else "\n"
-        self.unit = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        rest = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
+        # letters right before a mark are one too, for the marks that no piece has after a letter
+        marks = "".join(m for m in string.punctuation if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in pieces))
+        if marks:
+            rest = f"{SPACE}*[{LETTERS}]+(?=[{re.escape(marks)}])|{rest}"
+        self.unit = re.compile(f"\n|{rest}" if alone else rest)
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
             self.unit = re.compile(r"[\s\S]+")
         self.lines_apart = bool(alone) and self.unit.pattern != r"[\s\S]+"
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # units met lately, and those met before these
+        self.older: dict[str, tuple[int, ...]] = {}
         self.fresh: list[str] = []
 
     def agenda(self, unit: str) -> tuple[int, ...]:
@@ -138,8 +146,11 @@ class Vocabulary:
         for unit in self.unit.findall(self.library.normalize(text)) if text else ():
             ids = known.get(unit)
             if ids is None:
-                ids = known[unit] = self.agenda(unit)
-                self.fresh.append(unit)
+                ids = self.older.get(unit)
+                if ids is None:
+                    ids = self.agenda(unit)
+                    self.fresh.append(unit)
+                known[unit] = ids
             out += ids
         return out
 
@@ -157,8 +168,8 @@ class Vocabulary:
             if tuple(ids[k:]) != self.known[u]:
                 raise ValueError(f"the agenda and the sentencepiece library differ on {u[:80]!r}")
         self.fresh = []
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
 
 
 @functools.lru_cache(maxsize=2)
