@@ -31,8 +31,9 @@ def timeline(estimated: DataFrame, as_of: dt.date, months: int = 12) -> DataFram
 
 def bar_heights(counts: DataFrame) -> DataFrame:
     """Heights of the timeline's bars in percent of the highest, at least 8 where there is any and 4 where there is none."""
-    top = counts.agg(F.max("n").alias("_top"))
-    return counts.crossJoin(F.broadcast(top)).withColumn("height", F.when(F.col("n") == 0, 4).otherwise(F.greatest(F.lit(8), F.round(F.col("n") * 100 / F.greatest("_top", F.lit(1))))).cast("int")).drop("_top")  # one row
+    top = F.max("n").over(Window.partitionBy())  # over the months of one calendar, a few dozen rows
+    share = F.round(F.col("n") * 100 / F.greatest(top, F.lit(1)))
+    return counts.withColumn("height", F.when(F.col("n") == 0, 4).otherwise(F.greatest(F.lit(8), share)).cast("int"))
 
 
 def active_challenges(challenges: DataFrame) -> DataFrame:
@@ -59,7 +60,9 @@ def portfolio(estimated: DataFrame, challenges: DataFrame, marketed: DataFrame,
         active_challenges(challenges).withColumnRenamed("n", "active_challenges"),
         diverging(estimated, marketed).agg(F.count(F.lit(1)).alias("divergence")),
     ]
-    return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    rows = [p.select(F.explode(F.create_map(*[x for c in p.columns for x in (F.lit(c), F.col(c))])).alias("tile", "n")) for p in parts]
+    tiles = [c for p in parts for c in p.columns]
+    return reduce(DataFrame.unionByName, rows).agg(*[F.max(F.when(F.col("tile") == c, F.col("n"))).alias(c) for c in tiles])
 
 
 def first_linked(links: DataFrame, key: str, value: str) -> DataFrame:
