@@ -16,7 +16,7 @@ def test_contaminated(spark):
     docs = [
         (1, f"{fill} {ITEM} {fill}"),  # as it is
         (2, f"{fill} {ITEM.replace('40', '75').replace('Alice', 'Bob').replace('3 hours', '9 hours')} {fill}"),  # other values
-        (3, f"{fill} {ITEM.upper().replace(',', ';')}"),  # other letters: all words become names, so it is no template of it
+        (3, f"{fill} {ITEM.upper().replace(',', ';')}"),  # capitals alone are words, so all but the name is found
         (4, fill),
         (5, f"{fill} {' '.join(ITEM.split()[:9])}"),  # less than half
         (6, None),
@@ -28,11 +28,11 @@ def test_contaminated(spark):
     items = [(10, ITEM), (11, OTHER), (12, "too short here"), (13, None), (11, OTHER), (14, "six words are enough for this")]
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = d.contaminated(df, it).collect()
-    assert sorted(((r["doc_id"] or 0), r["item_id"]) for r in got) == [(0, 11), (1, 10), (2, 10), (8, 10), (8, 11)]
+    assert sorted(((r["doc_id"] or 0), r["item_id"]) for r in got) == [(0, 11), (1, 10), (2, 10), (3, 10), (8, 10), (8, 11)]
     other = {r["doc_id"]: r["reparameterised"] for r in got if r["item_id"] == 10}
-    assert other == {1: False, 2: True, 8: False}
+    assert other == {1: False, 2: True, 3: False, 8: False}
     left = d.clean(df, it).collect()
-    assert sorted(r["doc_id"] for r in left) == [3, 4, 5, 6, 7]
+    assert sorted(r["doc_id"] for r in left) == [4, 5, 6, 7]
 
 
 def test_inconsistent_slots_are_no_copy(spark):

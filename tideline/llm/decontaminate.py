@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose case and outer punctuation. Numbers, names (capitals inside a
-sentence) and units (after a number) become typed placeholders, so that a
+Words lose case and outer punctuation. Numbers, names (a capital and small
+letters, inside a sentence; words of capitals alone are words) and units (after a number) become typed placeholders, so that a
 question with other values gives the same template. Windows of a template's
 words are hashed and joined between documents and benchmark items; for each
 pair the slots' values must map consistently: one value of the item stands for
@@ -94,8 +94,11 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     a = data[head]
     b = data[np.minimum(head + 1, len(data) - 1)]
     capital = ((a >= 65) & (a <= 90)) | ((a == 0xC3) & (b >= 0x80) & (b <= 0x9E) & (b != 0x97))
+    small = (data >= 97) & (data <= 122)
+    small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x9F)
+    smalls = np.concatenate([[0], np.cumsum(small)])
     number = kind[head] == 2
-    name = capital & ~opens
+    name = capital & ~opens & (smalls[tail] > smalls[head])
     unit = np.zeros(len(head), bool)
     near = np.flatnonzero(number[:-1]) + 1 if len(head) else np.zeros(0, int)
     near = near[~np.isin(near, first)]
