@@ -272,7 +272,7 @@ def company_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH known AS (SELECT min(p_partkey) AS id, p_name AS name FROM part WHERE p_partkey % 3 > 0 GROUP BY p_name),
+    """WITH known AS (SELECT min(p_partkey) AS id, p_name AS name FROM part WHERE p_size > 10 GROUP BY p_name),
 asked AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' Inc' WHEN 2 THEN 'Great ' || p_name ELSE split_part(p_name, ' ', 1) END AS name FROM part),
 na AS (SELECT name, CASE WHEN name LIKE '% Inc' THEN lower(name[:-5]) ELSE lower(name) END AS norm FROM asked),
 ex AS (SELECT na.name, count(k.id) AS n, min(k.id) AS id FROM na LEFT JOIN known k ON k.name = norm GROUP BY 1),
@@ -280,8 +280,8 @@ fz AS (SELECT na.name, min(k.id) AS a, max(k.id) AS z FROM na JOIN known k ON li
 SELECT ex.name, CASE WHEN n = 1 THEN ex.id WHEN n = 0 AND a = z THEN a END AS company_id, CASE WHEN n = 1 THEN 'exact' WHEN n = 0 AND a = z THEN 'fuzzy' ELSE 'none' END AS match FROM ex LEFT JOIN fz USING (name)"""
 )
 def token_containment_join(spark: SparkSession, d: str) -> DataFrame:
-    p = b.table(spark, d, "part").select("p_partkey", "p_name")
-    known = p.filter("p_partkey % 3 > 0").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.col("p_name").alias("name"))
+    p = b.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    known = p.filter("p_size > 10").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.col("p_name").alias("name"))
     k = F.col("p_partkey") % 4
     asked = p.select(F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_name", F.lit(" Inc"))).when(k == 2, F.concat(F.lit("Great "), F.col("p_name"))).otherwise(F.substring_index("p_name", " ", 1)).alias("name"))
     return matching.companies(asked, known)
@@ -337,7 +337,7 @@ def polymorphic_labels(spark: SparkSession, d: str) -> DataFrame:
 def tier_only_raised(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
     e = b.table(spark, d, "events").select("user_id", "event_type", "event_id", F.when(v > 30, "HIGH").when(v > 10, "MEDIUM").otherwise("LOW").alias("tier"))
-    return matching.raised_tier(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"])
+    return matching.raised_tier(e.filter("tier = 'LOW'"), e.filter("tier != 'LOW'"), ["user_id", "event_type"])
 
 
 # --- nested detail, cases, disclosures -----------------------------------------------------------
@@ -520,28 +520,30 @@ def upsert_changes(spark: SparkSession, d: str) -> DataFrame:
     return store.changes(old, old.select((F.col("c_custkey") + 700).alias("c_custkey"), F.upper("c_name").alias("c_name")), ["c_custkey"])
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 3 = 0")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_size > 25 AND p_type = 'ECONOMY'")
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
-    p = b.table(spark, d, "part").select("p_partkey", "p_name")
-    return store.insert_if_absent(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 3 = 0").withColumn("p_name", F.upper("p_name")), ["p_partkey"])
+    p = b.table(spark, d, "part")
+    new = p.filter("p_type = 'ECONOMY'").select("p_partkey", F.upper("p_name").alias("p_name"))
+    return store.insert_if_absent(p.filter("p_size <= 25").select("p_partkey", "p_name"), new, ["p_partkey"])
 
 
-@query("WITH o AS (SELECT DISTINCT o_custkey AS owner, o_orderkey AS item FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT DISTINCT o_custkey AS owner, o_orderkey + 1 AS item FROM orders WHERE o_custkey % 5 = 0) SELECT * FROM o WHERE owner NOT IN (SELECT owner FROM n) UNION ALL SELECT * FROM n")
+@query("WITH o AS (SELECT DISTINCT o_custkey AS owner, o_orderkey AS item FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT DISTINCT o_custkey AS owner, o_orderkey + 1 AS item FROM orders WHERE o_orderpriority = '1-URGENT') SELECT * FROM o WHERE owner NOT IN (SELECT owner FROM n) UNION ALL SELECT * FROM n")
 def link_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("item"))
-    return store.replace_links(o.filter("item % 2 = 0").distinct(), o.filter("owner % 5 = 0").select("owner", (F.col("item") + 1).alias("item")), "owner")
+    o = b.table(spark, d, "orders")
+    old = o.filter("o_orderstatus != 'P'").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("item")).distinct()
+    return store.replace_links(old, o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("owner"), (F.col("o_orderkey") + 1).alias("item")), "owner")
 
 
-@query("SELECT o_custkey AS owner, o_orderkey % 50 AS item FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT o_custkey, o_orderkey % 50 FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_custkey AS owner, o_orderpriority AS item FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
 def link_additive(spark: SparkSession, d: str) -> DataFrame:
-    o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), (F.col("o_orderkey") % 50).alias("item"), "o_orderkey")
-    return store.add_links(o.filter("o_orderkey % 2 = 0").select("owner", "item"), o.filter("o_orderkey % 3 = 0").select("owner", "item"))
+    o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("item"), "o_orderstatus")
+    return store.add_links(o.filter("o_orderstatus = 'F'").select("owner", "item"), o.filter("o_orderstatus = 'O'").select("owner", "item"))
 
 
-@query("WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0), z AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 7 = 0) (FROM a EXCEPT FROM z) UNION ALL (FROM z EXCEPT FROM a)")
+@query("WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60), z AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 3) (FROM a EXCEPT FROM z) UNION ALL (FROM z EXCEPT FROM a)")
 def toggle_rows(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "events")
-    return store.toggle(e.filter("event_id % 3 = 0").select("user_id", "event_type").distinct(), e.filter("event_id % 7 = 0").select("user_id", "event_type"))
+    return store.toggle(e.filter("value > 60").select("user_id", "event_type").distinct(), e.filter("value < 3").select("user_id", "event_type"))
 
 
 @query("SELECT event_type AS source, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS run_id, max(ts) AS started_at FROM events GROUP BY 1")
