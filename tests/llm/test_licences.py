@@ -12,7 +12,8 @@ def brute(text, threshold=licences.THRESHOLD):
         return Counter(zip(w, w[1:], strict=False))
 
     lines = re.sub(r"[^\w\n]+|_+", " ", (text or "").lower()).split("\n")
-    units = list(enumerate(lines)) + ([(-1, " ".join(lines))] if len(lines) > 1 else [])
+    paragraphs = [p for p in re.split(r"\n ?\n[ \n]*", "\n".join(lines)) if "\n" in p] if re.search(r"\n ?\n", "\n".join(lines)) else []
+    units = list(enumerate(lines)) + ([(-1, " ".join(lines))] if len(lines) > 1 else []) + [(-2 - k, p.replace("\n", " ")) for k, p in enumerate(paragraphs)]
     out = []
     for no, unit in units:
         a = grams(unit)
@@ -28,7 +29,7 @@ def brute(text, threshold=licences.THRESHOLD):
 
 
 LONG = [t for _, t in licences.TEMPLATES]
-TEXTS = [None, "", " \n", "MIT", "Released under the MIT License.", "x\nLicensed under CC BY-NC 4.0!\ny", LONG[23], LONG[23].replace("Software", "Program", 1), LONG[17] + " extra words", "Licensed under the Apache License Version 2.0\n\nReleased under the MIT licence", "word " * 5000, "the MIT License the MIT License the MIT License", LONG[3] + "\n" + LONG[15], "ß É released UNDER the mit license"]
+TEXTS = [None, "", " \n", "MIT", "Released under the MIT License.", "x\nLicensed under CC BY-NC 4.0!\ny", LONG[23], LONG[23].replace("Software", "Program", 1), LONG[17] + " extra words", "Licensed under the Apache License Version 2.0\n\nReleased under the MIT licence", "word " * 5000, "the MIT License the MIT License the MIT License", LONG[3] + "\n" + LONG[15], "A title\n\n" + LONG[23].replace(", ", ",\n") + "\n \n\nThe\nend\n\nRELEASED under\nthe MIT license", "ß É released UNDER the mit license"]
 
 
 def test_scan_is_brute_force(spark):

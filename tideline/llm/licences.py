@@ -84,18 +84,34 @@ def normalised(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per unit with a match: id, unit (line from 0, -1 for the whole text), license, template, bigrams, dice."""
+    """One row per unit with a match: id, unit, license, template, bigrams, dice.
+
+    Units: lines from 0 on, -1 for the whole text, paragraphs from -2 down.
+    """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     rows = [(k, name, g, c, sum(b.values())) for k, (name, text) in enumerate(templates) for b in [bigrams_of(text)] for g, c in b.items()]
     table = spark.createDataFrame(rows, "_template int, _license string, _gram string, _count int, _size int")
 
-    lines = F.split(normalised(F.col(text_col).cast("string")), "\n")
-    units = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), lines.alias("_lines"))
-    whole = F.when(F.size("_lines") > 1, F.array(F.array_join("_lines", " "))).otherwise(F.array().cast("array<string>"))
-    units = units.select("_id", "_row", F.posexplode(F.concat(whole, "_lines")).alias("_k", "_unit"), (F.size("_lines") > 1).cast("int").alias("_first"))
+    norm = normalised(F.col(text_col).cast("string"))
+    units = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), norm.alias("_norm"))
+    none = F.array().cast("array<string>")
+    several = F.contains(F.col("_norm"), F.lit("\n"))
+    parted = F.col("_norm").rlike("\n ?\n")
+    units = units.select(
+        "_id",
+        "_row",
+        F.split("_norm", "\n").alias("_lines"),
+        F.when(parted, F.filter(F.split("_norm", "\n ?\n[ \n]*"), lambda x: F.contains(x, F.lit("\n")))).otherwise(none).alias("_paras"),
+        F.when(several, F.array("_norm")).otherwise(none).alias("_whole"),
+    )
+    every = F.posexplode(F.concat("_whole", "_paras", "_lines")).alias("_k", "_unit")
+    units = units.select("_id", "_row", F.size("_whole").alias("_w"), F.size("_paras").alias("_p"), every)
+    line = F.col("_k") - F.col("_w") - F.col("_p")
+    number = F.when(line >= 0, line).when(F.col("_k") < F.col("_w"), -1).otherwise(F.col("_w") - 2 - F.col("_k"))
+    units = units.select("_id", "_row", number.alias("_no"), F.translate("_unit", "\n", " ").alias("_unit"))
     words = F.split(F.trim("_unit"), " +")
-    units = units.select("_id", "_row", (F.col("_k") - F.col("_first")).alias("_no"), words.alias("_words"), (F.size(words) - 1).alias("_n"))
+    units = units.select("_id", "_row", "_no", words.alias("_words"), (F.size(words) - 1).alias("_n"))
     fits = F.lit(False)
     for lo, hi in bounds(templates, threshold):
         fits = fits | F.col("_n").between(max(lo, 1), hi)
@@ -120,9 +136,12 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     values = ", ".join(f"({k}, '{name}', '{g}', {c}, {sum(b.values())})" for k, (name, text) in enumerate(TEMPLATES) for b in [bigrams_of(text)] for g, c in b.items())
     return f"""
 WITH t(template, license, gram, cnt, size) AS (VALUES {values}),
-d AS (SELECT doc_id, row_number() OVER () AS r, string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, r, unnest(range(len(lines))) AS unit, unnest(lines) AS s FROM d
-  UNION ALL SELECT doc_id, r, -1, array_to_string(lines, ' ') FROM d WHERE len(lines) > 1),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS norm FROM documents),
+l AS (SELECT doc_id, r, string_split(norm, chr(10)) AS lines FROM d),
+p AS (SELECT doc_id, r, list_filter(regexp_split_to_array(norm, '\\n ?\\n[ \\n]*'), lambda x: contains(x, chr(10))) AS paras FROM d WHERE regexp_matches(norm, '\\n ?\\n')),
+u AS (SELECT doc_id, r, unnest(range(len(lines))) AS unit, unnest(lines) AS s FROM l
+  UNION ALL SELECT doc_id, r, -2 - unnest(range(len(paras))), replace(unnest(paras), chr(10), ' ') FROM p
+  UNION ALL SELECT doc_id, r, -1, replace(norm, chr(10), ' ') FROM d WHERE contains(norm, chr(10))),
 w AS (SELECT doc_id, r, unit, regexp_split_to_array(trim(s), ' +') AS words FROM u),
 g AS (SELECT doc_id, r, unit, words, len(words) - 1 AS n, unnest(range(1, len(words))) AS i FROM w WHERE len(words) <= 1000),
 c AS (SELECT doc_id, r, unit, n, words[i] || ' ' || words[i + 1] AS gram, count(*) AS c FROM g GROUP BY ALL),
