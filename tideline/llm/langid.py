@@ -36,7 +36,7 @@ from tideline.session import ddl, fresh_name
 SAMPLE, SAMPLE_BYTES = 400, 4_000_000
 #: Bytes of a worker's table at most: the most frequent contexts of three bytes stay.
 TABLE_BYTES = 64 << 20
-#: Parts of a language that its sample is first chosen from.
+#: Parts of a key that its sample is first chosen from.
 SPREAD = 32
 #: Bytes worked on at once.
 STEP = 1 << 20
@@ -153,6 +153,18 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def least_of_each(ids: DataFrame, key: str, sample: int) -> DataFrame:
+    """The rows of each key with the ``sample`` least hashes (columns _h, _id).
+
+    Taken from SPREAD parts of a key first and from what is left of these then, so that no
+    task sees a whole key and none gets a sample from every partition of the input.
+    """
+    for part in ([key, F.pmod("_h", F.lit(SPREAD))], [key]):
+        nth = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
+        ids = ids.withColumn("_nth", nth).filter(F.col("_nth") <= sample).drop("_nth")
+    return ids
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
     """(lang, gram, n): the frozen counts, from at most ``sample`` texts and ``sample_bytes`` bytes of each language.
 
@@ -162,10 +174,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold))
     rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"), F.col(text_col).cast("string").alias("_text"))
     ids = rows.select("_id", "_lang", "_h")
-    # the least of each of SPREAD parts of a language, then the least of those, so that no task sees a whole language
-    for part in (["_lang", F.pmod("_h", F.lit(SPREAD))], ["_lang"]):
-        nth = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
-        ids = ids.withColumn("_nth", nth).filter(F.col("_nth") <= sample).drop("_nth")
+    ids = least_of_each(ids, "_lang", sample)
     chosen = ids.select("_id", "_lang").distinct()
     texts = rows.join(F.broadcast(chosen), ["_id", "_lang"])
 

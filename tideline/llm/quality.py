@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.langid import held_out
+from tideline.llm.langid import held_out, least_of_each
 from tideline.llm.textbytes import LOWER, slices, span_hashes, words
 from tideline.session import ddl
 
@@ -158,8 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     ids = known.select(F.col(id_col).alias("_id"), "_y", F.xxhash64(id_col).alias("_h"))
-    least = [ids.filter(F.col("_y") == y).orderBy("_h", "_id").limit(sample) for y in (0, 1)]
-    chosen = least[0].unionByName(least[1])
+    chosen = least_of_each(ids, "_y", sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_h", "_y", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
