@@ -97,19 +97,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     units = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), norm.alias("_norm"))
     none = F.array().cast("array<string>")
     several = F.contains(F.col("_norm"), F.lit("\n"))
-    parted = F.col("_norm").rlike("\n ?\n")
+    parted = F.contains(F.col("_norm"), F.lit("\n\n")) | F.contains(F.col("_norm"), F.lit("\n \n"))
+    flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
     units = units.select(
         "_id",
         "_row",
         F.split("_norm", "\n").alias("_lines"),
-        F.when(parted, F.filter(F.split("_norm", "\n ?\n[ \n]*"), lambda x: F.contains(x, F.lit("\n")))).otherwise(none).alias("_paras"),
-        F.when(several, F.array("_norm")).otherwise(none).alias("_whole"),
+        F.when(parted, F.transform(F.filter(F.split("_norm", "\n ?\n[ \n]*"), lambda x: F.contains(x, F.lit("\n"))), flat)).otherwise(none).alias("_paras"),
+        F.when(several, F.array(flat(F.col("_norm")))).otherwise(none).alias("_whole"),
     )
     every = F.posexplode(F.concat("_whole", "_paras", "_lines")).alias("_k", "_unit")
     units = units.select("_id", "_row", F.size("_whole").alias("_w"), F.size("_paras").alias("_p"), every)
     line = F.col("_k") - F.col("_w") - F.col("_p")
     number = F.when(line >= 0, line).when(F.col("_k") < F.col("_w"), -1).otherwise(F.col("_w") - 2 - F.col("_k"))
-    units = units.select("_id", "_row", number.alias("_no"), F.translate("_unit", "\n", " ").alias("_unit"))
+    units = units.select("_id", "_row", number.alias("_no"), "_unit")
     words = F.split(F.trim("_unit"), " +")
     units = units.select("_id", "_row", "_no", words.alias("_words"), (F.size(words) - 1).alias("_n"))
     fits = F.lit(False)
