@@ -48,6 +48,22 @@ def test_inconsistent_slots_are_no_copy(spark):
     assert got == {1: False, 3: True}
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Alice has 12 marbles in a bag. Alice gives 4 marbles to Bob. Alice then buys 9 more marbles. Bob loses 3 of his marbles. Alice counts what both of them have left."
+    other = item.replace("Alice", "Mara").replace("Bob", "Tom").replace("12", "31").replace("4", "7").replace("9", "15").replace("3 ", "8 ")
+    docs = [
+        (1, item),
+        (2, other),
+        (3, other.replace(". ", " ")),  # without marks
+        (4, other.replace(" marbles", "\nmarbles").replace("to Tom", "to\nTom")),  # lines broken elsewhere
+        (5, f"{words(2, 30)}. {other} {words(3, 30)}"),
+        (6, words(4, 60)),
+    ]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["reparameterised"], r["coverage"]) for r in d.contaminated(df, it).collect()}
+    assert got == {1: (False, 1), 2: (True, 1), 3: (True, 1), 4: (True, 1), 5: (True, 1)}
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "well, six words are enough for this one"), (2, "six words are not enough")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "Six words are enough for this")], "item_id long, text string")

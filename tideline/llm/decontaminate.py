@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose case and outer punctuation. Numbers, names (a capital and small
-letters, inside a sentence; words of capitals alone are words) and units (after a number) become typed placeholders, so that a
-question with other values gives the same template. Windows of a template's
-words are hashed and joined between documents and benchmark items; for each
+letters; words of capitals alone are words) and units (after a number) become typed placeholders, so that a
+question with other values gives the same template. A capital that begins a
+sentence or line may be a name's or not: such a word is read both ways, in
+items and documents. Windows of a template's
+words are hashed, in every reading, and joined between documents and benchmark items; for each
 pair the slots' values must map consistently: one value of the item stands for
 one value in the document.
 
@@ -71,11 +73,11 @@ def _units() -> np.ndarray:
 _UNIT_HASHES = _units()
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical words, their values, whether they are slots, and each row's first word (rows + 1)."""
+def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical words, their values, whether they are slots, whether they may be names too, and each row's first word (rows + 1)."""
     starts, ends, first = words(data, off)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), first
     kind = _KIND[data]
     at = np.arange(len(data), dtype=np.int64)
     head = np.minimum.accumulate(np.where(kind > 0, at, len(data))[::-1])[::-1][starts]
@@ -98,20 +100,25 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x9F)
     smalls = np.concatenate([[0], np.cumsum(small)])
     number = kind[head] == 2
-    name = capital & ~opens & (smalls[tail] > smalls[head])
+    capital &= smalls[tail] > smalls[head]
+    name = capital & ~opens
     unit = np.zeros(len(head), bool)
     near = np.flatnonzero(number[:-1]) + 1 if len(head) else np.zeros(0, int)
     near = near[~np.isin(near, first)]
     unit[near] = np.isin(value[near], _UNIT_HASHES) & ~number[near]
     word = np.where(number, _SLOT[0], np.where(unit, _SLOT[2], np.where(name, _SLOT[1], value)))
-    return word, value, number | name | unit, first
+    return word, value, number | name | unit, capital & opens & ~unit, first
 
 
-def windows(word: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the windows of ``size`` words with enough plain ones, none over a row's end."""
+def windows(word: np.ndarray, slot: np.ndarray, either: np.ndarray, first: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """First words and hashes of the windows of ``size`` words with enough plain ones, none over a row's end.
+
+    Once for every reading: the bits of the last number say which words of ``either`` are names in it.
+    In the first, which has every window that any has, none are.
+    """
     n = len(word) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return
     h = np.zeros(n, np.uint64)
     for k in range(size):
         h += word[k : k + n] * _STEPS[k]
@@ -120,17 +127,30 @@ def windows(word: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int) ->
     for edge in first[1:-1]:
         ok[max(0, edge - size + 1) : edge] = False
     at = np.flatnonzero(ok)
-    return at, mix(h[at] + np.uint64(size))
+    yield at, mix(h[at] + np.uint64(size)), 0
+    change = _SLOT[1] - word
+
+    def read(at: np.ndarray, h: np.ndarray, plain: np.ndarray, named: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for k in range(begin, size):
+            more = np.flatnonzero(either[at + k] & (plain > min(PLAIN, size)))
+            if len(more):
+                to = at[more], h[more] + change[at[more] + k] * _STEPS[k], plain[more] - 1, named | 1 << k
+                yield to[0], mix(to[1] + np.uint64(size)), to[3]
+                yield from read(*to, k + 1)
+
+    open_ = np.concatenate([[0], np.cumsum(either)])
+    at = at[open_[at + size] > open_[at]]
+    yield from read(at, h[at], plain[at + size] - plain[at], 0, 0)
 
 
 def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64((1 << BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.ndarray, value: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, total: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.ndarray, named: np.ndarray | int, value: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, total: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each window: the row's keys, hash, place in the text, values of its slots."""
     span = at[:, None] + np.arange(size)
-    held = slot[span]
+    held = slot[span] | (np.reshape(named, (-1, 1)) >> np.arange(size) & 1 > 0)
     flat = value[span][held].view(np.int64)
     ends = np.concatenate([[0], np.cumsum(held.sum(1))]).astype(np.int32)
     slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -143,19 +163,20 @@ def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.n
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Every window of every item: _item, _item_key, _window, _at, _slots, _total, _size."""
+    """Every window of every item in every reading: _item, _item_key, _window, _at, _slots, _total, _size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(2)):
-                word, value, slot, first = template(data, off)
+                word, value, slot, either, first = template(data, off)
                 n = np.diff(first)
                 for size in range(LEAST_WORDS, window + 1):
-                    at, h = windows(word, slot, first, size)
-                    row = np.searchsorted(first, at, "right") - 1
-                    right = (n[row] == size) if size < window else (n[row] >= size)
-                    at, h, row = at[right], h[right], row[right]
-                    yield _rows(batch, lo, row, at, h, value, slot, first, size, np.bincount(row, minlength=hi - lo))
+                    for at, h, named in windows(word, slot, either, first, size):
+                        row = np.searchsorted(first, at, "right") - 1
+                        right = (n[row] == size) if size < window else (n[row] >= size)
+                        at, h, row = at[right], h[right], row[right]
+                        total = total if named else np.bincount(row, minlength=hi - lo)
+                        yield _rows(batch, lo, row, at, h, named, value, slot, first, size, total)
 
     kind = items.schema[id_col].dataType.simpleString()
     given = items.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text")).dropDuplicates(["_key"])
@@ -174,23 +195,31 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         one, two = table.value
         for batch in batches:
             for lo, _, data, off in slices(batch.column(2)):
-                word, value, slot, first = template(data, off)
+                word, value, slot, either, first = template(data, off)
                 for size in sizes:
-                    at, h = windows(word, slot, first, size)
-                    a, b = _marks(h)
-                    hit = one[a]
-                    hit[hit] = two[b[hit]]
-                    at, h = at[hit], h[hit]
-                    row = np.searchsorted(first, at, "right") - 1
-                    yield _rows(batch, lo, row, at, h, value, slot, first, size)
+                    for at, h, named in windows(word, slot, either, first, size):
+                        a, b = _marks(h)
+                        hit = one[a]
+                        hit[hit] = two[b[hit]]
+                        if hit.any():
+                            at, h = at[hit], h[hit]
+                            row = np.searchsorted(first, at, "right") - 1
+                            yield _rows(batch, lo, row, at, h, named, value, slot, first, size)
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     found = given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>")
     theirs = asked.select("_item", "_item_key", "_window", F.col("_at").alias("_item_at"), F.col("_slots").alias("_item_slots"), "_total")
-    met = cut(found.join(theirs, "_window"))
-
     pair = ["_key", "_item_key"]
+    # windows that meet in several readings count once, in that of the fewest slots; the others' slots are equal words
+    met = found.join(theirs, "_window").groupBy(*pair, "_at", "_item_at").agg(
+        F.first("_id").alias("_id"),
+        F.first("_item").alias("_item"),
+        F.first("_total").alias("_total"),
+        F.min_by(F.struct("_item_slots", "_slots"), F.size("_slots")).alias("_both"),
+    )
+    met = cut(met.select("*", "_both.*"))
+
     share = met.groupBy(*pair).agg(
         F.first("_id").alias("_id"),
         F.first("_item").alias("_item"),
