@@ -70,6 +70,28 @@ def test_short_items(spark):
     assert [r["doc_id"] for r in d.contaminated(docs, items).collect()] == [1]
 
 
+def test_items_of_few_plain_words(spark):
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2?"), (2, "Alice 12 Bob 15 Carol 18 Dave 21 Erin 24 Frank 27"), (3, "Who wrote Waverley?"), (4, "+ - *")]
+    docs = [
+        (1, f"{words(5, 20)}\n{items[0][1]} {words(6, 20)}"),
+        (2, f"{words(5, 20)}\nwhat is\n12 + 7 * 3 - 4 / 2 {words(6, 20)}"),
+        (3, f"{words(5, 20)} What is 13 + 7 * 3 - 4 / 2? + - * {words(6, 20)}"),  # other values
+        (4, f"{words(7, 20)} {items[1][1].replace(' Carol', chr(10) + 'Carol')}. Who wrote Waverley? Who wrote Waverley?"),
+        (5, f"{words(8, 20)} Who wrote Emma? Alice 12 Bob 15"),
+    ]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["coverage"], r["reparameterised"]) for r in d.contaminated(df, it).collect())
+    assert got == [(1, 1, 1.0, False), (2, 1, 1.0, False), (4, 2, 1.0, False), (4, 3, 1.0, False)]
+    assert [r["doc_id"] for r in d.clean(df, it).orderBy("doc_id").collect()] == [3, 5]
+
+
+def test_windows_of_few_plain_words_take_no_item_away(spark):
+    item = f"{words(9, 12)} 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"
+    other = " ".join(str(int(w) + 50) if w.isdigit() else w for w in item.split())
+    docs, items = (spark.createDataFrame([(1, t)], f"{c} long, text string") for c, t in (("doc_id", other), ("item_id", item)))
+    assert [(r["coverage"], r["reparameterised"]) for r in d.contaminated(docs, items).collect()] == [(1.0, True)]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert d.contaminated(docs.limit(0), items).count() == 0

@@ -7,16 +7,18 @@ sentence or line may be a name's or not: such a word is read both ways, in
 items and documents. Windows of a template's
 words are hashed, in every reading, and joined between documents and benchmark items; for each
 pair the slots' values must map consistently: one value of the item stands for
-one value in the document.
+one value in the document. Windows of an item with few plain words (and items of
+few words) say too little as templates: their words and values themselves are
+hashed, and found in documents that hold the same.
 
 Document windows are first held against a table of bits of fixed size, made of
 the items' windows, so that only few windows leave the tasks; the hash join in
 Spark decides.
 
 Defined cases
-- null or empty texts and items: no windows, never flagged.
+- null or empty texts and items, and items without a letter or digit: no windows, never flagged.
 - items of fewer than ``LEAST_WORDS`` words, or without a window that has enough plain
-  words: never flagged. Items shorter than a window are one window.
+  words: flagged where their words and values stand as they are. Items shorter than a window are one window.
 - repeated rows: rows of one id and text are one document; rows of one item id and text one item.
 - null document ids: one document for each text; null item ids likewise.
 - empty documents or benchmark: no rows. Texts are read whole. Other columns are not read.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tideline.llm.textbytes import LOWER, mix, slices, span_hashes, words
 from tideline.session import cut, fresh_name, written
 
-#: Words of a window; words of it that are no placeholders, at least; words of an item at least.
+#: Words of a window; words of it that are no placeholders, and words of an item, at least for it to be a template.
 WINDOW, PLAIN, LEAST_WORDS = 8, 4, 5
 #: Share of an item's windows that must be found, and of its slots' uses that must agree.
 COVERAGE, AGREEMENT = 0.5, 0.8
@@ -110,24 +112,32 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return word, value, number | name | unit, capital & opens & ~unit, first
 
 
+def _sums(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and sums of the windows of ``size`` words, none over a row's end."""
+    n = max(len(word) - size + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h += word[k : k + n] * _STEPS[k]
+    ok = np.ones(n, bool)
+    for edge in first[1:-1]:
+        ok[max(0, edge - size + 1) : edge] = False
+    at = np.flatnonzero(ok)
+    return at, h[at]
+
+
 def windows(word: np.ndarray, slot: np.ndarray, either: np.ndarray, first: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """First words and hashes of the windows of ``size`` words with enough plain ones, none over a row's end.
 
     Once for every reading: the bits of the last number say which words of ``either`` are names in it.
     In the first, which has every window that any has, none are.
     """
-    n = len(word) - size + 1
-    if n <= 0:
-        return
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h += word[k : k + n] * _STEPS[k]
+    at, h = _sums(word, first, size)
     plain = np.concatenate([[0], np.cumsum(~slot)])
-    ok = plain[size:] - plain[:-size] >= min(PLAIN, size)
-    for edge in first[1:-1]:
-        ok[max(0, edge - size + 1) : edge] = False
-    at = np.flatnonzero(ok)
-    yield at, mix(h[at] + np.uint64(size)), 0
+    ok = plain[at + size] - plain[at] >= min(PLAIN, size) if len(at) else np.zeros(0, bool)
+    at, h = at[ok], h[ok]
+    yield at, mix(h + np.uint64(size)), 0
+    if not len(at):
+        return
     change = _SLOT[1] - word
 
     def read(at: np.ndarray, h: np.ndarray, plain: np.ndarray, named: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -139,15 +149,22 @@ def windows(word: np.ndarray, slot: np.ndarray, either: np.ndarray, first: np.nd
                 yield from read(*to, k + 1)
 
     open_ = np.concatenate([[0], np.cumsum(either)])
-    at = at[open_[at + size] > open_[at]]
-    yield from read(at, h[at], plain[at + size] - plain[at], 0, 0)
+    some = open_[at + size] > open_[at]
+    at = at[some]
+    yield from read(at, h[some], plain[at + size] - plain[at], 0, 0)
+
+
+def exact_windows(value: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of all windows of ``size`` words as they are, none over a row's end."""
+    at, h = _sums(value, first, size)
+    return at, mix(h + np.uint64(size + 2 * WINDOW))
 
 
 def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64((1 << BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.ndarray, named: np.ndarray | int, value: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, total: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.ndarray, named: np.ndarray | int, value: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, totals: tuple[np.ndarray, np.ndarray] | None = None, typed: bool = True) -> pa.RecordBatch:
     """One row for each window: the row's keys, hash, place in the text, values of its slots."""
     span = at[:, None] + np.arange(size)
     held = slot[span] | (np.reshape(named, (-1, 1)) >> np.arange(size) & 1 > 0)
@@ -157,30 +174,46 @@ def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.n
     take = pa.array(lo + row)
     cols = [doc.column(0).take(take), doc.column(1).take(take), pa.array(h.view(np.int64)), pa.array(at - first[row]), slots]
     names = ["_id", "_key", "_window", "_at", "_slots"]
-    if total is not None:
-        cols, names = [*cols, pa.array(total[row]), pa.array(np.full(len(row), size, np.int32))], [*names, "_total", "_size"]
+    if totals is not None:
+        mark = size if typed else -size
+        cols, names = [*cols, *(pa.array(t[row]) for t in totals), pa.array(np.full(len(row), mark, np.int32))], [*names, "_total", "_typed_total", "_size"]
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Every window of every item in every reading: _item, _item_key, _window, _at, _slots, _total, _size."""
+    """Every window of every item in every reading: _item, _item_key, _window, _at, _slots, _total, _typed_total, _size.
+
+    _size is below zero for windows of the words as they are; _total counts all windows of the item, _typed_total its templates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(2)):
                 word, value, slot, either, first = template(data, off)
                 n = np.diff(first)
-                for size in range(LEAST_WORDS, window + 1):
-                    for at, h, named in windows(word, slot, either, first, size):
+                few = np.concatenate([[0], np.cumsum(~slot & ~either)])  # words that are plain in every reading
+                bare = np.zeros(len(slot), bool)
+                for size in range(1, window + 1):
+
+                    def own(at: np.ndarray, size: int = size, n: np.ndarray = n, first: np.ndarray = first) -> tuple[np.ndarray, np.ndarray]:
                         row = np.searchsorted(first, at, "right") - 1
-                        right = (n[row] == size) if size < window else (n[row] >= size)
-                        at, h, row = at[right], h[right], row[right]
-                        total = total if named else np.bincount(row, minlength=hi - lo)
-                        yield _rows(batch, lo, row, at, h, named, value, slot, first, size, total)
+                        return row, (n[row] == size) if size < window else (n[row] >= size)
+
+                    at, h = exact_windows(value, first, size)
+                    row, right = own(at)
+                    at, h, row = at[right], h[right], row[right]
+                    typed = list(windows(word, slot, either, first, size)) if size >= LEAST_WORDS else []
+                    of, right = own(typed[0][0] if typed else at[:0])
+                    totals = np.bincount(row, minlength=hi - lo), np.bincount(of[right], minlength=hi - lo)
+                    poor = (few[at + size] - few[at] < PLAIN) | (size < LEAST_WORDS)
+                    yield _rows(batch, lo, row[poor], at[poor], h[poor], 0, value, bare, first, size, totals, typed=False)
+                    for at, h, named in typed:
+                        row, right = own(at)
+                        yield _rows(batch, lo, row[right], at[right], h[right], named, value, slot, first, size, totals)
 
     kind = items.schema[id_col].dataType.simpleString()
     given = items.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text")).dropDuplicates(["_key"])
-    out = given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>, _total long, _size int")
+    out = given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>, _total long, _typed_total long, _size int")
     return out.withColumnsRenamed({"_id": "_item", "_key": "_item_key"})
 
 
@@ -188,7 +221,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """One row per document and item that it holds: the ids, n_windows, coverage, slot_agreement, reparameterised, _doc_key."""
     spark = docs.sparkSession
     asked = cut(item_windows(items, item_col, item_text_col, window))
-    sizes = [r[0] for r in asked.select("_size").distinct().collect()]  # at most WINDOW values
+    sizes = [r[0] for r in asked.select("_size").distinct().collect()]  # at most 2 * WINDOW values
     table = spark.sparkContext.broadcast(_table(asked))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,27 +229,35 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             for lo, _, data, off in slices(batch.column(2)):
                 word, value, slot, either, first = template(data, off)
+                bare = np.zeros(len(slot), bool)
                 for size in sizes:
-                    for at, h, named in windows(word, slot, either, first, size):
+                    for at, h, named in windows(word, slot, either, first, size) if size > 0 else [(*exact_windows(value, first, -size), 0)]:
                         a, b = _marks(h)
                         hit = one[a]
                         hit[hit] = two[b[hit]]
                         if hit.any():
                             at, h = at[hit], h[hit]
                             row = np.searchsorted(first, at, "right") - 1
-                            yield _rows(batch, lo, row, at, h, named, value, slot, first, size)
+                            if size < 0:  # once for each text: they have no slots that could differ
+                                order = np.lexsort((h, row))
+                                new = np.ones(len(h), bool)
+                                new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+                                at, h, row = at[order][new], h[order][new], row[order][new]
+                            yield _rows(batch, lo, row, at, h, named, value, slot if size > 0 else bare, first, abs(size))
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     found = given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>")
-    theirs = asked.select("_item", "_item_key", "_window", F.col("_at").alias("_item_at"), F.col("_slots").alias("_item_slots"), "_total")
+    theirs = asked.select("_item", "_item_key", "_window", F.col("_at").alias("_item_at"), F.col("_slots").alias("_item_slots"), "_total", "_typed_total", (F.col("_size") > 0).alias("_typed"))
     pair = ["_key", "_item_key"]
-    # windows that meet in several readings count once, in that of the fewest slots; the others' slots are equal words
+    # windows that meet in several readings count once, as templates if they can, in that of the fewest slots; the others' slots are equal words
     met = found.join(theirs, "_window").groupBy(*pair, "_at", "_item_at").agg(
         F.first("_id").alias("_id"),
         F.first("_item").alias("_item"),
         F.first("_total").alias("_total"),
-        F.min_by(F.struct("_item_slots", "_slots"), F.size("_slots")).alias("_both"),
+        F.first("_typed_total").alias("_typed_total"),
+        F.max("_typed").alias("_typed"),
+        F.min_by(F.struct("_item_slots", "_slots"), F.struct(~F.col("_typed"), F.size("_slots"))).alias("_both"),
     )
     met = cut(met.select("*", "_both.*"))
 
@@ -224,9 +265,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         F.first("_id").alias("_id"),
         F.first("_item").alias("_item"),
         F.countDistinct("_item_at").alias("n_windows"),
+        F.countDistinct(F.when(F.col("_typed"), F.col("_item_at"))).alias("_n_typed"),
         F.first("_total").alias("_total"),
+        F.first("_typed_total").alias("_typed_total"),
     )
-    share = share.withColumn("coverage", F.col("n_windows") / F.col("_total")).filter(F.col("coverage") >= coverage)
+    # of all windows, or of the templates alone, as the others are found in no text with other values
+    covered = F.greatest(F.col("n_windows") / F.col("_total"), F.when(F.col("_typed_total") > 0, F.col("_n_typed") / F.col("_typed_total")))
+    share = share.withColumn("coverage", covered).filter(F.col("coverage") >= coverage)
     # a value of the item at one place of the text: how many of its uses agree on the commonest value there
     uses = met.select(*pair, (F.col("_at") - F.col("_item_at")).alias("_shift"), F.explode(F.arrays_zip("_item_slots", "_slots")).alias("_s"))
     uses = uses.groupBy(*pair, "_shift", F.col("_s._item_slots").alias("_theirs"), F.col("_s._slots").alias("_ours")).agg(F.count(F.lit(1)).alias("_n"))
