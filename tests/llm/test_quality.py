@@ -64,6 +64,26 @@ def test_held_out_accuracy(spark):
     assert rows["score"].between(0, 1).all()
 
 
+def test_one_huge_text_does_not_empty_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(40).filter(~quality.held_out("id", 3, 1)).orderBy(F.xxhash64("id")).toPandas()["id"].tolist()
+    good, bad = "the small house stood near the river and its garden ", "@@ || ## 77 $$ "
+    docs = [(i, (good if k % 2 else bad) * (20 if k else 3000)) for k, i in enumerate(ids)]  # the text of the least hash is longer than all that is sampled
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    net = quality.learn(df, labels, sample_passages=100)
+    assert net is not None
+    got = {r["doc_id"]: r["predicted"] for r in quality.score(df, net).collect()}
+    assert got == {i: k % 2 for k, i in enumerate(ids)}
+
+
+def test_shares_and_spread():
+    assert quality.shares(np.array([5000, 3, 40]), 50).tolist() == [23, 3, 23]
+    assert quality.shares(np.array([5, 3]), 50).tolist() == [5, 3] and quality.shares(np.array([5, 3, 2]), 2).tolist() == [1, 1, 0]
+    assert quality.evenly(10, 3).tolist() == [1, 5, 8] and quality.evenly(4, 9).tolist() == [0, 1, 2, 3]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "a b", 5), (3, "x " * 5000, 5), (3, "x " * 5000, 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")

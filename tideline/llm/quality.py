@@ -35,8 +35,8 @@ from tideline.session import ddl
 
 #: Words of a passage.
 PASSAGE = 64
-#: Texts of each label, and passages in all, that the network is fitted on at most.
-SAMPLE, SAMPLE_PASSAGES = 1200, 24_000
+#: Texts of each label, passages in all, and passages of one text, that the network is fitted on at most.
+SAMPLE, SAMPLE_PASSAGES, TEXT_PASSAGES = 1200, 24_000, 100
 HIDDEN, EPOCHS, RATE, DECAY = 16, 80, 0.03, 1e-4
 
 #: Byte classes by their first member: lower case, capitals, digits, white space, bytes over 127, and marks one by one.
@@ -150,11 +150,26 @@ def fit(x: np.ndarray, base: np.ndarray, y: np.ndarray, seed: int = 1) -> Networ
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, fold: int = 1, sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES) -> Network | None:
+def evenly(n: int, most: int) -> np.ndarray:
+    """``most`` of n places, spread evenly over them; all of them if there are no more."""
+    m = min(n, most)
+    return (2 * np.arange(m) + 1) * n // (2 * max(m, 1))
+
+
+def shares(n: np.ndarray, most: int) -> np.ndarray:
+    """Passages to take of texts of n passages, ``most`` in all: the longest are cut to one length, and none is left out while there is one for each."""
+    lo, hi = 1, max(int(n.max(initial=1)), 1)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if np.minimum(n, mid).sum() <= most else (lo, mid - 1)
+    return np.minimum(n, lo) * (np.arange(len(n)) < most)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, fold: int = 1, sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES, text_passages: int = TEXT_PASSAGES) -> Network | None:
     """The network fitted on at most ``sample`` texts of each label, those whose ids have the least hashes.
 
-    None if only one label is there. Passages beyond ``sample_passages`` in all, in the
-    order of the hashes, are left out with their texts.
+    None if only one label is there. Each label has half of ``sample_passages``; of a text
+    that is too long for its share, passages spread evenly over it are taken.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     ids = known.select(F.col(id_col).alias("_id"), "_y", F.xxhash64(id_col).alias("_h"))
@@ -165,19 +180,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(3)):
                 x, base = passages(data, off)
-                bags = [x[base[i] : base[i + 1]].tobytes() for i in range(hi - lo)]
+                bags = [x[base[i] + evenly(base[i + 1] - base[i], text_passages)].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(bags, pa.binary())], names=["id", "h", "y", "bag"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = texts.mapInArrow(encode, f"id {kind}, h long, y int, bag binary").toPandas()
     got = got.sort_values(["h", "id", "bag"]).drop_duplicates("id")
     n = got["bag"].map(len).to_numpy() // (4 * FEATURES)
-    got, n = got[np.cumsum(n) <= sample_passages], n[np.cumsum(n) <= sample_passages]
     y = got["y"].to_numpy(dtype=np.float64)
     if len(set(y)) < 2:
         return None
-    x = np.frombuffer(b"".join(got["bag"]), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    return fit(x, np.concatenate([[0], np.cumsum(n)]), y)
+    take = np.zeros(len(n), np.int64)
+    for label in (0, 1):
+        take[y == label] = shares(n[y == label], max(sample_passages // 2, 1))
+    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES)[evenly(k, t)] for b, k, t in zip(got["bag"], n, take, strict=True) if t]
+    return fit(np.concatenate(bags).astype(np.float64), np.concatenate([[0], np.cumsum(take[take > 0])]), y[take > 0])
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, fold: int = 1) -> DataFrame:
