@@ -20,21 +20,20 @@ Defined cases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.langid import held_out, least_of_each
-from tideline.llm.textbytes import LOWER, slices, span_hashes, words
+from tideline.llm.textbytes import LOWER, slices, span_hashes, within, words
 from tideline.session import ddl
 
-#: Words of a passage.
-PASSAGE = 64
+#: Words of a passage; passages whose bytes are counted at once.
+PASSAGE, RUN = 64, 4096
 #: Texts of each label, passages in all, and passages of one text, that the network is fitted on at most.
 SAMPLE, SAMPLE_PASSAGES, TEXT_PASSAGES = 1200, 24_000, 100
 HIDDEN, EPOCHS, RATE, DECAY = 16, 80, 0.03, 1e-4
@@ -68,12 +67,16 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     known = of[heads]
     size = (ends - starts).astype(np.float64)
     count = np.bincount(of, minlength=len(x))[known].astype(np.float64)
-    # bytes from each passage's first word up to the next passage's first
-    at = np.concatenate([starts[heads], [len(data)]])
-    owner = np.repeat(np.arange(len(heads)), np.diff(at))
-    cls = _CLASS[data[at[0] :]]
-    counts = np.bincount(owner * CLASSES + cls, minlength=len(heads) * CLASSES).reshape(-1, CLASSES)
-    x[known, :CLASSES] = np.sqrt(counts / np.diff(at)[:, None])
+    # bytes from each passage's first word to the end of its last, so that nothing beyond it counts
+    begin, stop = starts[heads], ends[np.append(heads[1:], len(of)) - 1]
+    counts = np.empty((len(heads), CLASSES), np.int64)
+    for lo in range(0, len(heads), RUN):
+        a, z = begin[lo : lo + RUN], stop[lo : lo + RUN]
+        own = np.repeat(np.arange(len(a)), np.diff(np.append(a, z[-1]))) * (CLASSES + 1)
+        cls = _CLASS[data[a[0] : z[-1]]]
+        cls[np.repeat(z[:-1], a[1:] - z[:-1]) - a[0] + within(a[1:] - z[:-1])] = CLASSES  # white space between passages
+        counts[lo : lo + RUN] = np.bincount(own + cls, minlength=len(a) * (CLASSES + 1)).reshape(-1, CLASSES + 1)[:, :CLASSES]
+    x[known, :CLASSES] = np.sqrt(counts / (stop - begin)[:, None])
     h = span_hashes(LOWER[data], starts, ends)
     again = np.zeros(len(h))
     again[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
@@ -104,20 +107,45 @@ class Network:
     scale: np.ndarray
     weights: list[np.ndarray]  # encoder E, e; attention V, U, w; output o, b
 
-    def forward(self, x: np.ndarray, base: np.ndarray) -> tuple:
+    def forward(self, x: np.ndarray, base: np.ndarray, times: Callable = np.matmul) -> tuple:
         e, eb, v, u, w, o, b = self.weights
         z = np.clip((x - self.mean) * self.scale, -8, 8)
-        h = np.tanh(z @ e + eb)
-        t, s = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
-        g = (t * s) @ w
+        h = np.tanh(times(z, e) + eb)
+        t, s = np.tanh(times(h, v)), 1 / (1 + np.exp(-times(h, u)))
+        g = times(t * s, w[:, None])[:, 0]
         row = np.repeat(np.arange(len(base) - 1), np.diff(base))
         g = np.exp(g - np.maximum.reduceat(g, base[:-1])[row])
-        a = g / np.add.reduceat(g, base[:-1])[row]
-        bag = np.add.reduceat(a[:, None] * h, base[:-1])
-        return 1 / (1 + np.exp(-np.clip(bag @ o + b, -30, 30))), (z, h, t, s, a, bag, row)
+        a = g / np.bincount(row, weights=g)[row]
+        ah = a[:, None] * h
+        bag = np.stack([np.bincount(row, weights=ah[:, k]) for k in range(ah.shape[1])], 1)
+        return 1 / (1 + np.exp(-np.clip(times(bag, o[:, None])[:, 0] + b, -30, 30))), (z, h, t, s, a, bag, row)
 
     def score(self, x: np.ndarray, base: np.ndarray) -> np.ndarray:
-        return self.forward(x, base)[0]
+        """Scores of bags, to the last bit the same whatever bags stand beside them."""
+        return self.forward(x, base, _times)[0]
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, term after term: a row's sums do not depend on how many rows there are, as those of blocked products may."""
+    out = x[:, :1] * w[0]
+    for k in range(1, len(w)):
+        out += x[:, k : k + 1] * w[k]
+    return out
+
+
+def loss_and_gradient(net: Network, x: np.ndarray, base: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted cross-entropy of bags and its gradient by each array of weights."""
+    p, (z, h, t, s, a, bag, row) = net.forward(x, base)
+    e, eb, v, u, w, o, b = net.weights
+    dl = (p - y) * share
+    d_bag = dl[:, None] * o
+    d_a = (d_bag[row] * h).sum(1)
+    d_g = a * (d_a - np.add.reduceat(a * d_a, base[:-1])[row])
+    d_ts = d_g[:, None] * w
+    d_t, d_s = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
+    d_h = (a[:, None] * d_bag[row] + d_t @ v.T + d_s @ u.T) * (1 - h * h)
+    loss = -float((share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+    return loss, [z.T @ d_h, d_h.sum(0), h.T @ d_t, h.T @ d_s, (t * s).T @ d_g, bag.T @ dl, dl.sum()]
 
 
 def fit(x: np.ndarray, base: np.ndarray, y: np.ndarray, seed: int = 1) -> Network:
@@ -132,16 +160,7 @@ def fit(x: np.ndarray, base: np.ndarray, y: np.ndarray, seed: int = 1) -> Networ
     share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     m, v2 = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
     for step in range(1, EPOCHS + 1):
-        p, (z, h, t, s, a, bag, row) = net.forward(x, base)
-        e, eb, v, u, w, o, b = net.weights
-        dl = (p - y) * share
-        d_bag = dl[:, None] * o
-        d_a = (d_bag[row] * h).sum(1)
-        d_g = a * (d_a - np.add.reduceat(a * d_a, base[:-1])[row])
-        d_ts = d_g[:, None] * w
-        d_t, d_s = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
-        d_h = (a[:, None] * d_bag[row] + d_t @ v.T + d_s @ u.T) * (1 - h * h)
-        grads = [z.T @ d_h, d_h.sum(0), h.T @ d_t, h.T @ d_s, (t * s).T @ d_g, bag.T @ dl, dl.sum()]
+        _, grads = loss_and_gradient(net, x, base, y, share)
         rate = RATE * min(1, 2 * (1 - step / (EPOCHS + 1)))
         for i, g in enumerate(grads):
             g = g + DECAY * net.weights[i]
@@ -184,8 +203,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(bags, pa.binary())], names=["id", "h", "y", "bag"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = texts.mapInArrow(encode, f"id {kind}, h long, y int, bag binary").toPandas()
-    got = got.sort_values(["h", "id", "bag"]).drop_duplicates("id")
+    # one row for each id leaves Spark, so at most 2 * sample bags of text_passages passages reach the driver
+    bags_of = texts.mapInArrow(encode, f"id {kind}, h long, y int, bag binary").groupBy("id", "h", "y").agg(F.min("bag").alias("bag"))
+    got = bags_of.toPandas().sort_values(["h", "id"])
     n = got["bag"].map(len).to_numpy() // (4 * FEATURES)
     y = got["y"].to_numpy(dtype=np.float64)
     if len(set(y)) < 2:

@@ -80,6 +80,12 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(values)])
     return sums[first[1:]] - sums[first[:-1]]
 
+
+def within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each run of the given sizes, one run after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
 _R = 0x9E3779B97F4A7C15
 _R_BACK = pow(_R, -1, 1 << 64)
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -87,12 +93,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2 ** 64; kept, as slices are of one size."""
+    """base ** 0, 1, ... modulo 2 ** 64; kept for the size of slices, made anew for longer words."""
     known = _powers.get(base)
     if known is None or len(known) < n:
         known = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         known[0] = 1
-        known = _powers[base] = np.multiply.accumulate(known)
+        known = np.multiply.accumulate(known)
+        if n <= SLICE_BYTES + 1:
+            _powers[base] = known
     return known[:n]
 
 
@@ -104,7 +112,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span stands."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _power(_R, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_R_BACK, len(data) + 1)[starts])
+    """A 64-bit hash of the bytes of each span, the same wherever the span stands.
+
+    Spans are in order and apart. They are worked on in runs of about SLICE_BYTES.
+    """
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE_BYTES, "right")))
+        a, z = starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
+        part = data[starts[lo] : ends[hi - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * _power(_R, len(part)), out=sums[1:])
+        out[lo:hi] = mix((sums[z] - sums[a]) * _power(_R_BACK, len(part) + 1)[a])
+        lo = hi
+    return out
