@@ -74,3 +74,47 @@ def test_visits_are_in_order_of_success():
                 every = (every[:, None] * chance[q, d][None, :]).ravel()
             visited = every[every >= least[q]]
             assert visited.sum() >= p and np.sort(visited)[1:].sum() < p
+
+
+def test_a_short_first_vector_takes_nobody_away(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 2.0])] + [(i, rng.normal(size=6).tolist()) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id % 50 = 0")).toPandas()
+    assert sorted(got["query_id"].unique()) == [50, 100] and len(got) == 10 and 0 not in set(got["vec_id"])
+
+
+def test_vectors_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(101, 6))
+    want = None
+    for size in (1.0, 1e-170, 1e170, 2.0**-1050):
+        df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, df.filter("vec_id % 50 = 0"), success=1.0, reach=1.2).orderBy("query_id", "rank").collect()]
+        assert len(got) == 15
+        want = want or got
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-4 if size == 2.0**-1050 else 1e-14)
+    ids = np.arange(101)
+    plain = brute(x, ids, np.array([0, 50, 100]), 5)
+    assert [(q, i) for q, _, i, _ in want] == [(q, i) for q in (0, 50, 100) for i, _ in plain[q]]
+
+
+def test_reach_fitted_to_other_queries(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    p = rows.toPandas()
+    x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
+    some = [r["_id"] for r in rows.filter("vec_id % 50 = 0").selectExpr("vec_id AS _id").collect()][:8]
+    as_rows = rows.selectExpr("vec_id AS _id", "CAST(embedding AS array<double>) AS _v")
+    reach = ann.fitted_reach(as_rows, as_rows.filter(as_rows["_id"].isin(some)), 5)
+    rest = np.array([i for i in np.flatnonzero(ids % 50 == 0) if ids[i] not in some])
+    got = ann.search(rows, rows.filter("vec_id % 50 = 0"), reach=reach).toPandas()
+    want = brute(x, ids, rest, 5)
+    hits = sum(v in {i for i, _ in want[q]} for q, v in zip(got["query_id"], got["vec_id"], strict=True) if q in want)
+    assert hits / (5 * len(want)) >= 0.9
+
+
+def test_normal_distribution():
+    from math import erf, sqrt
+
+    z = np.linspace(-6, 6, 101)
+    assert np.allclose(ann._normal(z), [0.5 * (1 + erf(v / sqrt(2))) for v in z], atol=2e-7)

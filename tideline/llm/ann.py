@@ -21,8 +21,10 @@ keeps its nearest, and the blocks' results are merged and reranked.
 Queries that find fewer than ``k`` in this way visit every bucket.
 
 Defined cases
-- vectors that are null, zero, of another length than the first ones, or with null or
-  non-finite components take no part, neither as queries nor as candidates; null ids neither.
+- vectors that are null, zero, of another length than the commonest one of sound vectors (of
+  equals the shorter), or with null or non-finite components take no part, neither as queries
+  nor as candidates; null ids neither. Vectors of any size do: they are scaled by powers of two,
+  which changes no cosine.
 - ties: the smaller id. Repeated ids: rows of one id with equal scores are one answer; a query's own rows are all of its id.
 - fewer than k candidates: all of them. Empty input: no rows. Other columns are not read.
 """
@@ -30,7 +32,7 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erf, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tideline.session import cut
 
-TABLES, DIMS, WIDTH, SUCCESS = 4, 6, 1.0, 0.5
+TABLES, DIMS, WIDTH, SUCCESS = 2, 6, 1.0, 0.75
 #: Queries whose own k-th nearest distances ``reach`` is fitted to, as this quantile of them.
 SAMPLE, QUANTILE = 64, 0.9
 #: Cells on each side of zero; those at the ends hold all beyond.
@@ -78,7 +80,7 @@ class Tables:
         edges = np.arange(-SIDE + 1, SIDE)[None, None, :] * self.width - self.shift[table][None, :, None]
         z = (edges - c * own[:, :, None]) / sqrt(1 - c * c)
         below = np.concatenate([np.zeros((*own.shape, 1)), _normal(z), np.ones((*own.shape, 1))], 2)
-        return np.diff(below, axis=2)
+        return np.maximum(np.diff(below, axis=2), 0)
 
     def least(self, chance: np.ndarray, success: float) -> np.ndarray:
         """For each query the probability of its last bucket, when it visits them in order of success."""
@@ -94,7 +96,11 @@ class Tables:
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.frompyfunc(erf, 1, 1)(z / sqrt(2)).astype(np.float64))
+    """The normal distribution function, by formula 7.1.26 of Abramowitz and Stegun (error below 2e-7)."""
+    x = np.abs(z) / sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = 0.5 * np.exp(-x * x) * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return np.where(z < 0, tail, 1 - tail)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,42 +110,53 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to between a half and one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _sound(vec: Column, length: int) -> Column:
-    """A vector that takes part."""
+def _sound(vec: Column) -> Column:
+    """A vector that takes part, if it is of the right length."""
     ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (F.size(vec) == length) & F.coalesce(ok, F.lit(False)) & F.exists(vec, lambda x: x != 0)
+    return F.coalesce(ok, F.lit(False)) & F.exists(vec, lambda x: x != 0)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, dims: int = DIMS, width: float = WIDTH, reach: float | None = None, success: float = SUCCESS) -> DataFrame:
     """query_id, rank, id, score: each query's k nearest found."""
     kind = vectors.schema[id_col].dataType.simpleString()
     schema = f"query_id {kind}, vec_id {kind}, score double"
-    first = vectors.filter(F.col(id_col).isNotNull() & (F.size(vec_col) > 0)).agg(F.min(F.struct(F.col(id_col), F.size(vec_col).alias("n"))).alias("m")).first()["m"]
-    length = first["n"] if first else 0
 
     def sound(df: DataFrame) -> DataFrame:
         v = F.col(vec_col).cast("array<double>")
-        return df.select(F.col(id_col).alias("_id"), v.alias("_v")).filter(F.col("_id").isNotNull() & _sound(F.col("_v"), length))
+        return df.select(F.col(id_col).alias("_id"), v.alias("_v")).filter(F.col("_id").isNotNull() & _sound(F.col("_v")))
 
-    rows, asked = sound(vectors), sound(queries)
+    commonest = sound(vectors).groupBy(F.size("_v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
+    length = commonest["n"] if commonest else 0
+    rows, asked = (sound(df).filter(F.size("_v") == length) for df in (vectors, queries))
     reach = fitted_reach(rows, asked, k) if reach is None else reach
     t = Tables(max(length, 1), tables, dims, width, reach)
     found = _visit(rows, asked, t, k, success, schema, kind)
-    found = cut(found.distinct())
+    found = cut(_merged(found))
     served = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     left = asked.join(served, asked["_id"] == served["query_id"], "left_anti")
     left = cut(left)
     if not left.isEmpty():  # few, unless there are hardly any candidates
         one = Tables(max(length, 1), 1, dims, width, reach)
-        found = found.unionByName(_visit(rows, left, one, k, 2.0, schema, kind)).distinct()
+        found = _merged(found.unionByName(_visit(rows, left, one, k, 2.0, schema, kind)))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """Each pair once, whichever tables found it."""
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def fitted_reach(rows: DataFrame, asked: DataFrame, k: int) -> float:
     """The QUANTILE of the true k-th nearest distances of at most SAMPLE queries, held against all rows."""
     some = asked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect()
@@ -152,7 +169,8 @@ def fitted_reach(rows: DataFrame, asked: DataFrame, k: int) -> float:
         for b in batches:
             near = u @ _unit(_matrix(b.column(1))).T
             near[ids[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
-            best = -np.sort(-np.concatenate([best, near], 1), axis=1)[:, :k]
+            both = np.concatenate([best, near], 1)
+            best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
         q, c = np.nonzero(best > -2)
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[q, c])], names=["q", "s"])
 
@@ -209,19 +227,24 @@ def _visit(rows: DataFrame, asked: DataFrame, t: Tables, k: int, success: float,
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         unit = _unit(x)
-        cells = t.cells(unit, table)
+        # candidates by bucket: whether a query visits one is the same for all in it
+        bucket = t.cells(unit, table)[:, 2:] @ CELLS ** np.arange(t.dims - 2)
+        buckets, at = np.unique(bucket, return_inverse=True)
+        cells = buckets[:, None] // CELLS ** np.arange(t.dims - 2) % CELLS
         y, own = _matrix(wanted.column("_v")), wanted.column("_id").to_numpy()
         least = wanted.column("_least").to_numpy()
+        here = key[0].as_py() % blocks
         size = max(1, STEP * 512 // len(x))
         out: list[tuple] = []
         for lo in range(0, len(y), size):
             u = _unit(y[lo : lo + size])
             chance = t.chances(u, table)
-            p = np.ones((len(u), len(x)))
-            for d in range(t.dims):
-                p *= chance[:, d][:, cells[:, d]]
+            p = np.repeat((chance[:, 0, here // CELLS] * chance[:, 1, here % CELLS])[:, None], len(buckets), 1)
+            for d in range(2, t.dims):
+                p *= chance[:, d][:, cells[:, d - 2]]
+            p = (p >= least[lo : lo + size, None])[:, at]
             near = u @ unit.T
-            near[(p < least[lo : lo + size, None]) | (own[lo : lo + size, None] == ids[None, :])] = -np.inf
+            near[~p | (own[lo : lo + size, None] == ids[None, :])] = -np.inf
             n = min(k, len(x))
             kth = -np.partition(-near, n - 1, axis=1)[:, n - 1]
             q, c = np.nonzero((near >= kth[:, None] - 1e-9) & (near > -2))
@@ -246,4 +269,5 @@ def _as(some: pa.Table, wanted: pa.Table) -> pa.Schema:
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of pairs of vectors in double precision."""
+    a, b = _scaled(a), _scaled(b)
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
