@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -31,8 +32,8 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session names none (a local session in a test) a temporary
-    folder of this machine is made and set.
+    Only where a session names none and is local, as in tests, a temporary folder
+    of this machine is made and set; on a cluster that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext.getCheckpointDir()
@@ -41,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -65,6 +68,34 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that were written by :func:`scratch_path` and that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key is hot if it has more than one in so many of all rows; there are no more such keys than this.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: str, count: str, total: int | None = None) -> DataFrame:
+    """The inner join of rows with keys, which have one row for each value of ``on`` and say in ``count`` how many rows it has.
+
+    The hot keys, HOT at most, are broadcast, so that their rows stay where they are; all others are
+    joined as Spark sees fit. ``total``: the sum of the counts, or no less than it by much; computed if not given.
+    """
+    if total is None:
+        total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    busy = F.broadcast(keys.filter(hot).drop(count).withColumnRenamed(on, "_hot_key"))
+    marked = rows.join(busy, F.col(on) == F.col("_hot_key"), "left")
+    names = [*rows.columns, *[c for c in keys.columns if c not in (on, count)]]
+    served = marked.filter(F.col("_hot_key").isNotNull()).select(*names)
+    rest = marked.filter(F.col("_hot_key").isNull()).select(*rows.columns).join(keys.filter(~hot).drop(count), on).select(*names)
+    return served.unionByName(rest)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case of its letters."""
     there = {c.lower() for c in df.columns}
