@@ -117,3 +117,43 @@ def test_near_duplicates_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.one_of_each(df).count() == 0
+
+
+def test_blocks_hold_all_cells_and_lose_no_pair():
+    rng = np.random.default_rng(8)
+    fp = np.unique(np.concatenate([rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64), np.zeros(1, np.uint64)]))
+    c = simhash.counts_of(fp)
+    assert c.sum(1).tolist() == [int(v).bit_count() for v in fp]
+    number = ((c[:, 0].astype(int) * 17 + c[:, 1]) * 17 + c[:, 2]) * 17 + c[:, 3]
+    ids, n = np.unique(number, return_counts=True)
+    places, lo, hi = simhash.blocks_of(list(zip(ids.tolist(), n.tolist(), strict=True)), 64)
+    assert sorted(p[0] for p in places) == ids.tolist() and len(lo) > 20
+    block = {cell: first for cell, first, _ in places}
+    for i in range(0, 3000, 7):  # pairs near enough are in blocks near enough
+        near = np.flatnonzero(np.abs(c - c[i]).sum(1) <= 4)
+        b = [block[int(v)] for v in number[near]]
+        assert (simhash.apart(lo[b], hi[b], lo[block[int(number[i])]], hi[block[int(number[i])]]) <= 4).all()
+    big, lo, hi = simhash.blocks_of([(5, 1000), (6, 1)], 64)
+    assert big == [(5, 0, 16), (6, 16, 1)] and len(lo) == 17
+
+
+def test_many_blocks(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 700, dtype=np.int64)
+    near = base[:300] ^ (1 << rng.integers(0, 62, 300)) ^ (1 << rng.integers(0, 62, 300))
+    fp = np.unique(np.concatenate([base, near]))
+    links = simhash.near_links(spark.createDataFrame([(int(v),) for v in fp], "_fp long"), 4, least=50)
+    roots = {r["node"]: r["root"] for r in components(links).collect()}
+    want = classes([int(v) & (1 << 64) - 1 for v in fp], 4)
+    groups = {}
+    for v, k in zip(fp.tolist(), want, strict=True):
+        groups.setdefault(k, set()).add(roots.get(v, v))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_a_long_text_and_hot_copies(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same words here again' ELSE concat_ws(' ', transform(sequence(1, 20), k -> hex(xxhash64(id, k)))) END AS text")
+    rows = rows.unionByName(spark.range(2).selectExpr("5000 + id AS doc_id", "repeat('some words of a very long text ', 600000) AS text"))  # 19 MB each
+    got = simhash.near_duplicates(rows).toPandas().set_index("doc_id")
+    assert (got.loc[range(0, 3000, 3), "component_id"] == 0).all() and got.loc[5001, "component_id"] == 5000
+    assert simhash.one_of_each(rows).count() == 2002

@@ -1,17 +1,21 @@
 """SimHash near-duplicates: tiled exact comparison of 64-bit fingerprints.
 
 Every text becomes one fingerprint. Texts with the same fingerprint fall
-together first. The distinct fingerprints are dealt by hash to blocks of a
-bounded size, and each pair of blocks is one task's group: in it the
-fingerprints are sorted by population count and cut to tiles, tile pairs whose
-counts differ by more than the radius are skipped, and the rest are compared
-with numpy's exclusive or and bit counts. A group returns a spanning forest of
-its links, never all pairs, so that a large family of near copies stays linear.
-Components of all forests are found by star operations in Spark.
+together first. The distinct fingerprints are sorted by the population counts
+of their four 16-bit parts and cut to blocks: two fingerprints within the
+radius have parts whose counts differ by no more than it in sum, so pairs of
+blocks that are farther apart are never sent anywhere. Each other pair of
+blocks is one task's group; in it the same holds for tile pairs, and the rest
+are compared with numpy's exclusive or and bit counts. A group returns a
+spanning forest of its links, never all pairs, so that a large family of near
+copies stays linear. Components of all forests are found by star operations in
+Spark over nodes that are ordered by their least id, so that a root names its
+component.
 
 Cost: the comparison is exact, so its work is quadratic in the *distinct*
-fingerprints, less what the population counts skip. Each fingerprint is sent
-to as many groups as there are blocks (N / BLOCK at scale).
+fingerprints, less what the counts skip (of random pairs about nine tenths).
+A block holds about SPREAD * sqrt(N) fingerprints, so blocks are
+sqrt(N) / SPREAD and groups grow with the input.
 
 Defined cases
 - null or empty texts, and texts of white space: fingerprint zero, linked like any other.
@@ -29,18 +33,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
 from tideline.llm.textbytes import LOWER, single_spaced, slices, words
-from tideline.session import cut, fresh_name
+from tideline.session import cut, fresh_name, join_hot, written
 
 SEED = 42
-#: Fingerprints in a block at most, roughly, and blocks at least.
-BLOCK, LEAST_BLOCKS = 1 << 20, 8
-#: Rows and columns of a tile: a product of 512 Ki comparisons stays in the cache.
-ROWS, COLS = 256, 2048
+#: A block holds SPREAD times the root of all fingerprints, and LEAST at least.
+SPREAD, LEAST = 32, 2048
+#: Rows and columns of a tile: its 128 Ki comparisons stay in the cache.
+ROWS, COLS = 256, 512
+#: Shingles hashed at once.
+RUN = 1 << 18
+#: Bits of a part; numbers of cells are base-17 numbers of the parts' counts.
+PART = 16
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -52,11 +60,14 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarr
     n_words = np.diff(first)
     n_shingles = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
     base = np.concatenate([[0], np.cumsum(n_shingles)])
-    row = np.repeat(np.arange(len(n_words)), n_shingles)
-    head = first[:-1][row] + (np.arange(base[-1]) - base[:-1][row])
-    tail = np.minimum(head + shingle, first[1:][row]) - 1
     raw, hash64 = text.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((hash64(raw[a:b], SEED) for a, b in zip(ws[head].tolist(), we[tail].tolist(), strict=True)), np.uint64, int(base[-1]))
+    h = np.empty(int(base[-1]), np.uint64)
+    for lo in range(0, len(h), RUN):
+        at = np.arange(lo, min(lo + RUN, len(h)))
+        row = np.searchsorted(base, at, "right") - 1
+        head = first[row] + (at - base[row])
+        tail = np.minimum(head + shingle, first[row + 1]) - 1
+        h[lo : lo + len(at)] = np.fromiter((hash64(raw[a:b], SEED) for a, b in zip(ws[head].tolist(), we[tail].tolist(), strict=True)), np.uint64, len(at))
     return majority(h, base)
 
 
@@ -93,23 +104,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"`{id_col}` {kind}, _text_hash long, _fp long")
 
 
+def counts_of(fp: np.ndarray) -> np.ndarray:
+    """Population counts of the four parts, a row for each fingerprint."""
+    return np.stack([np.bitwise_count(fp >> np.uint64(shift) & np.uint64(0xFFFF)) for shift in (48, 32, 16, 0)], 1).astype(np.int16)
+
+
+def apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> np.ndarray:
+    """How far apart boxes of counts are at least, summed over the parts."""
+    return np.maximum(np.maximum(lo_a - hi_b, lo_b - hi_a), 0).sum(-1)
+
+
+def _tiles(fp: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprints in the order of their counts, and the boxes of tiles of that size."""
+    c = counts_of(fp)
+    order = np.lexsort((fp, *c.T[::-1]))
+    fp, c, at = fp[order], c[order], np.arange(0, len(fp), size)
+    return fp, np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
+
+
 def links_in(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (a, b) of the links within left, or between left and right."""
     own = right is None
-    x, y = np.sort(left), np.sort(left if own else right)
-    x, y = x[np.argsort(np.bitwise_count(x), kind="stable")], y[np.argsort(np.bitwise_count(y), kind="stable")]
-    px, py = np.bitwise_count(x).astype(np.int16), np.bitwise_count(y).astype(np.int16)
+    if not len(left) or not own and not len(right):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    x, x_lo, x_hi = _tiles(left, ROWS)
+    y, y_lo, y_hi = _tiles(left if own else right, COLS)
     shift = 0 if own else len(x)
     parent = np.arange(len(x) + (0 if own else len(y)))
     buf = np.empty((ROWS, COLS), np.uint64)
     far = np.empty((ROWS, COLS), np.uint8)
-    for i in range(0, len(x), ROWS):
+    for tile, i in enumerate(range(0, len(x), ROWS)):
         a = x[i : i + ROWS]
-        lo = int(np.searchsorted(py, px[i] - radius, "left"))
-        hi = int(np.searchsorted(py, px[i + len(a) - 1] + radius, "right"))
-        lo = max(lo, i) if own else lo
-        for j in range(lo, hi, COLS):
-            b = y[j : min(j + COLS, hi)]
+        meet = np.flatnonzero(apart(x_lo[tile], x_hi[tile], y_lo, y_hi) <= radius) * COLS
+        for j in meet[meet + COLS > i].tolist() if own else meet.tolist():
+            b = y[j : j + COLS]
             xor, bits = buf[: len(a), : len(b)], far[: len(a), : len(b)]
             np.bitwise_xor(a[:, None], b[None, :], out=xor)
             np.bitwise_count(xor, out=bits)
@@ -145,13 +173,41 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def near_links(fps: DataFrame, radius: int) -> DataFrame:
+def blocks_of(cells: list[tuple[int, int]], most: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """Cells of equal counts packed to blocks of about ``most`` fingerprints: (cell, first block, blocks), and the blocks' boxes.
+
+    A cell that is larger than a block is spread over several by the fingerprints' hashes.
+    """
+    places, boxes, held = [], [], 0
+    for cell, n in sorted(cells):
+        c = [cell // 17**k % 17 for k in (3, 2, 1, 0)]
+        parts = -(-n // most)
+        if parts > 1 or not boxes or held + n > most:
+            places.append((cell, len(boxes), parts))
+            boxes += [(c, c)] * parts
+            held = most if parts > 1 else n
+        else:
+            places.append((cell, len(boxes) - 1, 1))
+            boxes[-1] = ([min(p, q) for p, q in zip(boxes[-1][0], c, strict=True)], [max(p, q) for p, q in zip(boxes[-1][1], c, strict=True)])
+            held += n
+    return places, np.array([b[0] for b in boxes], np.int16).reshape(-1, 4), np.array([b[1] for b in boxes], np.int16).reshape(-1, 4)
+
+
+def near_links(fps: DataFrame, radius: int, least: int = LEAST) -> DataFrame:
     """(a, b): a spanning forest's edges over distinct fingerprints (column _fp) that differ in at most ``radius`` bits."""
-    n = fps.count()
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK))
-    dealt = fps.select("_fp", F.pmod(F.xxhash64("_fp"), F.lit(blocks)).cast("int").alias("_b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
-    pairs = dealt.select("_fp", "_b", other).select("_fp", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    spark = fps.sparkSession
+    part = lambda k: F.bit_count(F.shiftrightunsigned("_fp", 48 - PART * k).bitwiseAND(F.lit(0xFFFF)))
+    fps = fps.select("_fp", (((part(0) * 17 + part(1)) * 17 + part(2)) * 17 + part(3)).cast("int").alias("_cell"))
+    cells = [tuple(r) for r in fps.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 17 ** 4
+    total = sum(n for _, n in cells)
+    places, lo, hi = blocks_of(cells, max(least, int(SPREAD * total**0.5)))
+    others = [[int(o) for o in np.flatnonzero(apart(lo[b], hi[b], lo, hi) <= radius)] for b in range(len(lo))]
+    # for each block the groups that it goes to; sqrt(total) / SPREAD rows of as many numbers at most
+    table = spark.createDataFrame([(b, o) for b, o in enumerate(others)], "_b int, _o array<int>")
+    where = spark.createDataFrame(places, "_cell int, _first int, _parts int")
+    dealt = fps.join(F.broadcast(where), "_cell").select("_fp", (F.col("_first") + F.pmod(F.xxhash64("_fp"), F.col("_parts"))).cast("int").alias("_b"))
+    pairs = dealt.join(F.broadcast(table), "_b").select("_fp", "_b", F.explode("_o").alias("_o"))
+    pairs = pairs.select("_fp", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         i, j = key
@@ -162,34 +218,48 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.groupBy("_i", "_j").applyInPandas(compare, "a long, b long")
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """One row per input row: _id, _text_hash, _fp and _root, the least (no id, id, fingerprint) of its component."""
+    prints = cut(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "_id"))
+    node = F.struct(F.col("_low").isNull().alias("no_id"), F.col("_low").alias("id"), F.col("_fp").alias("fp"))
+    distinct = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")).withColumn("_node", node))
+    links = near_links(distinct.select("_fp"), radius)
+    ends = distinct.select("_fp", "_node")
+    named = links.join(ends.select(F.col("_fp").alias("a"), F.col("_node").alias("x")), "a").join(ends.select(F.col("_fp").alias("b"), F.col("_node").alias("y")), "b")
+    roots = components(named.select("x", "y"), "x", "y")
+    rooted = distinct.join(roots.select(F.col("node.fp").alias("_fp"), "root"), "_fp", "left").select("_fp", "_n", F.coalesce("root", "_node").alias("_root"))
+    return join_hot(prints, cut(rooted), "_fp", "_n").select("_id", "_text_hash", "_fp", "_root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row per input row: id, fingerprint, component_id, group_size, and _text_hash and _root to join by."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(prints.groupBy("_fp").agg(F.min(id_col).alias("_low"), F.count(F.lit(1)).alias("_n")))
-    roots = components(near_links(distinct.select("_fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp"))
-    named = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"), F.sum("_n").alias("group_size"))
-    by_print = rooted.select("_fp", "_root").join(named, "_root").select("_fp", "_root", "component_id", "group_size")
-    return prints.join(by_print, "_fp").select(
-        id_col,
+    """One row per input row: id, fingerprint, component_id."""
+    return _rooted(docs, id_col, text_col, shingle, radius).select(
+        F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        "group_size",
-        "_text_hash",
-        "_root",
+        F.col("_root.id").alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs, less all but one of each component: that of the smallest id.
 
-    Among rows with that id the one with the smallest text hash stays; of equal rows one.
+    Among rows with that id the one with the least fingerprint stays, then that with the least text hash; of equal rows one.
+    Only keys are compared: those of the rows that go are written first, so that their size is
+    known when the anti-join is planned, and texts move only if the keys are too many to broadcast.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, radius)
-    best = groups.groupBy("_root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_text_hash").alias("h"))).alias("_m"))
-    key = [fresh_name(docs, "_row_key"), fresh_name(docs, "_row_hash")]
-    keep = best.select(F.xxhash64("_m.id", "_m.h").alias(key[0]), F.col("_m.h").alias(key[1]))
-    keyed = docs.withColumn(key[1], F.xxhash64(text_col)).withColumn(key[0], F.xxhash64(F.col(id_col), F.col(key[1])))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    place = fresh_name(docs, "_nth")
-    return keyed.join(keep, key).withColumn(place, nth).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _rooted(docs, id_col, text_col, shingle, radius)
+    names = [fresh_name(docs, "_row_key"), fresh_name(docs, "_row_hash")]
+    key = [F.xxhash64("_id", "_text_hash").alias(names[0]), F.col("_text_hash").alias(names[1])]
+    first = F.col("_id").eqNullSafe(F.col("_root.id")) & (F.col("_fp") == F.col("_root.fp"))
+    rows = written(rows.groupBy("_id", "_text_hash", "_root").agg(F.count(F.lit(1)).alias("_n"), F.max(first).alias("_first")), "simhash-rows")
+    firsts = rows.filter("_first")
+    best = firsts.groupBy("_root").agg(F.min("_text_hash").alias("_best"))
+    firsts = firsts.join(best, "_root")
+    gone = rows.filter("NOT _first").select(*key).unionByName(firsts.filter("_text_hash != _best").select(*key))
+    gone = written(gone, "simhash-gone")
+    again = written(firsts.filter("_text_hash = _best AND _n > 1").select(*key), "simhash-again")
+    keyed = docs.withColumn(names[1], F.xxhash64(text_col)).withColumn(names[0], F.xxhash64(F.col(id_col), F.col(names[1])))
+    left = keyed.join(gone, names, "left_anti")
+    if not again.isEmpty():  # rows that stand there several times, as they are
+        left = left.join(again, names, "left_anti").unionByName(left.join(again, names, "left_semi").dropDuplicates(names))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
