@@ -1,4 +1,5 @@
 import random
+import re
 
 from tideline.llm import decontaminate as d
 
@@ -105,3 +106,131 @@ def test_whole_items_in_the_given_documents(spark):
     flat = lambda t: " ".join(t.split())
     want = {(a["doc_id"], b["item_id"]) for a in docs.collect() for b in items.collect() if flat(b["text"]) in flat(a["text"])}
     assert got == want and want
+
+
+# A plain version of the method, word by word.
+
+PLAIN_UNITS = set(d.UNITS)
+WIDE = re.compile(r"[฀-໿က-Ⴟក-៿぀-鿿豈-﫿\U00020000-\U0002ffff]")
+
+
+def plain_words(text):
+    """(kind, value) of each word: number, name, unit, word, or either of the last and a name."""
+    text = re.sub("[　-〿＀-／：-＠]", "   ", text)
+    text = WIDE.sub(lambda m: f"\0{m.group()}\0", text)
+    out, opens, number = [], True, False
+    for line, part in enumerate(text.split("\n")):
+        opens = opens or line > 0
+        for raw in re.findall(r"[^\x20\x09-\x0D]+", part):
+            for piece in [p for p in raw.split("\0") if p]:
+                core = re.sub(r"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$", "", piece)
+                if core:
+                    low = "".join(c.lower() if c < "ÿ" and c != "×" else c for c in core)
+                    capital = bool(re.match("[A-ZÀ-ÖØ-Þ]", core)) and bool(re.search("[a-zß-ÿ]", core))
+                    if core[0].isascii() and core[0].isdigit():
+                        kind = "number"
+                    elif number and low in PLAIN_UNITS:
+                        kind = "unit"
+                    else:
+                        kind = ("either" if opens else "name") if capital else "word"
+                    number = kind == "number"
+                    out.append((kind, low))
+                opens = piece[-1] in ".!?:" if core else opens if not piece.strip() else piece[-1] in ".!?:"
+    return out
+
+
+def readings(ws):
+    """Every reading of a window: which words are slots."""
+    out = [[]]
+    for kind, _ in ws:
+        out = [r + [s] for r in out for s in ([True, False] if kind == "either" else [kind != "word"])]
+    return out
+
+
+def plain_template(ws, slots):
+    return tuple(("name" if k == "either" else k) if s else v for (k, v), s in zip(ws, slots, strict=True))
+
+
+def plain_pairs(docs, items, coverage=0.5, agreement=0.8):
+    out = set()
+    for item_id, item in items:
+        iw = plain_words(item)
+        if not iw:
+            continue
+        size = min(8, len(iw))
+        ats = range(len(iw) - size + 1)
+        poor = [a for a in ats if size < 5 or sum(k == "word" for k, _ in iw[a : a + size]) < 4]
+        templates = {a: [r for r in readings(iw[a : a + size]) if size >= 5 and size - sum(r) >= 4] for a in ats}
+        typed = [a for a in ats if templates[a]]
+        for doc_id, doc in docs:
+            dw = plain_words(doc or "")
+            met, found, own = {}, set(), set()
+            for at in range(len(dw) - size + 1):
+                part = dw[at : at + size]
+                theirs = {plain_template(part, r): r for r in readings(part) if size - sum(r) >= 4} if size >= 5 else {}
+                for a in ats:
+                    hits = [r for r in templates[a] if plain_template(iw[a : a + size], r) in theirs]
+                    if hits:
+                        found.add(a)
+                        own.add(a)
+                        best = min(hits, key=sum)
+                        for k in range(size):
+                            if best[k]:
+                                met.setdefault(at - a, {})[a + k] = (iw[a + k][1], part[k][1])
+                    elif a in poor and [v for _, v in part] == [v for _, v in iw[a : a + size]]:
+                        found.add(a)
+            if max(len(found) / len(ats), len(own) / len(typed) if typed else 0) < coverage:
+                continue
+            agree = uses = 0
+            for slots in met.values():
+                by = {}
+                for mine, theirs in slots.values():
+                    by.setdefault(mine, []).append(theirs)
+                agree += sum(max(v.count(x) for x in v) for v in by.values())
+                uses += sum(map(len, by.values()))
+            if not uses or agree / uses >= agreement:
+                out.add((doc_id, item_id))
+    return out
+
+
+def test_random_texts_against_a_plain_version(spark):
+    rng = random.Random(11)
+    names, plain = "Alice Bob Carol Élodie Ann".split(), "the train has left old station while it waits for a small green bag and then".split()
+
+    def sentence(n):
+        ws = []
+        for _ in range(n):
+            x = rng.random()
+            ws.append(str(rng.randrange(40)) if x < 0.12 else rng.choice(names) if x < 0.24 else rng.choice(["km", "kg", "hours"]) if x < 0.3 else rng.choice(plain))
+        return " ".join(ws)[:1].upper() + " ".join(ws)[1:] + rng.choice([".", "?", "", ":", "!"])
+
+    def change(text):
+        to = {w: (str(rng.randrange(40, 90)) if w.isdigit() else rng.choice(["Dan", "Eve", "Zoë"])) for w in set(re.findall(r"\d+|Alice|Bob|Carol|Élodie|Ann", text))}
+        return re.sub(r"\d+|Alice|Bob|Carol|Élodie|Ann", lambda m: to[m.group()] if rng.random() < 0.9 else rng.choice(list(to.values())), text)
+
+    items = [(i, " ".join(sentence(rng.randrange(2, 12)) for _ in range(rng.randrange(1, 4)))) for i in range(25)]
+    items += [(25, "小明有12个苹果，他吃了3个，还剩几个？"), (26, "12 + 7 * 3 - 4 / 2"), (27, "ab"), (28, "?"), (29, items[0][1] + " " + items[1][1])]
+    docs = []
+    for k in range(120):
+        text = items[rng.randrange(len(items))][1]
+        text = change(text) if k % 3 == 1 else text if k % 3 == 0 else " ".join(text.split()[: rng.randrange(3, 20)])
+        docs.append((k, f"{sentence(rng.randrange(1, 30))} {text} {sentence(rng.randrange(1, 30))}".replace(" ", rng.choice([" ", " ", "\n"]), rng.randrange(4))))
+    docs += [(500, "今天小明有12个苹果，他吃了3个，还剩几个？好"), (501, "小明有15个苹果，他吃了7个，还剩几个？"), (502, "小明有苹果"), (503, None)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.contaminated(df, it).collect()}
+    want = plain_pairs(docs, items)
+    assert got == want and {(500, 25), (501, 25)} <= got and len(got) > 60
+
+
+def test_one_template_of_many_items_and_documents(spark):
+    frame = "a train leaves the old station at {} km per hour and stops after {} hours near the green hill"
+    items = spark.createDataFrame([(i, frame.format(i, i + 1)) for i in range(60)] + [(100, OTHER)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{words(i, 10)} {frame.format(1000 + i, 7)}") for i in range(40)] + [(90, OTHER)], "doc_id long, text string")
+    got = d.contaminated(docs, items).toPandas()
+    assert len(got) == 40 * 60 + 1 and d.clean(docs, items).count() == 0
+
+
+def test_a_long_document(spark):
+    docs = spark.range(2).selectExpr("id AS doc_id", f"concat(repeat('some words of a long text ', 600000), CASE WHEN id = 1 THEN '{OTHER}' ELSE '' END) AS text")  # 16 MB each
+    items = spark.createDataFrame([(1, OTHER)], "item_id long, text string")
+    assert [r["doc_id"] for r in d.contaminated(docs, items).collect()] == [1]

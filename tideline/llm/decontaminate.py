@@ -1,19 +1,23 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose case and outer punctuation. Numbers, names (a capital and small
-letters; words of capitals alone are words) and units (after a number) become typed placeholders, so that a
-question with other values gives the same template. A capital that begins a
+Words lose case and outer punctuation; scripts without spaces are cut to
+characters. Numbers, names (a capital and small letters; words of capitals
+alone are words) and units (after a number) become typed placeholders, so that
+a question with other values gives the same template. A capital that begins a
 sentence or line may be a name's or not: such a word is read both ways, in
-items and documents. Windows of a template's
-words are hashed, in every reading, and joined between documents and benchmark items; for each
-pair the slots' values must map consistently: one value of the item stands for
-one value in the document. Windows of an item with few plain words (and items of
-few words) say too little as templates: their words and values themselves are
-hashed, and found in documents that hold the same.
-
-Document windows are first held against a table of bits of fixed size, made of
-the items' windows, so that only few windows leave the tasks; the hash join in
-Spark decides.
+items and documents. Windows of a template's words are hashed, in every
+reading, and joined between documents and benchmark items; for each pair the
+slots' values must map consistently: one value of the item stands for one value
+in the document (two values may come to be equal). Windows of an item with few
+plain words (and items of few words) say too little as templates: their words
+and values themselves are hashed, and found in documents that hold the same.
+
+Document windows are first held against a table of bits, sized by the number
+of the items' windows, so that only few windows leave the tasks; the hash join
+in Spark decides. It meets in two steps: a document and an item are a pair only
+if they share one of those of the item's windows that the fewest items have, of
+which an item of enough found windows cannot miss all; the other windows, which
+may be common to many items and documents, are joined for these pairs alone.
 
 Defined cases
 - null or empty texts and items, and items without a letter or digit: no windows, never flagged.
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.textbytes import LOWER, mix, slices, span_hashes, words
@@ -40,8 +44,8 @@ from tideline.session import cut, fresh_name, written
 WINDOW, PLAIN, LEAST_WORDS = 8, 4, 5
 #: Share of an item's windows that must be found, and of its slots' uses that must agree.
 COVERAGE, AGREEMENT = 0.5, 0.8
-#: Entries of the table that document windows are held against.
-BITS = 22
+#: The table that document windows are held against has ROOM entries for each window of an item, and 2 ** FEWEST to 2 ** MOST in all.
+ROOM, FEWEST, MOST = 32, 16, 28
 
 # Units that count as such after a number (fixed values).
 UNITS = (
@@ -75,9 +79,38 @@ def _units() -> np.ndarray:
 _UNIT_HASHES = _units()
 
 
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and sizes of characters of scripts without spaces, and the places of wide punctuation (three bytes each)."""
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 2 < len(data)]
+    a, b, c = data[at], data[at + 1], data[at + 2]
+    marks = (a == 0xE3) & (b == 0x80) | (a == 0xEF) & (b == 0xBC) & ((c <= 0x8F) | (c >= 0x9A) & (c <= 0xA0))
+    thai = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b >= 0x9E) & (b <= 0x9F))
+    chinese = (a == 0xE3) & (b >= 0x81) | (a >= 0xE4) & (a <= 0xE9) | (a == 0xEF) & (b >= 0xA4) & (b <= 0xAB)
+    rare = (a == 0xF0) & (b >= 0xA0) & (b <= 0xAF)
+    wide = thai | chinese | rare
+    return at[wide], np.where(rare, 4, 3)[wide], at[marks]
+
+
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes without wide punctuation, and starts, ends and first words; characters of scripts without spaces are words."""
+    at, size, marks = _wide(data)
+    if len(marks):
+        data = data.copy()
+        data[(marks[:, None] + np.arange(3)).ravel()] = 32
+    starts, ends, first = words(data, off)
+    if len(at):
+        edge = np.unique(np.concatenate([at, at + size]))
+        word = np.searchsorted(starts, edge, "left") - 1
+        edge = edge[(word >= 0) & (edge < ends[word])]
+        starts, ends = np.sort(np.concatenate([starts, edge])), np.sort(np.concatenate([ends, edge]))
+        first = np.searchsorted(starts, off)
+    return data, starts, ends, first
+
+
 def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Canonical words, their values, whether they are slots, whether they may be names too, and each row's first word (rows + 1)."""
-    starts, ends, first = words(data, off)
+    data, starts, ends, first = _words(data, off)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), first
     kind = _KIND[data]
@@ -160,12 +193,15 @@ def exact_windows(value: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     return at, mix(h + np.uint64(size + 2 * WINDOW))
 
 
-def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64((1 << BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - BITS)).astype(np.int64)
+def _marked(h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Are both of a hash's bits set, that of its low end in the first table and that of its high end in the second?"""
+    bits = int(8 * len(one)).bit_length() - 1
+    a, b = (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (one[a >> 3] >> (a & 7) & 1).astype(bool) & (two[b >> 3] >> (b & 7) & 1).astype(bool)
 
 
 def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.ndarray, named: np.ndarray | int, value: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, totals: tuple[np.ndarray, np.ndarray] | None = None, typed: bool = True) -> pa.RecordBatch:
-    """One row for each window: the row's keys, hash, place in the text, values of its slots."""
+    """One row for each window: the row's keys, hash, place in the text, values of its slots, and for items where in the window these are."""
     span = at[:, None] + np.arange(size)
     held = slot[span] | (np.reshape(named, (-1, 1)) >> np.arange(size) & 1 > 0)
     flat = value[span][held].view(np.int64)
@@ -176,12 +212,13 @@ def _rows(doc: pa.RecordBatch, lo: int, row: np.ndarray, at: np.ndarray, h: np.n
     names = ["_id", "_key", "_window", "_at", "_slots"]
     if totals is not None:
         mark = size if typed else -size
-        cols, names = [*cols, *(pa.array(t[row]) for t in totals), pa.array(np.full(len(row), mark, np.int32))], [*names, "_total", "_typed_total", "_size"]
+        where = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(held)[1].astype(np.int32)))
+        cols, names = [*cols, where, *(pa.array(t[row]) for t in totals), pa.array(np.full(len(row), mark, np.int32))], [*names, "_where", "_total", "_typed_total", "_size"]
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Every window of every item in every reading: _item, _item_key, _window, _at, _slots, _total, _typed_total, _size.
+    """Every window of every item in every reading: _item, _item_key, _window, _at, _slots, _where, _total, _typed_total, _size.
 
     _size is below zero for windows of the words as they are; _total counts all windows of the item, _typed_total its templates.
     """
@@ -213,7 +250,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
     kind = items.schema[id_col].dataType.simpleString()
     given = items.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text")).dropDuplicates(["_key"])
-    out = given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>, _total long, _typed_total long, _size int")
+    out = given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>, _where array<int>, _total long, _typed_total long, _size int")
     return out.withColumnsRenamed({"_id": "_item", "_key": "_item_key"})
 
 
@@ -222,7 +259,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     asked = cut(item_windows(items, item_col, item_text_col, window))
     sizes = [r[0] for r in asked.select("_size").distinct().collect()]  # at most 2 * WINDOW values
-    table = spark.sparkContext.broadcast(_table(asked))  # of fixed size
+    table = spark.sparkContext.broadcast(_table(asked))  # of 2 ** MOST bits at most, twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = table.value
@@ -232,9 +269,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 bare = np.zeros(len(slot), bool)
                 for size in sizes:
                     for at, h, named in windows(word, slot, either, first, size) if size > 0 else [(*exact_windows(value, first, -size), 0)]:
-                        a, b = _marks(h)
-                        hit = one[a]
-                        hit[hit] = two[b[hit]]
+                        hit = _marked(h, one, two)
                         if hit.any():
                             at, h = at[hit], h[hit]
                             row = np.searchsorted(first, at, "right") - 1
@@ -247,17 +282,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    found = given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>")
-    theirs = asked.select("_item", "_item_key", "_window", F.col("_at").alias("_item_at"), F.col("_slots").alias("_item_slots"), "_total", "_typed_total", (F.col("_size") > 0).alias("_typed"))
+    found = cut(given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>"))
+    theirs = asked.select("_item", "_item_key", "_window", F.col("_at").alias("_item_at"), F.col("_slots").alias("_item_slots"), "_where", "_total", "_typed_total", (F.col("_size") > 0).alias("_typed"))
     pair = ["_key", "_item_key"]
+    rare = _rarest(theirs, coverage)
+    pairs = found.select("_key", "_window").join(rare, "_window").select(*pair).distinct()
     # windows that meet in several readings count once, as templates if they can, in that of the fewest slots; the others' slots are equal words
-    met = found.join(theirs, "_window").groupBy(*pair, "_at", "_item_at").agg(
+    met = found.join(pairs.join(theirs, "_item_key"), ["_key", "_window"]).groupBy(*pair, "_at", "_item_at").agg(
         F.first("_id").alias("_id"),
         F.first("_item").alias("_item"),
         F.first("_total").alias("_total"),
         F.first("_typed_total").alias("_typed_total"),
         F.max("_typed").alias("_typed"),
-        F.min_by(F.struct("_item_slots", "_slots"), F.struct(~F.col("_typed"), F.size("_slots"))).alias("_both"),
+        F.min_by(F.struct("_item_slots", "_slots", "_where"), F.struct(~F.col("_typed"), F.size("_slots"))).alias("_both"),
     )
     met = cut(met.select("*", "_both.*"))
 
@@ -272,9 +309,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # of all windows, or of the templates alone, as the others are found in no text with other values
     covered = F.greatest(F.col("n_windows") / F.col("_total"), F.when(F.col("_typed_total") > 0, F.col("_n_typed") / F.col("_typed_total")))
     share = share.withColumn("coverage", covered).filter(F.col("coverage") >= coverage)
-    # a value of the item at one place of the text: how many of its uses agree on the commonest value there
-    uses = met.select(*pair, (F.col("_at") - F.col("_item_at")).alias("_shift"), F.explode(F.arrays_zip("_item_slots", "_slots")).alias("_s"))
-    uses = uses.groupBy(*pair, "_shift", F.col("_s._item_slots").alias("_theirs"), F.col("_s._slots").alias("_ours")).agg(F.count(F.lit(1)).alias("_n"))
+    # a value of the item at one place of the text: how many of its uses agree on the commonest value there; a slot is one use, in however many windows it is
+    slots = met.select(*pair, (F.col("_at") - F.col("_item_at")).alias("_shift"), "_item_at", F.explode(F.arrays_zip("_item_slots", "_slots", "_where")).alias("_s"))
+    slots = slots.groupBy(*pair, "_shift", (F.col("_item_at") + F.col("_s._where")).alias("_slot")).agg(F.first("_s._item_slots").alias("_theirs"), F.first("_s._slots").alias("_ours"))
+    uses = slots.groupBy(*pair, "_shift", "_theirs", "_ours").agg(F.count(F.lit(1)).alias("_n"))
     each = uses.groupBy(*pair, "_shift", "_theirs").agg(F.max("_n").alias("_most"), F.sum("_n").alias("_all"), F.max(F.col("_theirs") != F.col("_ours")).alias("_other"))
     agreed = each.groupBy(*pair).agg((F.sum("_most") / F.sum("_all")).alias("_agreement"), F.max("_other").alias("_other"))
     judged = share.join(agreed, pair, "left").withColumn("slot_agreement", F.coalesce("_agreement", F.lit(1.0)))
@@ -289,23 +327,31 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     )
 
 
-def _table(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Two tables of bits over all item windows, each 2 ** BITS entries: set in the tasks, joined by or."""
+def _rarest(theirs: DataFrame, coverage: float) -> DataFrame:
+    """(_item_key, _window): the windows of which a document must have one, if it has so much of the item that it counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
-        for batch in batches:
-            a, b = _marks(batch.column(0).to_numpy().view(np.uint64))
-            one[a], two[b] = True, True
-        for k, t in enumerate((one, two)):
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at)], names=["k", "at"])
-
-    tables = np.zeros((2, 1 << BITS), bool)
-    set_ = asked.select("_window").mapInArrow(run, "k int, at long").distinct()
-    for part in set_.toLocalIterator():
-        tables[part["k"], part["at"]] = True
-    return tables[0], tables[1]
+    Of T places of windows ceil(coverage T) must be found, so one of any T - ceil(coverage T) + 1 is;
+    those are taken whose windows the fewest items have. The same goes for the templates alone.
+    """
+    shared = theirs.groupBy("_window").agg(F.countDistinct("_item_key").alias("_f"))
+    each = theirs.join(shared, "_window")
+    spots = each.groupBy("_item_key", "_item_at", "_total", "_typed_total").agg(F.max("_f").alias("_all"), F.max(F.when(F.col("_typed"), F.col("_f"))).alias("_own"))
+    place = lambda f: F.row_number().over(Window.partitionBy("_item_key").orderBy(F.asc_nulls_last(f), "_item_at"))
+    spots = spots.withColumns({"_nth": place("_all"), "_nth_own": place("_own")})
+    spare = lambda n: F.col(n) - F.ceil(F.col(n) * coverage - 1e-9) + 1
+    spots = spots.filter((F.col("_nth") <= spare("_total")) | F.col("_own").isNotNull() & (F.col("_nth_own") <= spare("_typed_total")))
+    return theirs.select("_item_key", "_item_at", "_window").join(spots.select("_item_key", "_item_at"), ["_item_key", "_item_at"]).select("_item_key", "_window").distinct()
+
+
+def _table(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of bits over all item windows, by the low and the high end of their hashes, made in Spark."""
+    bits = min(max((asked.count() * ROOM).bit_length(), FEWEST), MOST)
+    ends = F.array(F.struct(F.lit(0).alias("k"), F.col("_window").bitwiseAND(F.lit((1 << bits) - 1)).alias("at")), F.struct(F.lit(1).alias("k"), F.shiftrightunsigned("_window", 64 - bits).alias("at")))
+    each = asked.select(F.explode(ends).alias("e")).select("e.k", F.shiftright("e.at", 6).alias("word"), F.expr("shiftleft(1L, CAST(e.at & 63 AS INT))").alias("bit"))
+    got = each.groupBy("k", "word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2 ** bits / 32 rows
+    tables = np.zeros((2, 1 << bits - 6), np.int64)
+    tables[got["k"].to_numpy(np.int64), got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return tables[0].view(np.uint8), tables[1].view(np.uint8)
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
