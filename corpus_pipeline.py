@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import decontaminate, langid, quality, sentencepieces, simhash
 from tideline.llm.queries import model_path
-from tideline.session import scratch_path
+from tideline.session import discard, scratch_path
 
-#: Bits a byte above which a text is in no learned language: its best code is no shorter than its bytes.
-MOST_BITS = 8.0
+#: Bits a byte above which a text is in no learned language, and the score below which it may as well be in another.
+MOST_BITS, LEAST_SCORE = 6.0, 0.75
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in one of the learned languages: those whose best code is short enough."""
-    return langid.keep(docs, langid.learn(docs), MOST_BITS)
+    """Documents with letters, in one of the learned languages: those whose best code is short enough, and clearly shorter than the others."""
+    return langid.keep(docs, langid.learn(docs), MOST_BITS, LEAST_SCORE)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +54,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the stage's input, which nothing reads any more
+            discard(spark, before)
+        before = path
     return docs
 
 

@@ -56,15 +56,27 @@ def test_code_lengths_are_those_of_the_definition():
     assert np.allclose(got, [[brute(TEXTS[l], t) for l in langs] for t in texts], atol=1e-3)
 
 
-def test_a_small_table_still_gives_probabilities():
+def test_sorted_counts_give_the_same_lengths_as_the_table():
+    rng = random.Random(6)
     langs = sorted(TEXTS)
     pairs = [langid.count([t.encode() for t in TEXTS[l]]) for l in langs]
-    model = langid.Model(langs, [g for g, _ in pairs], [n for _, n in pairs], table_bytes=2000)
-    share = np.exp2(-model.table.reshape(-1, model.size, len(langs)).astype(float))
-    # the bytes that no sample has share the last symbol's probability each
-    unseen = 256 - (model.size - 2)
-    total = share[:, 1:-1].sum(1) + unseen * share[:, -1]
-    assert np.allclose(total, 1, atol=1e-3)
+    table, counts = (langid.Model(langs, [g for g, _ in pairs], [n for _, n in pairs], table_bytes=m) for m in (1 << 26, 0))
+    assert table.table is not None and counts.table is None
+    raw = [t.encode() for t in ["", "the", "漢字", *("".join(rng.choice("the catluna ñß漢.") for _ in range(rng.randrange(60))) for _ in range(300))]]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    assert np.allclose(table.bits(data, off), counts.bits(data, off), atol=1e-4)
+    assert np.allclose(counts.bits(data, off)[:20], [[brute(TEXTS[l], r.decode()) for l in langs] for r in raw[:20]], atol=1e-3)
+
+
+def test_many_languages_lose_no_context():
+    rng = random.Random(7)
+    texts = {f"l{k:02}": ["".join(chr(rng.randrange(97, 123)) for _ in range(400))] for k in range(30)}
+    pairs = [langid.count([t.encode() for t in ts]) for ts in texts.values()]
+    model = langid.Model(list(texts), [g for g, _ in pairs], [n for _, n in pairs], table_bytes=1 << 16)
+    raw = [ts[0][50:90].encode() for ts in texts.values()]
+    bits = model.bits(np.frombuffer(b"".join(raw), np.uint8), np.arange(31) * 40)
+    assert bits.argmin(1).tolist() == list(range(30))
+    assert np.allclose(bits[3], [brute(ts, raw[3].decode()) for ts in texts.values()], atol=1e-3)
 
 
 def test_predictions(spark):
@@ -94,3 +106,18 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predict(docs, langid.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.95
+
+
+def test_repeated_ids_and_long_texts(spark):
+    rows = [(i, t, l) for l, ts in TEXTS.items() for i, t in enumerate(ts * 9, ord(l[0]) * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = next(i for i, t, l in rows if l == "bb" and t and zlib.crc32(str(i).encode()) % 4 != 2)
+    many = df.unionByName(spark.range(3000).selectExpr(f"{one}L AS doc_id", "'el gato y la luna' AS text", "'bb' AS lang"))
+    many = many.unionByName(spark.range(1).selectExpr("5L AS doc_id", "repeat('der hund und die katze ', 500000) AS text", "'cc' AS lang"))  # 12 MB
+    counts = langid.learn(many)
+    plain = langid.learn(df)
+    bb, was = (c[c["lang"] == "bb"]["n"].sum() for c in (counts, plain))
+    assert abs(bb - was) <= 20  # the repeated id is one text
+    assert counts[counts["lang"] == "cc"]["n"].sum() <= langid.TEXT_CHARS + 2000
+    got = langid.predict(many, counts).filter("doc_id = 5").collect()
+    assert [r["lang_pred"] for r in got] == ["cc"]

@@ -62,8 +62,10 @@ def test_stages(spark):
     assert told.columns == docs.columns
     left = [r for r in rows if r["doc_id"] in good]
     ((_, _, data, off),) = slices(pa.array([r["text"] for r in left]), 1 << 30)
-    rate = model.bits(data, off).min(1) / np.maximum(np.diff(off), 1)
-    known = {r["doc_id"] for r, x in zip(left, rate, strict=True) if x <= corpus_pipeline.MOST_BITS and any(c.isalpha() for c in r["text"])}
+    bits = model.bits(data, off)
+    rate = bits.min(1) / np.maximum(np.diff(off), 1)
+    sure = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
+    known = {r["doc_id"] for r, x, p in zip(left, rate, sure, strict=True) if x <= corpus_pipeline.MOST_BITS and p >= corpus_pipeline.LEAST_SCORE and any(c.isalpha() for c in r["text"])}
     assert {r["doc_id"] for r in told.collect()} == known
 
     left = [r for r in left if r["doc_id"] in known]

@@ -4,9 +4,12 @@ For each language the counts of bytes after contexts of three, two, one and no
 bytes are gathered from a sample of labelled texts. The statistics are then
 frozen: escape method C with exclusion gives every byte a probability from the
 longest context that holds it, down to equal shares of the byte values left.
-As nothing adapts, the code length of a byte depends on its context alone and
-is looked up in a table; a text's score is the exact sum over all its bytes,
-and the language with the shortest code wins.
+As nothing adapts, the code length of a byte depends on its context alone. It
+is looked up in a dense table of all contexts that the sample has while that
+takes no more than ``TABLE_BYTES``; with more languages it is worked out from
+the sorted counts, by binary search: the same lengths, and no context is left
+out. A text's score is the exact sum over all its bytes, and the language with
+the shortest code wins.
 
 Defined cases
 - null text, or text without a letter: ``und``, score 0.
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 from tideline.llm.textbytes import per_row, slices
 from tideline.session import ddl, fresh_name
 
-#: Labelled texts of each language that the statistics are gathered from, and bytes of them at most.
-SAMPLE, SAMPLE_BYTES = 400, 4_000_000
-#: Bytes of a worker's table at most: the most frequent contexts of three bytes stay.
+#: Labelled texts of each language that the statistics are gathered from, bytes of them at most, and characters of one (in pieces spread evenly over it).
+SAMPLE, SAMPLE_BYTES, TEXT_CHARS, PIECES = 400, 4_000_000, 100_000, 10
+#: Languages that are learned at most: those with the most sampled texts, of equals the first by name.
+LANGUAGES = 1000
+#: Bytes up to which a worker's table is dense.
 TABLE_BYTES = 64 << 20
 #: Parts of a key that its sample is first chosen from.
 SPREAD = 32
@@ -80,28 +85,26 @@ class Model:
         keys = []  # per language: (three, two, one, next) in the small alphabet
         for g in grams:
             keys.append([to[g // 257**3], to[g // 257**2 % 257], to[g // 257 % 257], to[g % 257]])
-        most = max(1, table_bytes // (size * len(langs) * 4))
-        wide = np.concatenate([(k[0] * size + k[1]) * size + k[2] for k in keys])
-        ids, at = np.unique(wide, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts))
-        ids = np.sort(ids[np.argsort(-total, kind="stable")[:most]])
+        ids = np.unique(np.concatenate([(k[0] * size + k[1]) * size + k[2] for k in keys]))
         pairs = np.unique(ids % (size * size))
         # rows of the table: no context, one byte, two bytes, three bytes
         row1, row2, row3 = 1, 1 + size, 1 + size + len(pairs)
-        of2 = np.tile(row1 + np.arange(size), size)  # a pair unknown to all stands for its last byte
-        of2[pairs] = row2 + np.arange(len(pairs))
-        of3 = np.tile(of2, size)
-        of3[ids] = row3 + np.arange(len(ids))
-        self.row = of3.astype(np.int32)
+        self.table = None
+        if (row3 + len(ids)) * size * len(langs) * 4 > table_bytes:
+            self.sparse = [Counts(k, c, size) for k, c in zip(keys, counts, strict=True)]
+            return
+        # a pair's own rows of contexts of three; a pair or a three unknown to all stands for its last bytes
+        self.pair = np.zeros(size * size, np.int32)
+        self.pair[pairs] = np.arange(1, len(pairs) + 1)
+        self.of3 = np.tile(row2 - 1 + np.arange(len(pairs) + 1, dtype=np.int32)[:, None], (1, size))
+        self.of3[self.pair[ids % (size * size)], ids // (size * size)] = row3 + np.arange(len(ids))
         table = np.empty((row3 + len(ids), size, len(langs)), np.float32)
         for l, (k, c) in enumerate(zip(keys, counts, strict=True)):
             dense = [np.zeros((n, size)) for n in (1, size, len(pairs), len(ids))]
             np.add.at(dense[0], (np.zeros(len(c), int), k[3]), c)
             np.add.at(dense[1], (k[2], k[3]), c)
-            for d, known, key in ((dense[2], pairs, k[1] * size + k[2]), (dense[3], ids, (k[0] * size + k[1]) * size + k[2])):
-                where = np.searchsorted(known, key)
-                ok = (where < len(known)) & (known[np.minimum(where, len(known) - 1)] == key)
-                np.add.at(d, (where[ok], k[3][ok]), c[ok])
+            np.add.at(dense[2], (np.searchsorted(pairs, k[1] * size + k[2]), k[3]), c)
+            np.add.at(dense[3], (np.searchsorted(ids, (k[0] * size + k[1]) * size + k[2]), k[3]), c)
             ups = [None, np.zeros(size, int), pairs % size, np.searchsorted(pairs, ids % (size * size))]
             self._code(table[:, :, l], dense, ups, [0, row1, row2, row3])
         self.table = table.reshape(-1, len(langs))
@@ -132,11 +135,84 @@ class Model:
         """Code lengths: texts x languages."""
         sym = self.symbol[data]
         one, two, three = contexts(sym, off)
-        row = self.row[(three * self.size + two) * self.size + one].astype(np.int64)
+        if self.table is None:
+            return np.stack([per_row(c.bits(three, two, one, sym), off) for c in self.sparse], 1)
+        k = self.pair[two * self.size + one]
+        row = np.where(k > 0, self.of3[k, three], 1 + one).astype(np.int64)
         cost = self.table[row * self.size + sym]
         return np.stack([per_row(cost[:, l].astype(np.float64), off) for l in range(len(self.langs))], 1)
 
 
+def _grouped(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    ids, at = np.unique(key, return_inverse=True)
+    return ids, np.bincount(at, weights=n, minlength=len(ids))
+
+
+def _find(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of keys among sorted ids, -1 for those that are not there."""
+    at = np.minimum(np.searchsorted(ids, key), len(ids) - 1)
+    return np.where(ids[at] == key, at, -1)
+
+
+class Counts:
+    """One language's counts by order, sorted by context and symbol, with every context's costs of coding and of escaping.
+
+    What a context holds its shorter one holds too, so what is excluded below a context depends on
+    that context alone: the counts left there are sums, kept by context.
+    """
+
+    def __init__(self, key: list[np.ndarray], n: np.ndarray, size: int) -> None:
+        self.size = size
+        whole = [key[3], key[2] * size + key[3], (key[1] * size + key[2]) * size + key[3], ((key[0] * size + key[1]) * size + key[2]) * size + key[3]]
+        grams = [_grouped(k, n) for k in whole]
+        self.grams = [ids for ids, _ in grams]
+        self.own = [np.log2(c) for _, c in grams]
+        self.contexts, totals, kinds = [], [], []
+        for o, (ids, c) in enumerate(grams):
+            ctx = ids // size
+            known, at = np.unique(ctx, return_inverse=True)
+            self.contexts.append(known)
+            totals.append(np.bincount(at, weights=c))
+            kinds.append(np.bincount(at).astype(float))
+        self.alone = [_costs(t, k) for t, k in zip(totals, kinds, strict=True)]
+        # an order's costs below a context of the next: without what that holds
+        self.below = []
+        for o in range(ORDER):
+            ids, ctx = self.grams[o + 1], self.contexts[o + 1]
+            short = ids % size ** (o + 1)  # the same symbol after the shorter context
+            held = np.bincount(np.searchsorted(ctx, ids // size), weights=grams[o][1][np.searchsorted(self.grams[o], short)])
+            up = np.searchsorted(self.contexts[o], ctx % size**o)
+            self.below.append(_costs(totals[o][up] - held, kinds[o][up] - kinds[o + 1]))
+        self.last = np.log2(256 - kinds[0][0])
+
+    def bits(self, three: np.ndarray, two: np.ndarray, one: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """The code length of each symbol."""
+        s = self.size
+        ctx = [np.zeros_like(one), one, two * s + one, (three * s + two) * s + one]
+        out, spent, done = np.zeros(len(sym)), np.zeros(len(sym)), np.zeros(len(sym), bool)
+        longer = np.full(len(sym), -1)  # the context before, where it is known
+        for o in range(ORDER, -1, -1):
+            here = _find(self.contexts[o], ctx[o])
+            code, escape = self.alone[o][0][here], self.alone[o][1][here]
+            if o < ORDER:
+                code, escape = (np.where(longer >= 0, b[longer], a) for b, a in zip(self.below[o], (code, escape), strict=True))
+            gram = _find(self.grams[o], ctx[o] * s + sym)
+            hit = ~done & (here >= 0) & (gram >= 0)
+            out[hit] = (spent + code - self.own[o][gram])[hit]
+            done |= hit
+            spent = np.where(here >= 0, spent + escape, spent)
+            longer = here
+        return np.where(done, out, spent + self.last).astype(np.float32).astype(np.float64)
+
+
+def _costs(total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log2 of what a count is out of, and the cost of an escape; nothing where nothing is left."""
+    some = kinds > 0
+    code = np.log2(np.where(some, total + kinds, 1))
+    return code, np.where(some, code - np.log2(np.where(some, kinds, 1)), 0.0)
+
+
 _models: dict[str, Model] = {}
 
 
@@ -169,14 +245,19 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(lang, gram, n): the frozen counts, from at most ``sample`` texts and ``sample_bytes`` bytes of each language.
 
     The sample is the texts whose ids have the least hashes, so it is the same at every
-    run. Its ids are chosen first; only their texts are moved, to one task for a language.
+    run. Its ids are chosen first, each once; only one text of each is moved, TEXT_CHARS of
+    it at most, to one task for a language.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold))
     rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"), F.col(text_col).cast("string").alias("_text"))
-    ids = rows.select("_id", "_lang", "_h")
-    ids = least_of_each(ids, "_lang", sample)
-    chosen = ids.select("_id", "_lang").distinct()
-    texts = rows.join(F.broadcast(chosen), ["_id", "_lang"])
+    ids = least_of_each(rows.select("_id", "_lang", "_h").distinct(), "_lang", sample)
+    top = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(LANGUAGES)
+    chosen = ids.join(F.broadcast(top.select("_lang")), "_lang").select("_id", "_lang")  # sample * LANGUAGES rows at most
+    piece = TEXT_CHARS // PIECES
+    start = lambda k: F.floor(k * (F.length("_text") - piece) / (PIECES - 1)).cast("int") + 1
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substr(F.col("_text"), start(k), F.lit(piece))), "")
+    part = F.when(F.length("_text") > TEXT_CHARS, spread).otherwise(F.col("_text"))
+    texts = rows.join(F.broadcast(chosen), ["_id", "_lang"]).groupBy("_id", "_lang", "_h").agg(F.min(part).alias("_text"))
 
     def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_h", "_text"])
@@ -205,15 +286,19 @@ def predict(docs: DataFrame, counts: pd.DataFrame, id_col: str = "doc_id", text_
     return given.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep(docs: DataFrame, counts: pd.DataFrame, most_bits: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs in a learned language, coded in at most ``most_bits`` bits a byte, with their columns as they are."""
+def keep(docs: DataFrame, counts: pd.DataFrame, most_bits: float, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs in a learned language, with their columns as they are.
+
+    That is: coded in at most ``most_bits`` bits a byte, and in one language clearly better than
+    in the others: with a score of at least ``least_score``.
+    """
     coded = _coder(docs, counts)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, _, rate = coded(batch.column(at), batch.column(batch.num_columns - 1))
-            ok = np.array([s != "und" for s in said], bool) & (rate <= most_bits)
+            said, score, rate = coded(batch.column(at), batch.column(batch.num_columns - 1))
+            ok = np.array([s != "und" for s in said], bool) & (rate <= most_bits) & (score >= least_score)
             kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=docs_columns)
 
