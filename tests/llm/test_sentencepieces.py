@@ -26,7 +26,8 @@ def test_agenda_is_the_library(library):
         v = sentencepieces.Vocabulary(f.read())
     texts = odd_texts(1500)
     assert [v.encode(t) for t in texts] == library.encode(texts)
-    v.check()
+    v.check("the word", v.encode("the word"))
+    assert max(map(len, v.known)) <= sentencepieces.LONGEST
 
 
 def test_short_and_long_agenda_agree():
@@ -41,9 +42,20 @@ def test_a_wrong_id_is_noticed(spark):
     with open(PATH, "rb") as f:
         v = sentencepieces.Vocabulary(f.read())
     v.encode("hello world")
-    v.known["▁world"] = (1, 2)
+    v.check("hello", v.encode("hello"))
+    v.known["▁world"] = (1, 2)  # as if remembered wrongly
     with pytest.raises(ValueError):
-        v.check()
+        v.check("hello world", v.encode("hello world"))
+    v.fresh = [("▁hello", (1,))]  # as if encoded wrongly
+    with pytest.raises(ValueError):
+        v.check("", [])
+
+
+def test_long_texts(spark, library):
+    parts = ["some words of a long text ", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo", "漢字仮名"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "doc_id long, text string").selectExpr("doc_id", "repeat(text, 60000) AS text")
+    got = {r["doc_id"]: r["ids_sha256"] for r in sentencepieces.encode(df, PATH, ids=False, decoded=False, digests=True).collect()}
+    assert got == {i: hashlib.sha256(",".join(map(str, library.encode(p * 60000))).encode()).hexdigest() for i, p in enumerate(parts)}
 
 
 def test_table(spark, library):

@@ -3,9 +3,10 @@
 A text is normalised by the library and cut to units at places that no piece
 of the vocabulary goes over; each unit is encoded by a score-ordered agenda of
 adjacent symbol pairs. Units recur, so each Python worker keeps a bounded
-memory of them. In every Arrow batch all units that the agenda has encoded
-anew are encoded by the sentencepiece library too, and a difference raises:
-the vocabulary is then no merge-type one. Decoding is the library's.
+memory of the short ones. In every Arrow batch all units that the agenda has
+encoded anew are encoded by the sentencepiece library too, and so is one whole
+text, over its units' borders; a difference raises: the vocabulary is then no
+merge-type one. Decoding is the library's.
 
 Defined cases
 - null or empty text: no ids, decoded to the empty text.
@@ -30,12 +31,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.textbytes import texts_of
+from tideline.llm.textbytes import slices
 
-#: Units that a worker remembers at most, roughly; those not met for longest go.
-REMEMBERED = 400_000
-#: Texts between two checks against the library.
-CHECKED = 512
+#: Units that a worker remembers at most, roughly, and characters of one: some 100 MB. Those not met for longest go.
+REMEMBERED, LONGEST = 400_000, 48
+#: Texts between two checks against the library; characters up to which one is preferred to be checked whole.
+CHECKED, MOST_WHOLE = 512, 20_000
 #: Symbols up to which a plain list of pairs beats a heap; the rank of a pair that cannot merge.
 SHORT, NONE = 48, 1 << 31
 
@@ -72,7 +73,7 @@ class Vocabulary:
         self.lines_apart = bool(alone) and self.unit.pattern != r"[\s\S]+"
         self.known: dict[str, tuple[int, ...]] = {}  # units met lately, and those met before these
         self.older: dict[str, tuple[int, ...]] = {}
-        self.fresh: list[str] = []
+        self.fresh: list[tuple[str, tuple[int, ...]]] = []
 
     def agenda(self, unit: str) -> tuple[int, ...]:
         """The ids of a unit: the best-scored adjacent pair merges first, the leftmost of equals."""
@@ -149,24 +150,27 @@ class Vocabulary:
                 ids = self.older.get(unit)
                 if ids is None:
                     ids = self.agenda(unit)
-                    self.fresh.append(unit)
-                known[unit] = ids
+                    self.fresh.append((unit, ids))
+                if len(unit) <= LONGEST:
+                    known[unit] = ids
             out += ids
         return out
 
-    def check(self) -> None:
-        """Encode the new units by the library as well."""
+    def check(self, text: str, ids: list[int]) -> None:
+        """Encode the new units by the library as well, and a whole text."""
         plain, cut = [], []
-        for u in self.fresh:
+        for u, _ in self.fresh:
             if not self.lines_apart or u.strip(SPACE) and u[0] == SPACE:
                 plain.append(u[1:].replace(SPACE, " ") if u[0] == SPACE else u)
                 cut.append(0)
             else:  # the library puts a space before it; a line feed keeps the two apart
                 plain.append("\n" + u.replace(SPACE, " "))
                 cut.append(2)
-        for u, k, ids in zip(self.fresh, cut, self.library.encode(plain, num_threads=1), strict=True):
-            if tuple(ids[k:]) != self.known[u]:
+        for (u, own), k, said in zip(self.fresh, cut, self.library.encode(plain, num_threads=1), strict=True):
+            if tuple(said[k:]) != own:
                 raise ValueError(f"the agenda and the sentencepiece library differ on {u[:80]!r}")
+        if self.library.encode(text) != ids:
+            raise ValueError(f"the agenda and the sentencepiece library differ on a text that begins with {text[:80]!r}")
         self.fresh = []
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
@@ -177,6 +181,20 @@ def _vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
+def _encoded(v: Vocabulary, whole: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[list[int]]]]:
+    """Parts of a batch, of CHECKED rows and SLICE_BYTES of text or so, and their texts' ids, checked. The text checked whole is a part's longest of MOST_WHOLE bytes at most, else its shortest."""
+    for lo, hi, data, off in slices(whole.column(column)):
+        raw = data.tobytes()
+        for a in range(0, hi - lo, CHECKED):
+            z = min(a + CHECKED, hi - lo)
+            texts = [raw[off[i] : off[i + 1]].decode("utf-8", "replace") for i in range(a, z)]
+            encoded = [v.encode(t) for t in texts]
+            size = [len(t) for t in texts]
+            k = max(range(z - a), key=lambda i: size[i] if size[i] <= MOST_WHOLE else -size[i])
+            v.check(texts[k], encoded[k])
+            yield whole.slice(lo + a, z - a), encoded
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True, digests: bool = False) -> DataFrame:
     """The id, n_tokens and, as asked for, ids, decoded, ids_sha256 and decoded_sha256.
 
@@ -190,10 +208,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, CHECKED):
-                batch = whole.slice(at, CHECKED)
-                encoded = [v.encode(t.decode("utf-8", "replace")) for t in texts_of(batch.column(1)).to_pylist()]
-                v.check()
+            for batch, encoded in _encoded(v, whole, 1):
                 columns = [batch.column(0), pa.array([len(x) for x in encoded], pa.int64())]
                 back = v.library.decode(encoded) if (decoded or digests) and encoded else []
                 if ids:
@@ -219,10 +234,7 @@ def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(model)
         for whole in batches:
-            for lo in range(0, whole.num_rows, CHECKED):
-                batch = whole.slice(lo, CHECKED)
-                encoded = [v.encode(t.decode("utf-8", "replace")) for t in texts_of(batch.column(at)).to_pylist()]
-                v.check()
+            for batch, encoded in _encoded(v, whole, at):
                 columns = list(batch.columns)
                 columns[at] = pa.array(v.library.decode(encoded) if encoded else [], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in encoded], pa.int64())], names=names)
