@@ -46,8 +46,32 @@ def test_round_trip(spark, least):
 
 def test_payloads_come_back(spark):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
-    got = {r["page_id"]: bytes(r["payload"]) for r in warc.round_trip(df, payload=True).filter("record_type = 'response'").collect()}
-    assert got == {1: "é<p>".encode(), 5: b"same", 8: b"x\r\n\r\nWARC/1.1\r\n", 10: b""}
+    got = sorted((str(r["page_id"]), bytes(r["payload"])) for r in warc.round_trip(df, payload=True).collect())
+    assert got == sorted((str(p), (h or "").encode()) for p, _, h in ROWS)
+
+
+def test_a_revisit_without_its_response_is_noticed(spark):
+    rows = [(1, "response", 3, "AAA", None, b"abc"), (2, "revisit", 3, "BBB", 1, b"")]
+    df = spark.createDataFrame(rows, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    with pytest.raises(Exception, match="no response for the revisit of page 2"):
+        warc.resolved(df).collect()
+
+
+def test_archives_ranges_and_payloads_beyond_their_sizes(spark):
+    rng = random.Random(5)
+    rows = [(i, f"http://h{i % 7}.org/{i}", "".join(chr(rng.randrange(33, 1000)) for _ in range(rng.randrange(4000)))) for i in range(120)] + [(500, "http://big.org/", "x y " * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = scratch_path(spark, "warc")
+    manifest = warc.write(df, folder, archive_bytes=20_000)
+    assert manifest.select("file").distinct().count() > 5
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read(manifest, folder, read_bytes=5_000).collect()}
+    assert got == {p: h.encode() for p, _, h in rows}
+
+
+def test_copies_that_are_a_third_of_all(spark):
+    df = spark.range(3000).selectExpr("id AS page_id", "concat('http://a.b/', id) AS url", "CASE WHEN id % 3 > 0 THEN concat('own ', id) END AS html")
+    got = warc.round_trip(df).toPandas().set_index("page_id")
+    assert (got.loc[range(0, 2997, 3), "refers_to"] == 2997).all() and (got["record_type"] == "revisit").sum() == 999
 
 
 def test_many_ranges_blocks_and_equal_keys(spark):

@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.session import scratch_path, written
+from tideline.session import cut, discard, join_hot, scratch_path, written
 
 #: Captures in a block of the index; in a range of it, roughly and at most; bytes of an archive; bytes of one range read.
 BLOCK, RANGE, ARCHIVE_BYTES, READ_BYTES = 512, 200_000, 1 << 30, 4 << 20
@@ -97,14 +97,27 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+def _revisits(keys: DataFrame) -> DataFrame:
+    """(_again_id, _again_sha, _top_id, _top_url): every page id and digest that is a revisit, and the response that it is one of.
+
+    ``keys``: _id, _url, _sha. No payloads move.
+    """
+    groups = keys.groupBy("_sha").agg(F.max(F.struct("_id", "_url")).alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    groups = cut(groups.select("_sha", F.col("_top._id").alias("_top_id"), F.col("_top._url").alias("_top_url"), "_n"))
+    met = join_hot(keys.select("_id", "_sha"), groups, "_sha", "_n")
+    again = met.filter(F.col("_top_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_top_id")))
+    return again.select(F.col("_id").alias("_again_id"), F.col("_sha").alias("_again_sha"), "_top_id", "_top_url").dropDuplicates(["_again_id", "_again_sha"])
+
+
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write one record per row under ``folder``; the manifest, written to Parquet: key, page_id, file, offset, length."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
+    keys = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.sha1(payload).alias("_sha"), (F.octet_length(payload) >= least).alias("_large"))
+    again = written(_revisits(cut(keys.filter("_large").drop("_large"))), "warc-revisits")
+    # payloads are joined by page id and digest, so that no digest's copies are one key
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"), F.sha1(payload).alias("_sha"))
-    # of groups of equal payloads, which have one row here whatever their size, only those with two members or more
-    same = rows.filter(F.octet_length("_payload") >= least).groupBy("_sha").agg(F.max(F.struct("_id", "_url")).alias("_top"), F.max("_id").alias("_low"), F.count(F.lit(1)).alias("_n"))
-    same = written(same.filter("_n > 1").select("_sha", F.col("_low").alias("_top_id"), F.col("_top._url").alias("_top_url")), "warc-groups")
-    told = rows.join(same, "_sha", "left").select("_id", "_url", "_payload", url_key(F.col("_url")).alias("_key"), "_top_id", "_top_url", (F.col("_top_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_top_id"))).alias("_again"))
+    met = rows["_id"].eqNullSafe(again["_again_id"]) & (rows["_sha"] == again["_again_sha"])
+    told = rows.join(again, met, "left").select("_id", "_url", "_payload", url_key(F.col("_url")).alias("_key"), "_top_id", "_top_url", F.col("_again_sha").isNotNull().alias("_again"))
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
@@ -113,8 +126,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         out, name, at = None, "", 0
         for batch in batches:
             places = []
-            for pid, url, body, top, top_url, again in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6)), strict=True):
-                if out is None or at >= ARCHIVE_BYTES:
+            light = zip(*(batch.column(c).to_pylist() for c in (0, 1, 4, 5, 6)), strict=True)
+            for i, (pid, url, top, top_url, again) in enumerate(light):
+                body = batch.column(2)[i].as_py()  # one payload at a time
+                if out is None or at >= archive_bytes:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -248,8 +263,8 @@ def look_up(captures: DataFrame, directory: DataFrame, folder: str) -> DataFrame
     return directory.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(find, _PLACES.format(kind=kind))
 
 
-def read(places: DataFrame, folder: str, payload: bool = True) -> DataFrame:
-    """The records at these places: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and the payload.
+def read(places: DataFrame, folder: str, payload: bool = True, read_bytes: int = READ_BYTES) -> DataFrame:
+    """The records at these places: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and the payload (of a revisit none).
 
     Places are sorted by archive and offset, so that neighbours come in one range read. The
     digest of every response is computed anew from its payload and must be its header's.
@@ -266,7 +281,7 @@ def read(places: DataFrame, folder: str, payload: bool = True) -> DataFrame:
             while i < len(where):
                 j, (file, start, length) = i + 1, where[i]
                 end = start + length
-                while j < len(where) and where[j][0] == file and start <= where[j][1] <= end and where[j][1] + where[j][2] - start <= READ_BYTES:
+                while j < len(where) and where[j][0] == file and start <= where[j][1] <= end and where[j][1] + where[j][2] - start <= read_bytes:
                     end, j = max(end, where[j][1] + where[j][2]), j + 1
                 with fs.open_input_file(f"{root}/{file}") as f:
                     raw = f.read_at(end - start, start)
@@ -278,7 +293,7 @@ def read(places: DataFrame, folder: str, payload: bool = True) -> DataFrame:
                         raise ValueError(f"the payload of {fields['WARC-Record-ID']} has another digest than its header")
                     rows.append((fields.get("X-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"], int(fields["X-Payload-Length"]), said, fields.get("X-Refers-To-Page"), body)[: len(names)])
                     total += len(body)
-                if payload and total > 8 * READ_BYTES:
+                if payload and total > 8 * read_bytes:
                     yield made(rows)
                     rows, total = [], 0
                 i = j
@@ -294,15 +309,33 @@ def read(places: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     return out.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records with their payloads, where revisits have that of the response that they refer to.
+
+    A revisit without a response of its digest and length raises.
+    """
+    own = records.filter("record_type = 'response'")
+    given = own.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload").alias("_p")).dropDuplicates(["refers_to", "payload_digest"])
+    again = records.filter("record_type = 'revisit'").drop("payload").join(given, ["refers_to", "payload_digest"], "left")
+    fits = F.octet_length("_p").eqNullSafe(F.col("payload_bytes").cast("int"))
+    body = F.when(fits, F.col("_p")).otherwise(F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("page_id").cast("string"))).cast("binary"))
+    return own.unionByName(again.withColumn("payload", body).select(*records.columns))
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, payload: bool = False) -> DataFrame:
-    """Write every row to archives, index them, and read every capture back by its key."""
+    """Write every row to archives, index them, and read every capture back by its key; with payloads, revisits are resolved.
+
+    The index goes when all places are found; the archives stay, as what is returned reads them.
+    """
     spark: SparkSession = pages.sparkSession
     folder = scratch_path(spark, "warc")
     manifest = write(pages, f"{folder}/archives", id_col, url_col, html_col, least)
     directory = build_index(manifest, f"{folder}/index")
     captures = pages.select(url_key(F.col(url_col).cast("string")).alias("key"), F.col(id_col).alias("page_id"))
     places = written(look_up(captures, directory, f"{folder}/index"), "warc-places")  # else the sort by place would look them up twice
-    return read(places, f"{folder}/archives", payload)
+    discard(spark, f"{folder}/index")
+    records = read(places, f"{folder}/archives", payload)
+    return resolved(written(records, "warc-records")) if payload else records
 
 
 def oracle_sql(least: int = 0) -> str:
