@@ -55,12 +55,15 @@ def brute(edges, seeds, damping=u.DAMPING, steps=300):
 def test_propagation_against_brute_force(spark):
     edges = [("a", "b", 3), ("a", "c", 1), ("b", "c", 2), ("c", "a", 5), ("d", "bad", 4), ("e", "d", 1), ("e", "a", 1), ("b", "bad", 1), ("lone", "b", 1)]
     seeds = {"a": (1.0, 0.0), "bad": (0.0, 0.5), "z": (0.5, 0.5)}
-    got = u.host_scores(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, good double, bad double"))
     t, d = brute(edges, seeds)
-    rows = {r["host"]: r for r in got.collect()}
-    assert set(rows) == set(t)
-    for h in t:
-        assert rows[h]["trust"] == pytest.approx(t[h], abs=1e-5) and rows[h]["distrust"] == pytest.approx(d[h], abs=1e-5)
+    tables = spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, good double, bad double")
+    for hub in (u.HUB, 2):  # with hubs spread over several parts too
+        rows = {r["host"]: r for r in u.host_scores(*tables, hub=hub).collect()}
+        assert set(rows) == set(t)
+        for h in t:
+            assert rows[h]["trust"] == pytest.approx(t[h], abs=1e-5) and rows[h]["distrust"] == pytest.approx(d[h], abs=1e-5)
+    with pytest.raises(RuntimeError):
+        u.host_scores(*tables, most=3)
 
 
 def test_links_and_verdicts(spark):

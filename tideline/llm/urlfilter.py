@@ -10,6 +10,11 @@ together; a host that neither reaches is allowed.
 
 Edges are grouped per host pair in Spark, every step is a join and a grouped
 sum, and steps end when all scores together move by no more than ``tolerance``.
+The edges are partitioned by source once and by target once and stay so; only
+scores move in a step. The edges of a hub are spread over several parts.
+
+Where pages link to no other hosts (as in the given tables) there is nothing to
+propagate: the seeds' own hosts keep their scores, and all others are allowed.
 
 Defined cases
 - null url or one without "://": empty host and path, no rule, allowed.
@@ -25,9 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import cut
+from tideline.session import cut, join_hot
 
-DAMPING, TOLERANCE, MOST_STEPS, THRESHOLD = 0.85, 1e-6, 100, 0.5
+DAMPING, TOLERANCE, MOST_STEPS, THRESHOLD = 0.85, 1e-6, 200, 0.5
+#: Edges of one host in one part.
+HUB = 1_000_000
 
 #: (host, path, verdict)
 RULES = [
@@ -68,7 +75,7 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return each.filter("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = MOST_STEPS) -> DataFrame:
+def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = MOST_STEPS, hub: int = HUB) -> DataFrame:
     """(host, trust, distrust): fixed points of the two propagations.
 
     ``seeds``: host, good, bad (weights, not negative). Each kind is scaled to the sum 1.
@@ -76,21 +83,32 @@ def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, to
     links = cut(links)
     total = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     scaled = seeds.select("host", (F.col("good") / F.lit(total["g"] or 1.0)).alias("g"), (F.col("bad") / F.lit(total["b"] or 1.0)).alias("b"))
-    ends = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).distinct()
-    hosts = cut(ends.join(scaled, "host", "full").na.fill(0.0, ["g", "b"]))
-    outs = links.groupBy("src").agg(F.sum("n").alias("_out"))
-    ins = links.groupBy("dst").agg(F.sum("n").alias("_in"))
-    edges = cut(links.join(outs, "src").join(ins, "dst").select("src", "dst", (F.col("n") / F.col("_out")).alias("f"), (F.col("n") / F.col("_in")).alias("r")))
     start = F.lit(1 - damping)
-    now = hosts.select("host", "g", "b", (start * F.col("g")).alias("trust"), (start * F.col("b")).alias("distrust"))
-    if edges.isEmpty():
-        return now.select("host", "trust", "distrust")
+    first = [(start * F.col("g")).alias("trust"), (start * F.col("b")).alias("distrust")]
+    if links.isEmpty():
+        return scaled.na.fill(0.0).select("host", *first)
+    parts = lambda side: (1 + F.floor(F.col(side) / F.lit(hub))).cast("int")
+    outs = cut(links.groupBy(F.col("src").alias("host")).agg(F.sum("n").alias("_out"), F.count(F.lit(1)).alias("_o")))
+    ins = cut(links.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("_in"), F.count(F.lit(1)).alias("_i")))
+    each = join_hot(links, outs.withColumn("_of", parts("_o")).withColumnRenamed("host", "src"), "src", "_o")
+    each = join_hot(each, ins.withColumn("_if", parts("_i")).withColumnRenamed("host", "dst"), "dst", "_i")
+    edges = cut(each.select("src", "dst", "_of", "_if", (F.col("n") / F.col("_out")).alias("f"), (F.col("n") / F.col("_in")).alias("r")))
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_src = edges.select(F.col("src").alias("_at"), F.pmod(F.xxhash64("dst"), "_of").cast("int").alias("_s"), F.col("dst").alias("host"), "f").repartition(n, "_at", "_s").persist()
+    by_dst = edges.select(F.col("dst").alias("_at"), F.pmod(F.xxhash64("src"), "_if").cast("int").alias("_s"), F.col("src").alias("host"), "r").repartition(n, "_at", "_s").persist()
+    sizes = outs.select("host", parts("_o").alias("_of")).join(ins.select("host", parts("_i").alias("_if")), "host", "full")
+    hosts = sizes.join(scaled, "host", "full").na.fill(0.0, ["g", "b"]).na.fill(0, ["_of", "_if"])
+    now = cut(hosts.select("host", "_of", "_if", "g", "b", *first))
+    spread = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1)).alias("_s")
     for _ in range(most):
-        forth = edges.join(now, edges["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("f")).alias("t"), F.lit(0.0).alias("d"))
-        back = edges.join(now, edges["dst"] == now["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("r")).alias("d"))
-        got = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        new = now.join(got, "host", "left").select(
+        trust = now.filter("_of > 0").select(F.col("host").alias("_at"), "trust", spread("_of"))
+        distrust = now.filter("_if > 0").select(F.col("host").alias("_at"), "distrust", spread("_if"))
+        forth = by_src.join(trust, ["_at", "_s"]).groupBy("host").agg(F.sum(F.col("trust") * F.col("f")).alias("t"))
+        back = by_dst.join(distrust, ["_at", "_s"]).groupBy("host").agg(F.sum(F.col("distrust") * F.col("r")).alias("d"))
+        new = now.join(forth, "host", "left").join(back, "host", "left").select(
             "host",
+            "_of",
+            "_if",
             "g",
             "b",
             F.col("trust").alias("_t"),
@@ -103,6 +121,10 @@ def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, to
         now = new.drop("_t", "_d")
         if (moved or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"the scores still move by {moved} after {most} steps")
+    by_src.unpersist()
+    by_dst.unpersist()
     return now.select("host", "trust", "distrust")
 
 
@@ -116,8 +138,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     good, bad = F.sum((F.col("_said") == "allow").cast("double")), F.sum((F.col("_said") == "block").cast("double"))
     seeds = ruled.filter("host != '' AND _said IS NOT NULL").groupBy("host").agg((good / F.count(F.lit(1))).alias("good"), (bad / F.count(F.lit(1))).alias("bad"))
     scores = host_scores(host_links(pages, url_col, html_col), cut(seeds), **how)
+    # one row for each host of the pages, and how many these are: the pages of hot hosts stay where they are
+    hosts = cut(ruled.groupBy("host").agg(F.count(F.lit(1)).alias("_pages")).join(scores, "host", "left"))
     bad_host = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
     own = F.when(F.coalesce(bad_host, F.lit(False)), "block").otherwise("allow")
-    return ruled.join(scores, "host", "left").select(
+    return join_hot(ruled, hosts, "host", "_pages").select(
         id_col, "host", "path", "rule", F.coalesce("_said", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
