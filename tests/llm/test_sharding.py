@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 from tideline.llm import sharding
@@ -38,3 +39,46 @@ def test_few_rows_and_none(spark):
     assert sharding.byte_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = sharding.byte_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
     assert [(r["shard"], r["slot"]) for r in got] == [(0, 0)]
+
+
+def brute(rows, shards, slack):
+    """(id, crc, shard, slot) of every row, by a loop over the sorted rows."""
+    raw = sorted(((t or "").encode(), i) for i, t in rows)
+    raw.sort(key=lambda r: (hashlib.md5(r[0]).hexdigest(), r[1]))
+    starts, at = [], 0
+    for t, _ in raw:
+        starts.append(at)
+        at += len(t) + 1
+    cuts = []
+    for k in range(1, shards):
+        t = -(-at * k // shards)
+        over = [j for j, s in enumerate(starts) if s < t < s + len(raw[j][0]) + 1]
+        same = [j for j in range(len(raw)) if raw[j][0] == raw[max(j for j, s in enumerate(starts) if s < t)][0]]
+        a, z = starts[same[0]], starts[same[-1]] + len(raw[same[-1]][0]) + 1
+        ends = [e for e in (a, z) if a < t < z and abs(e - t) <= int(at / shards * slack)]
+        cuts.append(min(ends, key=lambda e: abs(e - t)) if ends and (over or len(same) > 1) else t)
+    out, first = [], {}
+    for j, (t, i) in enumerate(raw):
+        s = sum(starts[j] >= c for c in cuts)
+        out.append((i, zlib.crc32(t), s, j - first.setdefault(s, j)))
+    return sorted(out)
+
+
+def test_every_row_against_brute_force(spark):
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(300)] + [(i, f"same text {i % 3} " * 9) for i in range(1000, 1300)] + [(5000, "long " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shards, slack in ((8, sharding.SLACK), (5, 0.3), (3, 0.0)):
+        got = sharding.byte_shards(df, shards=shards, slack=slack).collect()
+        assert sorted((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == brute(rows, shards, slack)
+
+
+def test_sql_gives_the_same(spark):
+    import duckdb
+
+    from tideline.llm.queries import ORACLE_SQL, op5_sharding
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    cols = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL['op5_sharding']})").fetchall()
+    assert sorted(map(tuple, op5_sharding(spark, "/root/testdata/sf0.001").select(*cols).collect())) == sorted(want)

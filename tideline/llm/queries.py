@@ -90,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.oracle_sql(least=0),
+    "op5_sharding": sharding.oracle_sql(),
     "op6_licenses": licences.oracle_sql(),
 }

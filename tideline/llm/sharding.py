@@ -1,6 +1,6 @@
 """Contiguous shards of nearly equal bytes, by global prefix sums.
 
-Rows are put in one global order by range partitioning. Each partition gives
+Rows are put in one global order, by the texts' MD5 and the ids, by range partitioning. Each partition gives
 one total; the totals' running sums give every partition its base, and a
 running sum inside the partition gives every row its global byte offset. The
 byte range is cut at equal targets.
@@ -40,9 +40,9 @@ def byte_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("_size"),
         F.crc32(text.cast("binary")).alias("_crc"),
-        F.xxhash64(text).alias("_hash"),
+        F.md5(text.cast("binary")).alias("_hash"),
     )
-    order = ["_hash", "_crc", "_size", "_id"]
+    order = ["_hash", "_id"]
     placed = cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
 
     totals = {r["_part"]: (r["n"], r["b"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).collect()}
@@ -86,11 +86,37 @@ def _snapped(numbered: DataFrame, total: int, shards: int, slack: float) -> list
     at_cut = F.lit(False)
     for t in targets:
         at_cut = at_cut | ((F.col("_from") < t) & (end > t))
-    keys = numbered.filter(at_cut).select("_hash", "_crc").distinct()  # at most one group per cut
-    groups = numbered.join(F.broadcast(keys), ["_hash", "_crc"]).groupBy("_hash", "_crc").agg(F.min("_from").alias("a"), F.max(end).alias("z")).collect()
+    keys = numbered.filter(at_cut).select("_hash").distinct()  # at most one group per cut
+    groups = numbered.join(F.broadcast(keys), "_hash").groupBy("_hash").agg(F.min("_from").alias("a"), F.max(end).alias("z")).collect()
     room = int(total / shards * slack)
     cuts = []
     for t in targets:
         near = [e for g in groups if g["a"] < t < g["z"] for e in (g["a"], g["z"]) if abs(e - t) <= room]
         cuts.append(min(near, key=lambda e: abs(e - t), default=t))
     return cuts
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 by bytes, from its polynomial."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1 for c in out]
+    return out
+
+
+def oracle_sql(shards: int = SHARDS, slack: float = SLACK) -> str:
+    """The same over `documents` in DuckDB, which has no CRC-32: it is folded over the bytes."""
+    octets = "list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::INT::UBIGINT)"
+    fold = f"list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, x: xor(list_extract({_crc_table()}::UBIGINT[], ((xor(c, x) & 255) + 1)::BIGINT), c >> 8))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, md5(t) AS h, strlen(t) + 1 AS size, xor({fold}, 4294967295)::BIGINT AS crc FROM d),
+n AS (SELECT *, row_number() OVER w - 1 AS place, (sum(size) OVER w)::BIGINT - size AS start FROM o WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+total AS (SELECT sum(size)::BIGINT AS b FROM n),
+targets AS (SELECT (b * k + {shards - 1}) // {shards} AS t, b FROM total, (SELECT unnest(range(1, {shards})) AS k)),
+same AS (SELECT h, min(start) AS a, max(start + size) AS z FROM n GROUP BY h),
+ends AS (SELECT t, unnest([a, z]) AS e, b FROM targets JOIN same ON a < t AND t < z),
+cuts AS (SELECT t, coalesce(arg_min(e, abs(e - t) * 2 + (e > t)::INT) FILTER (abs(e - t) <= floor(b / {shards} * {slack})), t) AS cut FROM targets LEFT JOIN ends USING (t, b) GROUP BY t),
+s AS (SELECT n.*, (SELECT count(*) FROM cuts WHERE cut <= start) AS shard FROM n)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s
+"""
