@@ -122,7 +122,7 @@ def test_controlling_child_and_ties(spark):
     t = spark.createDataFrame([patent("A", "x", "9", day(5)), patent("A", "x", "8", day(5), adjustment=3), patent("A", "y", "1", day(1)), patent("A", "z", "1", day(9), live=False)], schemas.PATENT)
     e = spark.createDataFrame([("A", "x", "NCE", day(5)), ("A", "y", "ODE", day(2)), ("A", "w", "ODE", day(2))], schemas.EXCLUSIVITY)
     got = {r["product_id"]: (r["kind"], r["label"], r["confidence"]) for r in estimate.controlling(t, e).collect()}
-    assert got == {"x": ("patent", "8", "confirmed"), "y": ("exclusivity", "ODE", "confirmed"), "w": ("exclusivity", "ODE", "confirmed")}
+    assert got == {"x": ("patent", "Patent 8", "confirmed"), "y": ("exclusivity", "Exclusivity ODE", "confirmed"), "w": ("exclusivity", "Exclusivity ODE", "confirmed")}
     # the list says confirmed where any child that attains the date is sure; the detail follows its one child
     tie = spark.createDataFrame([patent("A", "x", "1", day(5))], schemas.PATENT)
     p = spark.createDataFrame([product("A", "x", "X")], schemas.PRODUCT)
@@ -134,7 +134,7 @@ def test_controlling_child_and_ties(spark):
 def test_horizons_timeline_and_divergence(data, spark):
     est = data[3]
     row = stats.horizon_counts(est, AS_OF).first()
-    assert (row["within_30"], row["within_90"], row["within_365"]) == (1, 1, 3)
+    assert (row["within_30"], row["within_90"], row["within_365"]) == (2, 2, 4)  # what has passed counts
     months = stats.timeline(est, AS_OF, 12).orderBy("month").collect()
     assert len(months) == 12 and months[0]["n"] == 1 and sum(r["n"] for r in months) == 3
     sold = spark.createDataFrame([("A", "beta", day(-30)), ("A", "beta", day(-10)), ("A", "alpha", day(3000)), ("A", "eps", day(-1))], "source string, product_id string, marketing_date date")
@@ -160,7 +160,7 @@ def test_details(data):
     p, t, e, _ = data
     rows = {r["product_id"]: r for r in detail.product_details(p, t, e).collect()}
     assert [c["code"] for c in rows["beta"]["exclusivities"]] == ["NCE"] and rows["eps"]["patents"] == [] and rows["eps"]["controlling"] is None
-    assert rows["bio"]["controlling"]["label"] == "6"
+    assert rows["bio"]["controlling"]["label"] == "Patent 6"
     assert [r["product_id"] for r in detail.lookup("US 3,", t, p, e).collect()] == ["gamma"]
 
 

@@ -38,8 +38,9 @@ def test_dates(spark):
     assert values(spark, ["15-Jan-74", "25-Jan-31", "1-dec-50", "1-Dec-51", "January 4, 2031", "Date TBD", "31-Feb-20", None], dates.pivot_year_date) == [dt.date(1974, 1, 15), dt.date(2031, 1, 25), dt.date(2050, 12, 1), dt.date(1951, 12, 1), dt.date(2031, 1, 4), None, None, None]
     assert values(spark, ["2/11/2020", "13/1/2020", "2/30/2021", "x", None], dates.rolling_date) == [dt.date(2020, 2, 11), dt.date(2021, 1, 1), dt.date(2021, 3, 2), None, None]
     now = F.lit(dt.date(2026, 1, 1))
-    assert values(spark, ["2026-01-01", "2026-06-01", "2027-06-01", "2030-01-01", None], lambda c: dates.urgency(c.cast("date"), now)) == ["expired", "urgent", "soon", "later", None]
-    assert values(spark, ["2026-01-01", "2026-01-02", "2025-12-30", "2026-04-01", "2030-01-01"], lambda c: dates.relative_days(c.cast("date"), now)) == ["today", "in 1 day", "2 days ago", "in 3 months", "in 4.0 years"]
+    assert values(spark, ["2026-01-01", "2026-06-01", "2027-06-01", "2030-01-01", None], lambda c: dates.urgency(c.cast("date"), now)) == ["open", "imminent", "upcoming", "distant", None]
+    assert values(spark, ["2026-01-01", "2026-01-02", "2025-12-30", "2026-04-01", "2030-01-01", "2020-01-01"], lambda c: dates.relative_days(c.cast("date"), now)) == ["Today", "in 1 day", "2 days ago", "in 3 months", "in 4 years", "6 years ago"]
+    assert values(spark, ["2031-08-04", None], lambda c: dates.shown_date(c.cast("date"))) == ["Aug 4, 2031", None]
 
 
 def test_text(spark):
@@ -80,10 +81,16 @@ def test_settlements(spark):
         "Brandix® Paragraph IV Patent Litigation (Actor) - On September 12, 2018, we announced that we had reached an agreement ... beginning January 1, 2028 (or earlier under certain circumstances). "
         'Brandix Patent Litigation ("Other") - The trial goes on. Brandix Patent Litigation (Third) - a settlement agreement was signed.'
     )
-    df = spark.createDataFrame([(body, "Brandix"), (body, "None"), (None, "x")], "t string, p string")
-    got = [r[0] for r in df.coalesce(1).select(extract.settlements("t", "p")).collect()]
-    assert [(s["counterparty"], s["licensed_entry"], s["announced"], s["earlier"], s["confidence"]) for s in got[0]] == [("Actor", dt.date(2028, 1, 1), dt.date(2018, 9, 12), True, "HIGH"), ("Third", None, None, False, "LOW")]
-    assert got[1] == [] and got[2] == []
+    other = "A.b(c)\\E Patent Litigation (Solo) - On May 1, 2020, the Company announced a settlement agreement. " + "x" * 3000 + " beginning January 1, 2030"
+    df = spark.createDataFrame([(1, body, "brandix"), (2, body, "None"), (3, None, "x"), (4, other, "A.b(c)\\E"), (5, body, None), (6, body, "")], "k int, text string, product string")
+    got = extract.settlements(df).orderBy("k", "place").collect()
+    assert [(s["k"], s["place"], s["counterparty"], s["licensed_entry"], s["announced"], s["earlier"], s["confidence"]) for s in got] == [
+        (1, 0, "Actor", dt.date(2028, 1, 1), dt.date(2018, 9, 12), True, "HIGH"),
+        (1, 2, "Third", None, None, False, "LOW"),
+        (4, 0, "Solo", None, dt.date(2020, 5, 1), False, "MEDIUM"),
+    ]
+    assert got[0]["note"] == "the heading of Actor and a licensed entry, beginning January 1, 2028" and "May 1, 2020" in got[2]["note"] and "no date" in got[1]["note"]
+    assert len(got[2]["excerpt"]) == extract.EXCERPT
 
 
 def test_challenge_cells(spark):
@@ -104,3 +111,11 @@ def test_challenge_cells(spark):
     assert told("", "") == ([], False)
     dates_ = values(spark, ["", "1/2/2020", "1/2/2020 - 5mg 1/3/2020", "x"], lambda c: extract.single_date(c, "marketing"))
     assert [(s["date"], s["issue"] is None) for s in dates_] == [(None, True), (dt.date(2020, 1, 2), True), (None, False), (None, False)]
+
+
+def test_roles_and_manual_tiers(spark):
+    assert values(spark, ["a", "b", "c", None], lambda c: parties.role(c, F.lit("a"), F.lit("b"))) == ["plaintiff", "defendant", "unmatched", "unmatched"]
+    assert values(spark, ["Acme Inc.  (ACME)  (CIK 0000885590)", "Acme (US) Inc", "Bob (B.K) (cik 12) "], parties.filer_name) == ["Acme Inc.", "Acme (US) Inc", "Bob"]
+    rows = [("exact", "exact", 1, True), ("exact", "exact", 2, True), ("fuzzy", "exact", 1, True), ("exact", "none", 1, False), ("none", "none", 0, True)]
+    df = spark.createDataFrame(rows, "a string, z string, n int, p boolean")
+    assert [r[0] for r in df.coalesce(1).select(parties.manual_confidence(*map(F.col, "aznp"))).collect()] == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "NONE"]

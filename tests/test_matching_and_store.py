@@ -18,6 +18,7 @@ def test_companies(spark):
 def test_cases_by_distance_in_time(spark):
     d = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
     hits = spark.createDataFrame([(1, 1, 2, d(0), None), (2, 1, 2, d(30), d(90)), (3, 1, 2, d(500), d(600)), (4, 1, 2, None, d(1)), (5, 1, 3, d(0), d(1))], "docket_id int, plaintiff_id int, defendant_id int, filed date, terminated date")
+    hits = hits.withColumns({"plaintiff": F.lit("x"), "defendant": F.lit("y")})
     got = sorted((r["defendant_id"], r["case_no"], r["outcome"], r["n_dockets"]) for r in matching.case_summary(matching.grouped_cases(hits)).collect())
     assert got == [(2, 0, "ONGOING", 3), (2, 1, "UNCLEAR", 1), (3, 0, "UNCLEAR", 1)]
 
@@ -98,7 +99,7 @@ def test_term_outcomes(spark):
     patents = spark.createDataFrame([("1", d(2020, 1, 1), d(2020, 1, 1), 7, None), ("2", d(2020, 1, 1), d(2020, 5, 1), None, None), ("3", d(2020, 1, 1), d(2020, 1, 1), None, None), ("RE4", d(2020, 1, 1), d(2020, 1, 1), None, None), ("5", d(2001, 1, 1), d(2001, 1, 1), None, None)], "patent_number string, nominal_expiry date, expiry date, adjustment_days int, filing_date date")
     answers = spark.createDataFrame([("1", "ok", d(2001, 11, 1), 0), ("2", "not_found", None, None), ("3", "error", None, None), ("RE4", "ok", d(2001, 1, 1), 30), ("5", "ok", d(2001, 1, 1), 10)], "patent_number string, status string, filing date, days int")
     got = {r["patent_number"]: (r["outcome"], r["expiry"], r["adjustment_days"]) for r in enrich.outcomes(patents, answers).collect()}
-    assert got == {"1": ("updated", d(2021, 11, 1), 0), "2": ("no_data", d(2020, 5, 1), None), "3": ("error", d(2020, 1, 1), None), "RE4": ("updated", d(2020, 1, 31), 30), "5": ("flagged", d(2001, 1, 1), None)}
+    assert got == {"1": ("updated", d(2021, 11, 1), 670), "2": ("no_data", d(2020, 5, 1), None), "3": ("error", d(2020, 1, 1), None), "RE4": ("updated", d(2020, 1, 31), 30), "5": ("flagged", d(2001, 1, 1), None)}
     records = spark.createDataFrame([("terms", "1")], "source string, entity_id string")
     assert [r["patent_number"] for r in enrich.candidates(patents, records, "terms", 2).collect()] == ["5", "2"]
 
@@ -142,3 +143,40 @@ def test_dispute_parts(spark):
     assert [x["docket_id"] for x in rows["p"]["cases"][0]["dockets"]] == [71, 70]
     assert [(s["counterparty"], s["licensed_entry"]) for s in rows["p"]["settlements"]] == [("ACME", d(2029, 1, 1))]
     assert rows["q"]["challenges"] == [] and rows["q"]["cases"] == []
+
+
+def test_denied_and_empty_terms(spark):
+    d = dt.date
+    patents = spark.createDataFrame([(n, d(2020, 1, 1), d(2020, 5, 1), 7, None) for n in "1234"], "patent_number string, nominal_expiry date, expiry date, adjustment_days int, filing_date date")
+    answers = spark.createDataFrame([("1", "denied", None, None, 3), ("2", "ok", None, 9, 1), ("3", "ok", d(1980, 1, 1), 0, 2), ("4", "ok", d(2000, 1, 1), None, 4)], "patent_number string, status string, filing date, days int, place int")
+    got = {r["patent_number"]: (r["outcome"], r["expiry"], r["adjustment_days"], r["filing_date"]) for r in enrich.outcomes(patents, answers).collect()}
+    assert got == {"1": ("denied", d(2020, 5, 1), 7, None), "2": ("no_data", d(2020, 5, 1), 7, None), "3": ("updated", d(2000, 1, 1), -7305, d(1980, 1, 1)), "4": ("updated", d(2020, 1, 1), 0, d(2000, 1, 1))}
+    assert sorted(r["patent_number"] for r in enrich.until_denied(answers, "place").collect()) == ["1", "2", "3"]
+    assert enrich.until_denied(answers.filter("status = 'ok'"), "place").count() == 3
+    shown = {r["patent_number"]: (r["status"], r["nominal_expiry"], r["expiry"]) for r in enrich.preview(answers).collect()}
+    assert shown == {"1": ("error", None, None), "2": ("not_found", None, None), "3": ("found", d(2000, 1, 1), d(2000, 1, 1)), "4": ("found", d(2020, 1, 1), d(2020, 1, 1))}
+    far = patents.withColumn("expiry", F.when(F.col("patent_number") == "1", F.lit(d(2040, 1, 1))).otherwise(F.col("expiry")))
+    assert [r["patent_number"] for r in enrich.suspicious(far, 5).collect()] == ["1"]
+
+
+def test_unknown_parties_are_told_apart(spark):
+    d = dt.date
+    hits = spark.createDataFrame([(1, None, None, "A", "B", d(2020, 1, 1), None), (2, None, None, "C", "D", d(2020, 1, 2), None), (3, None, None, "A", "B", d(2020, 1, 3), None), (4, "x", None, "A", "B", None, None)], "docket_id int, plaintiff_id string, defendant_id string, plaintiff string, defendant string, filed date, terminated date")
+    got = matching.case_summary(matching.grouped_cases(hits)).collect()
+    assert sorted((str(r["plaintiff_id"]), str(r["plaintiff_name"]), r["n_dockets"]) for r in got) == [("None", "A", 2), ("None", "C", 1), ("x", "None", 1)]
+
+
+def test_docket_preview(spark):
+    hits = spark.createDataFrame([(1, "Acme Inc. v. Beta LLC", "deld", "830 Patent", None), (2, "Acme v. Acme Corp", "njd", None, None), (3, "Acme v. Beta", "cand", None, None), (4, "In re Acme", "deld", None, None)], "docket_id int, caption string, court_id string, nature string, cause string")
+    known = spark.createDataFrame([("a", "Acme Inc"), ("b", "Beta Pharma"), ("c", "Gamma")], "id string, name string")
+    products = spark.createDataFrame([("p1", "a"), ("p2", "b"), ("p3", "c")], "product_id string, company_id string")
+    got = {r["docket_id"]: (r["candidates"], r["tier"], r["issue"] is None) for r in matching.docket_preview(hits, known, products).collect()}
+    assert got == {1: (["p1", "p2"], "MEDIUM", True), 2: (["p1"], "LOW", True), 3: (None, None, False), 4: (None, None, False)}
+
+
+def test_references_both_ways(spark):
+    from tideline.operators import detail
+
+    p = spark.createDataFrame([("1", "One", None), ("2", "Two", "1"), ("3", "Aaa", "1")], "product_id string, name string, reference_id string")
+    got = {r["product_id"]: (r["reference"], [x["name"] for x in r["referred_by"] or []]) for r in detail.with_references(p).collect()}
+    assert got == {"1": (None, ["Aaa", "Two"]), "2": ("One", []), "3": ("One", [])}

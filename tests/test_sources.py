@@ -45,6 +45,9 @@ def test_numbered_lines(spark, tmp_path):
     try:
         got = tilde.numbered_lines(spark, str(tmp_path / "f.txt"))
         assert got.count() == 5000 and got.filter("raw != concat('row ', line)").count() == 0
+        (tmp_path / "g.txt").write_text("\n\n".join(f"row {i}" for i in range(1, 3001)) + "\n\n\n")  # empty lines count for nothing
+        got = tilde.numbered_lines(spark, str(tmp_path / "g.txt"))
+        assert got.count() == 3000 and got.filter("raw != concat('row ', line)").count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
@@ -95,10 +98,13 @@ def test_archives_and_addresses(spark, tmp_path):
 
     with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
         z.writestr("in/Products.TXT", "h\r\na~b\n\n")
-    got = archive.members(spark, str(tmp_path / "r.zip"), ["products.txt"])
-    assert [tuple(r) for r in archive.lines_of(spark, got["products.txt"]).collect()] == [(1, "h"), (2, "a~b")]
+        z.writestr("patent.txt", "\ufeff" + "x~y\r\n" * 400_000)
+    got = archive.members(spark, str(tmp_path / "r.zip"), ["products.txt", "Patent.txt"])
+    assert [tuple(r) for r in tilde.numbered_lines(spark, got["products.txt"]).collect()] == [(1, "h"), (2, "a~b")]
+    patents = tilde.numbered_lines(spark, got["Patent.txt"])
+    assert patents.count() == 400_000 and patents.filter("raw != 'x~y'").count() == 0
     with pytest.raises(ValueError, match="in/Products.TXT"):
-        archive.members(spark, str(tmp_path / "r.zip"), ["patent.txt"])
+        archive.members(spark, str(tmp_path / "r.zip"), ["exclusivity.txt"])
     assert archive.monthly_addresses("https://x.org/", dt.date(2026, 1, 5)) == ["https://x.org/2026/january", "https://x.org/2025/december"]
     assert archive.is_apology("<!DOCTYPE html><body>We apologize") and not archive.is_apology("N/R/U,Applicant")
 
@@ -109,3 +115,22 @@ def test_search_hits(spark):
     body = '{"results": [{"docket_id": 1, "caseName": "A v. B", "court_id": "deld", "dateFiled": "2020-01-02"}, {"docket_id": null, "caseName": "C v. D", "court_id": "njd"}, {"docket_id": 3, "caseName": "E v. F", "court_id": "njd", "dateFiled": "soon"}]}'
     good, bad = responses.hits(spark.createDataFrame([(7, body), (8, "no JSON"), (9, None)], "company_id int, body string"))
     assert sorted((r["docket_id"], r["filed"]) for r in good.collect()) == [(1, dt.date(2020, 1, 2)), (3, None)] and bad.count() == 1
+
+
+def test_changed_header_and_exclusivities(lines):
+    raws = ["a~b~c", "N~012345~001~NCE~Jan 5, 2031", "N~012345~001~NCE~soon", "Q~1~1~X~Jan 5, 2031", "A~1~1~~Jan 5, 2031"]
+    good, issues = tilde.exclusivities(lines(raws))
+    assert [(r["application_number"], r["code"], r["expiry"]) for r in good.collect()] == [("NDA012345", "NCE", dt.date(2031, 1, 5))]
+    assert sorted((r["line"], r["reason"]) for r in issues.collect())[0] == (1, "header has 3 columns, expected 5") and issues.count() == 4
+
+
+def test_first_entries_and_terms(spark):
+    from tideline.sources import responses
+
+    body = '{"entries": [{"number": 2, "text": "no", "available": true}, {"number": 1, "text": "yes", "available": true}, {"number": 1, "text": "later", "available": true}]}'
+    rows = [(1, 200, body), (2, 404, None), (3, 500, body), (4, 200, '{"entries": []}'), (5, 200, '{"entries": [{"number": 1, "text": "x", "available": false}]}'), (6, 200, '{"entries": [{"number": 1, "text": " ", "available": true}]}')]
+    got = responses.first_entry(spark.createDataFrame(rows, "case_id int, code int, body string")).orderBy("case_id").collect()
+    assert [(r["status"], r["text"]) for r in got] == [("found", "yes"), ("missing", None), ("error", None), ("missing", None), ("unavailable", None), ("empty", None)]
+    said = [("a", 200, '{"ptaDays": 3}'), ("b", 200, '{"filingDate": "soon"}'), ("c", 200, "<html>"), ("d", 403, None), ("e", 200, "{}")]
+    terms = {r["patent_number"]: (r["status"], r["filing"], r["days"]) for r in responses.terms(spark.createDataFrame(said, "patent_number string, code int, body string")).collect()}
+    assert terms == {"a": ("ok", None, 3), "b": ("ok", None, None), "c": ("error", None, None), "d": ("denied", None, None), "e": ("not_found", None, None)}

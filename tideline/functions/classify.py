@@ -8,15 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of salts, esters and hydrates that are no part of an active ingredient's name.
-SALTS = (
-    "sodium potassium calcium magnesium zinc lithium aluminum ammonium disodium dipotassium "
-    "hydrochloride hcl hydrobromide hbr hydriodide bromide chloride iodide "
-    "besylate besilate mesylate mesilate tosylate tosilate esylate edisylate edisilate camsylate camsilate napsylate napsilate "
-    "maleate fumarate succinate tartrate citrate acetate sulfate sulphate phosphate nitrate gluconate lactate malate oxalate benzoate palmitate "
-    "stearate valerate propionate dipropionate diproprionate decanoate enanthate cypionate pivalate furoate pamoate embonate edetate xinafoate "
-    "trometamol tromethamine meglumine lysine arginine "
-    "monohydrate dihydrate trihydrate hemihydrate anhydrous"
-).split()
+SALTS = [
+    "sodium", "potassium", "calcium", "magnesium", "zinc", "lithium", "aluminum", "ammonium", "disodium", "dipotassium", "hydrochloride", "hcl",
+    "hydrobromide", "hbr", "hydriodide", "bromide", "chloride", "iodide", "besylate", "besilate", "mesylate", "mesilate", "tosylate", "tosilate",
+    "esylate", "edisylate", "edisilate", "camsylate", "camsilate", "napsylate", "napsilate", "maleate", "fumarate", "succinate", "tartrate",
+    "citrate", "acetate", "sulfate", "sulphate", "phosphate", "nitrate", "gluconate", "lactate", "malate", "oxalate", "benzoate", "palmitate",
+    "stearate", "valerate", "propionate", "dipropionate", "diproprionate", "decanoate", "enanthate", "cypionate", "pivalate", "furoate", "pamoate",
+    "embonate", "edetate", "xinafoate", "trometamol", "tromethamine", "meglumine", "lysine", "arginine", "monohydrate", "dihydrate", "trihydrate",
+    "hemihydrate", "anhydrous",
+]
 
 # Name endings and their modality; the longest that any word has decides.
 STEMS = {

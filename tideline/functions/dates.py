@@ -51,26 +51,31 @@ def rolling_date(text: Column) -> Column:
     return F.date_add(F.add_months(F.make_date(part(3), F.lit(1), F.lit(1)), part(1) - 1), part(2) - 1)
 
 
+def shown_date(date: Column) -> Column:
+    """``Aug 24, 2031``."""
+    return F.date_format(date, "MMM d, yyyy")
+
+
 def days_between(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier)
 
 
 def urgency(date: Column, as_of: Column) -> Column:
-    """expired, urgent (180 days), soon (two years) or later."""
+    """open, imminent (180 days), upcoming (two years) or distant."""
     d = F.datediff(date, as_of)
-    return F.when(d <= 0, "expired").when(d <= 180, "urgent").when(d <= 730, "soon").when(d.isNotNull(), "later")
+    return F.when(d <= 0, "open").when(d <= 180, "imminent").when(d <= 730, "upcoming").when(d.isNotNull(), "distant")
 
 
 def relative_days(date: Column, as_of: Column) -> Column:
-    """``in 3 days``, ``2 months ago``, ``in 1.5 years``."""
+    """``in 3 days``, ``2 months ago``, ``in 5 years``, ``Today``."""
     d = F.datediff(date, as_of)
     n = F.abs(d)
     amount = (
         F.when(n < 60, F.concat(n.cast("string"), F.when(n == 1, " day").otherwise(" days")))
         .when(n < 730, F.concat(F.round(n / 30.44).cast("int").cast("string"), F.lit(" months")))
-        .otherwise(F.concat(F.format_number(n / 365.25, 1), F.lit(" years")))
+        .otherwise(F.concat(F.round(n / 365.25).cast("int").cast("string"), F.lit(" years")))
     )
-    return F.when(d == 0, "today").when(d > 0, F.concat(F.lit("in "), amount)).when(d < 0, F.concat(amount, F.lit(" ago")))
+    return F.when(d == 0, "Today").when(d > 0, F.concat(F.lit("in "), amount)).when(d < 0, F.concat(amount, F.lit(" ago")))
 
 
 def term_expiry(nominal: Column, filing: Column, patent_number: Column, days: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words at the end of a company's name that say nothing about which it is.
-SUFFIXES = "inc incorporated corp corporation llc ltd limited co company usa pharmaceuticals pharmaceutical pharma".split()
+SUFFIXES = ["inc", "incorporated", "corp", "corporation", "llc", "ltd", "limited", "co", "company", "usa", "pharmaceuticals", "pharmaceutical", "pharma"]
 
 
 def company(raw: Column) -> Column:
@@ -65,5 +65,5 @@ def manual_confidence(plaintiff_match: Column, defendant_match: Column, products
 
 
 def filer_name(name: Column) -> Column:
-    """A filer's name without its bracketed ticker and number."""
-    return F.trim(F.regexp_replace(name, r"\s*\((?:CIK [^)]*|[A-Z0-9, .\-]+)\)", ""))
+    """A filer's name without the bracketed ticker and number that end it."""
+    return F.trim(F.regexp_replace(name, r"(?i)\s*\([A-Z0-9.]{1,10}\)\s*\(CIK\s*\d+\)\s*$", ""))

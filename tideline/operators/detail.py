@@ -39,12 +39,23 @@ def product_details(products: DataFrame, patents: DataFrame, exclusivities: Data
     return assemble(products, KEY, [p, e, c, *more.values()])
 
 
-def lookup(number: str, patents: DataFrame, products: DataFrame, exclusivities: DataFrame) -> DataFrame:
-    """Patents of this number, compared by digits alone, with their product and its exclusivities."""
+def lookup(number: str, patents: DataFrame, products: DataFrame, exclusivities: DataFrame, links: DataFrame | None = None, challenges: DataFrame | None = None, case_links: DataFrame | None = None, cases: DataFrame | None = None, dockets: DataFrame | None = None) -> DataFrame:
+    """Patents of this number, compared by digits alone, with their product and what hangs on that: exclusivities, challenges, cases with dockets.
+
+    Challenges and cases are the product's, not proof that this patent was in suit; they are
+    joined for the products found alone. Links have source and product_id; without them the arrays are empty.
+    """
     wanted = "".join(ch for ch in number if ch.isdigit())
-    found = patents.filter(digits_only(F.col("patent_number")) == wanted)
-    codes = nested(exclusivities, KEY, "exclusivities", "expiry", ["code", "expiry"])
-    return found.join(products.select(*KEY, "name", "company"), KEY).join(codes, KEY, "left")
+    found = patents.filter(digits_only(F.col("patent_number")) == wanted).join(products.select(*KEY, "name", "alt_name", "company"), KEY)
+    keys = found.select(*KEY).distinct()
+    parts = [nested(exclusivities.join(keys, KEY, "left_semi"), KEY, "exclusivities", "expiry", ["code", "expiry"])]
+    if links is not None and challenges is not None:
+        parts.append(nested(links.join(keys, KEY, "left_semi").join(challenges, "challenge_id"), KEY, "challenges", "submission_date", ["current_status", "submission_date", "submission_kind"], descending=True))
+    if case_links is not None and cases is not None and dockets is not None:
+        theirs = case_links.join(keys, KEY, "left_semi")
+        with_dockets = cases.join(nested(dockets, ["case_id"], "dockets", "filed", ["docket_number", "court", "filed"]), "case_id", "left")
+        parts.append(nested(theirs.join(with_dockets, "case_id"), KEY, "cases", "filed", ["outcome", "filed", "tier", "dockets"], descending=True))
+    return assemble(found, KEY, parts)
 
 
 def dispute_parts(links: DataFrame, challenges: DataFrame, case_links: DataFrame, cases: DataFrame, dockets: DataFrame, settlements: DataFrame) -> list[DataFrame]:
@@ -88,8 +99,8 @@ def entry_facts(estimated: DataFrame, challenges: DataFrame, licences: DataFrame
     challenges: key, first_marketing; licences: key, licensed_entry.
     """
     past = challenges.filter(F.col("first_marketing") <= F.lit(as_of))
-    began = past.groupBy(*KEY).agg(F.min(F.struct("first_marketing")).alias("m"))
-    ties = past.join(began, KEY).filter(F.col("first_marketing") == F.col("m.first_marketing")).groupBy(*KEY).agg(F.first("m.first_marketing").alias("marketed"), F.count(F.lit(1)).alias("n_first"))
+    days = past.groupBy(*KEY, "first_marketing").agg(F.count(F.lit(1)).alias("_n"))  # ties are the rows of the first day
+    ties = days.groupBy(*KEY).agg(F.min("first_marketing").alias("marketed"), F.min_by("_n", "first_marketing").alias("n_first"))
     early = licences.groupBy(*KEY).agg(F.min("licensed_entry").alias("licensed"))
     rows = estimated.join(ties, KEY, "left").join(early, KEY, "left").withColumn("licensed", F.when(F.col("licensed") < F.col("estimate"), F.col("licensed")))
     return rows.withColumn("entry_date", F.coalesce("marketed", "licensed", "estimate")).withColumn("basis", _basis())

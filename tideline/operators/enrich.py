@@ -27,9 +27,11 @@ def suspicious(patents: DataFrame, limit: int) -> DataFrame:
 def outcomes(patents: DataFrame, responses: DataFrame) -> DataFrame:
     """Patents with the outcome of their response and the values that follow.
 
-    responses: patent_number, status (ok, not_found, error), filing, days. Outcomes: error,
-    no_data, flagged (too long a term: dates go back to the nominal one and the adjustment to
-    unknown) and updated. Without a response a patent stays as it is.
+    responses: patent_number, status (ok, not_found, denied, error), filing, days. Outcomes:
+    denied and error (nothing is known, to be asked again), no_data (not found, or found without
+    a filing date), flagged (too long a term: dates go back to the nominal one and the adjustment
+    to unknown) and updated: the adjustment is the days between the nominal and the new date.
+    Without a response a patent stays as it is.
     """
     r = responses.select("patent_number", F.col("status").alias("_status"), F.col("filing").alias("_filing"), F.col("days").alias("_days"))
     joined = patents.join(r, "patent_number", "left")
@@ -37,7 +39,7 @@ def outcomes(patents: DataFrame, responses: DataFrame) -> DataFrame:
     joined = joined.withColumn("_new", expiry)
     outcome = (
         F.when(F.col("_status").isNull(), None)
-        .when(F.col("_status") == "error", "error")
+        .when(F.col("_status").isin("error", "denied"), F.col("_status"))
         .when((F.col("_status") == "not_found") | F.col("_filing").isNull(), "no_data")
         .when(F.datediff("_new", "nominal_expiry") > MOST_DAYS, "flagged")
         .otherwise("updated")
@@ -47,7 +49,33 @@ def outcomes(patents: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.withColumns(
         {
             "expiry": F.when(updated, F.col("_new")).when(flagged, F.col("nominal_expiry")).otherwise(F.col("expiry")),
-            "adjustment_days": F.when(updated, F.coalesce("_days", F.lit(0))).when(flagged, F.lit(None)).otherwise(F.col("adjustment_days")),
-            "filing_date": F.when(updated | flagged, F.col("_filing")).otherwise(F.col("filing_date")),
+            "adjustment_days": F.when(updated, F.datediff("_new", "nominal_expiry")).when(flagged, F.lit(None)).otherwise(F.col("adjustment_days")),
+            "filing_date": F.when(updated, F.col("_filing")).otherwise(F.col("filing_date")),
         }
     ).drop("_status", "_filing", "_days", "_new")
+
+
+def until_denied(responses: DataFrame, order: str) -> DataFrame:
+    """The responses up to the first that was denied, which ends a run; all of them if none was."""
+    stop = responses.filter("status = 'denied'").agg(F.min(order)).first()[0]
+    return responses if stop is None else responses.filter(F.col(order) <= F.lit(stop))
+
+
+def preview(responses: DataFrame) -> DataFrame:
+    """What a person is shown before entering a patent: patent_number, status, filing, standard, nominal_expiry, expiry, adjustment_days.
+
+    Dates are worked out for standard numbers alone; for others the days are told and the rest is theirs to enter.
+    """
+    found = (F.col("status") == "ok") & F.col("filing").isNotNull()
+    standard = F.coalesce(F.col("patent_number").rlike("^[0-9]+$"), F.lit(False))
+    days = F.coalesce("days", F.lit(0))
+    nominal = F.when(found & standard, F.add_months("filing", 240))
+    return responses.select(
+        "patent_number",
+        F.when(found, "found").when(F.col("status").isin("ok", "not_found"), "not_found").otherwise("error").alias("status"),
+        F.when(found, F.col("filing")).alias("filing"),
+        standard.alias("standard"),
+        nominal.alias("nominal_expiry"),
+        F.date_add(nominal, days).alias("expiry"),
+        F.when(found, days).alias("adjustment_days"),
+    )

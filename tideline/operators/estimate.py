@@ -51,19 +51,23 @@ def controlling(patents: DataFrame, exclusivities: DataFrame) -> DataFrame:
     exclusivity it may differ from that of :func:`estimates`.
     """
     p = patents.filter("live").select(
-        *KEY, F.col("expiry"), F.lit(0).alias("rank"), F.lit("patent").alias("kind"), F.col("patent_number").alias("label"), F.col("adjustment_days").isNotNull().alias("verified")
+        *KEY, F.col("expiry"), F.lit(0).alias("rank"), F.lit("patent").alias("kind"), F.col("patent_number").alias("label"), F.col("use_code"), F.col("adjustment_days").isNotNull().alias("verified")
     )
-    e = exclusivities.select(*KEY, F.col("expiry"), F.lit(1).alias("rank"), F.lit("exclusivity").alias("kind"), F.col("code").alias("label"), F.lit(True).alias("verified"))
+    e = exclusivities.select(*KEY, F.col("expiry"), F.lit(1).alias("rank"), F.lit("exclusivity").alias("kind"), F.col("code").alias("label"), F.lit("").alias("use_code"), F.lit(True).alias("verified"))
     # the least of (days before, kind, label): a partial aggregate, no window over all children
-    order = F.struct((-F.unix_date("expiry")).alias("d"), "rank", "label", (~F.col("verified")).alias("unverified"), "expiry", "kind")
+    order = F.struct((-F.unix_date("expiry")).alias("d"), "rank", "label", F.coalesce("use_code", F.lit("")).alias("use_code"), (~F.col("verified")).alias("unverified"), "expiry", "kind")
     best = p.unionByName(e).filter(F.col("expiry").isNotNull()).groupBy(*KEY).agg(F.min(order).alias("b"))
+    label = F.concat(F.initcap(F.col("b.kind")), F.lit(" "), F.col("b.label"), F.when(F.col("b.use_code") != "", F.concat(F.lit(" (use code "), F.col("b.use_code"), F.lit(")"))).otherwise(""))
+    day = F.date_format("b.expiry", "yyyy-MM-dd")
+    unsure = F.lit(", whose term has not been checked yet, so the date may still move")
+    basis = F.concat(F.lit("The latest to expire is "), label, F.when(F.col("b.unverified"), unsure).otherwise(""), F.lit("; nothing else that is listed expires after "), day, F.lit("."))
     return best.select(
         *KEY,
         F.col("b.kind").alias("kind"),
-        F.col("b.label").alias("label"),
+        label.alias("label"),
         F.col("b.expiry").alias("expiry"),
         F.when(F.col("b.unverified"), "pending_verification").otherwise("confirmed").alias("confidence"),
-        F.concat(F.initcap(F.col("b.kind")), F.lit(" "), F.col("b.label"), F.lit(" expires "), F.date_format("b.expiry", "yyyy-MM-dd")).alias("basis"),
+        basis.alias("basis"),
     )
 
 

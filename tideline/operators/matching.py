@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.parties import company
+from tideline.functions.parties import company, court, is_patent_case, manual_confidence, sides
 from tideline.functions.text import compact_upper
 
 
@@ -77,13 +77,19 @@ def companies(names: DataFrame, known: DataFrame, name: str = "name") -> DataFra
     )
 
 
+#: What two parties are told apart by: ids, and names where there is no id.
+PARTIES = ["plaintiff_id", "defendant_id", "plaintiff_name", "defendant_name"]
+
+
 def grouped_cases(hits: DataFrame, days: int = 180) -> DataFrame:
     """Hits with a case number: of the same two parties, each filed within ``days`` of the one before.
 
-    Hits without a filing date go to the parties' first case. Chains are single-linkage by
-    date, which is what adding hits one by one in the order of their dates gives.
+    Parties that are not known (null ids) are told apart by their names (plaintiff, defendant) as
+    they are. Hits without a filing date go to the parties' first case. Chains are single-linkage
+    by date, which is what adding hits one by one in the order of their dates gives.
     """
-    pair = Window.partitionBy("plaintiff_id", "defendant_id").orderBy(F.asc_nulls_first("filed"), "docket_id")
+    hits = hits.withColumns({f"{p}_name": F.when(F.col(f"{p}_id").isNull(), F.col(p)) for p in ("plaintiff", "defendant")})
+    pair = Window.partitionBy(*PARTIES).orderBy(F.asc_nulls_first("filed"), "docket_id")
     gap = F.datediff("filed", F.lag("filed").over(pair))
     starts = F.when(F.coalesce(gap > days, F.lit(False)), 1).otherwise(0)
     return hits.withColumn("_starts", starts).withColumn("case_no", F.sum("_starts").over(pair.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
@@ -91,7 +97,7 @@ def grouped_cases(hits: DataFrame, days: int = 180) -> DataFrame:
 
 def case_summary(grouped: DataFrame) -> DataFrame:
     """Per case: first filing, outcome (open while any docket is), dockets."""
-    return grouped.groupBy("plaintiff_id", "defendant_id", "case_no").agg(
+    return grouped.groupBy(*PARTIES, "case_no").agg(
         F.min("filed").alias("filed"),
         F.when(F.bool_or(F.col("terminated").isNull()), "ONGOING").otherwise("UNCLEAR").alias("outcome"),
         F.count(F.lit(1)).alias("n_dockets"),
@@ -132,3 +138,33 @@ def labelled(records: DataFrame, targets: list[tuple[str, DataFrame, str, str]])
         records = records.join(table.select(F.col(key).alias(column), F.col(label).alias(f"_label{k}")), column, "left")
         labels.append(f"_label{k}")
     return records.withColumn("label", F.coalesce(*labels)).drop(*labels)
+
+
+def party_products(dockets: DataFrame, companies_: DataFrame, products: DataFrame) -> DataFrame:
+    """(docket_id, product_id): the products of both parties' companies, each once.
+
+    No party was searched for here, so neither side comes first. dockets: docket_id, plaintiff,
+    defendant (names); companies_: what :func:`companies` found for names; products: product_id, company_id.
+    """
+    known = companies_.filter(F.col("company_id").isNotNull()).select(F.col("name").alias("_name"), "company_id")
+    sides = dockets.select("docket_id", F.explode(F.array_distinct(F.array("plaintiff", "defendant"))).alias("_name"))
+    return sides.join(known, "_name").select("docket_id", "company_id").distinct().join(products.select("product_id", "company_id"), "company_id").select("docket_id", "product_id").distinct()
+
+
+def docket_preview(hits: DataFrame, known: DataFrame, products: DataFrame) -> DataFrame:
+    """What a person is shown before entering a docket: court, parties, their matches, candidate products and the tier.
+
+    hits: docket_id, caption, court_id, nature, cause. Hits of other courts or without two parties have an issue instead.
+    """
+    rows = hits.withColumn("court", court(F.col("court_id"))).withColumn("_s", sides(F.col("caption")))
+    issue = F.when(F.col("court").isNull(), F.concat(F.lit('court out of scope: "'), F.col("court_id"), F.lit('"'))).when(F.col("_s").isNull(), F.concat(F.lit('no two parties in "'), F.col("caption"), F.lit('"')))
+    rows = rows.withColumn("issue", issue).withColumns({p: F.when(issue.isNull(), F.col(f"_s.{p}")) for p in ("plaintiff", "defendant")}).drop("_s")
+    names = rows.select(F.explode(F.array("plaintiff", "defendant")).alias("name")).filter("name IS NOT NULL")
+    found = companies(names, known)
+    candidates = party_products(rows, found, products).groupBy("docket_id").agg(F.array_sort(F.collect_list("product_id")).alias("candidates"))
+    for p in ("plaintiff", "defendant"):
+        rows = rows.join(found.select(F.col("name").alias(p), F.col("match").alias(f"{p}_match")), p, "left")
+    rows = rows.join(candidates, "docket_id", "left")
+    n = F.coalesce(F.size("candidates"), F.lit(0))
+    tier = manual_confidence(F.col("plaintiff_match"), F.col("defendant_match"), n, F.coalesce(is_patent_case(F.col("nature"), F.col("cause")), F.lit(False)))
+    return rows.withColumn("tier", F.when(F.col("issue").isNull(), tier))

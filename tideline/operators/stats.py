@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.estimate import KEY
@@ -15,9 +15,13 @@ POOL, DAYS = 300, 15
 
 
 def horizon_counts(estimated: DataFrame, as_of: dt.date, days: tuple[int, ...] = (30, 90, 365)) -> DataFrame:
-    """One row: how many estimates lie from ``as_of`` up to so many days later."""
+    """One row: how many estimates lie at most so many days after ``as_of``; those that have passed count."""
+    return estimated.agg(*_horizons(as_of, days))
+
+
+def _horizons(as_of: dt.date, days: tuple[int, ...] = (30, 90, 365)) -> list[Column]:
     ahead = F.datediff("estimate", F.lit(as_of))
-    return estimated.agg(*[F.count(F.when(ahead.between(0, d), 1)).alias(f"within_{d}") for d in days])
+    return [F.count(F.when(ahead <= d, 1)).alias(f"within_{d}") for d in days]
 
 
 def timeline(estimated: DataFrame, as_of: dt.date, months: int = 12) -> DataFrame:
@@ -55,8 +59,7 @@ def diverging(estimated: DataFrame, marketed: DataFrame) -> DataFrame:
 def portfolio(estimated: DataFrame, challenges: DataFrame, marketed: DataFrame, as_of: dt.date) -> DataFrame:
     """One row with all tiles."""
     parts = [
-        estimated.agg(F.count(F.lit(1)).alias("tracked")),
-        horizon_counts(estimated, as_of),
+        estimated.agg(F.count(F.lit(1)).alias("tracked"), *_horizons(as_of)),
         active_challenges(challenges).withColumnRenamed("n", "active_challenges"),
         diverging(estimated, marketed).agg(F.count(F.lit(1)).alias("divergence")),
     ]

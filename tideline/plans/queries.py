@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import classify, dates, display, parties, text
 from tideline.operators import detail, enrich, estimate, matching, search, stats, store
 from tideline.plans import binding as b
-from tideline.sources import layout, responses, tilde
+from tideline.sources import layout, monthly, responses, tilde
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,7 +102,7 @@ def export_lines(spark: SparkSession, d: str) -> DataFrame:
     return search.export_lines(_prepared(spark, d, q), q, columns, {"confidence": {"confirmed": "Confirmed, exactly", "pending_verification": "Pending"}})
 
 
-@query(b.SQL + "SELECT count(*) FILTER (d BETWEEN 0 AND 30) AS within_30, count(*) FILTER (d BETWEEN 0 AND 90) AS within_90, count(*) FILTER (d BETWEEN 0 AND 365) AS within_365 FROM (SELECT datediff('day', DATE '1999-01-01', estimate) AS d FROM est)")
+@query(b.SQL + "SELECT count(*) FILTER (d <= 30) AS within_30, count(*) FILTER (d <= 90) AS within_90, count(*) FILTER (d <= 365) AS within_365 FROM (SELECT datediff('day', DATE '1999-01-01', estimate) AS d FROM est)")
 def horizon_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.horizon_counts(_est(spark, d), b.AS_OF)
 
@@ -124,11 +124,12 @@ def timeline_bars(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     b.SQL
-    + """, c AS (SELECT source, product_id, expiry, 0 AS rank, 'patent' AS kind, patent_number AS label, adjustment_days IS NOT NULL AS verified FROM patents WHERE live
-  UNION ALL SELECT source, product_id, expiry, 1, 'exclusivity', code, true FROM exclusivities),
-n AS (SELECT *, row_number() OVER (PARTITION BY source, product_id ORDER BY expiry DESC, rank, label, verified DESC) AS nth FROM c)
-SELECT source, product_id, kind, label, expiry, CASE WHEN verified THEN 'confirmed' ELSE 'pending_verification' END AS confidence,
-  upper(kind[1]) || kind[2:] || ' ' || label || ' expires ' || expiry::VARCHAR AS basis FROM n WHERE nth = 1"""
+    + """, c AS (SELECT source, product_id, expiry, 0 AS rank, 'patent' AS kind, patent_number AS label, use_code, adjustment_days IS NOT NULL AS verified FROM patents WHERE live
+  UNION ALL SELECT source, product_id, expiry, 1, 'exclusivity', code, '', true FROM exclusivities),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, product_id ORDER BY expiry DESC, rank, label, use_code, verified DESC) AS nth FROM c),
+s AS (SELECT *, CASE kind WHEN 'patent' THEN 'Patent ' ELSE 'Exclusivity ' END || label || CASE WHEN use_code <> '' THEN ' (use code ' || use_code || ')' ELSE '' END AS said FROM n WHERE nth = 1)
+SELECT source, product_id, kind, said AS label, expiry, CASE WHEN verified THEN 'confirmed' ELSE 'pending_verification' END AS confidence,
+  'The latest to expire is ' || said || CASE WHEN verified THEN '' ELSE ', whose term has not been checked yet, so the date may still move' END || '; nothing else that is listed expires after ' || expiry::VARCHAR || '.' AS basis FROM s"""
 )
 def controlling_item(spark: SparkSession, d: str) -> DataFrame:
     return estimate.controlling(b.patents(spark, d), b.exclusivities(spark, d))
@@ -146,7 +147,7 @@ def _challenges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     b.SQL
-    + """SELECT (SELECT count(*) FROM est) AS tracked, count(*) FILTER (d BETWEEN 0 AND 30) AS within_30, count(*) FILTER (d BETWEEN 0 AND 90) AS within_90, count(*) FILTER (d BETWEEN 0 AND 365) AS within_365,
+    + """SELECT (SELECT count(*) FROM est) AS tracked, count(*) FILTER (d <= 30) AS within_30, count(*) FILTER (d <= 90) AS within_90, count(*) FILTER (d <= 365) AS within_365,
   (SELECT count(*) FROM events WHERE event_type <> 'error') AS active_challenges,
   (SELECT count(*) FROM (SELECT DISTINCT * FROM marketed) m JOIN est e USING (source, product_id) WHERE marketing_date < estimate) AS divergence
 FROM (SELECT datediff('day', DATE '1999-01-01', estimate) AS d FROM est)"""
@@ -288,15 +289,18 @@ def token_containment_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT o_orderkey AS docket_id, o_custkey % 100 AS plaintiff_id, o_custkey % 7 AS defendant_id, o_orderdate::DATE AS filed, CASE WHEN o_orderstatus = 'F' THEN o_orderdate::DATE END AS terminated FROM orders),
-g AS (SELECT *, CASE WHEN datediff('day', lag(filed) OVER w, filed) > 30 THEN 1 ELSE 0 END AS s FROM h WINDOW w AS (PARTITION BY plaintiff_id, defendant_id ORDER BY filed NULLS FIRST, docket_id)),
-c AS (SELECT *, sum(s) OVER (PARTITION BY plaintiff_id, defendant_id ORDER BY filed NULLS FIRST, docket_id ROWS UNBOUNDED PRECEDING)::BIGINT AS case_no FROM g)
-SELECT plaintiff_id, defendant_id, case_no, min(filed) AS filed, CASE WHEN bool_or(terminated IS NULL) THEN 'ONGOING' ELSE 'UNCLEAR' END AS outcome, count(*) AS n_dockets FROM c GROUP BY 1, 2, 3"""
+    """WITH h AS (SELECT o_orderkey AS docket_id, CASE WHEN o_custkey % 100 > 30 THEN o_custkey % 100 END AS plaintiff_id, CASE WHEN o_custkey % 7 > 1 THEN o_custkey % 7 END AS defendant_id,
+  CASE WHEN o_custkey % 100 <= 30 THEN 'party ' || o_custkey % 50 END AS plaintiff_name, CASE WHEN o_custkey % 7 <= 1 THEN 'party ' || o_custkey % 3 END AS defendant_name, o_orderdate::DATE AS filed, CASE WHEN o_orderstatus = 'F' THEN o_orderdate::DATE END AS terminated FROM orders),
+g AS (SELECT *, CASE WHEN datediff('day', lag(filed) OVER w, filed) > 30 THEN 1 ELSE 0 END AS s FROM h WINDOW w AS (PARTITION BY plaintiff_id, defendant_id, plaintiff_name, defendant_name ORDER BY filed NULLS FIRST, docket_id)),
+c AS (SELECT *, sum(s) OVER (PARTITION BY plaintiff_id, defendant_id, plaintiff_name, defendant_name ORDER BY filed NULLS FIRST, docket_id ROWS UNBOUNDED PRECEDING)::BIGINT AS case_no FROM g)
+SELECT plaintiff_id, defendant_id, plaintiff_name, defendant_name, case_no, min(filed) AS filed, CASE WHEN bool_or(terminated IS NULL) THEN 'ONGOING' ELSE 'UNCLEAR' END AS outcome, count(*) AS n_dockets FROM c GROUP BY 1, 2, 3, 4, 5"""
 )
 def proximity_grouping(spark: SparkSession, d: str) -> DataFrame:
     o = b.table(spark, d, "orders")
+    a, z = F.col("o_custkey") % 100, F.col("o_custkey") % 7
+    party = lambda k: F.concat(F.lit("party "), (F.col("o_custkey") % k).cast("string"))
     hits = o.select(
-        F.col("o_orderkey").alias("docket_id"), (F.col("o_custkey") % 100).alias("plaintiff_id"), (F.col("o_custkey") % 7).alias("defendant_id"), F.to_date("o_orderdate").alias("filed"), F.when(F.col("o_orderstatus") == "F", F.to_date("o_orderdate")).alias("terminated")
+        F.col("o_orderkey").alias("docket_id"), F.when(a > 30, a).alias("plaintiff_id"), F.when(z > 1, z).alias("defendant_id"), party(50).alias("plaintiff"), party(3).alias("defendant"), F.to_date("o_orderdate").alias("filed"), F.when(F.col("o_orderstatus") == "F", F.to_date("o_orderdate")).alias("terminated")
     )
     return matching.case_summary(matching.grouped_cases(hits, 30))
 
@@ -355,27 +359,51 @@ def nested_detail(spark: SparkSession, d: str) -> DataFrame:
     return full.select("source", "product_id", said("patents", "patent_number").alias("patents"), said("exclusivities", "code").alias("exclusivities"))
 
 
-@query(b.SQL + "SELECT p.source, p.product_id, patent_number, name, company FROM patents p JOIN products USING (source, product_id) WHERE regexp_replace(patent_number, '[^0-9]', '', 'g') = '171'")
+@query(
+    b.SQL
+    + """, f AS (SELECT p.*, name, company FROM patents p JOIN products USING (source, product_id) WHERE regexp_replace(patent_number, '[^0-9]', '', 'g') = '171'),
+x AS (SELECT source, product_id, string_agg(code || '@' || expiry, ';' ORDER BY expiry, code) AS exclusivities FROM exclusivities GROUP BY ALL),
+o AS (SELECT o_orderkey::VARCHAR AS product_id, o_custkey, o_orderpriority FROM orders),
+ch AS (SELECT product_id, string_agg(coalesce(st, '-') || '@' || coalesce(day::VARCHAR, '-'), ';' ORDER BY day DESC NULLS FIRST, st NULLS FIRST, kind) AS challenges FROM o JOIN
+  (SELECT user_id, CASE event_type WHEN 'error' THEN 'EXTINGUISHED' WHEN 'click' THEN 'ELIGIBLE' END AS st, CASE WHEN event_type <> 'view' THEN ts::DATE END AS day, event_type AS kind FROM events) e ON o_custkey = user_id GROUP BY 1),
+ca AS (SELECT product_id, string_agg(c_mktsegment || '/' || dk, ';') AS cases FROM o JOIN customer ON o_custkey = c_custkey JOIN (SELECT user_id, string_agg(event_id || '@' || ts::DATE, '+' ORDER BY ts::DATE, event_id::VARCHAR) AS dk FROM events GROUP BY 1) e ON e.user_id = c_custkey GROUP BY 1)
+SELECT f.source, f.product_id, patent_number, use_code, name, company, coalesce(exclusivities, '') AS exclusivities, CASE WHEN f.source = 'A' THEN coalesce(challenges, '') ELSE '' END AS challenges,
+  CASE WHEN f.source = 'A' THEN coalesce(cases, '') ELSE '' END AS cases FROM f LEFT JOIN x USING (source, product_id) LEFT JOIN ch ON ch.product_id = f.product_id LEFT JOIN ca ON ca.product_id = f.product_id"""
+)
 def patent_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return detail.lookup("17-1", b.patents(spark, d), b.products(spark, d), b.exclusivities(spark, d)).select("source", "product_id", "patent_number", "name", "company")
+    e, o = b.table(spark, d, "events"), b.table(spark, d, "orders")
+    status = F.when(F.col("event_type") == "error", "EXTINGUISHED").when(F.col("event_type") == "click", "ELIGIBLE")
+    challenges = e.select(F.col("event_id").alias("challenge_id"), "user_id", status.alias("current_status"), F.when(F.col("event_type") != "view", F.to_date("ts")).alias("submission_date"), F.col("event_type").alias("submission_kind"))
+    product = [F.lit("A").alias("source"), F.col("o_orderkey").cast("string").alias("product_id")]
+    links = o.join(challenges.select("challenge_id", "user_id"), F.col("o_custkey") == F.col("user_id")).select(*product, "challenge_id")
+    cases = b.table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("outcome"), F.lit(None).cast("date").alias("filed"), F.lit("LOW").alias("tier"))
+    dockets = e.select(F.col("user_id").alias("case_id"), F.col("event_id").cast("string").alias("docket_number"), F.lit("DE").alias("court"), F.to_date("ts").alias("filed"))
+    found = detail.lookup("17-1", b.patents(spark, d), b.products(spark, d), b.exclusivities(spark, d), links, challenges.drop("user_id"), o.select(*product, F.col("o_custkey").alias("case_id")), cases, dockets)
+    at = lambda x, y: F.concat(F.coalesce(x, F.lit("-")), F.lit("@"), F.coalesce(y.cast("string"), F.lit("-")))
+    told = {
+        "exclusivities": F.transform("exclusivities", lambda s: at(s["code"], s["expiry"])),
+        "challenges": F.transform("challenges", lambda s: at(s["current_status"], s["submission_date"])),
+        "cases": F.transform("cases", lambda s: F.concat(s["outcome"], F.lit("/"), F.array_join(F.transform(s["dockets"], lambda k: at(k["docket_number"], k["filed"])), "+"))),
+    }
+    return found.select("source", "product_id", "patent_number", "use_code", "name", "company", *[F.array_join(c, ";").alias(n) for n, c in told.items()])
 
 
 @query(
     """SELECT o_custkey % 40 AS plaintiff, o_custkey % 9 AS defendant, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'ONGOING' ELSE 'OTHER' END AS outcome, count(*) AS n_cases, min(o_orderdate)::DATE AS filed,
-  CASE max(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS notes FROM orders GROUP BY 1, 2"""
+  CASE max(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS notes, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS dockets FROM orders GROUP BY 1, 2"""
 )
 def merged_cases(spark: SparkSession, d: str) -> DataFrame:
     k, pr = F.col("o_custkey"), F.col("o_orderpriority")
     cases = b.table(spark, d, "orders").select(
         (k % 40).alias("plaintiff"), (k % 9).alias("defendant"), F.when(F.col("o_orderstatus") == "O", "ONGOING").otherwise("OTHER").alias("outcome"), F.when(pr == "1-URGENT", "HIGH").when(pr == "2-HIGH", "MEDIUM").otherwise("LOW").alias("tier"), pr.alias("note"), F.array("o_orderkey").alias("dockets"), F.to_date("o_orderdate").alias("filed")
     )
-    return detail.merged_cases(cases).select("plaintiff", "defendant", "outcome", "n_cases", "filed", "tier", F.array_join("notes", ",").alias("notes"))
+    return detail.merged_cases(cases).select("plaintiff", "defendant", "outcome", "n_cases", "filed", "tier", F.array_join("notes", ",").alias("notes"), F.array_join("dockets", ",").alias("dockets"))
 
 
-@query("SELECT user_id AS product_id, arg_max(struct_pack(c := event_type, l := (ts + INTERVAL 1 YEAR)::DATE, f := ts::DATE), struct_pack(a := ts::DATE, b := event_id))['c'] AS counterparty, max(ts)::DATE AS filed FROM events GROUP BY user_id, lower(event_type)")
+@query("SELECT user_id AS product_id, arg_max(struct_pack(c := event_type, l := (ts + INTERVAL 1 YEAR)::DATE, f := ts::DATE), struct_pack(a := ts::DATE, b := event_id))['c'] AS counterparty, arg_max((ts + INTERVAL 1 YEAR)::DATE, struct_pack(a := ts::DATE, b := event_id)) AS licensed_entry, max(ts)::DATE AS filed FROM events GROUP BY user_id, lower(event_type)")
 def latest_disclosures(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "events").select(F.col("user_id").alias("product_id"), F.col("event_type").alias("counterparty"), F.to_date(F.col("ts") + F.expr("interval 1 year")).alias("licensed_entry"), F.to_date("ts").alias("filed"), F.col("event_id").alias("disclosure_id"))
-    return detail.latest_disclosures(e).select("product_id", "counterparty", "filed")
+    return detail.latest_disclosures(e).select("product_id", "counterparty", "licensed_entry", "filed")
 
 
 @query(
@@ -431,7 +459,7 @@ def term_math(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", dates.term_expiry(ship, ship, number, (F.col("l_quantity") * 10).cast("int")).alias("expiry"))
 
 
-@query("SELECT CASE WHEN d <= 0 THEN 'expired' WHEN d <= 180 THEN 'urgent' WHEN d <= 730 THEN 'soon' ELSE 'later' END AS urgency, count(*) AS n FROM (SELECT datediff('day', DATE '1999-01-01', l_shipdate::DATE) AS d FROM lineitem) GROUP BY 1")
+@query("SELECT CASE WHEN d <= 0 THEN 'open' WHEN d <= 180 THEN 'imminent' WHEN d <= 730 THEN 'upcoming' ELSE 'distant' END AS urgency, count(*) AS n FROM (SELECT datediff('day', DATE '1999-01-01', l_shipdate::DATE) AS d FROM lineitem) GROUP BY 1")
 def urgency_buckets(spark: SparkSession, d: str) -> DataFrame:
     rows = b.table(spark, d, "lineitem").select(dates.urgency(F.to_date("l_shipdate"), F.lit(b.AS_OF)).alias("urgency"))
     return rows.groupBy("urgency").agg(F.count(F.lit(1)).alias("n"))
@@ -442,10 +470,13 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("body"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"[^>]*>', 1)) AS href FROM pages WHERE contains(html, '<a ')")
+@query(
+    """WITH t AS (SELECT unnest(regexp_extract_all(html, '(?is)(<a\\s[^>]*>.*?</a>)', 1)) AS tag FROM pages),
+s AS (SELECT tag, concat_ws(' ', regexp_replace(tag, '<[^>]*>', ' ', 'g'), regexp_extract(tag, '(?is)^<a\\s[^>]*title="([^"]*)"', 1)) AS said FROM t)
+SELECT href, count(*) AS n FROM (SELECT regexp_extract(tag, '(?is)^<a\\s[^>]*href="([^"]*)"', 1) AS href FROM s WHERE contains(lower(said), 'e')) WHERE href <> '' GROUP BY 1"""
+)
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"[^>]*>'), 1)
-    return b.table(spark, d, "pages").select("page_id", F.explode(found).alias("href"))
+    return monthly.links(b.table(spark, d, "pages"), "E").groupBy("href").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, (props::JSON->>'k')::INT AS k FROM events WHERE (props::JSON->>'k')::INT >= 50")
@@ -462,9 +493,17 @@ def caption_sides(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "s.plaintiff", "s.defendant")
 
 
-@query(None)
+_TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(
+    b.SQL
+    + f""", t AS (SELECT product_id, source, name, alt_name, {_TRIGRAMS.format("name")} AS a, {_TRIGRAMS.format("'widge'")} AS q FROM products),
+s AS (SELECT *, len(list_intersect(a, q)) / len(list_distinct(list_concat(a, q)))::DOUBLE AS score FROM t)
+SELECT product_id, source, name, alt_name, score FROM (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY product_id) AS nth FROM s WHERE contains(lower(name), 'widge') OR score >= 0.3) WHERE nth = 1 ORDER BY score DESC, name, source LIMIT 25"""
+)
 def autocomplete_trigram(spark: SparkSession, d: str) -> DataFrame:
-    return search.autocomplete(b.products(spark, d).filter("source = 'B'"), "widge", 10)
+    return search.autocomplete(b.products(spark, d), "widge", 25)
 
 
 # --- sources, ranges, snapshots ----------------------------------------------------------------------
@@ -496,12 +535,16 @@ def range_join_bands(spark: SparkSession, d: str) -> DataFrame:
     return layout.in_bands(e, bands, [0.0, 10.0, 25.0, 60.0]).select(F.col("str").cast("long").alias("event_id"), "band", "column")
 
 
-@query("SELECT category, n FROM (SELECT 'unknown ' || event_type || ' \"…\"' AS category, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'no value', count(*) FROM events WHERE value < 5) WHERE n > 0 ORDER BY n DESC, category LIMIT 20")
+@query(
+    """WITH i AS (SELECT 'unknown ' || event_type || ' "…"' AS category, event_id, props FROM events UNION ALL SELECT 'no value', event_id, props FROM events WHERE value < 5),
+n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY event_id, props) AS nth FROM i)
+SELECT category, count(*) AS n, string_agg(props, '|' ORDER BY nth) FILTER (nth <= 3) AS examples FROM n GROUP BY 1 ORDER BY n DESC, category LIMIT 20"""
+)
 def issue_categories(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "events")
     said = e.select(F.lit("events").alias("file"), F.col("event_id").alias("line"), F.concat(F.lit("unknown "), F.col("event_type"), F.lit(' "'), F.col("user_id").cast("string"), F.lit('"')).alias("reason"), F.col("props").alias("raw"))
     empty = e.filter("value < 5").select(F.lit("events").alias("file"), F.col("event_id").alias("line"), F.lit("no value").alias("reason"), F.col("props").alias("raw"))
-    return tilde.issue_categories(said.unionByName(empty)).select("category", "n")
+    return tilde.issue_categories(said.unionByName(empty)).select("category", "n", F.array_join("examples", "|").alias("examples"))
 
 
 _NEW = "SELECT c_custkey + 700 AS c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS c_acctbal FROM customer"
@@ -560,7 +603,7 @@ def before_after_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS patent_number, l_shipdate::DATE AS nominal, l_suppkey % 5 AS s, (l_quantity * 100)::INT AS days FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_extendedprice) = 1)
-SELECT patent_number, CASE s WHEN 0 THEN NULL WHEN 1 THEN 'error' WHEN 2 THEN 'no_data' ELSE CASE WHEN days > 3650 THEN 'flagged' ELSE 'updated' END END AS outcome,
+SELECT patent_number, CASE s WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN days % 200 = 0 THEN 'denied' ELSE 'error' END WHEN 2 THEN 'no_data' ELSE CASE WHEN days > 3650 THEN 'flagged' ELSE 'updated' END END AS outcome,
   CASE WHEN s >= 3 AND days <= 3650 THEN nominal + days ELSE nominal END AS expiry, CASE WHEN s >= 3 AND days <= 3650 THEN days END AS adjustment_days FROM p"""
 )
 def term_enrichment(spark: SparkSession, d: str) -> DataFrame:
@@ -568,19 +611,19 @@ def term_enrichment(spark: SparkSession, d: str) -> DataFrame:
     one = estimate.first_seen(li, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_suppkey", "l_extendedprice"])
     rows = one.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]).alias("patent_number"), F.to_date("l_shipdate").alias("day"), (F.col("l_suppkey") % 5).alias("s"), (F.col("l_quantity") * 100).cast("int").alias("days"))
     patents = rows.select("patent_number", F.col("day").alias("nominal_expiry"), F.col("day").alias("expiry"), F.lit(None).cast("int").alias("adjustment_days"), F.lit(None).cast("date").alias("filing_date"))
-    answers = rows.filter("s > 0").select("patent_number", F.when(F.col("s") == 1, "error").when(F.col("s") == 2, "not_found").otherwise("ok").alias("status"), F.add_months("day", -240).alias("filing"), "days")
+    answers = rows.filter("s > 0").select("patent_number", F.when((F.col("s") == 1) & (F.col("days") % 200 == 0), "denied").when(F.col("s") == 1, "error").when((F.col("s") == 2) & (F.col("days") % 200 == 0), "not_found").otherwise("ok").alias("status"), F.when(F.col("s") != 2, F.add_months("day", -240)).alias("filing"), "days")
     return enrich.outcomes(patents, answers).select("patent_number", "outcome", "expiry", "adjustment_days")
 
 
 @query(
     """WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END AS code, ts::DATE AS d, user_id, event_id % 6 AS k FROM events)
-SELECT event_id AS patent_number, CASE WHEN code = 403 THEN 'denied' WHEN code = 404 OR k = 3 THEN 'not_found' WHEN code <> 200 OR k = 4 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k = 5 THEN d END AS filing, CASE WHEN k = 5 THEN user_id::INT END AS days FROM r"""
+SELECT event_id AS patent_number, CASE WHEN code = 403 THEN 'denied' WHEN code = 404 OR k = 3 THEN 'not_found' WHEN code <> 200 OR (k = 4 AND user_id % 2 = 0) THEN 'error' ELSE 'ok' END AS status, CASE WHEN k = 5 THEN d END AS filing, CASE WHEN k = 5 OR (k = 4 AND user_id % 2 = 1) THEN user_id::INT END AS days FROM r"""
 )
 def term_responses(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 6
     whole = F.to_json(F.struct(F.to_date("ts").cast("string").alias("filingDate"), F.col("user_id").cast("int").alias("ptaDays")))
     rows = b.table(spark, d, "events").select(
-        F.col("event_id").alias("patent_number"), F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 500).otherwise(200).alias("code"), F.when(k == 3, "").when(k == 4, "no JSON").otherwise(whole).alias("body")
+        F.col("event_id").alias("patent_number"), F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 500).otherwise(200).alias("code"), F.when(k == 3, "").when((k == 4) & (F.col("user_id") % 2 == 0), "no JSON").when(k == 4, F.to_json(F.struct(F.col("user_id").cast("int").alias("ptaDays")))).otherwise(whole).alias("body")
     )
     return responses.terms(rows)
 
@@ -599,8 +642,9 @@ def submission_labels(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "orders").select("o_orderkey", display.submission_label(kind, day).alias("label"), display.month_end(day).alias("month_end"))
 
 
-@query("SELECT e.user_id, count(*) AS n_linked, count(c_custkey) AS n_known FROM events e LEFT JOIN customer ON c_custkey = user_id GROUP BY 1")
+@query("SELECT e.user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS source, coalesce(c_name, p_name) AS name, coalesce(c_mktsegment, p_brand) AS company FROM events e LEFT JOIN customer ON event_id % 2 = 0 AND c_custkey = user_id LEFT JOIN part ON event_id % 2 = 1 AND p_partkey = user_id")
 def watchlist_join(spark: SparkSession, d: str) -> DataFrame:
-    items = b.table(spark, d, "events").select("user_id", F.lit("A").alias("source"), F.col("user_id").cast("string").alias("product_id"))
-    products = b.table(spark, d, "customer").select(F.lit("A").alias("source"), F.col("c_custkey").cast("string").alias("product_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("company"))
-    return store.watchlist(items, products).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_linked"), F.count("name").alias("n_known"))
+    items = b.table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("source"), F.col("user_id").cast("string").alias("product_id"))
+    a = b.table(spark, d, "customer").select(F.lit("A").alias("source"), F.col("c_custkey").cast("string").alias("product_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("company"))
+    z = b.table(spark, d, "part").select(F.lit("B").alias("source"), F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("company"))
+    return store.watchlist(items, a.unionByName(z)).select("user_id", "event_id", "source", "name", "company")

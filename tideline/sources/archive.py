@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
+import codecs
 import datetime as dt
-import io
+import uuid
 import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
+
+from tideline.session import cut, scratch_path
 
 MONTHS = "january february march april may june july august september october november december".split()
+#: Bytes of a member unpacked at once.
+PIECE = 1 << 20
 
 
 def members(spark: SparkSession, path: str, names: list[str]) -> dict[str, str]:
-    """The texts of the members, found by name in any case and any folder; raises with the names that there are.
+    """Paths of the unpacked members in the shared folder, found by name in any case and any folder; raises with the names that there are.
 
-    A release is one zip file of a few MB, so it is unpacked on the driver.
+    The driver reads the archive's directory alone. Tasks unpack the members, a piece at a time, each to a
+    file of its own; what the committed attempts return is read. Read the lines by :func:`tilde.numbered_lines`.
     """
-    (row,) = spark.read.format("binaryFile").load(path).select("content").collect()
-    with zipfile.ZipFile(io.BytesIO(bytes(row["content"]))) as z:
+    with _opened(path) as z:
         there = {n.rpartition("/")[2].lower(): n for n in z.namelist()}
-        missing = [n for n in names if n.lower() not in there]
-        if missing:
-            raise ValueError(f"no {', '.join(missing)} in the archive, which has {', '.join(z.namelist())}")
-        return {n: z.read(there[n.lower()]).decode("utf-8-sig", "replace") for n in names}
+    missing = [n for n in names if n.lower() not in there]
+    if missing:
+        raise ValueError(f"no {', '.join(missing)} in the archive, which has {', '.join(there.values())}")
+    folder = scratch_path(spark, "archive")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = f"{uuid.uuid4().hex}.txt"
+                with _opened(path) as z, z.open(member) as source, fs.open_output_stream(f"{root}/{file}") as sink:
+                    piece = source.read(PIECE).removeprefix(codecs.BOM_UTF8)
+                    while piece:
+                        sink.write(piece)
+                        piece = source.read(PIECE)
+                yield pa.RecordBatch.from_pydict({"name": [name], "file": [file]})
+
+    wanted = spark.createDataFrame([(n, there[n.lower()]) for n in names], "name string, member string").repartition(len(names), "name")
+    return {r["name"]: f"{folder}/{r['file']}" for r in cut(wanted.mapInArrow(unpack, "name string, file string")).collect()}
 
 
-def lines_of(spark: SparkSession, text: str) -> DataFrame:
-    """(line, raw) of a text, empty lines left out and numbered as they come."""
-    rows = [(k, x) for k, x in enumerate((x for x in text.replace("\r\n", "\n").split("\n") if x), 1)]
-    return spark.createDataFrame(rows, "line long, raw string")
+def _opened(path: str) -> zipfile.ZipFile:
+    fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return zipfile.ZipFile(fs.open_input_file(root))
 
 
 def monthly_addresses(base: str, as_of: dt.date) -> list[str]:

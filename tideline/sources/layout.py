@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values of the printed list, in points.
 #: The band in which a first page's header stands; the gap that begins a column; the least width of a row's band; slack.
 HEADER, GAP, WIDTH, SLACK = (495.0, 550.0), 25, 400.0, 0.75
 

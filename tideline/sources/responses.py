@@ -18,14 +18,14 @@ HITS = 20
 def terms(responses: DataFrame) -> DataFrame:
     """(patent_number, status, filing, days) from (patent_number, code, body).
 
-    404 and an empty body are not_found, 403 stops a run and is kept as denied, other
-    codes than 200 and bodies that don't parse are error.
+    404 and an empty body are not_found, 403 stops a run and is kept as denied, other codes than
+    200 and bodies that are no JSON are error. A body without a readable filing date is ok without one.
     """
     body = F.from_json("body", TERM)
     status = (
         F.when(F.col("code") == 403, "denied")
         .when((F.col("code") == 404) | ((F.col("code") == 200) & (F.trim(F.coalesce("body", F.lit(""))).isin("", "{}", "[]"))), "not_found")
-        .when((F.col("code") != 200) | body["filingDate"].try_cast("date").isNull(), "error")
+        .when((F.col("code") != 200) | F.get_json_object("body", "$").isNull(), "error")
         .otherwise("ok")
     )
     return responses.select("patent_number", status.alias("status"), F.when(status == "ok", body["filingDate"].try_cast("date")).alias("filing"), F.when(status == "ok", body["ptaDays"]).alias("days"))
@@ -51,6 +51,17 @@ def hits(responses: DataFrame, most: int = HITS) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter(~F.coalesce(whole, F.lit(False))).withColumn("reason", F.lit("a hit without an id, a caption or a court"))
 
 
+def first_entry(responses: DataFrame) -> DataFrame:
+    """(case_id, status, text): the text of each case's entry number one, and what came of asking for it.
+
+    ``responses``: case_id, code, body with entries of number, text and available. Of several entries of that number the first in the body counts.
+    """
+    entries = F.from_json("body", "struct<entries:array<struct<number:int,text:string,available:boolean>>>")["entries"]
+    one = F.get(F.filter(entries, lambda e: e["number"] == 1), F.lit(0))
+    told = F.when(F.col("code") != 200, document_status(F.col("code"), F.lit(None).cast("string"))).when(one.isNull(), "missing").when(~F.coalesce(one["available"], F.lit(False)), "unavailable").otherwise(document_status(F.col("code"), one["text"]))
+    return responses.select("case_id", told.alias("status"), F.when(told == "found", one["text"]).alias("text"))
+
+
 def document_status(code: Column, text: Column) -> Column:
     """found, empty, missing or error: what came of asking for a document's text."""
     return F.when(code == 404, "missing").when(code != 200, "error").when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").otherwise("found")

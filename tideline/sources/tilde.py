@@ -18,10 +18,10 @@ ISSUES = ["file", "line", "reason", "raw"]
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, raw): the lines of a file that are not empty, numbered from 1.
 
-    Numbers are positions among the file's lines in the order of the reader's splits; a
+    Numbers are positions among these lines in the order of the reader's splits; a
     running count inside each split follows one count per split, so no single task sees the file.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("_id")).withColumn("_part", F.shiftright("_id", 33))
+    raw = spark.read.text(path).filter("value != ''").select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("_id")).withColumn("_part", F.shiftright("_id", 33))
     sizes = {r["_part"]: r["n"] for r in raw.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per split
     base, before = [], 0
     for part in sorted(sizes):
@@ -32,13 +32,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fields(lines: DataFrame, names: list[str], file: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with one column per name, without the header line; and the lines of another width."""
+    """Rows with one column per name, without the header line; and issues: lines of another width, the header too."""
     first = lines.agg(F.min("line")).first()[0] or 1
-    split = lines.filter(F.col("line") > first).withColumn("_f", F.split("raw", "~"))
+    cut = lines.withColumn("_f", F.split("raw", "~"))
+    split = cut.filter(F.col("line") > first)
     wide = F.size("_f") == len(names)
+    changed = F.concat(F.lit("header has "), F.size("_f").cast("string"), F.lit(f" columns, expected {len(names)}"))
+    head = cut.filter((F.col("line") == first) & ~wide).select(F.lit(file).alias("file"), "line", changed.alias("reason"), "raw")
     good = split.filter(wide).select("line", "raw", *[F.col("_f")[k].alias(n) for k, n in enumerate(names) if n])
     reason = F.concat(F.lit(f"expected {len(names)} fields, got "), F.size("_f").cast("string"))
-    return good, split.filter(~wide).select(F.lit(file).alias("file"), "line", reason.alias("reason"), "raw")
+    return good, head.unionByName(split.filter(~wide).select(F.lit(file).alias("file"), "line", reason.alias("reason"), "raw"))
 
 
 def divided(rows: DataFrame, reason: Column, file: str) -> tuple[DataFrame, DataFrame]:
