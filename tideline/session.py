@@ -68,6 +68,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless one row is larger.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded in bytes as well as in rows, so that long texts do not come in thousands at once."""
+    now = df.sparkSession.conf.get(_BATCH, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete folders that were written by :func:`scratch_path` and that nothing reads any more."""
     for path in paths:
