@@ -3,8 +3,9 @@
 Alternating star operations (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014). Every pass is a grouped minimum and a join in
 Spark; each pass ends in a reliable checkpoint, so a lost executor costs one
-pass. Nodes with a large share of all edges are joined by broadcast, so that
-their edges stay where they are. Nodes may be of any type that has an order.
+pass. A node with many edges is a skewed key of one join, which AQE splits:
+the other side has one row for each node. Nodes of a fixed size (numbers) are
+aggregated in hash tables.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import cut, join_hot
+from tideline.session import cut
 
 #: Passes after which something must be wrong: the method needs about log2 of the nodes, squared at worst.
 MOST_PASSES = 200
@@ -32,11 +33,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         # large star: the larger neighbours of u go to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_hot(both, least, "u", "n", 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         # small star: the smaller neighbours of u, and u, go to the smallest
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, lowest, "u", "n", 2 * before[0]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         now = _state(e)
         if now == before:

@@ -9,8 +9,7 @@ blocks is one task's group; in it the same holds for tile pairs, and the rest
 are compared with numpy's exclusive or and bit counts. A group returns a
 spanning forest of its links, never all pairs, so that a large family of near
 copies stays linear. Components of all forests are found by star operations in
-Spark over nodes that are ordered by their least id, so that a root names its
-component.
+Spark; only fingerprints with links are renamed by their component's least id.
 
 Cost: the comparison is exact, so its work is quadratic in the *distinct*
 fingerprints, less what the counts skip (of random pairs about nine tenths).
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.components import components
 from tideline.llm.textbytes import LOWER, single_spaced, slices, words
-from tideline.session import cut, fresh_name, join_hot, written
+from tideline.session import bounded_batches, cut, fresh_name, join_hot, written
 
 SEED = 42
 #: A block holds SPREAD times the root of all fingerprints, and LEAST at least.
@@ -100,7 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=[id_col, "_text_hash", "_fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).cast("string").alias("_text"))
+    rows = bounded_batches(docs).select(F.col(id_col), F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, _text_hash long, _fp long")
 
 
@@ -219,16 +218,16 @@ def near_links(fps: DataFrame, radius: int, least: int = LEAST) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
-    """One row per input row: _id, _text_hash, _fp and _root, the least (no id, id, fingerprint) of its component."""
+    """One row per input row: _id, _text_hash, _fp, _root (a fingerprint of its component) and _low (the least id there)."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "_id"))
-    node = F.struct(F.col("_low").isNull().alias("no_id"), F.col("_low").alias("id"), F.col("_fp").alias("fp"))
-    distinct = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")).withColumn("_node", node))
-    links = near_links(distinct.select("_fp"), radius)
-    ends = distinct.select("_fp", "_node")
-    named = links.join(ends.select(F.col("_fp").alias("a"), F.col("_node").alias("x")), "a").join(ends.select(F.col("_fp").alias("b"), F.col("_node").alias("y")), "b")
-    roots = components(named.select("x", "y"), "x", "y")
-    rooted = distinct.join(roots.select(F.col("node.fp").alias("_fp"), "root"), "_fp", "left").select("_fp", "_n", F.coalesce("root", "_node").alias("_root"))
-    return join_hot(prints, cut(rooted), "_fp", "_n").select("_id", "_text_hash", "_fp", "_root")
+    distinct = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")))
+    # only fingerprints with links, few of all, are named anew
+    roots = components(near_links(distinct.select("_fp"), radius)).withColumnRenamed("node", "_fp").join(distinct.select("_fp", "_low"), "_fp")
+    roots = cut(roots)
+    lows = roots.groupBy("root").agg(F.min("_low").alias("_least"), F.count(F.lit(1)).alias("_k"))
+    named = join_hot(roots.drop("_low"), lows, "root", "_k")
+    rooted = distinct.join(named, "_fp", "left").select("_fp", "_n", F.coalesce("root", "_fp").alias("_root"), F.when(F.col("root").isNull(), F.col("_low")).otherwise(F.col("_least")).alias("_low"))
+    return join_hot(prints, cut(rooted), "_fp", "_n").select("_id", "_text_hash", "_fp", "_root", "_low")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -236,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _rooted(docs, id_col, text_col, shingle, radius).select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-        F.col("_root.id").alias("component_id"),
+        F.col("_low").alias("component_id"),
     )
 
 
@@ -250,14 +249,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _rooted(docs, id_col, text_col, shingle, radius)
     names = [fresh_name(docs, "_row_key"), fresh_name(docs, "_row_hash")]
     key = [F.xxhash64("_id", "_text_hash").alias(names[0]), F.col("_text_hash").alias(names[1])]
-    first = F.col("_id").eqNullSafe(F.col("_root.id")) & (F.col("_fp") == F.col("_root.fp"))
-    rows = written(rows.groupBy("_id", "_text_hash", "_root").agg(F.count(F.lit(1)).alias("_n"), F.max(first).alias("_first")), "simhash-rows")
-    firsts = rows.filter("_first")
-    best = firsts.groupBy("_root").agg(F.min("_text_hash").alias("_best"))
+    rows = rows.withColumn("_first", F.col("_id").eqNullSafe(F.col("_low")))
+    rows = written(rows.groupBy("_id", "_text_hash", "_fp", "_root", "_first").agg(F.count(F.lit(1)).alias("_n")), "simhash-rows")
+    firsts = rows.filter("_first").select(*rows.columns, F.struct("_fp", "_text_hash").alias("_order"))
+    best = firsts.groupBy("_root").agg(F.min("_order").alias("_best"))
     firsts = firsts.join(best, "_root")
-    gone = rows.filter("NOT _first").select(*key).unionByName(firsts.filter("_text_hash != _best").select(*key))
+    gone = rows.filter("NOT _first").select(*key).unionByName(firsts.filter("_order != _best").select(*key))
     gone = written(gone, "simhash-gone")
-    again = written(firsts.filter("_text_hash = _best AND _n > 1").select(*key), "simhash-again")
+    again = written(firsts.filter("_order = _best AND _n > 1").select(*key), "simhash-again")
     keyed = docs.withColumn(names[1], F.xxhash64(text_col)).withColumn(names[0], F.xxhash64(F.col(id_col), F.col(names[1])))
     left = keyed.join(gone, names, "left_anti")
     if not again.isEmpty():  # rows that stand there several times, as they are
