@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.session import cut
+from tideline.session import bounded_batches, cut
 
 TABLES, DIMS, WIDTH, SUCCESS = 2, 6, 1.0, 0.75
 #: Queries whose own k-th nearest distances ``reach`` is fitted to, as this quantile of them.
@@ -137,6 +137,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     commonest = sound(vectors).groupBy(F.size("_v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
     length = commonest["n"] if commonest else 0
+    bounded_batches(vectors)
     rows, asked = (sound(df).filter(F.size("_v") == length) for df in (vectors, queries))
     reach = fitted_reach(rows, asked, k) if reach is None else reach
     t = Tables(max(length, 1), tables, dims, width, reach)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.textbytes import LOWER, mix, slices, span_hashes, words
-from tideline.session import cut, fresh_name, written
+from tideline.session import bounded_batches, cut, fresh_name, written
 
 #: Words of a window; words of it that are no placeholders, and words of an item, at least for it to be a template.
 WINDOW, PLAIN, LEAST_WORDS = 8, 4, 5
@@ -281,7 +281,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                             yield _rows(batch, lo, row, at, h, named, value, slot if size > 0 else bare, first, abs(size))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    given = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     found = cut(given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>"))
     theirs = asked.select("_item", "_item_key", "_window", F.col("_at").alias("_item_at"), F.col("_slots").alias("_item_slots"), "_where", "_total", "_typed_total", (F.col("_size") > 0).alias("_typed"))
     pair = ["_key", "_item_key"]

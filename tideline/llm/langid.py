@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.textbytes import per_row, slices
-from tideline.session import ddl, fresh_name
+from tideline.session import bounded_batches, ddl, fresh_name
 
 #: Labelled texts of each language that the statistics are gathered from, bytes of them at most, and characters of one (in pieces spread evenly over it).
 SAMPLE, SAMPLE_BYTES, TEXT_CHARS, PIECES = 400, 4_000_000, 100_000, 10
@@ -312,6 +312,7 @@ def has_letter(text: Column) -> Column:
 
 def _coder(docs: DataFrame, counts: pd.DataFrame) -> Callable[[pa.Array, pa.Array], tuple[list[str], np.ndarray, np.ndarray]]:
     """A function of texts and whether they have letters: languages, scores, bits a byte."""
+    bounded_batches(docs)
     langs = sorted(counts["lang"].unique())
     parts = [counts[counts["lang"] == l] for l in langs]
     sent = docs.sparkSession.sparkContext.broadcast((langs, [p["gram"].to_numpy() for p in parts], [p["n"].to_numpy() for p in parts]))

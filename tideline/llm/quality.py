@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.langid import held_out, least_of_each
 from tideline.llm.textbytes import LOWER, slices, span_hashes, within, words
-from tideline.session import ddl
+from tideline.session import bounded_batches, ddl
 
 #: Words of a passage; passages whose bytes are counted at once.
 PASSAGE, RUN = 64, 4096
@@ -202,6 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bags = [x[base[i] + evenly(base[i + 1] - base[i], text_passages)].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(bags, pa.binary())], names=["id", "h", "y", "bag"])
 
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     # one row for each id leaves Spark, so at most 2 * sample bags of text_passages passages reach the driver
     bags_of = texts.mapInArrow(encode, f"id {kind}, h long, y int, bag binary").groupBy("id", "h", "y").agg(F.min("bag").alias("bag"))
@@ -227,7 +228,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             p = _scores(net, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=names)
 
-    given = docs.select(F.col(id_col), held_out(id_col, folds, fold).alias("_held"), F.col(text_col).cast("string").alias("_text"))
+    given = bounded_batches(docs).select(F.col(id_col), held_out(id_col, folds, fold).alias("_held"), F.col(text_col).cast("string").alias("_text"))
     return given.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
@@ -239,7 +240,7 @@ def keep(docs: DataFrame, net: Network | None, text_col: str = "text", least: fl
         for batch in batches:
             yield batch.filter(pa.array(_scores(net, batch.column(at)) >= least))
 
-    return docs.mapInArrow(run, ddl(docs))
+    return bounded_batches(docs).mapInArrow(run, ddl(docs))
 
 
 def _scores(net: Network | None, texts: pa.Array) -> np.ndarray:

@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.textbytes import slices
+from tideline.session import bounded_batches
 
-#: Units that a worker remembers at most, roughly, and characters of one: some 100 MB. Those not met for longest go.
-REMEMBERED, LONGEST = 400_000, 48
+#: Units that a worker remembers at most, roughly, and characters of one: some 50 MB. Those not met for longest go.
+REMEMBERED, LONGEST = 200_000, 48
 #: Texts between two checks against the library; characters up to which one is preferred to be checked whole.
 CHECKED, MOST_WHOLE = 512, 20_000
 #: Symbols up to which a plain list of pairs beats a heap; the rank of a pair that cannot merge.
@@ -222,7 +223,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [id_col, "n_tokens", *["ids"] * ids, *["decoded"] * decoded, *["ids_sha256", "decoded_sha256"] * digests]
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -240,4 +241,4 @@ def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in encoded], pa.int64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_tokens long"
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)

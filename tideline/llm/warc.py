@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.session import cut, discard, join_hot, scratch_path, written
+from tideline.session import bounded_batches, cut, discard, join_hot, scratch_path, written
 
 #: Captures in a block of the index; in a range of it, roughly and at most; bytes of an archive; bytes of one range read.
 BLOCK, RANGE, ARCHIVE_BYTES, READ_BYTES = 512, 200_000, 1 << 30, 4 << 20
@@ -145,6 +145,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             out.close()
 
     kind = pages.schema[id_col].dataType.simpleString()
+    bounded_batches(told)
     return written(told.mapInArrow(run, _PLACES.format(kind=kind)), "warc-manifest")
 
 
