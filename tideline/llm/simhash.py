@@ -214,7 +214,9 @@ def near_links(fps: DataFrame, radius: int, least: int = LEAST) -> DataFrame:
         a, z = links_in(fp, None, radius) if i == j else links_in(fp[b == i], fp[b == j], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": z.view(np.int64)})
 
-    return pairs.groupBy("_i", "_j").applyInPandas(compare, "a long, b long")
+    # a task for a group, however few bytes it has: the work is quadratic in them
+    groups = sum(o >= b for b, os in enumerate(others) for o in os)
+    return pairs.repartition(max(1, groups), "_i", "_j").groupBy("_i", "_j").applyInPandas(compare, "a long, b long")
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
