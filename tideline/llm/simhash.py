@@ -245,8 +245,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, less all but one of each component: that of the smallest id.
 
     Among rows with that id the one with the least fingerprint stays, then that with the least text hash; of equal rows one.
-    Only keys are compared: those of the rows that go are written first, so that their size is
-    known when the anti-join is planned, and texts move only if the keys are too many to broadcast.
+    Only keys are compared, and written first. The keys of the rows that go grow with the input, so they are
+    never broadcast: texts move once, to meet them in hash tables, at every size alike.
     """
     rows = _rooted(docs, id_col, text_col, shingle, radius)
     names = [fresh_name(docs, "_row_key"), fresh_name(docs, "_row_hash")]
@@ -260,7 +260,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = written(gone, "simhash-gone")
     again = written(firsts.filter("_order = _best AND _n > 1").select(*key), "simhash-again")
     keyed = docs.withColumn(names[1], F.xxhash64(text_col)).withColumn(names[0], F.xxhash64(F.col(id_col), F.col(names[1])))
-    left = keyed.join(gone, names, "left_anti")
+    left = keyed.join(gone.hint("shuffle_hash"), names, "left_anti")
     if not again.isEmpty():  # rows that stand there several times, as they are
         left = left.join(again, names, "left_anti").unionByName(left.join(again, names, "left_semi").dropDuplicates(names))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
