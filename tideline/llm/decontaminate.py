@@ -14,10 +14,10 @@ and values themselves are hashed, and found in documents that hold the same.
 
 Document windows are first held against a table of bits, sized by the number
 of the items' windows, so that only few windows leave the tasks; the hash join
-in Spark decides. It meets in two steps: a document and an item are a pair only
-if they share one of those of the item's windows that the fewest items have, of
-which an item of enough found windows cannot miss all; the other windows, which
-may be common to many items and documents, are joined for these pairs alone.
+in Spark decides. Windows that more than ``COMMON`` items have are joined in a
+second step, for pairs of a document and an item that share one of the item's
+telling windows alone: those that the fewest items have, of which a document
+with enough of the item cannot miss all.
 
 Defined cases
 - null or empty texts and items, and items without a letter or digit: no windows, never flagged.
@@ -46,6 +46,8 @@ WINDOW, PLAIN, LEAST_WORDS = 8, 4, 5
 COVERAGE, AGREEMENT = 0.5, 0.8
 #: The table that document windows are held against has ROOM entries for each window of an item, and 2 ** FEWEST to 2 ** MOST in all.
 ROOM, FEWEST, MOST = 32, 16, 28
+#: Items that may have a window before it is joined for pairs alone.
+COMMON = 16
 
 # Units that count as such after a number (fixed values).
 UNITS = (
@@ -285,10 +287,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = cut(given.mapInArrow(run, f"_id {kind}, _key long, _window long, _at long, _slots array<long>"))
     theirs = asked.select("_item", "_item_key", "_window", F.col("_at").alias("_item_at"), F.col("_slots").alias("_item_slots"), "_where", "_total", "_typed_total", (F.col("_size") > 0).alias("_typed"))
     pair = ["_key", "_item_key"]
-    rare = _rarest(theirs, coverage)
-    pairs = found.select("_key", "_window").join(rare, "_window").select(*pair).distinct()
+    theirs = cut(_judged(theirs, coverage))
+    near, far = theirs.filter(F.col("_telling") | (F.col("_f") <= COMMON)), theirs.filter(~F.col("_telling") & (F.col("_f") > COMMON))
+    joined = found.join(near, "_window")
+    if not far.isEmpty():  # a matter of the benchmark alone
+        pairs = joined.filter("_telling").select(*pair).distinct()
+        joined = joined.unionByName(found.join(pairs.join(far, "_item_key"), ["_key", "_window"]))
     # windows that meet in several readings count once, as templates if they can, in that of the fewest slots; the others' slots are equal words
-    met = found.join(pairs.join(theirs, "_item_key"), ["_key", "_window"]).groupBy(*pair, "_at", "_item_at").agg(
+    met = joined.groupBy(*pair, "_at", "_item_at").agg(
         F.first("_id").alias("_id"),
         F.first("_item").alias("_item"),
         F.first("_total").alias("_total"),
@@ -327,11 +333,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     )
 
 
-def _rarest(theirs: DataFrame, coverage: float) -> DataFrame:
-    """(_item_key, _window): the windows of which a document must have one, if it has so much of the item that it counts.
+def _judged(theirs: DataFrame, coverage: float) -> DataFrame:
+    """The items' windows with _f, in how many items each is, and _telling: a document that has so much of the item that it counts has one of these.
 
     Of T places of windows ceil(coverage T) must be found, so one of any T - ceil(coverage T) + 1 is;
-    those are taken whose windows the fewest items have. The same goes for the templates alone.
+    those are telling whose windows the fewest items have. The same goes for the templates alone.
     """
     shared = theirs.groupBy("_window").agg(F.countDistinct("_item_key").alias("_f"))
     each = theirs.join(shared, "_window")
@@ -339,8 +345,8 @@ def _rarest(theirs: DataFrame, coverage: float) -> DataFrame:
     place = lambda f: F.row_number().over(Window.partitionBy("_item_key").orderBy(F.asc_nulls_last(f), "_item_at"))
     spots = spots.withColumns({"_nth": place("_all"), "_nth_own": place("_own")})
     spare = lambda n: F.col(n) - F.ceil(F.col(n) * coverage - 1e-9) + 1
-    spots = spots.filter((F.col("_nth") <= spare("_total")) | F.col("_own").isNotNull() & (F.col("_nth_own") <= spare("_typed_total")))
-    return theirs.select("_item_key", "_item_at", "_window").join(spots.select("_item_key", "_item_at"), ["_item_key", "_item_at"]).select("_item_key", "_window").distinct()
+    telling = (F.col("_nth") <= spare("_total")) | F.col("_own").isNotNull() & (F.col("_nth_own") <= spare("_typed_total"))
+    return each.join(spots.select("_item_key", "_item_at", telling.alias("_telling")), ["_item_key", "_item_at"])
 
 
 def _table(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
