@@ -55,14 +55,14 @@ def tilde_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_partkey % 3 AS n, l_shipdate::DATE AS day, l_linenumber AS line, l_partkey, l_suppkey, l_extendedprice, l_quantity > 40 AS lost, l_returnflag = 'R' AS ped, l_linestatus = 'F' AS sub FROM lineitem WHERE l_orderkey % 4 = 0),
+    """WITH r AS (SELECT l_orderkey, l_partkey % 3 AS n, l_shipdate::DATE AS day, l_linenumber AS line, l_partkey, l_suppkey, l_extendedprice, l_quantity > 40 AS lost, l_returnflag = 'R' AS ped, l_linestatus = 'F' AS sub FROM lineitem),
 p AS (SELECT * FROM r WHERE NOT ped QUALIFY row_number() OVER (PARTITION BY l_orderkey, n ORDER BY line, l_partkey, l_suppkey, l_extendedprice) = 1),
 m AS (SELECT * FROM r WHERE ped QUALIFY row_number() OVER (PARTITION BY l_orderkey, n ORDER BY line, l_partkey, l_suppkey, l_extendedprice) = 1),
 j AS (SELECT coalesce(p.l_orderkey, m.l_orderkey) AS k, coalesce(p.n, m.n) AS n, CASE WHEN NOT p.lost THEN p.day END AS a, CASE WHEN NOT m.lost THEN m.day END AS z, coalesce(p.sub, m.sub) AS sub FROM p FULL JOIN m ON p.l_orderkey = m.l_orderkey AND p.n = m.n)
 SELECT 'NDA' || lpad(k::VARCHAR, 6, '0') AS application_number, n::VARCHAR AS patent_number, coalesce(a, z) AS nominal_expiry, coalesce(z, a) AS expiry, datediff('day', a, z)::INT AS adjustment_days, sub AS covers_substance FROM j WHERE a IS NOT NULL OR z IS NOT NULL"""
 )
 def tilde_patents(spark: SparkSession, d: str) -> DataFrame:
-    rows = b.table(spark, d, "lineitem").filter("l_orderkey % 4 = 0")
+    rows = b.table(spark, d, "lineitem")
     raw = "concat_ws('~', 'N', lpad(CAST(l_orderkey AS string), 6, '0'), '001', concat(l_partkey % 3, CASE WHEN l_returnflag = 'R' THEN '*PED' ELSE '' END), CASE WHEN l_quantity > 40 THEN 'soon' ELSE date_format(l_shipdate, 'MMM d, yyyy') END, CASE WHEN l_linestatus = 'F' THEN 'Y' ELSE '' END, '', '', 'x', '')"
     line = "(l_orderkey * 10 + l_linenumber) * 1000000000000 + l_partkey * 10000000 + l_suppkey * 10000 + l_extendedprice / 100"
     found = tilde.patents(_lines(rows, line, raw, "~".join(["h"] * 10)))[0]
@@ -290,13 +290,13 @@ def named_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), h AS (SELECT event_id AS docket_id, user_id % 150 AS a, event_id % 90 AS z, event_type FROM events WHERE event_id < 3000),
-p AS (SELECT p_partkey AS product_id, p_partkey % 100 AS company_id FROM part)
+    """WITH c AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), h AS (SELECT event_id AS docket_id, user_id % 150 AS a, event_id % 90 AS z, event_type FROM events),
+p AS (SELECT p_partkey AS product_id, p_partkey % (SELECT count(*) FROM supplier) AS company_id FROM part)
 SELECT DISTINCT docket_id, product_id FROM h JOIN p ON company_id = a OR company_id = z"""
 )
 def docket_candidates(spark: SparkSession, d: str) -> DataFrame:
     name = lambda k: F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0"))
-    e = b.table(spark, d, "events").filter("event_id < 3000")
+    e = b.table(spark, d, "events")
     dockets = e.select(F.col("event_id").alias("docket_id"), name(F.col("user_id") % 150).alias("plaintiff"), name(F.col("event_id") % 90).alias("defendant"))
     known = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     found = matching.companies(dockets.select(F.explode(F.array("plaintiff", "defendant")).alias("name")), known)
