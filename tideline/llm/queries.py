@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import ann, decontaminate, langid, licences, quality, sentencepieces, sharding, simhash, urlfilter, warc
+from tideline.llm import ann, ballkmeans, bytebpe, decontaminate, importance, langid, licences, quality, sentencepieces, sharding, simhash, urlfilter, warc
 
 
 def model_path() -> str:
@@ -75,6 +75,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the vectors, by balls whose members meet only the centroids that may be nearer."""
+    return ballkmeans.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level ids, each distinct word encoded once, and of what they decode to."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bytebpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draw of a twentieth of the documents towards the texts of `benchmark`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return importance.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -86,10 +105,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.oracle_sql(least=0),
     "op5_sharding": sharding.oracle_sql(),
     "op6_licenses": licences.oracle_sql(),
+    "op11_ball_kmeans": ballkmeans.oracle_sql(),
+    "op13_importance": importance.oracle_sql(),
 }
