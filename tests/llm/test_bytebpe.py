@@ -2,7 +2,9 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -83,8 +85,42 @@ def test_decode_by_both_joins(spark, library):
                 bytebpe.decode(spark.createDataFrame([(1, [5, bad])], "doc_id long, ids array<int>"), PATH, table_bytes=most).collect()
 
 
-def test_words_are_encoded_once(spark):
-    df = spark.createDataFrame([(i, "the same words again") for i in range(50)], "doc_id long, text string").repartition(5)
-    rows = bytebpe._exploded(df.selectExpr("doc_id AS _id", "text AS _value"), str.split, str.encode, 100)
-    assert rows.filter("_key = CAST('same' AS binary)").count() > 5
-    assert sorted(bytes(r["_key"]) for r in bytebpe._counted(rows).collect()) == [b"again", b"same", b"the", b"words"]
+def test_a_word_is_in_one_bucket_and_once_in_a_block(spark):
+    df = spark.createDataFrame([(i, f"the same words again{i}") for i in range(50)], "doc_id long, text string").repartition(5)
+    rows = bytebpe.exploded(df, PATTERN, "doc_id", "text", 7, block=100).collect()
+    found = [(w, r["_block"], r["_bucket"]) for r in rows if r["_bucket"] is not None for w in bytebpe.unpacked_pieces(r["_sizes"], r["_data"])]
+    blocks = {r["_block"] for r in rows if r["_bucket"] is None}
+    same = [(b, k) for w, b, k in found if w == b" same"]
+    assert len(blocks) > 5 and sorted(b for b, _ in same) == sorted(blocks) and len({k for _, k in same}) == 1
+    assert len(found) == len({(w, b) for w, b, _ in found})
+
+
+def test_words_are_remembered_within_bounds(spark, library, monkeypatch):
+    merges = bytebpe.Merges(ranks())
+    calls = []
+    monkeypatch.setattr(bytebpe, "_merges", lambda lines: type("M", (), {"encode": lambda self, w: calls.append(w) or merges.encode(w)})())
+    monkeypatch.setattr(bytebpe, "bounded_batches", lambda df: df)
+
+    class Frame:  # runs the task's function here
+        def repartition(self, *_):
+            return self
+
+        select = repartition
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            words = [b" a", b" bb", b" a"]
+            blob = bytebpe.packed_pieces(words)
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([blob[0]] * 2), pa.array([blob[1]] * 2)], names=["_block", "_first", "_sizes", "_data"])
+            return [bytebpe.unpacked_pieces(r["_sizes"], r["_data"]) for out in f(iter([batch, batch])) for r in out.to_pylist()]
+
+    want = [struct.pack(f"<{len(i)}I", *i) for i in map(library.encode_ordinary, (" a", " bb", " a"))]
+    assert bytebpe.encoded_words(Frame(), b"", 3) == [want] * 4 and sorted(calls) == [b" a", b" bb"]
+    monkeypatch.setattr(bytebpe, "REMEMBERED", 300)
+    assert bytebpe.encoded_words(Frame(), b"", 3) == [want] * 4
+
+
+def test_packing():
+    for numbers in ([], [0], [1, 255, 256, 65536, 2**32 - 1], list(range(1000))):
+        assert bytebpe.unpacked(bytebpe.packed(np.array(numbers, np.uint32))).tolist() == numbers
+    for pieces in ([], [b""], [b"a", b"", b"\x00" * 300, b"b"]):
+        assert bytebpe.unpacked_pieces(*bytebpe.packed_pieces(pieces)) == pieces

@@ -1,20 +1,18 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are exploded to their pre-tokens, the matches of a pattern, with their
-positions. A block of texts (BLOCK_BYTES of them, or one longer text) has one row
-for each distinct word, which holds all its positions there as differences, so
-that a word is never more rows than there are blocks. All distinct words of the
-whole table are shuffled together and each is encoded once; the ids are joined
-back to the blocks' words, and a block's rows are put together by position.
-Decoding is the same the other way: a block's distinct ids with their positions
-meet the table of tokens' bytes.
+positions. A block of texts (BLOCK_BYTES of them, or one longer text) keeps the numbers of
+its distinct words by position. The words themselves go to buckets by their hash, as one row for each
+block and bucket: so all places of a word in the whole table meet in one
+task, which encodes it once, and a word is never more rows than there are blocks,
+however frequent it is. The ids are joined back to the blocks and put together by position.
+Decoding is the same the other way: a block's distinct ids meet the table of tokens' bytes.
 
 The rows of the texts are written once, with the number of their task and of
-their block in it, so tasks that are run again later never number them anew.
-Words whose positions are over a thousandth of all stay where they are and meet
-a broadcast of at most a thousand of them; longer ones than HOT_BYTES never do,
-so that its size is bounded. The table of tokens is broadcast if its bytes are
-at most TABLE_BYTES; if not, it is joined as words are.
+their block in it, so tasks that are run again later never number them anew. Only the
+words are in the first exchange, and only ids and positions in the second; both are packed, as
+they are many and short. The table of tokens is broadcast if its bytes are
+at most TABLE_BYTES; if not, the distinct ids are dealt out to it and back.
 
 Defined cases
 - null texts are empty: no ids. Null ids are kept; repeated ids and texts are rows of their own.
@@ -32,6 +30,7 @@ import functools
 import hashlib
 import heapq
 import itertools
+import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,16 +38,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.session import bounded_batches, join_hot, written
+from tideline.session import bounded_batches, written
 
 #: Characters of texts, or ids, of a block; pre-tokens that are numbered at once.
-BLOCK_BYTES, RUN = 4 << 20, 1 << 16
-#: Words of more bytes are merged by a heap, and words of more bytes are never broadcast.
-SHORT, HOT_BYTES = 200, 256
+BLOCK_BYTES, RUN = 16 << 20, 1 << 16
+#: Words of more bytes are merged by a heap.
+SHORT = 200
+#: Buckets of words for each shuffle partition; bytes of words that a task remembers at once.
+BUCKETS, REMEMBERED = 4, 64 << 20
 #: Bytes of tokens up to which their table is broadcast.
 TABLE_BYTES = 32 << 20
 NONE = 1 << 62
@@ -124,7 +126,28 @@ def _merges(lines: bytes) -> Merges:
     return Merges(read_ranks(lines))
 
 
-# --- exploding and putting together, the same for words and for ids -----------------------------
+# --- blocks, the same for words and for ids -------------------------------------------------------
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, their first bytes first, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def packed_pieces(pieces: list[bytes]) -> tuple[bytes, bytes]:
+    """The sizes of byte strings, and the strings one after the other, compressed."""
+    return packed(np.fromiter(map(len, pieces), np.uint32, len(pieces))), zstandard.compress(b"".join(pieces))
+
+
+def unpacked_pieces(sizes: bytes, data: bytes) -> list[bytes]:
+    whole, ends = zstandard.decompress(data), np.cumsum(unpacked(sizes), dtype=np.int64).tolist()
+    return [whole[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
 
 class _Numbers(dict):
@@ -136,8 +159,10 @@ class _Numbers(dict):
 
 
 class _Block:
+    """Rows' ids, and their items as numbers of distinct keys by position."""
+
     def __init__(self) -> None:
-        self.numbers, self.at, self.ids, self.ends, self.size = _Numbers(), array("I"), [], [0], 0
+        self.numbers, self.at, self.ids, self.ends, self.size = _Numbers(), array("I"), [], [], 0
 
     def add(self, id_: pa.Scalar, size: int, items: Iterable) -> None:
         """A row's items; in runs, so that a long row's are never all in memory as objects."""
@@ -148,82 +173,115 @@ class _Block:
         self.ends.append(len(self.at))
         self.size += size
 
-    def rows(self, block: int, pack: Callable[[object], bytes], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """A row for each row of the input, with the range of its positions, and one for each key, with its positions."""
-        n, k = len(self.ids), len(self.numbers)
-        ends = np.array(self.ends, np.int64)
-        nulls = {f.name: pa.nulls(max(n, k), f.type) for f in schema}
-        rows = pa.array(np.full(max(n, k), n + k), pa.int64())
-        own = {"_id": pa.array(self.ids, schema.field("_id").type), "_from": pa.array(ends[:-1]), "_end": pa.array(ends[1:])}
-        for size, columns in ((n, own), (k, self._keys(pack) if k else {})):
-            columns |= {"_block": pa.array(np.full(size, block), pa.int64()), "_rows": rows.slice(0, size)}
-            yield pa.RecordBatch.from_arrays([columns.get(f.name, nulls[f.name].slice(0, size)) for f in schema], schema=schema)
-
-    def _keys(self, pack: Callable[[object], bytes]) -> dict[str, pa.Array]:
-        number = np.frombuffer(self.at, np.uint32)
-        place = np.argsort(number, kind="stable")
-        count = np.bincount(number, minlength=len(self.numbers))
-        first = np.cumsum(count) - count
-        step = np.diff(place, prepend=0)
-        step[first] = place[first]  # a key's first difference is its first place
-        most = np.maximum.reduceat(step, first)
-        width = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4))
-        packed = {w: step.astype(f"<u{w}").tobytes() for w in (1, 2, 4) if (width == w).any()}
-        at = [packed[w][a * w : (a + c) * w] for w, a, c in zip(width.tolist(), first.tolist(), count.tolist(), strict=True)]
-        return {"_key": pa.array([pack(x) for x in self.numbers], pa.binary()), "_n": pa.array(count, pa.int64()), "_at": pa.array(at, pa.binary())}
-
-
-def _exploded(rows: DataFrame, items: Callable[[object], Iterable], pack: Callable[[object], bytes], most: int) -> DataFrame:
-    """rows (_id, _value) as blocks: (_block, _rows, _id, _from, _end) for each and (_block, _rows, _key, _n, _at) for each key of a block."""
-    id_type = rows.schema["_id"].dataType.simpleString()
+    def row(self, block: int, order: np.ndarray | None = None) -> dict[str, list]:
+        """_block, _ids, _ends and _at; with an order, keys have the numbers that it gives them."""
+        at = np.frombuffer(self.at, np.uint32) if self.at else np.zeros(0, np.uint32)
+        return {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed(at if order is None else order[at])]}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, block, held = TaskContext.get().partitionId() << 33, 0, _Block()
-        schema = None
-        for batch in batches:
-            schema = schema or pa.schema(
-                [("_block", pa.int64()), ("_rows", pa.int64()), ("_id", batch.column(0).type), ("_from", pa.int64()), ("_end", pa.int64()), ("_key", pa.binary()), ("_n", pa.int64()), ("_at", pa.binary())]
-            )
-            for id_, value in zip(batch.column(0), batch.column(1), strict=True):
-                value = value.as_py()
-                held.add(id_, len(value or ""), items(value) if value else ())
-                if held.size >= most:
-                    yield from held.rows(names + block, pack, schema)
-                    block, held = block + 1, _Block()
-        if held.ids:
-            yield from held.rows(names + block, pack, schema)
-
-    return bounded_batches(rows).mapInArrow(run, f"_block long, _rows long, _id {id_type}, _from long, _end long, _key binary, _n long, _at binary")
-
-
-def _assembled(block: pa.Table) -> tuple[pa.ChunkedArray, list[bytes]]:
+
+def _blocks(batches: Iterator[pa.RecordBatch], items: Callable[[object], Iterable], most: int) -> Iterator[tuple[int, _Block]]:
+    """The blocks of rows (_id, _value), with their numbers: the task's, and their own in it."""
+    number, held = TaskContext.get().partitionId() << 33, _Block()
+    for batch in batches:
+        for id_, value in zip(batch.column(0), batch.column(1), strict=True):
+            value = value.as_py()
+            held.add(id_, len(value or ""), items(value) if value else ())
+            if held.size >= most:
+                yield number, held
+                number, held = number + 1, _Block()
+    if held.ids:
+        yield number, held
+
+
+def _rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of the columns that are given; all others are null."""
+    n = len(columns["_block"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _put_together(block: pa.Table, pieces: list[bytes | None]) -> tuple[pa.Array, list[bytes]]:
     """The ids of a block's rows and, for each, its pieces one after the other."""
-    is_row = pc.is_valid(block["_end"])
-    rows, keys = block.filter(is_row), block.filter(pc.invert(is_row))
-    lo, hi = rows["_from"].to_numpy(), rows["_end"].to_numpy()
-    where = np.full(int(hi.max(initial=0)), -1, np.int32)
-    pieces = keys["_piece"].to_pylist()
-    for i, (n, at) in enumerate(zip(keys["_n"].to_pylist(), keys["_at"].to_pylist(), strict=True)):
-        where[np.cumsum(np.frombuffer(at, f"<u{len(at) // n}"), dtype=np.int64)] = i
-    if None in pieces or (where < 0).any():
+    at, ends = unpacked(block["_at"][0].as_py()), unpacked(block["_ends"][0].as_py()).tolist()
+    if len(at) and (at.max() >= len(pieces) or None in pieces):
         raise ValueError("an id has no token")
-    return rows["_id"], [b"".join(map(pieces.__getitem__, where[a:z].tolist())) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
+    ids = block["_ids"].combine_chunks().flatten()
+    return ids, [b"".join(map(pieces.__getitem__, at[a:z].tolist())) for a, z in zip([0, *ends], ends, strict=False)]
 
 
-def _joined(rows: DataFrame, pieces: DataFrame, total: int) -> DataFrame:
-    """The rows of all blocks, those of keys with their ``_piece``; pieces (_key, _count, _piece) has one row for each key."""
-    keys = rows.filter(F.col("_key").isNotNull()).select("_block", "_rows", "_key", "_n", "_at")
-    met = join_hot(keys, pieces, "_key", "_count", total).drop("_key")
-    return met.unionByName(rows.filter(F.col("_key").isNull()).drop("_key"), allowMissingColumns=True)
+# --- encoding -----------------------------------------------------------------------------------
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Every distinct key, with the bytes of its positions, or none for long keys, which are never hot."""
-    keys = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.sum(F.octet_length("_at")).alias("_count"))
-    return keys.withColumn("_count", F.when(F.octet_length("_key") <= HOT_BYTES, F.col("_count")).otherwise(F.lit(0).cast("long")))
+def exploded(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets: int, block: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each block (_block, _ids, _ends, _at) and one for each block and bucket of words (_block, _bucket, _first, _sizes, _data).
 
+    Words are numbered by bucket and in their own order; ``_first`` is the number of a bucket's first.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
-# --- encoding -----------------------------------------------------------------------------------
+    def pre_tokens(text: str) -> Iterable[str]:
+        found = regex.compile(pattern)  # compiled once: the module keeps its patterns
+        return found.findall(text) if len(text) < 1 << 20 else (m.group() for m in found.finditer(text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        integers, binaries = ["_first"], ["_sizes", "_data", "_ends", "_at"]
+        schema = pa.schema([("_block", pa.int64()), ("_bucket", pa.int32()), *[(c, pa.int64()) for c in integers], *[(c, pa.binary()) for c in binaries], ("_ids", pa.list_(first.column(0).type))])
+        for number, held in _blocks(itertools.chain([first], batches), pre_tokens, block):
+            words = [w.encode() for w in held.numbers]
+            bucket = [zlib.crc32(w) % buckets for w in words]
+            place = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
+            order = np.empty(len(words), np.uint32)
+            order[place] = np.arange(len(words), dtype=np.uint32)
+            yield _rows(held.row(number, order), schema)
+            out: dict[str, list] = {c: [] for c in ("_block", "_bucket", "_first", "_sizes", "_data")}
+            begin = 0
+            for b, group in itertools.groupby(place, key=bucket.__getitem__):
+                own = [words[i] for i in group]
+                for c, v in zip(out, (number, b, begin, *packed_pieces(own)), strict=True):
+                    out[c].append(v)
+                begin += len(own)
+            yield _rows(out, schema)
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_value"))
+    return bounded_batches(rows).mapInArrow(run, f"_block long, _bucket int, _first long, _sizes binary, _data binary, _ends binary, _at binary, _ids array<{kind}>")
+
+
+def encoded_words(words: DataFrame, lines: bytes, parts: int) -> DataFrame:
+    """(_block, _first, _sizes, _data): in place of each word its ids as packed 32-bit integers.
+
+    A bucket is one task's, so a word is encoded once wherever it occurs, unless the words of a task
+    are more than REMEMBERED; then the oldest half is forgotten.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = _merges(lines)
+        known: dict[bytes, bytes] = {}
+        older: dict[bytes, bytes] = {}
+        held = 0
+        for batch in batches:
+            sizes, data = [], []
+            for a, z in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                pieces = []
+                for w in unpacked_pieces(a, z):
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = older.get(w)
+                        if ids is None:
+                            ids = np.array(merges.encode(w), "<u4").tobytes()
+                        known[w] = ids
+                        held += len(w) + len(ids) + 200
+                        if held > REMEMBERED // 2:
+                            known, older, held = {}, known, 0
+                    pieces.append(ids)
+                s, d = packed_pieces(pieces)
+                sizes.append(s)
+                data.append(d)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], names=["_block", "_first", "_sizes", "_data"])
+
+    dealt = words.repartition(parts, "_bucket").select("_block", "_first", "_sizes", "_data")  # few bytes and much work, so not to be coalesced
+    return bounded_batches(dealt).mapInArrow(run, "_block long, _first long, _sizes binary, _data binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block: int = BLOCK_BYTES) -> DataFrame:
@@ -231,25 +289,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     ``ranks_path`` is read on the driver; its bytes, which a vocabulary bounds, go with the tasks.
     """
-    spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         lines = f.read()
-
-    def pre_tokens(text: str) -> Iterable[str]:
-        found = regex.compile(pattern)  # compiled once: the module keeps its patterns
-        return found.findall(text) if len(text) < 1 << 20 else (m.group() for m in found.finditer(text))
-
-    rows = _exploded(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_value")), pre_tokens, str.encode, block)
-    rows = written(rows, "bpe-words")
-    words = written(_encoded_words(_counted(rows), lines), "bpe-ids")
-    total = words.agg(F.sum("_count")).first()[0] or 0
-    blocks = _joined(rows, words, total)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(exploded(docs, pattern, id_col, text_col, BUCKETS * parts, block), "bpe-words")
+    words = encoded_words(rows.filter(F.col("_bucket").isNotNull()).select("_block", "_bucket", "_first", "_sizes", "_data"), lines, parts)
+    met = rows.filter(F.col("_bucket").isNull()).select("_block", "_ends", "_at", "_ids").unionByName(words, allowMissingColumns=True)
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "ids", *["ids_sha256"] * digests]
 
     def finished(group: pa.Table) -> pa.Table:
-        ids, blobs = _assembled(group)
+        is_block = pc.is_valid(group["_at"])
+        own = sorted(group.filter(pc.invert(is_block)).select(["_first", "_sizes", "_data"]).to_pylist(), key=lambda r: r["_first"])
+        ids, blobs = _put_together(group.filter(is_block), [p for r in own for p in unpacked_pieces(r["_sizes"], r["_data"])])
         off = np.cumsum([0, *[len(b) // 4 for b in blobs]]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(blobs))]))
         columns = [ids, pa.array(np.diff(off), pa.int64()), lists]
@@ -257,68 +310,68 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             columns.append(pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()))
         return pa.table(columns, names=names)
 
-    return blocks.groupBy("_block").applyInArrow(finished, f"`{id_col}` {kind}, n_tokens long, ids array<int>" + ", ids_sha256 string" * digests)
-
-
-def _encoded_words(words: DataFrame, lines: bytes) -> DataFrame:
-    """words (_key, _count) with the ids of each as packed 32-bit integers in ``_piece``; every word is here once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _merges(lines)
-        for batch in batches:
-            pieces = [np.array(merges.encode(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.binary())], names=["_key", "_count", "_piece"])
-
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = words.repartition(parts, "_key")  # few bytes and much work, so not to be coalesced
-    return bounded_batches(dealt).mapInArrow(run, "_key binary, _count long, _piece binary")
+    return met.groupBy("_block").applyInArrow(finished, f"`{id_col}` {kind}, n_tokens long, ids array<int>" + ", ids_sha256 string" * digests)
 
 
 # --- decoding -----------------------------------------------------------------------------------
 
 
 def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """The bytes of every token, by its id as a packed 32-bit integer."""
-    return spark.createDataFrame([(bytearray(r.to_bytes(4, "little")), 0, bytearray(t)) for t, r in ranks.items()], "_key binary, _count long, _piece binary")
+    """(_key, _piece): the bytes of every token by its id."""
+    return spark.createDataFrame([(r, bytearray(t)) for t, r in ranks.items()], "_key long, _piece binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = (), table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The id, the columns to keep, and ``decoded``, the bytes of the ids' tokens."""
     with open(ranks_path, "rb") as f:
         ranks = read_ranks(f.read())
-    spark = encoded.sparkSession
     held = [id_col, *keep]
-    source = encoded.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(held)]).alias("_id"), F.filter(F.col(ids_col).cast("array<long>"), lambda x: x.isNotNull()).alias("_value"))
-    rows = _exploded(source, lambda ids: ids, lambda i: i.to_bytes(4, "little") if 0 <= i < 1 << 32 else b"", BLOCK_BYTES // 4)
-    table = token_table(spark, ranks)
-    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, decoded binary"
+    own = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(held)])
+    source = encoded.select(own.alias("_id"), F.filter(F.col(ids_col).cast("array<long>"), lambda x: x.isNotNull()).alias("_value"))
+    kind = source.schema["_id"].dataType.simpleString()
+    table = token_table(encoded.sparkSession, ranks)
+    schema = f"_id {kind}, decoded binary"
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block, with the number of its keys, and one for each of its distinct ids."""
+        first = next(batches, None)
+        if first is None:
+            return
+        shape = pa.schema([("_block", pa.int64()), ("_rows", pa.int64()), ("_key", pa.int64()), ("_number", pa.int64()), ("_ends", pa.binary()), ("_at", pa.binary()), ("_ids", pa.list_(first.column(0).type))])
+        for number, block in _blocks(itertools.chain([first], batches), lambda ids: ids, BLOCK_BYTES // 4):
+            keys = list(block.numbers)
+            yield _rows(block.row(number) | {"_rows": [len(keys) + 1]}, shape)
+            yield _rows({"_block": [number] * len(keys), "_rows": [len(keys) + 1] * len(keys), "_key": keys, "_number": list(range(len(keys)))}, shape)
+
+    rows = bounded_batches(source).mapInArrow(explode, f"_block long, _rows long, _key long, _number long, _ends binary, _at binary, _ids array<{kind}>")
 
     def finished(group: pa.Table) -> pa.Table:
-        ids, blobs = _assembled(group)
+        is_block = pc.is_valid(group["_at"])
+        keys = group.filter(pc.invert(is_block)).sort_by("_number")
+        ids, blobs = _put_together(group.filter(is_block), keys["_piece"].to_pylist())
         return pa.table([ids, pa.array(blobs, pa.binary())], names=["_id", "decoded"])
 
     if sum(len(t) + 64 for t in ranks) <= table_bytes:
         # nothing is dealt out: a task's blocks meet the table and are put together where they are
-        met = rows.join(F.broadcast(table.drop("_count")), "_key", "left").select("_block", "_rows", "_id", "_from", "_end", "_n", "_at", "_piece")
+        met = rows.join(F.broadcast(table), "_key", "left").select("_block", "_rows", "_number", "_piece", "_ends", "_at", "_ids")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: dict[int, list[pa.RecordBatch]] = {}
             for batch in batches:
                 for block in batch.column(0).unique().to_pylist():
-                    own = batch.filter(pc.equal(batch.column(0), block))
-                    held_here = parts.setdefault(block, [])
-                    held_here.append(own)
-                    if sum(map(len, held_here)) == own.column(1)[0].as_py():
+                    mine = batch.filter(pc.equal(batch.column(0), block))
+                    there = parts.setdefault(block, [])
+                    there.append(mine)
+                    if sum(map(len, there)) == mine.column(1)[0].as_py():
                         yield from finished(pa.Table.from_batches(parts.pop(block))).to_batches()
             if parts:
                 raise ValueError("a block lacks rows")
 
         out = met.mapInArrow(run, schema)
     else:
-        rows = written(rows, "bpe-decoded")
-        counted = _counted(rows)
-        pieces = counted.join(table.drop("_count"), "_key")
-        out = _joined(rows, pieces, counted.agg(F.sum("_count")).first()[0] or 0).groupBy("_block").applyInArrow(finished, schema)
+        # a block has an id once, so no id is more rows than there are blocks
+        met = written(rows, "bpe-ids").join(table, "_key", "left").select("_block", "_number", "_piece", "_ends", "_at", "_ids")
+        out = met.groupBy("_block").applyInArrow(finished, schema)
     return out.select(*[F.col(f"_id.c{i}").alias(c) for i, c in enumerate(held)], "decoded")
 
 
