@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 
 from tideline.llm import bytebpe
@@ -57,6 +58,17 @@ def test_every_split_is_the_library(spark, library):
     assert bytebpe.round_trip(df.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_both_engines_split_alike():
+    full = regex.compile(PATTERN)
+    split = bytebpe.splitter(PATTERN)
+    for c in (*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x20000, 11)):
+        text = f"a {chr(c)}b{chr(c)}{chr(c)} 1'll{chr(c)}  x "
+        assert list(split(text)) == full.findall(text), hex(c)
+    for other in (r"\p{Lu}?[\p{Ll}\p{M}]+|\S|\s+", r"[^\]\s]+|.", r"(?i:'s)|\p{N}{1,3}|[^\p{N}]"):
+        for text in odd_texts(50):
+            assert list(bytebpe.splitter(other)(text)) == regex.findall(other, text)
+
+
 def test_small_blocks_give_the_same(spark, library):
     texts = odd_texts(60)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -30,6 +30,7 @@ import functools
 import hashlib
 import heapq
 import itertools
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -45,8 +46,8 @@ from pyspark.sql import functions as F
 
 from tideline.session import bounded_batches, written
 
-#: Characters of texts, or ids, of a block; pre-tokens that are numbered at once.
-BLOCK_BYTES, RUN = 16 << 20, 1 << 16
+#: Characters of texts of a block; pre-tokens that are numbered at once.
+BLOCK_BYTES, RUN = 8 << 20, 1 << 16
 #: Words of more bytes are merged by a heap.
 SHORT = 200
 #: Buckets of words for each shuffle partition; bytes of words that a task remembers at once.
@@ -126,7 +127,39 @@ def _merges(lines: bytes) -> Merges:
     return Merges(read_ranks(lines))
 
 
-# --- blocks, the same for words and for ids -------------------------------------------------------
+def _ranges(kind: str) -> str:
+    """The characters below U+10000 that a class like ``\\p{L}`` holds, as ranges for a set of the plain engine."""
+    held = regex.compile(kind)
+    there = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and held.match(chr(c))]
+    begins = [c for c, before in zip(there, [-2, *there], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(there, [*there[1:], -2], strict=False) if c + 1 != after]
+    return "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in zip(begins, ends, strict=True))
+
+
+@functools.lru_cache(maxsize=8)
+def splitter(pattern: str) -> Callable[[str], Iterable[str]]:
+    """A function from a text to the matches of a pattern.
+
+    Python's own engine is faster. It knows no classes like ``\\p{L}``, so they are written out for it; texts with
+    characters from U+10000 on go to the other engine. Matches of a long text come one by one.
+    """
+    full = regex.compile(pattern)
+    try:
+        parts = regex.split(r"(\[(?:\\.|[^\]\\])*\])", pattern)  # sets at odd places
+        written_out = lambda part, form: regex.sub(r"\\[pP]\{\w+\}|\\s", lambda m: form.format(_ranges(m[0])), part)
+        plain = "".join(written_out(p, "{}") if k % 2 else written_out(p.replace(r"\S", f"[^{_ranges(chr(92) + 's')}]"), "[{}]") for k, p in enumerate(parts))
+        quick = re.compile(plain)
+    except re.error:
+        quick = full
+
+    def split(text: str) -> Iterable[str]:
+        found = quick if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else full
+        return found.findall(text) if len(text) < 1 << 20 else (m.group() for m in found.finditer(text))
+
+    return split
+
+
+# --- blocks: what is at which position -------------------------------------------------------------
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -173,13 +206,13 @@ class _Block:
         self.ends.append(len(self.at))
         self.size += size
 
-    def row(self, block: int, order: np.ndarray | None = None) -> dict[str, list]:
-        """_block, _ids, _ends and _at; with an order, keys have the numbers that it gives them."""
+    def row(self, block: int, order: np.ndarray) -> dict[str, list]:
+        """_block, _ids, _ends and _at, in which keys have the numbers that the order gives them."""
         at = np.frombuffer(self.at, np.uint32) if self.at else np.zeros(0, np.uint32)
-        return {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed(at if order is None else order[at])]}
+        return {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed(order[at])]}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], items: Callable[[object], Iterable], most: int) -> Iterator[tuple[int, _Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], items: Callable[[str], Iterable], most: int) -> Iterator[tuple[int, _Block]]:
     """The blocks of rows (_id, _value), with their numbers: the task's, and their own in it."""
     number, held = TaskContext.get().partitionId() << 33, _Block()
     for batch in batches:
@@ -193,10 +226,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], items: Callable[[object], Iterabl
         yield number, held
 
 
-def _rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+def _rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     """A batch of the columns that are given; all others are null."""
     n = len(columns["_block"])
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+    of = lambda f: columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
+    return pa.RecordBatch.from_arrays([of(f) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _put_together(block: pa.Table, pieces: list[bytes | None]) -> tuple[pa.Array, list[bytes]]:
@@ -218,17 +252,13 @@ def exploded(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets:
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def pre_tokens(text: str) -> Iterable[str]:
-        found = regex.compile(pattern)  # compiled once: the module keeps its patterns
-        return found.findall(text) if len(text) < 1 << 20 else (m.group() for m in found.finditer(text))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
         integers, binaries = ["_first"], ["_sizes", "_data", "_ends", "_at"]
         schema = pa.schema([("_block", pa.int64()), ("_bucket", pa.int32()), *[(c, pa.int64()) for c in integers], *[(c, pa.binary()) for c in binaries], ("_ids", pa.list_(first.column(0).type))])
-        for number, held in _blocks(itertools.chain([first], batches), pre_tokens, block):
+        for number, held in _blocks(itertools.chain([first], batches), splitter(pattern), block):
             words = [w.encode() for w in held.numbers]
             bucket = [zlib.crc32(w) % buckets for w in words]
             place = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
@@ -327,21 +357,23 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
         ranks = read_ranks(f.read())
     held = [id_col, *keep]
     own = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(held)])
-    source = encoded.select(own.alias("_id"), F.filter(F.col(ids_col).cast("array<long>"), lambda x: x.isNotNull()).alias("_value"))
+    source = encoded.select(own.alias("_id"), F.col(ids_col).alias("_value"))
     kind = source.schema["_id"].dataType.simpleString()
     table = token_table(encoded.sparkSession, ranks)
     schema = f"_id {kind}, decoded binary"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block, with the number of its keys, and one for each of its distinct ids."""
-        first = next(batches, None)
-        if first is None:
-            return
-        shape = pa.schema([("_block", pa.int64()), ("_rows", pa.int64()), ("_key", pa.int64()), ("_number", pa.int64()), ("_ends", pa.binary()), ("_at", pa.binary()), ("_ids", pa.list_(first.column(0).type))])
-        for number, block in _blocks(itertools.chain([first], batches), lambda ids: ids, BLOCK_BYTES // 4):
-            keys = list(block.numbers)
-            yield _rows(block.row(number) | {"_rows": [len(keys) + 1]}, shape)
-            yield _rows({"_block": [number] * len(keys), "_rows": [len(keys) + 1] * len(keys), "_key": keys, "_number": list(range(len(keys)))}, shape)
+        """A row for each batch, which is a block, with the number of its rows, and one for each of its distinct ids."""
+        for number, batch in enumerate(batches, TaskContext.get().partitionId() << 33):
+            lists = batch.column(1)
+            there = pc.is_valid(flat := lists.flatten()).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(there)])[ends]
+            keys, at = np.unique(flat.drop_null().to_numpy(), return_inverse=True)
+            shape = pa.schema([("_block", pa.int64()), ("_rows", pa.int64()), ("_key", pa.int64()), ("_number", pa.int64()), ("_ends", pa.binary()), ("_at", pa.binary()), ("_ids", pa.list_(batch.column(0).type))])
+            whole = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0))
+            yield _rows({"_block": [number], "_rows": [len(keys) + 1], "_ends": [packed(ends)], "_at": [packed(at)], "_ids": whole}, shape)
+            yield _rows({"_block": np.full(len(keys), number), "_rows": np.full(len(keys), len(keys) + 1), "_key": keys.astype(np.int64), "_number": np.arange(len(keys))}, shape)
 
     rows = bounded_batches(source).mapInArrow(explode, f"_block long, _rows long, _key long, _number long, _ends binary, _at binary, _ids array<{kind}>")
 
