@@ -23,13 +23,22 @@ def fan_out(rows: DataFrame, products: DataFrame, part: str) -> tuple[DataFrame,
 def references(products: DataFrame) -> DataFrame:
     """(product_id, reference_id): by the stated name, else by the stated other name, case aside.
 
-    Of several products of one name the least id is meant; a product is no reference of its own.
+    Of several products of one name the least id is meant. A product whose stated name is its own has no
+    reference; the other name is asked only where no product has the first.
     """
     by = lambda column, out: products.filter(F.col(column).isNotNull()).groupBy(F.lower(column).alias(f"_{out}")).agg(F.min("product_id").alias(out))
     asked = products.select("product_id", F.lower("reference_name").alias("_first"), F.lower("reference_alt_name").alias("_second"))
     found = asked.join(by("name", "first"), "_first", "left").join(by("alt_name", "second"), "_second", "left")
-    pick = F.coalesce(F.when(F.col("first") != F.col("product_id"), F.col("first")), F.when(F.col("second") != F.col("product_id"), F.col("second")))
-    return found.select("product_id", pick.alias("reference_id"))
+    pick = F.coalesce("first", "second")
+    return found.select("product_id", F.when(pick != F.col("product_id"), pick).alias("reference_id"))
+
+
+def unresolved_references(products: DataFrame, found: DataFrame, raw: Column, file: str) -> DataFrame:
+    """Issues (file, line, reason, raw) for products that state a reference which was not found; ``found``: what :func:`references` gave."""
+    stated = F.coalesce("reference_name", "reference_alt_name")
+    rows = products.filter(stated.isNotNull()).join(found.filter("reference_id IS NULL").select("product_id"), "product_id", "left_semi")
+    reason = F.concat(F.lit('no known product for the reference "'), stated, F.lit('", which is kept as a name'))
+    return rows.select(F.lit(file).alias("file"), F.lit(-1).cast("long").alias("line"), reason.alias("reason"), raw.cast("string").alias("raw"))
 
 
 def narrowed(pairs: DataFrame, key: str, forms: str, holds: Column) -> DataFrame:
@@ -41,7 +50,8 @@ def narrowed(pairs: DataFrame, key: str, forms: str, holds: Column) -> DataFrame
 
 
 def words_overlap(a: Column, b: Column) -> Column:
-    split = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    """Do two texts share a word? Words are compared without a final s, so that plurals meet."""
+    split = lambda c: F.transform(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""), lambda w: F.regexp_replace(w, "s$", ""))
     return F.arrays_overlap(split(a), split(b))
 
 
@@ -51,6 +61,24 @@ def challenge_links(challenges: DataFrame, products: DataFrame) -> DataFrame:
     return narrowed(pairs, "challenge_id", "dosage_form", words_overlap(F.col("_form"), F.col("dosage_form"))).select("challenge_id", "product_id")
 
 
+def challenge_notes(challenges: DataFrame, products: DataFrame) -> DataFrame:
+    """(challenge_id, linked, note): what there is to say of each challenge's links; ``linked`` is matched, no_number or not_found.
+
+    A challenge that no dosage form narrows is linked to all products of its application, and that is said.
+    """
+    forms = products.groupBy("application_number").agg(F.array_sort(F.collect_set("dosage_form")).alias("_forms"), F.count(F.lit(1)).alias("_n"))
+    rows = challenges.select("challenge_id", "application_number", F.col("dosage_form").alias("_form")).join(forms, "application_number", "left")
+    number, fits = F.col("application_number"), F.exists("_forms", lambda f: F.coalesce(words_overlap(F.col("_form"), f), F.lit(False)))
+    linked = F.when(number.isNull(), "no_number").when(F.col("_n").isNull(), "not_found").otherwise("matched")
+    wide = F.concat(F.lit('the dosage form "'), F.coalesce("_form", F.lit("")), F.lit('" is none of '), F.array_join("_forms", ", "), F.lit("; linked to all "), F.col("_n").cast("string"), F.lit(" products of "), number)
+    note = (
+        F.when(linked == "no_number", "no application number")
+        .when(linked == "not_found", F.concat(F.lit("no product has the application number "), number))
+        .when((F.size("_forms") > 1) & ~fits, wide)
+    )
+    return rows.select("challenge_id", linked.alias("linked"), note.alias("note"))
+
+
 def companies(names: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """(name, company_id, match): exact, fuzzy or none.
 

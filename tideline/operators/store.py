@@ -11,7 +11,7 @@ import datetime as dt
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,12 @@ def _outer(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, reduce(lambda x, y: x & y, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]), "full")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_if: dict[str, Column] | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_if: dict[str, Column] | None = None, counts: Observation | None = None) -> DataFrame:
     """The new row where there is one, else the old. New keys must be unique.
 
     ``keep_if``: columns whose old value stays if the condition (over ``o`` and ``n``) holds.
-    Columns that the new rows lack keep their old value.
+    Columns that the new rows lack keep their old value. ``counts`` gets upserted and inserted, the numbers of
+    new rows and of those without an old one, while the result is computed.
     """
     keep_if = keep_if or {}
     out = []
@@ -35,7 +36,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_if: dict[str, Co
         if c in keep_if:
             value = F.when(F.col("o").isNotNull() & F.coalesce(keep_if[c], F.lit(False)), F.col(f"o.{c}")).otherwise(value)
         out.append(value.alias(c))
-    return _outer(old, new, key).select(*out)
+    met = _outer(old, new, key)
+    if counts is not None:
+        is_new = F.col("n").isNotNull()
+        met = met.observe(counts, F.count_if(is_new).alias("upserted"), F.count_if(is_new & F.col("o").isNull()).alias("inserted"))
+    return met.select(*out)
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -85,15 +90,15 @@ def insert_manual(table: DataFrame, row: dict, key: list[str], entered_by: str,
     return table.unionByName(new), record
 
 
-def provenance(rows: DataFrame, source: str, kind: str, entity: Column, now: dt.datetime, entered_by: str | None = None, note: Column | None = None) -> DataFrame:
-    """One record per row, to be appended."""
+def provenance(rows: DataFrame, source: str, kind: str, entity: Column, now: dt.datetime, entered_by: str | None = None, note: Column | None = None, payload: bool = True) -> DataFrame:
+    """One record per row, to be appended; without ``payload`` it does not hold the row itself, as those of whole releases do not."""
     return rows.select(
         F.lit(source).alias("source"),
         F.lit(kind).alias("entity_kind"),
         entity.cast("string").alias("entity_id"),
         F.lit(None).cast("string").alias("external_ref"),
         (F.lit(None).cast("string") if note is None else note).alias("change_note"),
-        F.to_json(F.struct(*rows.columns)).alias("raw_payload"),
+        (F.to_json(F.struct(*rows.columns)) if payload else F.lit(None).cast("string")).alias("raw_payload"),
         F.lit(entered_by).cast("string").alias("entered_by"),
         F.lit(now).cast("timestamp").alias("verified_at"),
         F.lit(now).cast("timestamp").alias("created_at"),
