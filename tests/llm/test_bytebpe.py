@@ -100,7 +100,7 @@ def test_decode_by_both_joins(spark, library):
 def test_a_word_is_in_one_bucket_and_once_in_a_block(spark):
     df = spark.createDataFrame([(i, f"the same words again{i}") for i in range(50)], "doc_id long, text string").repartition(5)
     rows = bytebpe.exploded(df, PATTERN, "doc_id", "text", 7, block=100).collect()
-    found = [(w, r["_block"], r["_bucket"]) for r in rows if r["_bucket"] is not None for w in bytebpe.unpacked_pieces(r["_sizes"], r["_data"])]
+    found = [(w, r["_block"], r["_bucket"]) for r in rows if r["_bucket"] is not None for w in bytebpe.unpacked_words(r["_sizes"], r["_data"])]
     blocks = {r["_block"] for r in rows if r["_bucket"] is None}
     same = [(b, k) for w, b, k in found if w == b" same"]
     assert len(blocks) > 5 and sorted(b for b, _ in same) == sorted(blocks) and len({k for _, k in same}) == 1
@@ -121,11 +121,12 @@ def test_words_are_remembered_within_bounds(spark, library, monkeypatch):
 
         def mapInArrow(self, f, _):  # noqa: N802
             words = [b" a", b" bb", b" a"]
-            blob = bytebpe.packed_pieces(words)
-            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([blob[0]] * 2), pa.array([blob[1]] * 2)], names=["_block", "_first", "_sizes", "_data"])
-            return [bytebpe.unpacked_pieces(r["_sizes"], r["_data"]) for out in f(iter([batch, batch])) for r in out.to_pylist()]
+            blob = bytebpe.packed_words(words)
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"", b""]), pa.array([blob[0]] * 2), pa.array([blob[1]] * 2)], names=["_block", "_steps", "_sizes", "_data"])
+            return [(bytebpe.unpacked(r["_sizes"]).tolist(), bytebpe.unpacked(r["_data"]).tolist()) for out in f(iter([batch, batch])) for r in out.to_pylist()]
 
-    want = [struct.pack(f"<{len(i)}I", *i) for i in map(library.encode_ordinary, (" a", " bb", " a"))]
+    ids = [library.encode_ordinary(w) for w in (" a", " bb", " a")]
+    want = ([len(i) for i in ids], sum(ids, []))
     assert bytebpe.encoded_words(Frame(), b"", 3) == [want] * 4 and sorted(calls) == [b" a", b" bb"]
     monkeypatch.setattr(bytebpe, "REMEMBERED", 300)
     assert bytebpe.encoded_words(Frame(), b"", 3) == [want] * 4
@@ -135,4 +136,8 @@ def test_packing():
     for numbers in ([], [0], [1, 255, 256, 65536, 2**32 - 1], list(range(1000))):
         assert bytebpe.unpacked(bytebpe.packed(np.array(numbers, np.uint32))).tolist() == numbers
     for pieces in ([], [b""], [b"a", b"", b"\x00" * 300, b"b"]):
-        assert bytebpe.unpacked_pieces(*bytebpe.packed_pieces(pieces)) == pieces
+        assert bytebpe.unpacked_words(*bytebpe.packed_words(pieces)) == pieces
+    rng = np.random.default_rng(1)
+    edges = [0xBF, 0xC0, 0xC1, 0xC0 + 0x2FFF, 0xC0 + 0x3000, 0xC0 + 0x3001, 0xC0 + 0x3000 + (1 << 20) - 1]
+    for numbers in ([], [0], edges, [*edges, edges[-1] + 1], rng.integers(0, 200_000, 5000).tolist(), rng.integers(0, 300, 5000).tolist()):
+        assert bytebpe.unpacked_ranks(bytebpe.packed_ranks(np.array(numbers, np.uint32))).tolist() == numbers

@@ -31,6 +31,7 @@ import hashlib
 import heapq
 import itertools
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from tideline.session import bounded_batches, written
 
 #: Characters of texts of a block; pre-tokens that are numbered at once.
-BLOCK_BYTES, RUN = 8 << 20, 1 << 16
+BLOCK_BYTES, RUN = 16 << 20, 1 << 16
 #: Words of more bytes are merged by a heap.
 SHORT = 200
 #: Buckets of words for each shuffle partition; bytes of words that a task remembers at once.
@@ -173,13 +174,46 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def packed_pieces(pieces: list[bytes]) -> tuple[bytes, bytes]:
-    """The sizes of byte strings, and the strings one after the other, compressed."""
-    return packed(np.fromiter(map(len, pieces), np.uint32, len(pieces))), zstandard.compress(b"".join(pieces))
+#: Numbers of one byte, of two, and of three: where each begins, and the first byte that says so.
+ONE, TWO, THREE = (0, 0), (0xC0, 0xC0), (0xC0 + (0x30 << 8), 0xF0)
 
 
-def unpacked_pieces(sizes: bytes, data: bytes) -> list[bytes]:
-    whole, ends = zstandard.decompress(data), np.cumsum(unpacked(sizes), dtype=np.int64).tolist()
+def packed_ranks(numbers: np.ndarray) -> bytes:
+    """Numbers of which the small ones are frequent, in one to three bytes: first, second and third bytes apart, compressed."""
+    if numbers.max(initial=0) >= THREE[0] + (0x10 << 16):
+        return b"p" + packed(numbers)
+    n = numbers.astype(np.int64)
+    two, three = n - TWO[0], n - THREE[0]
+    first = np.where(three >= 0, THREE[1] + (three >> 16), np.where(two >= 0, TWO[1] + (two >> 8), n)).astype(np.uint8)
+    second = np.where(three >= 0, three >> 8, two)[two >= 0].astype(np.uint8)
+    parts = [zstandard.compress(x.tobytes()) for x in (first, second, three[three >= 0].astype(np.uint8))]
+    return b"r" + struct.pack("<II", len(parts[0]), len(parts[1])) + b"".join(parts)
+
+
+def unpacked_ranks(data: bytes) -> np.ndarray:
+    if data[:1] == b"p":
+        return unpacked(data[1:])
+    a, b = struct.unpack("<II", data[1:9])
+    first, second, third = (np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int64) for x in (data[9 : 9 + a], data[9 + a : 9 + a + b], data[9 + a + b :]))
+    out = first.copy()
+    more, most = np.flatnonzero(first >= TWO[1]), first >= THREE[1]
+    out[more] = TWO[0] + (first[more] - TWO[1] << 8) + second
+    of_three = most[more]
+    out[most] = THREE[0] + (first[most] - THREE[1] << 16) + (second[of_three] << 8) + third
+    return out.astype(np.uint32)
+
+
+def packed_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """The sizes of words, and the words one after the other, compressed."""
+    return packed(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words))
+
+
+def unpacked_words(sizes: bytes, data: bytes) -> list[bytes]:
+    return _cut(zstandard.decompress(data), unpacked(sizes))
+
+
+def _cut(whole: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
     return [whole[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
 
@@ -206,10 +240,20 @@ class _Block:
         self.ends.append(len(self.at))
         self.size += size
 
-    def row(self, block: int, order: np.ndarray) -> dict[str, list]:
-        """_block, _ids, _ends and _at, in which keys have the numbers that the order gives them."""
+    def rows(self, block: int, buckets: int) -> tuple[dict[str, list], dict[str, list]]:
+        """The row of the block, and those of its words by bucket; words are numbered by how often they occur, the most frequent first."""
         at = np.frombuffer(self.at, np.uint32) if self.at else np.zeros(0, np.uint32)
-        return {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed(order[at])]}
+        frequent = np.argsort(-np.bincount(at, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(frequent), np.uint32)
+        rank[frequent] = np.arange(len(frequent), dtype=np.uint32)
+        own = {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed_ranks(rank[at])]}
+        words = [w.encode() for w in self.numbers]
+        members: dict[int, list[int]] = {}
+        for i in frequent.tolist():
+            members.setdefault(zlib.crc32(words[i]) % buckets, []).append(i)
+        packs = [packed_words([words[i] for i in m]) for m in members.values()]
+        steps = [packed(np.diff(rank[m].astype(np.int64), prepend=0)) for m in members.values()]
+        return own, {"_block": [block] * len(members), "_bucket": list(members), "_steps": steps, "_sizes": [a for a, _ in packs], "_data": [z for _, z in packs]}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], items: Callable[[str], Iterable], most: int) -> Iterator[tuple[int, _Block]]:
@@ -233,9 +277,9 @@ def _rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([of(f) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _put_together(block: pa.Table, pieces: list[bytes | None]) -> tuple[pa.Array, list[bytes]]:
+def _put_together(block: pa.Table, at: np.ndarray, pieces: list[bytes | None]) -> tuple[pa.Array, list[bytes]]:
     """The ids of a block's rows and, for each, its pieces one after the other."""
-    at, ends = unpacked(block["_at"][0].as_py()), unpacked(block["_ends"][0].as_py()).tolist()
+    ends = unpacked(block["_ends"][0].as_py()).tolist()
     if len(at) and (at.max() >= len(pieces) or None in pieces):
         raise ValueError("an id has no token")
     ids = block["_ids"].combine_chunks().flatten()
@@ -246,9 +290,9 @@ def _put_together(block: pa.Table, pieces: list[bytes | None]) -> tuple[pa.Array
 
 
 def exploded(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets: int, block: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each block (_block, _ids, _ends, _at) and one for each block and bucket of words (_block, _bucket, _first, _sizes, _data).
+    """A row for each block (_block, _ids, _ends, _at) and one for each block and bucket of words (_block, _bucket, _steps, _sizes, _data).
 
-    Words are numbered by bucket and in their own order; ``_first`` is the number of a bucket's first.
+    ``_steps`` are the differences of the words' numbers in the block.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -256,30 +300,17 @@ def exploded(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets:
         first = next(batches, None)
         if first is None:
             return
-        integers, binaries = ["_first"], ["_sizes", "_data", "_ends", "_at"]
-        schema = pa.schema([("_block", pa.int64()), ("_bucket", pa.int32()), *[(c, pa.int64()) for c in integers], *[(c, pa.binary()) for c in binaries], ("_ids", pa.list_(first.column(0).type))])
+        schema = pa.schema([("_block", pa.int64()), ("_bucket", pa.int32()), *[(c, pa.binary()) for c in ("_steps", "_sizes", "_data", "_ends", "_at")], ("_ids", pa.list_(first.column(0).type))])
         for number, held in _blocks(itertools.chain([first], batches), splitter(pattern), block):
-            words = [w.encode() for w in held.numbers]
-            bucket = [zlib.crc32(w) % buckets for w in words]
-            place = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
-            order = np.empty(len(words), np.uint32)
-            order[place] = np.arange(len(words), dtype=np.uint32)
-            yield _rows(held.row(number, order), schema)
-            out: dict[str, list] = {c: [] for c in ("_block", "_bucket", "_first", "_sizes", "_data")}
-            begin = 0
-            for b, group in itertools.groupby(place, key=bucket.__getitem__):
-                own = [words[i] for i in group]
-                for c, v in zip(out, (number, b, begin, *packed_pieces(own)), strict=True):
-                    out[c].append(v)
-                begin += len(own)
-            yield _rows(out, schema)
+            for rows in held.rows(number, buckets):
+                yield _rows(rows, schema)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_value"))
-    return bounded_batches(rows).mapInArrow(run, f"_block long, _bucket int, _first long, _sizes binary, _data binary, _ends binary, _at binary, _ids array<{kind}>")
+    return bounded_batches(rows).mapInArrow(run, f"_block long, _bucket int, _steps binary, _sizes binary, _data binary, _ends binary, _at binary, _ids array<{kind}>")
 
 
 def encoded_words(words: DataFrame, lines: bytes, parts: int) -> DataFrame:
-    """(_block, _first, _sizes, _data): in place of each word its ids as packed 32-bit integers.
+    """(_block, _steps, _sizes, _data): in place of the words the numbers of their ids, and their ids.
 
     A bucket is one task's, so a word is encoded once wherever it occurs, unless the words of a task
     are more than REMEMBERED; then the oldest half is forgotten.
@@ -287,31 +318,30 @@ def encoded_words(words: DataFrame, lines: bytes, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(lines)
-        known: dict[bytes, bytes] = {}
-        older: dict[bytes, bytes] = {}
+        known: dict[bytes, list[int]] = {}
+        older: dict[bytes, list[int]] = {}
         held = 0
         for batch in batches:
             sizes, data = [], []
             for a, z in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 pieces = []
-                for w in unpacked_pieces(a, z):
+                for w in unpacked_words(a, z):
                     ids = known.get(w)
                     if ids is None:
                         ids = older.get(w)
                         if ids is None:
-                            ids = np.array(merges.encode(w), "<u4").tobytes()
+                            ids = merges.encode(w)
                         known[w] = ids
-                        held += len(w) + len(ids) + 200
+                        held += len(w) + 8 * len(ids) + 200
                         if held > REMEMBERED // 2:
                             known, older, held = {}, known, 0
                     pieces.append(ids)
-                s, d = packed_pieces(pieces)
-                sizes.append(s)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], names=["_block", "_first", "_sizes", "_data"])
+                sizes.append(packed(np.fromiter(map(len, pieces), np.uint32, len(pieces))))
+                data.append(packed(np.fromiter(itertools.chain.from_iterable(pieces), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], names=["_block", "_steps", "_sizes", "_data"])
 
-    dealt = words.repartition(parts, "_bucket").select("_block", "_first", "_sizes", "_data")  # few bytes and much work, so not to be coalesced
-    return bounded_batches(dealt).mapInArrow(run, "_block long, _first long, _sizes binary, _data binary")
+    dealt = words.repartition(parts, "_bucket").select("_block", "_steps", "_sizes", "_data")  # few bytes and much work, so not to be coalesced
+    return bounded_batches(dealt).mapInArrow(run, "_block long, _steps binary, _sizes binary, _data binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block: int = BLOCK_BYTES) -> DataFrame:
@@ -323,7 +353,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         lines = f.read()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(exploded(docs, pattern, id_col, text_col, BUCKETS * parts, block), "bpe-words")
-    words = encoded_words(rows.filter(F.col("_bucket").isNotNull()).select("_block", "_bucket", "_first", "_sizes", "_data"), lines, parts)
+    words = encoded_words(rows.filter(F.col("_bucket").isNotNull()).select("_block", "_bucket", "_steps", "_sizes", "_data"), lines, parts)
     met = rows.filter(F.col("_bucket").isNull()).select("_block", "_ends", "_at", "_ids").unionByName(words, allowMissingColumns=True)
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -331,8 +361,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def finished(group: pa.Table) -> pa.Table:
         is_block = pc.is_valid(group["_at"])
-        own = sorted(group.filter(pc.invert(is_block)).select(["_first", "_sizes", "_data"]).to_pylist(), key=lambda r: r["_first"])
-        ids, blobs = _put_together(group.filter(is_block), [p for r in own for p in unpacked_pieces(r["_sizes"], r["_data"])])
+        block, words = group.filter(is_block), group.filter(pc.invert(is_block)).select(["_steps", "_sizes", "_data"])
+        pieces: list[bytes | None] = [None] * sum(len(unpacked(s)) for s in words["_sizes"].to_pylist())
+        for steps, sizes, data in zip(*(c.to_pylist() for c in words.columns), strict=True):
+            for i, piece in zip(np.cumsum(unpacked(steps)).tolist(), _cut(unpacked(data).tobytes(), 4 * unpacked(sizes).astype(np.int64)), strict=True):
+                pieces[i] = piece
+        ids, blobs = _put_together(block, unpacked_ranks(block["_at"][0].as_py()), pieces)
         off = np.cumsum([0, *[len(b) // 4 for b in blobs]]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(blobs))]))
         columns = [ids, pa.array(np.diff(off), pa.int64()), lists]
@@ -380,7 +414,8 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     def finished(group: pa.Table) -> pa.Table:
         is_block = pc.is_valid(group["_at"])
         keys = group.filter(pc.invert(is_block)).sort_by("_number")
-        ids, blobs = _put_together(group.filter(is_block), keys["_piece"].to_pylist())
+        block = group.filter(is_block)
+        ids, blobs = _put_together(block, unpacked(block["_at"][0].as_py()), keys["_piece"].to_pylist())
         return pa.table([ids, pa.array(blobs, pa.binary())], names=["_id", "decoded"])
 
     if sum(len(t) + 64 for t in ranks) <= table_bytes:
