@@ -122,7 +122,7 @@ def test_words_are_remembered_within_bounds(spark, library, monkeypatch):
         def mapInArrow(self, f, _):  # noqa: N802
             words = [b" a", b" bb", b" a"]
             blob = bytebpe.packed_words(words)
-            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"", b""]), pa.array([blob[0]] * 2), pa.array([blob[1]] * 2)], names=["_block", "_steps", "_sizes", "_data"])
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 3], pa.int32()), pa.array([blob[0]] * 2), pa.array([blob[1]] * 2)], names=["_block", "_bucket", "_sizes", "_data"])
             return [(bytebpe.unpacked(r["_sizes"]).tolist(), bytebpe.unpacked(r["_data"]).tolist()) for out in f(iter([batch, batch])) for r in out.to_pylist()]
 
     ids = [library.encode_ordinary(w) for w in (" a", " bb", " a")]

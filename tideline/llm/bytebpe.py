@@ -48,11 +48,11 @@ from pyspark.sql import functions as F
 from tideline.session import bounded_batches, written
 
 #: Characters of texts of a block; pre-tokens that are numbered at once.
-BLOCK_BYTES, RUN = 16 << 20, 1 << 16
+BLOCK_BYTES, RUN = 12 << 20, 1 << 16
 #: Words of more bytes are merged by a heap.
 SHORT = 200
-#: Buckets of words for each shuffle partition; bytes of words that a task remembers at once.
-BUCKETS, REMEMBERED = 4, 64 << 20
+#: Bytes of words that a task remembers at once.
+REMEMBERED = 64 << 20
 #: Bytes of tokens up to which their table is broadcast.
 TABLE_BYTES = 32 << 20
 NONE = 1 << 62
@@ -178,29 +178,40 @@ def unpacked(data: bytes) -> np.ndarray:
 ONE, TWO, THREE = (0, 0), (0xC0, 0xC0), (0xC0 + (0x30 << 8), 0xF0)
 
 
+#: Numbers that are packed at once.
+PART = 1 << 18
+
+
 def packed_ranks(numbers: np.ndarray) -> bytes:
-    """Numbers of which the small ones are frequent, in one to three bytes: first, second and third bytes apart, compressed."""
+    """Numbers of which the small ones are frequent, in one to three bytes: first, second and third bytes apart, compressed, in parts."""
     if numbers.max(initial=0) >= THREE[0] + (0x10 << 16):
         return b"p" + packed(numbers)
-    n = numbers.astype(np.int64)
-    two, three = n - TWO[0], n - THREE[0]
-    first = np.where(three >= 0, THREE[1] + (three >> 16), np.where(two >= 0, TWO[1] + (two >> 8), n)).astype(np.uint8)
-    second = np.where(three >= 0, three >> 8, two)[two >= 0].astype(np.uint8)
-    parts = [zstandard.compress(x.tobytes()) for x in (first, second, three[three >= 0].astype(np.uint8))]
-    return b"r" + struct.pack("<II", len(parts[0]), len(parts[1])) + b"".join(parts)
+    out = [b"r"]
+    for lo in range(0, len(numbers), PART):
+        n = numbers[lo : lo + PART].astype(np.int32)
+        two, three = n - TWO[0], n - THREE[0]
+        first = np.where(three >= 0, THREE[1] + (three >> 16), np.where(two >= 0, TWO[1] + (two >> 8), n)).astype(np.uint8)
+        second = np.where(three >= 0, three >> 8, two)[two >= 0].astype(np.uint8)
+        streams = [zstandard.compress(x.tobytes()) for x in (first, second, three[three >= 0].astype(np.uint8))]
+        out += [struct.pack("<III", *map(len, streams)), *streams]
+    return b"".join(out)
 
 
 def unpacked_ranks(data: bytes) -> np.ndarray:
     if data[:1] == b"p":
         return unpacked(data[1:])
-    a, b = struct.unpack("<II", data[1:9])
-    first, second, third = (np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int64) for x in (data[9 : 9 + a], data[9 + a : 9 + a + b], data[9 + a + b :]))
-    out = first.copy()
-    more, most = np.flatnonzero(first >= TWO[1]), first >= THREE[1]
-    out[more] = TWO[0] + (first[more] - TWO[1] << 8) + second
-    of_three = most[more]
-    out[most] = THREE[0] + (first[most] - THREE[1] << 16) + (second[of_three] << 8) + third
-    return out.astype(np.uint32)
+    parts, at = [np.zeros(0, np.uint32)], 1
+    while at < len(data):
+        sizes = struct.unpack_from("<III", data, at)
+        ends = [at + 12 + sum(sizes[:k]) for k in range(4)]
+        first, second, third = (np.frombuffer(zstandard.decompress(data[a:z]), np.uint8).astype(np.int32) for a, z in itertools.pairwise(ends))
+        out = first.copy()
+        more, most = np.flatnonzero(first >= TWO[1]), first >= THREE[1]
+        out[more] = TWO[0] + (first[more] - TWO[1] << 8) + second
+        out[most] = THREE[0] + (first[most] - THREE[1] << 16) + (second[most[more]] << 8) + third
+        parts.append(out.astype(np.uint32))
+        at = ends[3]
+    return np.concatenate(parts)
 
 
 def packed_words(words: list[bytes]) -> tuple[bytes, bytes]:
@@ -243,11 +254,14 @@ class _Block:
     def rows(self, block: int, buckets: int) -> tuple[dict[str, list], dict[str, list]]:
         """The row of the block, and those of its words by bucket; words are numbered by how often they occur, the most frequent first."""
         at = np.frombuffer(self.at, np.uint32) if self.at else np.zeros(0, np.uint32)
-        frequent = np.argsort(-np.bincount(at, minlength=len(self.numbers)), kind="stable")
+        frequent = np.argsort(-np.bincount(at, minlength=len(self.numbers)).astype(np.int32), kind="stable")
         rank = np.empty(len(frequent), np.uint32)
         rank[frequent] = np.arange(len(frequent), dtype=np.uint32)
         own = {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed_ranks(rank[at])]}
+        del at
+        self.at = array("I")
         words = [w.encode() for w in self.numbers]
+        self.numbers = _Numbers()
         members: dict[int, list[int]] = {}
         for i in frequent.tolist():
             members.setdefault(zlib.crc32(words[i]) % buckets, []).append(i)
@@ -310,7 +324,7 @@ def exploded(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets:
 
 
 def encoded_words(words: DataFrame, lines: bytes, parts: int) -> DataFrame:
-    """(_block, _steps, _sizes, _data): in place of the words the numbers of their ids, and their ids.
+    """(_block, _bucket, _sizes, _data): in place of the words the numbers of their ids, and their ids.
 
     A bucket is one task's, so a word is encoded once wherever it occurs, unless the words of a task
     are more than REMEMBERED; then the oldest half is forgotten.
@@ -338,10 +352,10 @@ def encoded_words(words: DataFrame, lines: bytes, parts: int) -> DataFrame:
                     pieces.append(ids)
                 sizes.append(packed(np.fromiter(map(len, pieces), np.uint32, len(pieces))))
                 data.append(packed(np.fromiter(itertools.chain.from_iterable(pieces), np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], names=["_block", "_steps", "_sizes", "_data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], names=["_block", "_bucket", "_sizes", "_data"])
 
-    dealt = words.repartition(parts, "_bucket").select("_block", "_steps", "_sizes", "_data")  # few bytes and much work, so not to be coalesced
-    return bounded_batches(dealt).mapInArrow(run, "_block long, _steps binary, _sizes binary, _data binary")
+    dealt = words.repartition(parts, "_bucket")  # few bytes and much work, so not to be coalesced
+    return bounded_batches(dealt).mapInArrow(run, "_block long, _bucket int, _sizes binary, _data binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block: int = BLOCK_BYTES) -> DataFrame:
@@ -352,26 +366,31 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     with open(ranks_path, "rb") as f:
         lines = f.read()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(exploded(docs, pattern, id_col, text_col, BUCKETS * parts, block), "bpe-words")
-    words = encoded_words(rows.filter(F.col("_bucket").isNotNull()).select("_block", "_bucket", "_steps", "_sizes", "_data"), lines, parts)
-    met = rows.filter(F.col("_bucket").isNull()).select("_block", "_ends", "_at", "_ids").unionByName(words, allowMissingColumns=True)
+    rows = written(exploded(docs, pattern, id_col, text_col, parts, block), "bpe-words")
+    words = encoded_words(rows.filter(F.col("_bucket").isNotNull()).select("_block", "_bucket", "_sizes", "_data"), lines, parts)
+    met = rows.select("_block", "_bucket", "_steps", "_ends", "_at", "_ids").unionByName(words, allowMissingColumns=True)
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "ids", *["ids_sha256"] * digests]
 
     def finished(group: pa.Table) -> pa.Table:
-        is_block = pc.is_valid(group["_at"])
-        block, words = group.filter(is_block), group.filter(pc.invert(is_block)).select(["_steps", "_sizes", "_data"])
+        block = group.filter(pc.is_valid(group["_at"]))
+        places, words = (group.filter(pc.is_valid(group[c])) for c in ("_steps", "_data"))
+        steps = dict(zip(places["_bucket"].to_pylist(), places["_steps"].to_pylist(), strict=True))
         pieces: list[bytes | None] = [None] * sum(len(unpacked(s)) for s in words["_sizes"].to_pylist())
-        for steps, sizes, data in zip(*(c.to_pylist() for c in words.columns), strict=True):
-            for i, piece in zip(np.cumsum(unpacked(steps)).tolist(), _cut(unpacked(data).tobytes(), 4 * unpacked(sizes).astype(np.int64)), strict=True):
+        for bucket, sizes, data in zip(*(words[c].to_pylist() for c in ("_bucket", "_sizes", "_data")), strict=True):
+            for i, piece in zip(np.cumsum(unpacked(steps[bucket])).tolist(), _cut(unpacked(data).tobytes(), 4 * unpacked(sizes).astype(np.int64)), strict=True):
                 pieces[i] = piece
         ids, blobs = _put_together(block, unpacked_ranks(block["_at"][0].as_py()), pieces)
         off = np.cumsum([0, *[len(b) // 4 for b in blobs]]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(blobs))]))
+        said = [hashlib.sha256(b).hexdigest() for b in blobs] if digests else []
+        del pieces, block
+        flat = pa.py_buffer(b"".join(blobs))
+        del blobs
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, flat]))
         columns = [ids, pa.array(np.diff(off), pa.int64()), lists]
         if digests:
-            columns.append(pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()))
+            columns.append(pa.array(said, pa.string()))
         return pa.table(columns, names=names)
 
     return met.groupBy("_block").applyInArrow(finished, f"`{id_col}` {kind}, n_tokens long, ids array<int>" + ", ids_sha256 string" * digests)
