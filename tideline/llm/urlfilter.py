@@ -18,7 +18,8 @@ propagate: the seeds' own hosts keep their scores, and all others are allowed.
 
 Defined cases
 - null url or one without "://": empty host and path, no rule, allowed.
-- null html: no links. Links to the own host don't count. Other links count once for each page.
+- null html: no links. Links to the own host don't count. Other links count once for each page. A link is the first target
+  after ``<a``; tags that do not end and pages of any length are read in one pass.
 - a host without links out keeps its rank to itself (it is not spread).
 - repeated rows: each is judged, and counts as a page of its own.
 - ties between rules of one length: the first in the list. Empty input: no rows.
@@ -45,7 +46,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
+_TARGET = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,7 +71,9 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
 
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, n): on how many pages of one host there are links to another."""
-    out = F.array_distinct(F.transform(F.regexp_extract_all(F.col(html_col).cast("string"), F.lit(_LINK), 1), lambda x: F.translate(x, _UPPER, _LOWER)))
+    # what is before each > is looked at once, from its first <a on, so that tags that never end cost no more than others
+    targets = F.transform(F.split(F.col(html_col).cast("string"), ">"), lambda p: F.regexp_extract(F.regexp_extract(p, r"(?is)<a\s(.*)", 1), _TARGET, 1))
+    out = F.array_distinct(F.transform(F.filter(targets, lambda x: x != ""), lambda x: F.translate(x, _UPPER, _LOWER)))
     each = pages.filter(F.col(html_col).isNotNull()).select(host_of(F.col(url_col).cast("string")).alias("src"), F.explode(out).alias("dst"))
     return each.filter("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
