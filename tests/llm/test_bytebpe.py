@@ -141,3 +141,5 @@ def test_packing():
     edges = [0xBF, 0xC0, 0xC1, 0xC0 + 0x2FFF, 0xC0 + 0x3000, 0xC0 + 0x3001, 0xC0 + 0x3000 + (1 << 20) - 1]
     for numbers in ([], [0], edges, [*edges, edges[-1] + 1], rng.integers(0, 200_000, 5000).tolist(), rng.integers(0, 300, 5000).tolist()):
         assert bytebpe.unpacked_ranks(bytebpe.packed_ranks(np.array(numbers, np.uint32))).tolist() == numbers
+    for numbers, often in (([], 0), ([0, 1, 2], 0), ([0, 0, 1, 0, 2], 1), ([1, 0, 2, 0, 3, 1, 4], 2), ([0, 1, 0, 1], 2)):
+        assert bytebpe.unpacked_positions(bytebpe.packed_positions(np.array(numbers, np.uint32), often)).tolist() == numbers

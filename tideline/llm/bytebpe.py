@@ -214,6 +214,19 @@ def unpacked_ranks(data: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def packed_positions(numbers: np.ndarray, often: int) -> bytes:
+    """Numbers of which those from ``often`` on occur once, in their order: these need not be told, only that one stands there."""
+    return struct.pack("<I", often) + packed_ranks(np.where(numbers >= often, 0, numbers + 1).astype(np.uint32))
+
+
+def unpacked_positions(data: bytes) -> np.ndarray:
+    numbers = unpacked_ranks(data[4:])
+    once = numbers == 0
+    numbers -= 1
+    numbers[once] = struct.unpack_from("<I", data)[0] + np.arange(int(once.sum()), dtype=np.uint32)
+    return numbers
+
+
 def packed_words(words: list[bytes]) -> tuple[bytes, bytes]:
     """The sizes of words, and the words one after the other, compressed."""
     return packed(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words))
@@ -252,12 +265,12 @@ class _Block:
         self.size += size
 
     def rows(self, block: int, buckets: int) -> tuple[dict[str, list], dict[str, list]]:
-        """The row of the block, and those of its words by bucket; words are numbered by how often they occur, the most frequent first."""
+        """The row of the block, and those of its words by bucket; words are numbered by how often they occur, the most frequent first and those of equal number by their first place."""
         at = np.frombuffer(self.at, np.uint32) if self.at else np.zeros(0, np.uint32)
         frequent = np.argsort(-np.bincount(at, minlength=len(self.numbers)).astype(np.int32), kind="stable")
         rank = np.empty(len(frequent), np.uint32)
         rank[frequent] = np.arange(len(frequent), dtype=np.uint32)
-        own = {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed_ranks(rank[at])]}
+        own = {"_block": [block], "_ids": [self.ids], "_ends": [packed(np.array(self.ends, np.uint32))], "_at": [packed_positions(rank[at], int((np.bincount(at, minlength=len(rank)) > 1).sum()))]}
         del at
         self.at = array("I")
         words = [w.encode() for w in self.numbers]
@@ -381,7 +394,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for bucket, sizes, data in zip(*(words[c].to_pylist() for c in ("_bucket", "_sizes", "_data")), strict=True):
             for i, piece in zip(np.cumsum(unpacked(steps[bucket])).tolist(), _cut(unpacked(data).tobytes(), 4 * unpacked(sizes).astype(np.int64)), strict=True):
                 pieces[i] = piece
-        ids, blobs = _put_together(block, unpacked_ranks(block["_at"][0].as_py()), pieces)
+        ids, blobs = _put_together(block, unpacked_positions(block["_at"][0].as_py()), pieces)
         off = np.cumsum([0, *[len(b) // 4 for b in blobs]]).astype(np.int32)
         said = [hashlib.sha256(b).hexdigest() for b in blobs] if digests else []
         del pieces, block
