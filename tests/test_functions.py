@@ -116,6 +116,7 @@ def test_challenge_cells(spark):
 def test_roles_and_manual_tiers(spark):
     assert values(spark, ["a", "b", "c", None], lambda c: parties.role(c, F.lit("a"), F.lit("b"))) == ["plaintiff", "defendant", "unmatched", "unmatched"]
     assert values(spark, ["Acme Inc.  (ACME)  (CIK 0000885590)", "Acme (US) Inc", "Bob (B.K) (cik 12) "], parties.filer_name) == ["Acme Inc.", "Acme (US) Inc", "Bob"]
-    rows = [("exact", "exact", 1, True), ("exact", "exact", 2, True), ("fuzzy", "exact", 1, True), ("exact", "none", 1, False), ("none", "none", 0, True)]
+    rows = [("exact", "exact", 1, True), ("exact", "exact", 2, True), ("fuzzy", "exact", 1, True), ("exact", "none", 1, False), ("none", "none", 0, True), ("none", "fuzzy", 1, True)]
     df = spark.createDataFrame(rows, "a string, z string, n int, p boolean")
-    assert [r[0] for r in df.coalesce(1).select(parties.manual_confidence(*map(F.col, "aznp"))).collect()] == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "NONE"]
+    told = [r[0] for r in df.coalesce(1).select(parties.manual_confidence(*map(F.col, "aznp"))).collect()]
+    assert [r["tier"] for r in told] == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "NONE", "MEDIUM"] and len({r["note"] for r in told}) == 5

@@ -24,22 +24,22 @@ def test_cases_by_distance_in_time(spark):
 
 
 def test_named_products(spark):
-    products = spark.createDataFrame([("p1", 1, "Brandix", "550MG"), ("p2", 1, "Brandix", "200MG"), ("p3", 1, "Other", "5MG")], "product_id string, company_id int, name string, strength string")
+    products = spark.createDataFrame([("p1", "Brandix", "550MG"), ("p2", "Brandix", "200MG"), ("p3", "Other", "5MG"), ("p4", "Brandix", "15 mg"), ("p5", "Brandix", "5mg")], "product_id string, name string, strength string")
     patents = spark.createDataFrame([("11", "p3"), ("22", "p1"), ("22", "p2")], "patent_number string, product_id string")
-    complaints = spark.createDataFrame([("a", 1, ["11"], "Brandix", "550 mg"), ("b", 1, ["22"], "BRANDIX", "550 mg"), ("c", 1, [], "Brandix", "7 mg"), ("d", 1, [], None, None), ("e", 2, ["11"], "Brandix", None)], "case_id string, company_id int, patent_numbers array<string>, brand_name string, strength string")
+    complaints = spark.createDataFrame([("a", ["11"], "Brandix", "550 mg"), ("b", ["22"], "BRANDIX", "550 mg"), ("c", [], "Brandix", "7 mg"), ("d", [], None, None), ("e", ["99"], "Brandix", "5 MG"), ("f", ["11", "22"], None, None)], "case_id string, patent_numbers array<string>, brand_name string, strength string")
     got = sorted((r["case_id"], r["product_id"], r["how"]) for r in matching.named_products(complaints, patents, products).collect() if r["product_id"])
-    assert got == [("a", "p3", "patent"), ("b", "p1", "brand"), ("c", "p1", "brand"), ("c", "p2", "brand")]
+    assert got == [("a", "p3", "patent"), ("b", "p1", "brand"), *[("c", p, "brand") for p in ("p1", "p2", "p4", "p5")], ("e", "p5", "brand")]
 
 
 def test_challenge_links_narrow_by_form(spark):
     products = spark.createDataFrame([("p1", "N1", "TABLET"), ("p2", "N1", "INJECTABLE"), ("p3", "N2", "TABLET"), ("p4", "N2", "TABLET")], "product_id string, application_number string, dosage_form string")
-    challenges = spark.createDataFrame([(1, "N1", "Tablets, oral tablet"), (2, "N1", "Gel"), (3, "N2", "Gel"), (4, "N9", "x")], "challenge_id int, application_number string, dosage_form string")
+    challenges = spark.createDataFrame([(1, "N1", "Oral Tablets"), (2, "N1", "Gel"), (3, "N2", "Gel"), (4, "N9", "x")], "challenge_id int, application_number string, dosage_form string")
     got = sorted(map(tuple, matching.challenge_links(challenges, products).collect()))
     assert got == [(1, "p1"), (2, "p1"), (2, "p2"), (3, "p3"), (3, "p4")]
 
 
 def test_references(spark):
-    t = spark.createDataFrame([("1", "A", "aa", None, None), ("2", "B", "bb", "a", None), ("3", "C", "cc", "none", "BB"), ("4", "D", "dd", "d", "D"), ("5", "A", "zz", None, None)], "product_id string, name string, alt_name string, reference_name string, reference_alt_name string")
+    t = spark.createDataFrame([("1", "A", "aa", None, None), ("2", "B", "bb", "a", None), ("3", "C", "cc", "none", "BB"), ("4", "D", "dd", "d", "AA"), ("5", "A", "zz", None, None)], "product_id string, name string, alt_name string, reference_name string, reference_alt_name string")
     assert {r["product_id"]: r["reference_id"] for r in matching.references(t).collect()} == {"1": None, "2": "1", "3": "2", "4": None, "5": None}
 
 
@@ -101,7 +101,7 @@ def test_term_outcomes(spark):
     got = {r["patent_number"]: (r["outcome"], r["expiry"], r["adjustment_days"]) for r in enrich.outcomes(patents, answers).collect()}
     assert got == {"1": ("updated", d(2021, 11, 1), 670), "2": ("no_data", d(2020, 5, 1), None), "3": ("error", d(2020, 1, 1), None), "RE4": ("updated", d(2020, 1, 31), 30), "5": ("flagged", d(2001, 1, 1), None)}
     records = spark.createDataFrame([("terms", "1")], "source string, entity_id string")
-    assert [r["patent_number"] for r in enrich.candidates(patents, records, "terms", 2).collect()] == ["5", "2"]
+    assert [r["patent_number"] for r in enrich.candidates(patents, records, "terms", 3).collect()] == ["5", "3", "RE4"]
 
 
 def test_feed_order_and_queue(spark):
@@ -155,8 +155,9 @@ def test_denied_and_empty_terms(spark):
     assert enrich.until_denied(answers.filter("status = 'ok'"), "place").count() == 3
     shown = {r["patent_number"]: (r["status"], r["nominal_expiry"], r["expiry"]) for r in enrich.preview(answers).collect()}
     assert shown == {"1": ("error", None, None), "2": ("not_found", None, None), "3": ("found", d(2000, 1, 1), d(2000, 1, 1)), "4": ("found", d(2020, 1, 1), d(2020, 1, 1))}
-    far = patents.withColumn("expiry", F.when(F.col("patent_number") == "1", F.lit(d(2040, 1, 1))).otherwise(F.col("expiry")))
-    assert [r["patent_number"] for r in enrich.suspicious(far, 5).collect()] == ["1"]
+    far = patents.withColumn("expiry", F.when(F.col("patent_number") == "1", F.lit(d(2040, 1, 1))).otherwise(F.col("expiry")))  # far apart, but not by an adjustment
+    large = far.withColumn("adjustment_days", F.when(F.col("patent_number").isin("2", "3"), 5000 - F.col("patent_number").cast("int")))
+    assert [r["patent_number"] for r in enrich.suspicious(large, 5).collect()] == ["2", "3"]
 
 
 def test_unknown_parties_are_told_apart(spark):
@@ -169,8 +170,9 @@ def test_unknown_parties_are_told_apart(spark):
 def test_docket_preview(spark):
     hits = spark.createDataFrame([(1, "Acme Inc. v. Beta LLC", "deld", "830 Patent", None), (2, "Acme v. Acme Corp", "njd", None, None), (3, "Acme v. Beta", "cand", None, None), (4, "In re Acme", "deld", None, None)], "docket_id int, caption string, court_id string, nature string, cause string")
     known = spark.createDataFrame([("a", "Acme Inc"), ("b", "Beta Pharma"), ("c", "Gamma")], "id string, name string")
-    products = spark.createDataFrame([("p1", "a"), ("p2", "b"), ("p3", "c")], "product_id string, company_id string")
-    got = {r["docket_id"]: (r["candidates"], r["tier"], r["issue"] is None) for r in matching.docket_preview(hits, known, products).collect()}
+    products = spark.createDataFrame([("p1", "a"), ("p2", "b"), ("p3", "c"), ("p4", "a")], "product_id string, company_id string")
+    links = spark.createDataFrame([(1, "p1"), (2, "p1"), (3, "p2"), (4, "p3")], "challenge_id int, product_id string")  # p4 is in no dispute
+    got = {r["docket_id"]: (r["candidates"], r["tier"], r["issue"] is None) for r in matching.docket_preview(hits, known, products, links).collect()}
     assert got == {1: (["p1", "p2"], "MEDIUM", True), 2: (["p1"], "LOW", True), 3: (None, None, False), 4: (None, None, False)}
 
 
@@ -180,3 +182,37 @@ def test_references_both_ways(spark):
     p = spark.createDataFrame([("1", "One", None), ("2", "Two", "1"), ("3", "Aaa", "1")], "product_id string, name string, reference_id string")
     got = {r["product_id"]: (r["reference"], [x["name"] for x in r["referred_by"] or []]) for r in detail.with_references(p).collect()}
     assert got == {"1": (None, ["Aaa", "Two"]), "2": ("One", []), "3": ("One", [])}
+
+
+def test_merged_cases(spark):
+    from tideline.operators import detail
+
+    d = dt.date
+    docket = lambda n, filed=None: [(filed, n)]
+    rows = [
+        (1, "A", "B", 1, 2, "SETTLED", "LOW", "x", docket(9, d(2020, 1, 1)), d(2020, 1, 1)),
+        (2, "A", "B", 1, 2, "DISMISSED", "HIGH", "y", docket(1, d(2021, 1, 1)), d(2021, 1, 1)),
+        (3, "A", "B", 1, 2, "SETTLED", "LOW", "x", docket(5), None),
+        (4, "A", "B", None, 2, "SETTLED", "LOW", None, docket(6), None),
+        (5, "A", "B", None, 2, "SETTLED", "LOW", None, docket(7), None),
+        (6, "C", "B", 3, 2, "SETTLED", "LOW", None, docket(8), None),
+        (7, "C", "B", 3, 2, "SETTLED", "LOW", None, docket(10), None),
+        (8, "D", "B", 4, 2, "SETTLED", "LOW", None, docket(11), None),
+        (9, "D", "B", 4, 2, "ONGOING", "LOW", None, docket(12), None),
+    ]
+    cases = spark.createDataFrame(rows, "case_id int, plaintiff string, defendant string, plaintiff_id int, defendant_id int, outcome string, tier string, note string, dockets array<struct<filed:date,docket_id:int>>, filed date")
+    got = sorted((r["plaintiff"], r["n_cases"], r["outcome"], r["outcome_note"], r["tier"], [x["docket_id"] for x in r["dockets"]]) for r in detail.merged_cases(cases).collect())
+    differ = "made of {} cases whose outcomes differ"
+    assert got == [("A", 1, "SETTLED", None, "LOW", [6]), ("A", 1, "SETTLED", None, "LOW", [7]), ("A", 3, "UNCLEAR", differ.format(3), "HIGH", [9, 1, 5]), ("C", 2, "SETTLED", None, "LOW", [8, 10]), ("D", 2, "ONGOING", differ.format(2), "LOW", [11, 12])]
+
+
+def test_entry_facts_without_an_estimate(spark):
+    from tideline.operators import detail
+
+    d = dt.date
+    est = spark.createDataFrame([("A", "1", None), ("A", "2", d(2030, 1, 1)), ("A", "3", d(2020, 1, 1)), ("A", "4", None)], "source string, product_id string, estimate date")
+    licences = spark.createDataFrame([("A", k, d(2025, 1, 1)) for k in "123"], "source string, product_id string, licensed_entry date")
+    none = spark.createDataFrame([], "source string, product_id string, first_marketing date")
+    got = {r["product_id"]: (r["entry_date"], r["basis"], r["licensed"]) for r in detail.entry_facts(est, none, licences, d(2024, 1, 1)).collect()}
+    day = d(2025, 1, 1)
+    assert got == {"1": (day, "licensed", day), "2": (day, "licensed", day), "3": (d(2020, 1, 1), "estimate", None), "4": (None, None, None)}

@@ -112,9 +112,10 @@ def test_archives_and_addresses(spark, tmp_path):
 def test_search_hits(spark):
     from tideline.sources import responses
 
-    body = '{"results": [{"docket_id": 1, "caseName": "A v. B", "court_id": "deld", "dateFiled": "2020-01-02"}, {"docket_id": null, "caseName": "C v. D", "court_id": "njd"}, {"docket_id": 3, "caseName": "E v. F", "court_id": "njd", "dateFiled": "soon"}]}'
-    good, bad = responses.hits(spark.createDataFrame([(7, body), (8, "no JSON"), (9, None)], "company_id int, body string"))
-    assert sorted((r["docket_id"], r["filed"]) for r in good.collect()) == [(1, dt.date(2020, 1, 2)), (3, None)] and bad.count() == 1
+    one = '{"docket_id": 1, "caseName": "A v. B", "docketNumber": "1:20", "court_id": "deld", "dateFiled": "2020-01-02", "assignedTo": "", "cause": "35:271"}'
+    body = f'{{"results": [{one}, {one.replace(": 1,", ": null,")}, {one.replace(": 1,", ": \"1\",")}, {one.replace("docketNumber", "other")}, {one.replace(chr(34) + "1:20" + chr(34), "7")}, {one.replace("2020-01-02", "soon").replace(": 1,", ": 3,")}]}}'
+    good, bad = responses.hits(spark.createDataFrame([(7, body), (8, "no JSON"), (9, None), (10, '{"results": 5}')], "company_id int, body string"))
+    assert sorted((r["docket_id"], r["filed"], r["judge"], r["cause"]) for r in good.collect()) == [(1, dt.date(2020, 1, 2), None, "35:271"), (3, None, None, "35:271")] and bad.count() == 4
 
 
 def test_changed_header_and_exclusivities(lines):
@@ -124,13 +125,27 @@ def test_changed_header_and_exclusivities(lines):
     assert sorted((r["line"], r["reason"]) for r in issues.collect())[0] == (1, "header has 3 columns, expected 5") and issues.count() == 4
 
 
-def test_first_entries_and_terms(spark):
+def test_first_entries_and_their_cases(spark):
     from tideline.sources import responses
 
-    body = '{"entries": [{"number": 2, "text": "no", "available": true}, {"number": 1, "text": "yes", "available": true}, {"number": 1, "text": "later", "available": true}]}'
-    rows = [(1, 200, body), (2, 404, None), (3, 500, body), (4, 200, '{"entries": []}'), (5, 200, '{"entries": [{"number": 1, "text": "x", "available": false}]}'), (6, 200, '{"entries": [{"number": 1, "text": " ", "available": true}]}')]
-    got = responses.first_entry(spark.createDataFrame(rows, "case_id int, code int, body string")).orderBy("case_id").collect()
-    assert [(r["status"], r["text"]) for r in got] == [("found", "yes"), ("missing", None), ("error", None), ("missing", None), ("unavailable", None), ("empty", None)]
-    said = [("a", 200, '{"ptaDays": 3}'), ("b", 200, '{"filingDate": "soon"}'), ("c", 200, "<html>"), ("d", 403, None), ("e", 200, "{}")]
-    terms = {r["patent_number"]: (r["status"], r["filing"], r["days"]) for r in responses.terms(spark.createDataFrame(said, "patent_number string, code int, body string")).collect()}
-    assert terms == {"a": ("ok", None, 3), "b": ("ok", None, None), "c": ("error", None, None), "d": ("denied", None, None), "e": ("not_found", None, None)}
+    body = '{"results": [{"recap_documents": [{"plain_text": ""}, {"plain_text": 5}, {"plain_text": "yes"}, {"plain_text": "later"}]}, {"recap_documents": [{"plain_text": "other"}]}]}'
+    rows = [(1, 200, body), (2, 404, None), (3, 500, body), (4, 200, '{"results": []}'), (5, 200, '{"results": [{"recap_documents": [{}]}]}'), (6, 200, "<html>"), (7, 401, body), (8, 200, '{"results": [{}]}'), (9, 200, "{}")]
+    entries = responses.first_entry(spark.createDataFrame(rows, "docket_id int, code int, body string"))
+    assert [(r["status"], r["text"]) for r in entries.orderBy("docket_id").collect()] == [("found", "yes"), ("error", None), ("error", None), ("missing", None), ("empty", None), ("error", None), ("denied", None), ("empty", None), ("missing", None)]
+    d = lambda n: dt.date(2020, 1, n)
+    dockets = [("a", 2, d(1)), ("a", 1, d(2)), ("b", 7, d(1)), ("b", 1, d(2)), ("c", 7, None), ("c", 1, d(2)), ("d", 4, d(1)), ("d", 5, d(2)), ("e", 3, d(1)), ("f", None, d(1))]
+    got = responses.case_texts(spark.createDataFrame(dockets, "case_id string, docket_id int, filed date"), entries)
+    assert {r["case_id"]: (r["status"], r["docket_id"], r["text"]) for r in got.collect()} == {"a": ("found", 1, "yes"), "b": ("denied", None, None), "c": ("found", 1, "yes"), "d": ("empty", None, None), "e": ("missing", None, None), "f": ("missing", None, None)}
+
+
+def test_terms(spark):
+    from tideline.sources import responses
+
+    bag = lambda *e: '{"patentFileWrapperDataBag": [' + ", ".join(e) + "]}"
+    entry = lambda days, filing='"2001-11-01"': f'{{"patentTermAdjustmentData": {{"adjustmentTotalQuantity": {days}}}, "applicationMetaData": {{"filingDate": {filing}}}}}'
+    plain = '{"applicationMetaData": {"filingDate": "1990-01-01"}}'
+    said = [("a", 200, bag(entry(0))), ("b", 200, bag(plain, entry(7))), ("c", 200, bag(plain)), ("d", 200, bag(entry('"7"'))), ("e", 200, bag(entry("null"))), ("f", 200, bag(entry(7, "null"))), ("g", 200, bag(entry(7, '"soon"')))]
+    said += [("h", 200, bag()), ("i", 200, "{}"), ("j", 200, "<html>"), ("k", 403, None), ("l", 404, None), ("m", 429, bag(entry(7))), ("n", 200, None), ("o", 200, '{"patentFileWrapperDataBag": 5}'), ("p", 200, bag('{"patentTermAdjustmentData": {}}'))]
+    got = {r["patent_number"]: (r["status"], r["filing"], r["days"]) for r in responses.terms(spark.createDataFrame(said, "patent_number string, code int, body string")).collect()}
+    day, none = dt.date(2001, 11, 1), (None, None)
+    assert got == {"a": ("ok", day, 0), "b": ("ok", day, 7), "c": ("not_found", *none), "d": ("not_found", *none), "e": ("not_found", *none), "f": ("ok", None, 7), "g": ("ok", None, 7), "h": ("not_found", *none), "i": ("not_found", *none), "j": ("error", *none), "k": ("denied", *none), "l": ("not_found", *none), "m": ("error", *none), "n": ("error", *none), "o": ("not_found", *none), "p": ("not_found", *none)}

@@ -58,10 +58,19 @@ def confidence(role_: Column, plaintiff_match: Column, defendant_id: Column, pro
 
 
 def manual_confidence(plaintiff_match: Column, defendant_match: Column, products: Column, patent_case: Column) -> Column:
-    """Tier of a match between parties that a person has entered: no role is known, and nothing matched gives NONE."""
-    matched = (plaintiff_match != "none").cast("int") + (defendant_match != "none").cast("int")
-    exact = (plaintiff_match == "exact") & (defendant_match == "exact")
-    return F.when(matched == 0, "NONE").when(exact & (products == 1) & patent_case, "HIGH").when(((plaintiff_match == "exact") | (defendant_match == "exact")) & patent_case, "MEDIUM").otherwise("LOW")
+    """struct<tier, note> of a match between parties that a person has entered: no role is known, and nothing matched gives NONE."""
+    any_ = (plaintiff_match != "none") | (defendant_match != "none")
+    exact = (plaintiff_match == "exact") & (defendant_match == "exact") & patent_case
+    tier = F.when(~any_, "NONE").when(exact & (products == 1), "HIGH").when(patent_case, "MEDIUM").otherwise("LOW")
+    note = (
+        F.when(~any_, "neither party is a known company")
+        .when(exact & (products == 1), "both parties match exactly, a patent case, and one product")
+        .when(exact & (products == 0), "both parties match exactly in a patent case, but no product could be linked")
+        .when(exact, F.concat(F.lit("both parties match exactly in a patent case, but it may concern any of "), products.cast("string"), F.lit(" products")))
+        .when(patent_case, "a patent case, but not both parties match exactly")
+        .otherwise("weak: the filing does not say that it concerns a patent")
+    )
+    return F.struct(tier.alias("tier"), note.alias("note"))
 
 
 def filer_name(name: Column) -> Column:

@@ -21,14 +21,30 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(every > 0, both / every).otherwise(F.lit(0.0))
 
 
+def without_tags(html: Column, instead: str) -> Column:
+    """Every run from a ``<`` to the next ``>`` replaced, in one pass: what is before a ``>`` is cut at its first ``<``.
+
+    A pattern for such a run looks from every ``<`` to the end of a text that has no ``>``; this never looks back.
+    """
+    parts = F.split(html, ">")
+    last = F.size(parts) - 1
+    kept = lambda p, i: F.when(i == last, p).when(F.instr(p, "<") > 0, F.concat(F.substring_index(p, "<", 1), F.lit(instead))).otherwise(F.concat(p, F.lit(">")))
+    return F.array_join(F.transform(parts, kept), "")
+
+
 def strip_html(html: Column) -> Column:
     """Tags become spaces, four entities their characters, runs of white space one space."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
+    text = without_tags(html, " ")
     for entity, char in (("&nbsp;", " "), ("&#160;", " "), ("&rsquo;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def after(text: Column, pattern: str) -> Column:
+    """What follows the first match of a pattern, or null."""
+    return F.get(F.split(text, pattern, 2), F.lit(1))
+
+
 def digits_only(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 

@@ -31,12 +31,16 @@ def assemble(products: DataFrame, key: list[str], parts: list[DataFrame]) -> Dat
     return products
 
 
+#: What is said of a product without any patent or exclusivity.
+NO_BARRIER = "No patent and no exclusivity is listed, so nothing that is known stands in the way."
+
+
 def product_details(products: DataFrame, patents: DataFrame, exclusivities: DataFrame, **more: DataFrame) -> DataFrame:
-    """Every product with its patents, exclusivities and the child that controls the date; ``more`` are parts by name."""
+    """Every product with its patents, exclusivities, the child that controls the date, and why; ``more`` are parts by name."""
     p = nested(patents, KEY, "patents", "expiry", ["patent_number", "expiry", "adjustment_days", "live"])
     e = nested(exclusivities, KEY, "exclusivities", "expiry", ["code", "expiry"])
     c = controlling(patents, exclusivities).select(*KEY, F.struct("kind", "label", "expiry", "confidence", "basis").alias("controlling"))
-    return assemble(products, KEY, [p, e, c, *more.values()])
+    return assemble(products, KEY, [p, e, c, *more.values()]).withColumn("basis", F.coalesce("controlling.basis", F.lit(NO_BARRIER)))
 
 
 def lookup(number: str, patents: DataFrame, products: DataFrame, exclusivities: DataFrame, links: DataFrame | None = None, challenges: DataFrame | None = None, case_links: DataFrame | None = None, cases: DataFrame | None = None, dockets: DataFrame | None = None) -> DataFrame:
@@ -74,17 +78,32 @@ def with_references(products: DataFrame) -> DataFrame:
     return products.join(names, "reference_id", "left").join(back, "product_id", "left")
 
 
-def merged_cases(cases: DataFrame) -> DataFrame:
-    """Cases of the same two parties as one: open if any is, the surest tier, all notes once, all dockets in order."""
+def merged_cases(cases: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Cases of the same two known companies as one, within ``key``; a case with a party that is not known stays alone.
+
+    ONGOING if any is; else the outcome that all have, or UNCLEAR if they differ, with a note that says so.
+    The surest tier, all notes once, and all dockets by their filing, those without a date last.
+    cases: case_id, plaintiff, defendant, plaintiff_id, defendant_id, outcome, tier, note, dockets (array<struct<filed, ...>>), filed.
+    """
     rank = F.create_map(*[x for k, t in enumerate(["LOW", "MEDIUM", "HIGH"]) for x in (F.lit(t), F.lit(k))])
-    return cases.groupBy("plaintiff", "defendant").agg(
-        F.when(F.bool_or(F.col("outcome") == "ONGOING"), "ONGOING").otherwise(F.max_by("outcome", "filed")).alias("outcome"),
+    both = F.col("plaintiff_id").isNotNull() & F.col("defendant_id").isNotNull()
+    party = F.when(both, F.struct(F.col("plaintiff_id").cast("string").alias("a"), F.col("defendant_id").cast("string").alias("b"), F.lit(None).cast("string").alias("c"))).otherwise(
+        F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.col("case_id").cast("string").alias("c"))
+    )
+    outcomes, n = F.collect_set("outcome"), F.count(F.lit(1))
+    differ = F.size(outcomes) > 1
+    placed = F.transform(F.flatten(F.collect_list("dockets")), lambda k: F.struct(k["filed"].isNull().alias("undated"), k["filed"].alias("filed"), k.alias("docket")))
+    return cases.groupBy(*key, party.alias("_party")).agg(
+        F.min_by("plaintiff", "case_id").alias("plaintiff"),
+        F.min_by("defendant", "case_id").alias("defendant"),
+        F.when(F.bool_or(F.col("outcome") == "ONGOING"), "ONGOING").when(differ, "UNCLEAR").otherwise(F.min("outcome")).alias("outcome"),
+        F.when(differ, F.concat(F.lit("made of "), n.cast("string"), F.lit(" cases whose outcomes differ"))).alias("outcome_note"),
         F.max_by("tier", rank[F.col("tier")]).alias("tier"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("note")))))).alias("notes"),
-        F.array_sort(F.flatten(F.collect_list("dockets"))).alias("dockets"),
+        F.transform(F.array_sort(placed), lambda p: p["docket"]).alias("dockets"),
         F.min("filed").alias("filed"),
-        F.count(F.lit(1)).alias("n_cases"),
-    )
+        n.alias("n_cases"),
+    ).drop("_party")
 
 
 def latest_disclosures(settlements: DataFrame) -> DataFrame:
@@ -94,7 +113,7 @@ def latest_disclosures(settlements: DataFrame) -> DataFrame:
 
 
 def entry_facts(estimated: DataFrame, challenges: DataFrame, licences: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per product the date to show first: marketing that has begun, else a licensed entry before the estimate, else the estimate.
+    """Per product the date to show first: marketing that has begun, else a licensed entry, if it is before the estimate or there is none, else the estimate.
 
     challenges: key, first_marketing; licences: key, licensed_entry.
     """
@@ -102,7 +121,7 @@ def entry_facts(estimated: DataFrame, challenges: DataFrame, licences: DataFrame
     days = past.groupBy(*KEY, "first_marketing").agg(F.count(F.lit(1)).alias("_n"))  # ties are the rows of the first day
     ties = days.groupBy(*KEY).agg(F.min("first_marketing").alias("marketed"), F.min_by("_n", "first_marketing").alias("n_first"))
     early = licences.groupBy(*KEY).agg(F.min("licensed_entry").alias("licensed"))
-    rows = estimated.join(ties, KEY, "left").join(early, KEY, "left").withColumn("licensed", F.when(F.col("licensed") < F.col("estimate"), F.col("licensed")))
+    rows = estimated.join(ties, KEY, "left").join(early, KEY, "left").withColumn("licensed", F.when(F.col("estimate").isNull() | (F.col("licensed") < F.col("estimate")), F.col("licensed")))
     return rows.withColumn("entry_date", F.coalesce("marketed", "licensed", "estimate")).withColumn("basis", _basis())
 
 

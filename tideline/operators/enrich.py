@@ -12,16 +12,15 @@ MOST_DAYS = 3650
 
 
 def candidates(patents: DataFrame, records: DataFrame, source: str, limit: int | None = None) -> DataFrame:
-    """Patents without a record of that source, the soonest to expire first."""
+    """Patents without a record of that source, the soonest to expire first, by the date that is in effect."""
     seen = records.filter(F.col("source") == source).select(F.col("entity_id").alias("patent_number")).distinct()
-    rows = patents.join(seen, "patent_number", "left_anti").orderBy("nominal_expiry", "patent_number")
+    rows = patents.join(seen, "patent_number", "left_anti").orderBy("expiry", "patent_number")
     return rows if limit is None else rows.limit(limit)
 
 
 def suspicious(patents: DataFrame, limit: int) -> DataFrame:
-    """The largest gaps, to be checked again."""
-    gap = F.datediff("expiry", "nominal_expiry")
-    return patents.withColumn("gap", gap).filter(F.col("gap") > MOST_DAYS).orderBy(F.desc("gap"), "patent_number").limit(limit)
+    """The largest adjustments beyond what is believed, to be checked again, whether there is a record of them or not."""
+    return patents.filter(F.col("adjustment_days") > MOST_DAYS).orderBy(F.desc("adjustment_days"), "patent_number").limit(limit)
 
 
 def outcomes(patents: DataFrame, responses: DataFrame) -> DataFrame:

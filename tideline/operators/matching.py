@@ -139,20 +139,21 @@ def raised_tier(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def named_products(complaints: DataFrame, patents: DataFrame, products: DataFrame) -> DataFrame:
-    """(case_id, product_id, how): the product that a complaint names.
+    """(case_id, product_id, how): the products that a complaint names, whoever sues.
 
-    By patent numbers if they belong to one product; else by brand, case aside, narrowed by
-    strength where that fits any; else nothing. complaints: case_id, company_id,
-    patent_numbers, brand_name, strength.
+    By patent numbers if all that are known belong to one product; else by brand, case aside: the products
+    of the same strength, white space and case aside, if there are any, else all of that brand; else nothing.
+    complaints: case_id, patent_numbers, brand_name, strength; patents: patent_number, product_id;
+    products: product_id, name, strength.
     """
-    numbers = complaints.select("case_id", "company_id", F.explode("patent_numbers").alias("patent_number"))
-    owned = patents.select("patent_number", "product_id").distinct().join(products.select("product_id", "company_id"), "product_id")
-    hits = numbers.join(owned, ["patent_number", "company_id"]).groupBy("case_id").agg(F.min("product_id").alias("a"), F.max("product_id").alias("b"))
+    numbers = complaints.select("case_id", F.explode("patent_numbers").alias("patent_number"))
+    owned = patents.select("patent_number", "product_id").distinct()
+    hits = numbers.join(owned, "patent_number").groupBy("case_id").agg(F.min("product_id").alias("a"), F.max("product_id").alias("b"))
     by_patent = hits.filter("a = b").select("case_id", F.col("a").alias("_by_patent"))
-    brands = complaints.filter(F.col("brand_name").isNotNull()).select("case_id", "company_id", F.lower("brand_name").alias("_brand"), compact_upper(F.col("strength")).alias("_strength"))
-    pairs = brands.join(products.select("product_id", "company_id", F.lower("name").alias("_brand"), compact_upper(F.col("strength")).alias("_own")), ["company_id", "_brand"])
+    brands = complaints.filter(F.col("brand_name").isNotNull()).select("case_id", F.lower("brand_name").alias("_brand"), compact_upper(F.col("strength")).alias("_strength"))
+    pairs = brands.join(by_patent, "case_id", "left_anti").join(products.select("product_id", F.lower("name").alias("_brand"), compact_upper(F.col("strength")).alias("_own")), "_brand")
     by = Window.partitionBy("case_id")
-    fits = F.coalesce(F.col("_own").contains(F.col("_strength")), F.lit(False))
+    fits = F.coalesce(F.col("_own") == F.col("_strength"), F.lit(False))
     by_brand = pairs.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(by)).filter(~F.col("_any") | F.col("_fits")).select("case_id", F.col("product_id").alias("_by_brand"))
     joined = complaints.select("case_id").join(by_patent, "case_id", "left").join(by_brand, "case_id", "left")
     how = F.when(F.col("_by_patent").isNotNull(), "patent").when(F.col("_by_brand").isNotNull(), "brand").otherwise("none")
@@ -168,19 +169,21 @@ def labelled(records: DataFrame, targets: list[tuple[str, DataFrame, str, str]])
     return records.withColumn("label", F.coalesce(*labels)).drop(*labels)
 
 
-def party_products(dockets: DataFrame, companies_: DataFrame, products: DataFrame) -> DataFrame:
-    """(docket_id, product_id): the products of both parties' companies, each once.
+def party_products(dockets: DataFrame, companies_: DataFrame, products: DataFrame, links: DataFrame) -> DataFrame:
+    """(docket_id, product_id): the products of both parties' companies that a challenge is linked to, each once.
 
-    No party was searched for here, so neither side comes first. dockets: docket_id, plaintiff,
-    defendant (names); companies_: what :func:`companies` found for names; products: product_id, company_id.
+    A company's other products are no candidates, as nothing says that they are in dispute. No party was searched for
+    here, so neither side comes first. dockets: docket_id, plaintiff, defendant (names); companies_: what
+    :func:`companies` found for names; products: product_id, company_id; links: product_id of challenges.
     """
     known = companies_.filter(F.col("company_id").isNotNull()).select(F.col("name").alias("_name"), "company_id")
     sides = dockets.select("docket_id", F.explode(F.array_distinct(F.array("plaintiff", "defendant"))).alias("_name"))
-    return sides.join(known, "_name").select("docket_id", "company_id").distinct().join(products.select("product_id", "company_id"), "company_id").select("docket_id", "product_id").distinct()
+    challenged = products.select("product_id", "company_id").join(links.select("product_id"), "product_id", "left_semi")
+    return sides.join(known, "_name").select("docket_id", "company_id").distinct().join(challenged, "company_id").select("docket_id", "product_id").distinct()
 
 
-def docket_preview(hits: DataFrame, known: DataFrame, products: DataFrame) -> DataFrame:
-    """What a person is shown before entering a docket: court, parties, their matches, candidate products and the tier.
+def docket_preview(hits: DataFrame, known: DataFrame, products: DataFrame, links: DataFrame) -> DataFrame:
+    """What a person is shown before entering a docket: court, parties, their matches, candidate products, the tier and why.
 
     hits: docket_id, caption, court_id, nature, cause. Hits of other courts or without two parties have an issue instead.
     """
@@ -189,10 +192,10 @@ def docket_preview(hits: DataFrame, known: DataFrame, products: DataFrame) -> Da
     rows = rows.withColumn("issue", issue).withColumns({p: F.when(issue.isNull(), F.col(f"_s.{p}")) for p in ("plaintiff", "defendant")}).drop("_s")
     names = rows.select(F.explode(F.array("plaintiff", "defendant")).alias("name")).filter("name IS NOT NULL")
     found = companies(names, known)
-    candidates = party_products(rows, found, products).groupBy("docket_id").agg(F.array_sort(F.collect_list("product_id")).alias("candidates"))
+    candidates = party_products(rows, found, products, links).groupBy("docket_id").agg(F.array_sort(F.collect_list("product_id")).alias("candidates"))
     for p in ("plaintiff", "defendant"):
         rows = rows.join(found.select(F.col("name").alias(p), F.col("match").alias(f"{p}_match")), p, "left")
     rows = rows.join(candidates, "docket_id", "left")
     n = F.coalesce(F.size("candidates"), F.lit(0))
-    tier = manual_confidence(F.col("plaintiff_match"), F.col("defendant_match"), n, F.coalesce(is_patent_case(F.col("nature"), F.col("cause")), F.lit(False)))
-    return rows.withColumn("tier", F.when(F.col("issue").isNull(), tier))
+    told = manual_confidence(F.col("plaintiff_match"), F.col("defendant_match"), n, F.coalesce(is_patent_case(F.col("nature"), F.col("cause")), F.lit(False)))
+    return rows.withColumns({"tier": F.when(F.col("issue").isNull(), told["tier"]), "note": F.when(F.col("issue").isNull(), told["note"])})

@@ -313,13 +313,13 @@ SELECT challenge_id, product_id FROM w WHERE NOT several OR NOT anyone OR holds"
 )
 def conditional_narrowing(spark: SparkSession, d: str) -> DataFrame:
     pairs = b.table(spark, d, "orders").select(F.col("o_custkey").alias("challenge_id"), F.col("o_orderkey").alias("product_id"), F.col("o_orderpriority").alias("form"))
-    return matching.narrowed(pairs, "challenge_id", "form", matching.words_overlap(F.col("form"), F.lit("high, low"))).select("challenge_id", "product_id")
+    return matching.narrowed(pairs, "challenge_id", "form", matching.words_overlap(F.col("form"), F.lit("highs, low"))).select("challenge_id", "product_id")
 
 
 @query(
     """WITH t AS (SELECT p_partkey AS product_id, p_name AS name, p_brand AS alt, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'unknown' END AS r1, CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) END AS r2 FROM part),
 f AS (SELECT lower(name) AS k, min(product_id) AS a FROM t GROUP BY 1), s AS (SELECT lower(alt) AS k, min(product_id) AS z FROM t GROUP BY 1)
-SELECT t.product_id, coalesce(CASE WHEN a <> t.product_id THEN a END, CASE WHEN z <> t.product_id THEN z END) AS reference_id FROM t LEFT JOIN f ON f.k = lower(r1) LEFT JOIN s ON s.k = lower(r2)"""
+SELECT t.product_id, CASE WHEN coalesce(a, z) <> t.product_id THEN coalesce(a, z) END AS reference_id FROM t LEFT JOIN f ON f.k = lower(r1) LEFT JOIN s ON s.k = lower(r2)"""
 )
 def reference_two_step(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
@@ -351,12 +351,12 @@ def tier_only_raised(spark: SparkSession, d: str) -> DataFrame:
     b.SQL
     + """, p AS (SELECT source, product_id, string_agg(patent_number || '@' || expiry, ';' ORDER BY expiry, patent_number) AS patents FROM patents GROUP BY ALL),
 e AS (SELECT source, product_id, string_agg(code || '@' || expiry, ';' ORDER BY expiry, code) AS exclusivities FROM exclusivities GROUP BY ALL)
-SELECT source, product_id, coalesce(patents, '') AS patents, coalesce(exclusivities, '') AS exclusivities FROM products LEFT JOIN p USING (source, product_id) LEFT JOIN e USING (source, product_id)"""
+SELECT source, product_id, coalesce(patents, '') AS patents, coalesce(exclusivities, '') AS exclusivities, estimate IS NULL AS nothing_listed FROM est LEFT JOIN p USING (source, product_id) LEFT JOIN e USING (source, product_id)"""
 )
 def nested_detail(spark: SparkSession, d: str) -> DataFrame:
     full = detail.product_details(b.products(spark, d), b.patents(spark, d), b.exclusivities(spark, d))
     said = lambda c, label: F.array_join(F.transform(c, lambda s: F.concat(s[label], F.lit("@"), s["expiry"].cast("string"))), ";")
-    return full.select("source", "product_id", said("patents", "patent_number").alias("patents"), said("exclusivities", "code").alias("exclusivities"))
+    return full.select("source", "product_id", said("patents", "patent_number").alias("patents"), said("exclusivities", "code").alias("exclusivities"), (F.col("basis") == detail.NO_BARRIER).alias("nothing_listed"))
 
 
 @query(
@@ -389,15 +389,29 @@ def patent_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_custkey % 40 AS plaintiff, o_custkey % 9 AS defendant, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'ONGOING' ELSE 'OTHER' END AS outcome, count(*) AS n_cases, min(o_orderdate)::DATE AS filed,
-  CASE max(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS notes, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS dockets FROM orders GROUP BY 1, 2"""
+    """WITH c AS (SELECT o_orderkey AS k, 'p' || o_custkey % 40 AS plaintiff, 'd' || o_custkey % 9 AS defendant, CASE WHEN o_custkey % 5 > 0 AND o_custkey % 7 > 0 THEN o_custkey % 40 || '|' || o_custkey % 9 ELSE 'case ' || o_orderkey END AS party,
+  CASE WHEN o_orderkey % 97 = 0 THEN 'ONGOING' WHEN o_custkey % 40 % 3 = 0 OR o_orderstatus = 'F' THEN 'SETTLED' ELSE 'DISMISSED' END AS outcome, o_orderdate::DATE AS filed, CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate::DATE END AS day, o_orderpriority AS pr FROM orders)
+SELECT min(plaintiff) AS plaintiff, min(defendant) AS defendant, CASE WHEN bool_or(outcome = 'ONGOING') THEN 'ONGOING' WHEN count(DISTINCT outcome) > 1 THEN 'UNCLEAR' ELSE min(outcome) END AS outcome,
+  CASE WHEN count(DISTINCT outcome) > 1 THEN 'made of ' || count(*) || ' cases whose outcomes differ' END AS outcome_note, count(*) AS n_cases, min(filed) AS filed,
+  CASE max(CASE pr WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, string_agg(DISTINCT pr, ',' ORDER BY pr) AS notes, string_agg(k::VARCHAR, ',' ORDER BY day NULLS LAST, k) AS dockets FROM c GROUP BY party"""
 )
 def merged_cases(spark: SparkSession, d: str) -> DataFrame:
-    k, pr = F.col("o_custkey"), F.col("o_orderpriority")
+    k, o, pr = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderpriority")
+    day = F.to_date("o_orderdate")
     cases = b.table(spark, d, "orders").select(
-        (k % 40).alias("plaintiff"), (k % 9).alias("defendant"), F.when(F.col("o_orderstatus") == "O", "ONGOING").otherwise("OTHER").alias("outcome"), F.when(pr == "1-URGENT", "HIGH").when(pr == "2-HIGH", "MEDIUM").otherwise("LOW").alias("tier"), pr.alias("note"), F.array("o_orderkey").alias("dockets"), F.to_date("o_orderdate").alias("filed")
+        o.alias("case_id"),
+        F.concat(F.lit("p"), (k % 40).cast("string")).alias("plaintiff"),
+        F.concat(F.lit("d"), (k % 9).cast("string")).alias("defendant"),
+        F.when(k % 5 > 0, k % 40).alias("plaintiff_id"),
+        F.when(k % 7 > 0, k % 9).alias("defendant_id"),
+        F.when(o % 97 == 0, "ONGOING").when((k % 40 % 3 == 0) | (F.col("o_orderstatus") == "F"), "SETTLED").otherwise("DISMISSED").alias("outcome"),
+        F.when(pr == "1-URGENT", "HIGH").when(pr == "2-HIGH", "MEDIUM").otherwise("LOW").alias("tier"),
+        pr.alias("note"),
+        F.array(F.struct(F.when(o % 13 > 0, day).alias("filed"), o.alias("docket_id"))).alias("dockets"),
+        day.alias("filed"),
     )
-    return detail.merged_cases(cases).select("plaintiff", "defendant", "outcome", "n_cases", "filed", "tier", F.array_join("notes", ",").alias("notes"), F.array_join("dockets", ",").alias("dockets"))
+    dockets = F.array_join(F.transform("dockets", lambda x: x["docket_id"].cast("string")), ",")
+    return detail.merged_cases(cases).select("plaintiff", "defendant", "outcome", "outcome_note", "n_cases", "filed", "tier", F.array_join("notes", ",").alias("notes"), dockets.alias("dockets"))
 
 
 @query("SELECT user_id AS product_id, arg_max(struct_pack(c := event_type, l := (ts + INTERVAL 1 YEAR)::DATE, f := ts::DATE), struct_pack(a := ts::DATE, b := event_id))['c'] AS counterparty, arg_max((ts + INTERVAL 1 YEAR)::DATE, struct_pack(a := ts::DATE, b := event_id)) AS licensed_entry, max(ts)::DATE AS filed FROM events GROUP BY user_id, lower(event_type)")
@@ -410,14 +424,17 @@ def latest_disclosures(spark: SparkSession, d: str) -> DataFrame:
     b.SQL
     + """, c AS (SELECT source, product_id, marketing_date AS m FROM marketed WHERE marketing_date <= DATE '1999-01-20'), f AS (SELECT source, product_id, min(m) AS marketed FROM c GROUP BY ALL),
 n AS (SELECT c.source, c.product_id, marketed, count(*) AS n_first FROM c JOIN f ON c.source = f.source AND c.product_id = f.product_id AND m = marketed GROUP BY ALL),
-l AS (SELECT source, product_id, min(expiry) AS licensed FROM exclusivities WHERE code = 'N' GROUP BY ALL)
-SELECT e.source, e.product_id, n_first, coalesce(marketed, CASE WHEN licensed < estimate THEN licensed END, estimate) AS entry_date,
-  CASE WHEN marketed IS NOT NULL THEN 'marketed' WHEN licensed < estimate THEN 'licensed' WHEN estimate IS NOT NULL THEN 'estimate' END AS basis FROM est e LEFT JOIN n USING (source, product_id) LEFT JOIN l USING (source, product_id)"""
+l AS (SELECT 'A' AS source, o_orderkey::VARCHAR AS product_id, DATE '1996-06-01' + (o_orderkey % 900)::INT AS licensed FROM orders WHERE o_orderkey % 3 = 0),
+e AS (SELECT * REPLACE (CASE WHEN product_id::BIGINT % 4 > 0 THEN estimate END AS estimate) FROM est)
+SELECT e.source, e.product_id, n_first, coalesce(marketed, CASE WHEN estimate IS NULL OR licensed < estimate THEN licensed END, estimate) AS entry_date,
+  CASE WHEN marketed IS NOT NULL THEN 'marketed' WHEN licensed < estimate OR (estimate IS NULL AND licensed IS NOT NULL) THEN 'licensed' WHEN estimate IS NOT NULL THEN 'estimate' END AS basis FROM e LEFT JOIN n USING (source, product_id) LEFT JOIN l USING (source, product_id)"""
 )
 def entry_precedence(spark: SparkSession, d: str) -> DataFrame:
     sold = b.marketed(spark, d).withColumnRenamed("marketing_date", "first_marketing")
-    licences = b.exclusivities(spark, d).filter("code = 'N'").withColumnRenamed("expiry", "licensed_entry")
-    return detail.entry_facts(_est(spark, d), sold, licences, dt.date(1999, 1, 20)).select("source", "product_id", "n_first", "entry_date", "basis")
+    k = F.col("o_orderkey")
+    licences = b.table(spark, d, "orders").filter(k % 3 == 0).select(F.lit("A").alias("source"), k.cast("string").alias("product_id"), F.date_add(F.lit(dt.date(1996, 6, 1)), (k % 900).cast("int")).alias("licensed_entry"))
+    some = _est(spark, d).withColumn("estimate", F.when(F.col("product_id").cast("long") % 4 > 0, F.col("estimate")))  # the others as if nothing were listed
+    return detail.entry_facts(some, sold, licences, dt.date(1999, 1, 20)).select("source", "product_id", "n_first", "entry_date", "basis")
 
 
 # --- scalar functions ------------------------------------------------------------------------------
@@ -616,16 +633,19 @@ def term_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END AS code, ts::DATE AS d, user_id, event_id % 6 AS k FROM events)
-SELECT event_id AS patent_number, CASE WHEN code = 403 THEN 'denied' WHEN code = 404 OR k = 3 THEN 'not_found' WHEN code <> 200 OR (k = 4 AND user_id % 2 = 0) THEN 'error' ELSE 'ok' END AS status, CASE WHEN k = 5 THEN d END AS filing, CASE WHEN k = 5 OR (k = 4 AND user_id % 2 = 1) THEN user_id::INT END AS days FROM r"""
+    """SELECT event_id AS patent_number, CASE event_id % 11 WHEN 0 THEN 'not_found' WHEN 1 THEN 'denied' WHEN 2 THEN 'error' WHEN 3 THEN 'error' WHEN 7 THEN 'ok' WHEN 8 THEN 'ok' WHEN 9 THEN 'error' WHEN 10 THEN 'ok' ELSE 'not_found' END AS status,
+  CASE WHEN event_id % 11 IN (7, 10) THEN ts::DATE END AS filing, CASE WHEN event_id % 11 IN (7, 8, 10) THEN user_id::INT END AS days FROM events"""
 )
 def term_responses(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id") % 6
-    whole = F.to_json(F.struct(F.to_date("ts").cast("string").alias("filingDate"), F.col("user_id").cast("int").alias("ptaDays")))
-    rows = b.table(spark, d, "events").select(
-        F.col("event_id").alias("patent_number"), F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 500).otherwise(200).alias("code"), F.when(k == 3, "").when((k == 4) & (F.col("user_id") % 2 == 0), "no JSON").when(k == 4, F.to_json(F.struct(F.col("user_id").cast("int").alias("ptaDays")))).otherwise(whole).alias("body")
-    )
-    return responses.terms(rows)
+    k = F.col("event_id") % 11
+    days = lambda c: F.struct(F.struct(c.alias("adjustmentTotalQuantity")).alias("patentTermAdjustmentData"), F.struct(F.to_date("ts").cast("string").alias("filingDate")).alias("applicationMetaData"))
+    bag = lambda *entries: F.concat(F.lit('{"patentFileWrapperDataBag":['), F.concat_ws(",", *entries), F.lit("]}"))
+    whole, as_text = F.to_json(days(F.col("user_id"))), F.to_json(days(F.col("user_id").cast("string")))
+    no_date = F.to_json(F.struct(F.struct(F.col("user_id").alias("adjustmentTotalQuantity")).alias("patentTermAdjustmentData"), F.struct(F.lit(5).alias("filingDate")).alias("applicationMetaData")))
+    other = F.lit('{"applicationMetaData":{"filingDate":"1999-01-01"},"patentTermAdjustmentData":null}')
+    body = F.when(k == 3, whole).when(k == 4, "{}").when(k == 5, bag()).when(k == 6, bag(as_text)).when(k == 7, bag(other, whole, as_text)).when(k == 8, bag(no_date)).when(k == 9, "no JSON").when(k == 10, bag(whole))
+    code = F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 500).when(k == 3, 429).otherwise(200)
+    return responses.terms(b.table(spark, d, "events").select(F.col("event_id").alias("patent_number"), code.alias("code"), body.alias("body")))
 
 
 @query("SELECT s_suppkey, 'https://x.org/data/' || CASE WHEN s_suppkey = 0 THEN '0' ELSE s_suppkey::VARCHAR END || '/' || replace('0001-22-' || s_suppkey, '-', '') || '/a.htm' AS address FROM supplier")

@@ -116,26 +116,48 @@ def html_patent_list(spark: SparkSession, d: str) -> DataFrame:
     return monthly.patent_list(pages, "t")
 
 
-@query("SELECT event_id AS company_id, user_id AS docket_id, event_type || ' v. X' AS caption, 'deld' AS court_id, ts::DATE AS filed FROM events WHERE event_id % 5 < 3 UNION ALL SELECT event_id, user_id + 1, 'second', 'njd', NULL FROM events WHERE event_id % 5 = 2")
+@query(
+    """SELECT event_id AS company_id, user_id AS docket_id, event_type || ' v. X' AS caption, '1:20-cv-' || user_id AS docket_number, 'deld' AS court_id, ts::DATE AS filed, CASE WHEN user_id % 2 = 0 THEN '830 Patent' END AS nature FROM events WHERE event_id % 5 < 3 AND user_id % 3 > 0
+UNION ALL SELECT event_id, user_id + 1, 'second', '2', 'njd', NULL, NULL FROM events WHERE event_id % 5 = 2"""
+)
 def search_hits(spark: SparkSession, d: str) -> DataFrame:
-    one = F.expr("named_struct('docket_id', user_id, 'caseName', concat(event_type, ' v. X'), 'court_id', 'deld', 'dateFiled', CAST(to_date(ts) AS string))")
-    two = F.expr("named_struct('docket_id', user_id + 1, 'caseName', 'second', 'court_id', 'njd', 'dateFiled', 'soon')")
-    bad = F.expr("named_struct('docket_id', CAST(NULL AS bigint), 'caseName', 'third', 'court_id', 'njd', 'dateFiled', 'soon')")
+    one = F.expr("named_struct('docket_id', user_id, 'caseName', concat(event_type, ' v. X'), 'docketNumber', CASE WHEN user_id % 3 > 0 THEN concat('1:20-cv-', user_id) END, 'court_id', 'deld', 'dateFiled', CAST(to_date(ts) AS string), 'suitNature', CASE WHEN user_id % 2 = 0 THEN '830 Patent' ELSE '' END)")
+    two = F.expr("named_struct('docket_id', user_id + 1, 'caseName', 'second', 'docketNumber', '2', 'court_id', 'njd', 'dateFiled', 'soon', 'suitNature', '')")
+    bad = F.expr("named_struct('docket_id', CAST(user_id AS string), 'caseName', 'third', 'docketNumber', '3', 'court_id', 'njd')")
     k = F.col("event_id") % 5
-    results = F.when(k < 2, F.array(one)).when(k == 2, F.array(one, two)).otherwise(F.array(bad))
-    rows = b.table(spark, d, "events").select(F.col("event_id").alias("company_id"), F.when(k == 4, "no JSON").otherwise(F.to_json(F.struct(results.alias("results")))).alias("body"))
-    return responses.hits(rows)[0].select("company_id", "docket_id", "caption", "court_id", "filed")
+    said = lambda *e: F.concat(F.lit('{"results":['), F.concat_ws(",", *map(F.to_json, e)), F.lit("]}"))
+    body = F.when(k < 2, said(one)).when(k == 2, said(one, two)).when(k == 3, said(bad)).otherwise("no JSON")
+    found = responses.hits(b.table(spark, d, "events").select(F.col("event_id").alias("company_id"), body.alias("body")))[0]
+    return found.select("company_id", "docket_id", "caption", "docket_number", "court_id", "filed", "nature")
+
+
+_ENTRIES = "SELECT o_orderkey AS docket_id, CASE o_orderkey % 8 WHEN 2 THEN 'missing' WHEN 3 THEN 'empty' WHEN 4 THEN 'empty' WHEN 5 THEN 'found' WHEN 6 THEN 'denied' ELSE 'error' END AS status, CASE WHEN o_orderkey % 8 = 5 THEN o_orderpriority END AS text FROM orders"
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 8
+    texts = F.concat(F.lit('{"results":[{"recap_documents":[{"plain_text":""},{"plain_text":7},{"plain_text":"'), F.col("o_orderpriority"), F.lit('"},{"plain_text":"no"}]},{"recap_documents":[{"plain_text":"other"}]}]}'))
+    body = F.when(k == 2, '{"results":[]}').when(k == 3, '{"results":[{"recap_documents":[]}]}').when(k == 4, '{"results":[{"recap_documents":[{"plain_text":""},{}]}]}').when(k.isin(5, 6), texts).when(k == 7, "no JSON")
+    code = F.when(k == 0, 404).when(k == 1, 503).when(k == 6, 401).otherwise(200)
+    return responses.first_entry(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("docket_id"), code.alias("code"), body.alias("body")))
+
+
+@query(_ENTRIES)
+def first_entries(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d)
 
 
 @query(
-    """SELECT o_orderkey AS case_id, CASE o_orderkey % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'error' WHEN 2 THEN 'missing' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'empty' ELSE 'found' END AS status, CASE WHEN o_orderkey % 6 = 5 THEN o_orderpriority END AS text FROM orders"""
+    f"""WITH e AS ({_ENTRIES}), k AS (SELECT o_custkey AS case_id, o_orderkey AS docket_id, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END AS filed FROM orders WHERE o_orderkey % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY filed NULLS LAST, docket_id) AS nth FROM k JOIN e USING (docket_id)),
+c AS (SELECT case_id, min(nth) FILTER (status = 'found') AS f, min(nth) FILTER (status = 'denied') AS d, bool_or(status = 'empty') AS e FROM r GROUP BY 1),
+s AS (SELECT *, CASE WHEN d IS NOT NULL AND (f IS NULL OR d < f) THEN 'denied' WHEN f IS NOT NULL THEN 'found' WHEN e THEN 'empty' ELSE 'missing' END AS status FROM c)
+SELECT s.case_id, s.status, r.docket_id, r.text FROM s LEFT JOIN r ON s.status = 'found' AND r.case_id = s.case_id AND r.nth = s.f"""
 )
-def first_entries(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 6
-    entry = F.struct(F.when(k == 2, 2).otherwise(1).alias("number"), F.when(k == 4, " ").otherwise(F.col("o_orderpriority")).alias("text"), (k != 3).alias("available"))
-    second = F.struct(F.lit(1 + 1).alias("number"), F.lit("no").alias("text"), F.lit(True).alias("available"))
-    rows = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(k == 0, 404).when(k == 1, 503).otherwise(200).alias("code"), F.to_json(F.struct(F.array(second, entry).alias("entries"))).alias("body"))
-    return responses.first_entry(rows)
+def case_texts(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    dockets = b.table(spark, d, "orders").filter(o % 3 == 0).select(F.col("o_custkey").alias("case_id"), o.alias("docket_id"), F.when(o % 5 > 0, F.to_date("o_orderdate")).alias("filed"))
+    return responses.case_texts(dockets, _entries(spark, d))
 
 
 # --- records, links, runs ------------------------------------------------------------------------
@@ -183,7 +205,7 @@ SELECT challenge_id, product_id FROM w WHERE NOT several OR NOT anyone OR holds"
 )
 def relinked_challenges(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    c = b.table(spark, d, "customer").select(k.alias("challenge_id"), F.concat(F.lit("N"), (k % 300).cast("string")).alias("application_number"), F.when(k % 3 == 0, "promo, tablets").when(k % 3 == 1, "Economy").otherwise("gel").alias("dosage_form"))
+    c = b.table(spark, d, "customer").select(k.alias("challenge_id"), F.concat(F.lit("N"), (k % 300).cast("string")).alias("application_number"), F.when(k % 3 == 0, "promos, tablets").when(k % 3 == 1, "Economy").otherwise("gel").alias("dosage_form"))
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("N"), (F.col("p_partkey") % 400).cast("string")).alias("application_number"), F.col("p_type").alias("dosage_form"))
     return matching.challenge_links(c, p)
 
@@ -270,21 +292,21 @@ def references_both_ways(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey AS product_id, p_partkey % 5 AS company_id, p_name || p_partkey % 200 AS name, p_size AS strength, CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 1 ELSE p_partkey END AS number FROM part),
-c AS (SELECT c_custkey AS case_id, c_custkey % 5 AS company_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS number, upper(p_name || p_partkey % 200) AS brand, CASE WHEN c_custkey % 2 = 0 THEN p_size END AS strength FROM customer JOIN part ON p_partkey = c_custkey),
-np AS (SELECT case_id, min(product_id) AS a, max(product_id) AS z FROM c JOIN p ON p.number = c.number AND p.company_id = c.company_id GROUP BY 1),
-bp AS (SELECT case_id, product_id, coalesce(contains(p.strength || 'MG', c.strength || 'MG'), false) AS fits FROM c JOIN p ON p.company_id = c.company_id AND lower(p.name) = lower(c.brand)),
+    """WITH p AS (SELECT p_partkey AS product_id, p_name || p_partkey % 200 AS name, p_size AS strength, CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 1 ELSE p_partkey END AS number FROM part),
+c AS (SELECT c_custkey AS case_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS number, upper(p_name || p_partkey % 200) AS brand, CASE WHEN c_custkey % 2 = 0 THEN p_size % 10 END AS strength FROM customer JOIN part ON p_partkey = c_custkey),
+np AS (SELECT case_id, min(product_id) AS a FROM c JOIN p ON p.number = c.number GROUP BY 1 HAVING min(product_id) = max(product_id)),
+bp AS (SELECT case_id, product_id, coalesce(p.strength = c.strength, false) AS fits FROM c JOIN p ON lower(p.name) = lower(c.brand)),
 bq AS (SELECT case_id, product_id FROM bp QUALIFY NOT bool_or(fits) OVER (PARTITION BY case_id) OR fits)
-SELECT DISTINCT c.case_id, coalesce(CASE WHEN a = z THEN a END, bq.product_id) AS product_id, CASE WHEN a = z THEN 'patent' WHEN bq.product_id IS NOT NULL THEN 'brand' ELSE 'none' END AS how FROM c LEFT JOIN np USING (case_id) LEFT JOIN bq USING (case_id)"""
+SELECT DISTINCT c.case_id, coalesce(a, bq.product_id) AS product_id, CASE WHEN a IS NOT NULL THEN 'patent' WHEN bq.product_id IS NOT NULL THEN 'brand' ELSE 'none' END AS how FROM c LEFT JOIN np USING (case_id) LEFT JOIN bq USING (case_id)"""
 )
 def named_products(spark: SparkSession, d: str) -> DataFrame:
     part, k = b.table(spark, d, "part"), F.col("p_partkey")
     name = F.concat("p_name", (k % 200).cast("string"))
-    p = part.select(k.alias("product_id"), (k % 5).alias("company_id"), name.alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" mg")).alias("strength"))
+    p = part.select(k.alias("product_id"), name.alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" mg")).alias("strength"))
     numbers = part.select(F.when(k % 4 == 0, k + 1).otherwise(k).cast("string").alias("patent_number"), k.alias("product_id"))
     c = F.col("c_custkey")
     complaints = b.table(spark, d, "customer").join(part, c == k).select(
-        c.alias("case_id"), (c % 5).alias("company_id"), F.when(c % 3 == 0, F.array(c.cast("string"))).otherwise(F.array().cast("array<string>")).alias("patent_numbers"), F.upper(name).alias("brand_name"), F.when(c % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit("MG"))).alias("strength")
+        c.alias("case_id"), F.when(c % 3 == 0, F.array(c.cast("string"))).otherwise(F.array().cast("array<string>")).alias("patent_numbers"), F.upper(name).alias("brand_name"), F.when(c % 2 == 0, F.concat((F.col("p_size") % 10).cast("string"), F.lit("MG"))).alias("strength")
     )
     return matching.named_products(complaints, numbers, p)
 
@@ -292,7 +314,7 @@ def named_products(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), h AS (SELECT event_id AS docket_id, user_id % 150 AS a, event_id % 90 AS z, event_type FROM events),
 p AS (SELECT p_partkey AS product_id, p_partkey % (SELECT count(*) FROM supplier) AS company_id FROM part)
-SELECT DISTINCT docket_id, product_id FROM h JOIN p ON company_id = a OR company_id = z"""
+SELECT DISTINCT docket_id, product_id FROM h JOIN p ON product_id % 3 = 0 AND (company_id = a OR company_id = z)"""
 )
 def docket_candidates(spark: SparkSession, d: str) -> DataFrame:
     name = lambda k: F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0"))
@@ -301,20 +323,22 @@ def docket_candidates(spark: SparkSession, d: str) -> DataFrame:
     known = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     found = matching.companies(dockets.select(F.explode(F.array("plaintiff", "defendant")).alias("name")), known)
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % F.lit(known.count())).alias("company_id"))
-    return matching.party_products(dockets, found, p)
+    return matching.party_products(dockets, found, p, p.filter("product_id % 3 = 0").select("product_id"))
 
 
-@query("SELECT p_partkey::VARCHAR AS patent_number, DATE '2020-01-01' + p_size AS nominal_expiry FROM part WHERE p_partkey NOT IN (SELECT user_id FROM events WHERE event_type = 'click') ORDER BY 2, 1 LIMIT 300")
+@query("SELECT p_partkey::VARCHAR AS patent_number, DATE '2020-01-01' + p_size AS nominal_expiry, DATE '2020-01-01' + (p_partkey % 50 * 30)::INT AS expiry FROM part WHERE p_partkey NOT IN (SELECT user_id FROM events WHERE event_type = 'click') ORDER BY 3, 1 LIMIT 300")
 def term_candidates(spark: SparkSession, d: str) -> DataFrame:
-    patents = b.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("patent_number"), F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("p_size")).alias("nominal_expiry"))
+    day = F.lit(dt.date(2020, 1, 1))
+    patents = b.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("patent_number"), F.date_add(day, F.col("p_size")).alias("nominal_expiry"), F.date_add(day, (F.col("p_partkey") % 50 * 30).cast("int")).alias("expiry"))
     return enrich.candidates(patents, _records(spark, d), "click", 300)
 
 
-@query("SELECT p_partkey::VARCHAR AS patent_number, p_size * 100 AS gap FROM part WHERE p_size * 100 > 3650 ORDER BY gap DESC, patent_number LIMIT 120")
+@query("SELECT p_partkey::VARCHAR AS patent_number, (p_size * 100)::INT AS adjustment_days FROM part WHERE p_partkey % 3 > 0 AND p_size * 100 > 3650 ORDER BY adjustment_days DESC, patent_number LIMIT 120")
 def suspicious_terms(spark: SparkSession, d: str) -> DataFrame:
     day = F.lit(dt.date(2020, 1, 1))
-    patents = b.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("patent_number"), day.alias("nominal_expiry"), F.date_add(day, F.col("p_size") * 100).alias("expiry"))
-    return enrich.suspicious(patents, 120).select("patent_number", "gap")
+    # dates far apart alone are not suspicious, nor does it matter how far apart those of a large adjustment are
+    patents = b.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("patent_number"), day.alias("nominal_expiry"), F.when(F.col("p_partkey") % 3 == 0, F.date_add(day, 9000)).otherwise(day).alias("expiry"), F.when(F.col("p_partkey") % 3 > 0, (F.col("p_size") * 100).cast("int")).alias("adjustment_days"))
+    return enrich.suspicious(patents, 120).select("patent_number", "adjustment_days")
 
 
 @query("SELECT p_brand, '{\"data\":[' || string_agg('{\"id\":' || p_partkey || '}', ',' ORDER BY p_partkey) FILTER (nth <= 20) || '],\"pagination\":{\"total\":' || any_value(n) || ',\"limit\":20,\"offset\":0,\"hasMore\":' || (any_value(n) > 20)::VARCHAR || '}}' AS page FROM (SELECT p_brand, p_partkey, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part) GROUP BY 1")
@@ -341,7 +365,7 @@ SELECT event_id, role, patent AS patent_case, CASE court WHEN 'deld' THEN 'DE' W
   CASE WHEN sure AND other IS NOT NULL AND n = 1 THEN 'both parties match exactly, a patent case, and one product' WHEN sure AND n = 0 THEN 'the plaintiff matches exactly in a patent case, but no product is linked'
   WHEN sure AND n > 1 THEN 'the plaintiff matches exactly in a patent case, but it may concern any of ' || n || ' products' WHEN sure THEN 'the plaintiff and one product match, but the defendant is not known'
   ELSE 'weak: ' || CASE WHEN concat_ws('', CASE WHEN role = 'unmatched' THEN 'x' END, CASE WHEN m = 'fuzzy' THEN 'x' END, CASE WHEN role = 'defendant' THEN 'x' END, CASE WHEN NOT patent THEN 'x' END) = '' THEN 'nothing further supports it' ELSE concat_ws('; ', CASE WHEN role = 'unmatched' THEN 'neither party is surely the company searched for' END, CASE WHEN m = 'fuzzy' THEN 'the plaintiff matched in part only' END, CASE WHEN role = 'defendant' THEN 'the company is the defendant' END, CASE WHEN NOT patent THEN 'the filing does not say that it concerns a patent' END) END END AS note,
-  CASE WHEN m = 'none' AND other IS NULL THEN 'NONE' WHEN m = 'exact' AND other IS NOT NULL AND n = 1 AND patent THEN 'HIGH' WHEN (m = 'exact' OR other IS NOT NULL) AND patent THEN 'MEDIUM' ELSE 'LOW' END AS manual_tier FROM s"""
+  CASE WHEN m = 'none' AND other IS NULL THEN 'NONE' WHEN m = 'exact' AND other IS NOT NULL AND n = 1 AND patent THEN 'HIGH' WHEN patent THEN 'MEDIUM' ELSE 'LOW' END AS manual_tier FROM s"""
 )
 def match_rules(spark: SparkSession, d: str) -> DataFrame:
     e, k, u = b.table(spark, d, "events"), F.col("event_id"), F.col("user_id")
@@ -358,7 +382,7 @@ def match_rules(spark: SparkSession, d: str) -> DataFrame:
     )
     told = parties.confidence(F.col("role"), F.col("m"), F.col("other"), F.col("n"), F.col("patent_case"))
     manual = parties.manual_confidence(F.col("m"), F.when(F.col("other").isNotNull(), "exact").otherwise("none"), F.col("n"), F.col("patent_case"))
-    return rows.select("event_id", "role", "patent_case", "court", told["tier"].alias("tier"), told["note"].alias("note"), manual.alias("manual_tier"))
+    return rows.select("event_id", "role", "patent_case", "court", told["tier"].alias("tier"), told["note"].alias("note"), manual["tier"].alias("manual_tier"))
 
 
 @query(

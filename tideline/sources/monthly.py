@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.dates import long_month_date, pivot_year_date
+from tideline.functions.text import after, without_tags
 from tideline.sources.tilde import divided
 
 FIRST_CELL = "N/R/U"
@@ -92,12 +93,26 @@ def exclusivities(products_: DataFrame, file: str = "products.csv") -> tuple[Dat
     return good, odd.select(F.lit(file).alias("file"), "line", F.concat(F.lit("unreadable "), F.col("e.column"), F.lit(' "'), F.col("e.text"), F.lit('"')).alias("reason"), "raw")
 
 
+def _elements(html: Column, tag: str) -> Column:
+    """array<struct<head, body>> of the elements of a tag, none inside another: the rest of the opening tag, and what is before the closing one.
+
+    By splits alone, each of which passes once over the text. An opening tag that nothing closes is no element.
+    """
+    pieces = F.split(html, rf"(?i)<{tag}(?=[\s>])")
+    found = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.struct(F.substring_index(p, ">", 1).alias("head"), after(p, ">").alias("rest")))
+    closed = F.filter(found, lambda e: F.size(F.split(e["rest"], rf"(?i)</{tag}>", 2)) == 2)
+    return F.transform(closed, lambda e: F.struct(e["head"].alias("head"), F.get(F.split(e["rest"], rf"(?i)</{tag}>", 2), F.lit(0)).alias("body")))
+
+
 def patent_list(html: DataFrame, table_id: str, column: str = "html") -> DataFrame:
     """Rows of six cells of the table: application_number, company, name, alt_name, patent_number, expiry."""
-    table = F.regexp_extract(F.col(column), rf'(?is)<table[^>]*id="{table_id}".*?</table>', 0)
-    rows = F.regexp_extract_all(table, F.lit(r'(?is)<tr\s+valign="top"[^>]*>(.*?)</tr>'), 1)
-    found = html.select(F.explode(rows).alias("row")).select(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1).alias("td")).filter(F.size("td") == 6)
-    cell = lambda k: F.trim(F.replace(F.regexp_replace(F.col("td")[k], "<[^>]*>", ""), F.lit("&amp;"), F.lit("&")))
+    tables = F.split(F.col(column), r"(?i)<table(?=[\s>])")
+    ours = F.filter(F.slice(tables, 2, F.size(tables)), lambda t: F.contains(F.substring_index(t, ">", 1), F.lit(f'id="{table_id}"')))
+    table = F.get(F.split(F.get(ours, F.lit(0)), r"(?i)</table>", 2), F.lit(0))
+    rows = F.filter(_elements(table, "tr"), lambda r: r["head"].rlike(r'(?i)^\s+valign="top"'))
+    cells = F.transform(rows, lambda r: F.transform(_elements(r["body"], "td"), lambda c: F.trim(F.replace(without_tags(c["body"], ""), F.lit("&amp;"), F.lit("&")))))
+    found = html.select(F.explode(cells).alias("td")).filter(F.size("td") == 6)
+    cell = lambda k: F.col("td")[k]
     return found.select(
         F.regexp_replace(cell(0), r"\D", "").alias("application_number"),
         cell(1).alias("company"),
@@ -110,7 +125,7 @@ def patent_list(html: DataFrame, table_id: str, column: str = "html") -> DataFra
 
 def links(html: DataFrame, text: str, column: str = "html") -> DataFrame:
     """(href): targets of links whose text or title holds ``text``, in any case."""
-    tags = F.regexp_extract_all(F.col(column), F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), 1)
-    t = F.col("tag")
-    said = F.concat_ws(" ", F.regexp_replace(t, "<[^>]*>", " "), F.regexp_extract(t, r'(?is)^<a\s[^>]*title="([^"]*)"', 1))
-    return html.select(F.explode(tags).alias("tag")).filter(F.lower(said).contains(text.lower())).select(F.regexp_extract(t, r'(?is)^<a\s[^>]*href="([^"]*)"', 1).alias("href")).filter("href != ''")
+    e = F.col("e")
+    said = F.concat_ws(" ", without_tags(e["body"], " "), F.regexp_extract(e["head"], r'(?is)\btitle="([^"]*)"', 1))
+    found = html.select(F.explode(_elements(F.col(column), "a")).alias("e")).filter(F.contains(F.lower(said), F.lit(text.lower())))
+    return found.select(F.regexp_extract(e["head"], r'(?is)\bhref="([^"]*)"', 1).alias("href")).filter("href != ''")
