@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 
 from tideline.session import bounded_batches, written
 
-#: Characters of texts of a block; pre-tokens that are numbered at once.
-BLOCK_BYTES, RUN = 12 << 20, 1 << 16
+#: Characters of texts of a block; items that are numbered, or put together, at once.
+BLOCK_BYTES, RUN = 14 << 20, 1 << 16
 #: Words of more bytes are merged by a heap.
 SHORT = 200
 #: Bytes of words that a task remembers at once.
@@ -304,13 +304,17 @@ def _rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([of(f) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _put_together(block: pa.Table, at: np.ndarray, pieces: list[bytes | None]) -> tuple[pa.Array, list[bytes]]:
-    """The ids of a block's rows and, for each, its pieces one after the other."""
-    ends = unpacked(block["_ends"][0].as_py()).tolist()
+def _put_together(block: pa.Table, at: np.ndarray, pieces: list[bytes | None]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """The ids of a block's rows and, for each, its pieces one after the other; in runs of rows of some RUN positions."""
     if len(at) and (at.max() >= len(pieces) or None in pieces):
         raise ValueError("an id has no token")
-    ids = block["_ids"].combine_chunks().flatten()
-    return ids, [b"".join(map(pieces.__getitem__, at[a:z].tolist())) for a, z in zip([0, *ends], ends, strict=False)]
+    ends = np.concatenate([[0], unpacked(block["_ends"][0].as_py())]).astype(np.int64)
+    ids, lo = block["_ids"].combine_chunks().flatten(), 0
+    while lo < len(ids):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + RUN, "right")) - 1)
+        hi = min(hi, len(ids))
+        yield ids.slice(lo, hi - lo), [b"".join(map(pieces.__getitem__, at[a:z].tolist())) for a, z in itertools.pairwise(ends[lo : hi + 1].tolist())]
+        lo = hi
 
 
 # --- encoding -----------------------------------------------------------------------------------
@@ -386,7 +390,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "ids", *["ids_sha256"] * digests]
 
-    def finished(group: pa.Table) -> pa.Table:
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
         block = group.filter(pc.is_valid(group["_at"]))
         places, words = (group.filter(pc.is_valid(group[c])) for c in ("_steps", "_data"))
         steps = dict(zip(places["_bucket"].to_pylist(), places["_steps"].to_pylist(), strict=True))
@@ -394,17 +399,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for bucket, sizes, data in zip(*(words[c].to_pylist() for c in ("_bucket", "_sizes", "_data")), strict=True):
             for i, piece in zip(np.cumsum(unpacked(steps[bucket])).tolist(), _cut(unpacked(data).tobytes(), 4 * unpacked(sizes).astype(np.int64)), strict=True):
                 pieces[i] = piece
-        ids, blobs = _put_together(block, unpacked_positions(block["_at"][0].as_py()), pieces)
-        off = np.cumsum([0, *[len(b) // 4 for b in blobs]]).astype(np.int32)
-        said = [hashlib.sha256(b).hexdigest() for b in blobs] if digests else []
-        del pieces, block
-        flat = pa.py_buffer(b"".join(blobs))
-        del blobs
-        lists = pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, flat]))
-        columns = [ids, pa.array(np.diff(off), pa.int64()), lists]
-        if digests:
-            columns.append(pa.array(said, pa.string()))
-        return pa.table(columns, names=names)
+        del group, places, words, steps
+        for ids, blobs in _put_together(block, unpacked_positions(block["_at"][0].as_py()), pieces):
+            off = np.cumsum([0, *[len(b) // 4 for b in blobs]]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(blobs))]))
+            columns = [ids, pa.array(np.diff(off), pa.int64()), lists]
+            if digests:
+                columns.append(pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return met.groupBy("_block").applyInArrow(finished, f"`{id_col}` {kind}, n_tokens long, ids array<int>" + ", ids_sha256 string" * digests)
 
@@ -443,12 +445,13 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
     rows = bounded_batches(source).mapInArrow(explode, f"_block long, _rows long, _key long, _number long, _ends binary, _at binary, _ids array<{kind}>")
 
-    def finished(group: pa.Table) -> pa.Table:
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
         is_block = pc.is_valid(group["_at"])
         keys = group.filter(pc.invert(is_block)).sort_by("_number")
         block = group.filter(is_block)
-        ids, blobs = _put_together(block, unpacked(block["_at"][0].as_py()), keys["_piece"].to_pylist())
-        return pa.table([ids, pa.array(blobs, pa.binary())], names=["_id", "decoded"])
+        for ids, blobs in _put_together(block, unpacked(block["_at"][0].as_py()), keys["_piece"].to_pylist()):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], names=["_id", "decoded"])
 
     if sum(len(t) + 64 for t in ranks) <= table_bytes:
         # nothing is dealt out: a task's blocks meet the table and are put together where they are
@@ -462,7 +465,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
                     there = parts.setdefault(block, [])
                     there.append(mine)
                     if sum(map(len, there)) == mine.column(1)[0].as_py():
-                        yield from finished(pa.Table.from_batches(parts.pop(block))).to_batches()
+                        yield from finished(iter(parts.pop(block)))
             if parts:
                 raise ValueError("a block lacks rows")
 
