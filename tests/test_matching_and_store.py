@@ -216,3 +216,56 @@ def test_entry_facts_without_an_estimate(spark):
     got = {r["product_id"]: (r["entry_date"], r["basis"], r["licensed"]) for r in detail.entry_facts(est, none, licences, d(2024, 1, 1)).collect()}
     day = d(2025, 1, 1)
     assert got == {"1": (day, "licensed", day), "2": (day, "licensed", day), "3": (d(2020, 1, 1), "estimate", None), "4": (None, None, None)}
+
+
+def test_common_words_meet_only_where_nothing_is_rarer(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    # a third of all names share one word, which three names consist of
+    make = lambda: " ".join([rng.choice(words), rng.choice(words), *["labs"] * (rng.random() < 0.33)])
+    known = [(i, make()) for i in range(300)] + [(300, "labs"), (301, "Acme Labs Inc")]
+    asked = [(make(),) for _ in range(300)] + [("labs global",), ("Labs",), ("Labs Acme",)]
+    k, a = spark.createDataFrame(known, "id int, name string"), spark.createDataFrame(asked, "name string")
+    from tideline.functions.parties import company
+
+    split = lambda df: df.withColumn("_words", F.array_distinct(F.split(company(F.col("name")), " ")))
+    left, right = split(a).distinct(), split(k).select(F.col("id").alias("company_id"), "_words")
+    got = {tuple(r) for r in matching.word_pairs(left, right).collect()}
+    sets = {r["name"]: set(r["_words"]) for r in left.collect()}, {r["company_id"]: set(r["_words"]) for r in right.collect()}
+    assert got == {(n, c) for n, x in sets[0].items() for c, y in sets[1].items() if x <= y or y <= x}
+    every = left.select(F.explode("_words").alias("_word")).unionAll(right.select(F.explode("_words").alias("_word"))).groupBy("_word").agg(F.count(F.lit(1)).alias("_often"))
+    met = matching._met(left, right, every).count() + matching._met(right, left, every).count()
+    shared = sum(len(x & y) for x in sets[0].values() for y in sets[1].values())
+    assert met < shared / 5  # as a join on every word would make
+
+
+def test_grown_cases(spark):
+    import random
+
+    rng = random.Random(1)
+    d = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    schema = "docket_id int, plaintiff_id int, defendant_id int, plaintiff string, defendant string, filed date"
+    # days in clusters, so that no hit of a later batch bridges two cases
+    rows = [(i, rng.choice([1, 2, None]), 5, f"p{rng.randrange(2)}", "d", d(rng.randrange(6) * 400 + rng.randrange(30))) for i in range(200)]
+    hits = spark.createDataFrame([(*r, None) for r in rows], schema + ", terminated date")
+    groups = lambda found, keys: sorted(sorted(v) for v in ({k: [x for kk, x in zip(keys, found, strict=True) if kk == k] for k in set(keys)}).values())
+    want = matching.grouped_cases(hits).collect()
+    state = spark.createDataFrame([], "plaintiff_id int, defendant_id int, plaintiff_name string, defendant_name string, case_no long, first date, last date")
+    seen, ids = {}, []
+    for part in (rows[:50], rows[50:60], rows[60:]):
+        placed, state = matching.grown_cases(state, spark.createDataFrame(part, schema))
+        state = spark.createDataFrame(state.collect(), state.schema)
+        for r in placed.collect():
+            seen[r["docket_id"]] = tuple(r[c] for c in (*matching.PARTIES, "case_no"))
+        ids.append(dict(seen))
+    key = lambda r: tuple(r[c] for c in (*matching.PARTIES, "case_no"))
+    assert groups(list(seen), list(seen.values())) == groups([r["docket_id"] for r in want], [key(r) for r in want])
+    assert all(ids[2][k] == v for k, v in ids[0].items()) and len(seen) == 200
+    # a bridge leaves stored cases apart; hits without a date go to the first case
+    one = [(1, 1, 2, "a", "b", d(0)), (2, 1, 2, "a", "b", d(300))]
+    _, state = matching.grown_cases(state.limit(0), spark.createDataFrame(one, schema))
+    placed, state = matching.grown_cases(state, spark.createDataFrame([(3, 1, 2, "a", "b", d(150)), (4, 1, 2, "a", "b", None), (5, 9, 2, "a", "b", None)], schema))
+    assert {r["docket_id"]: r["case_no"] for r in placed.collect()} == {3: 0, 4: 0, 5: 0}
+    assert sorted((r["plaintiff_id"], r["case_no"], r["first"], r["last"]) for r in state.filter("first IS NOT NULL").collect()) == [(1, 0, d(0), d(150)), (1, 1, d(300), d(300))]

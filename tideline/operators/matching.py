@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,27 +81,46 @@ def challenge_notes(challenges: DataFrame, products: DataFrame) -> DataFrame:
     return rows.select("challenge_id", linked.alias("linked"), note.alias("note"))
 
 
+def _met(inner: DataFrame, outer: DataFrame, often: DataFrame) -> DataFrame:
+    """Inner names with the outer ones that have their rarest word: name, company_id, _words, _theirs.
+
+    A name all of whose words another has is found so, and no other word of it need meet anything.
+    """
+    words, theirs = inner.withColumn("_word", F.explode("_words")), outer.withColumn("_word", F.explode("_words"))
+    keys = [c for c in ("name", "company_id") if c in inner.columns]
+    rarest = words.join(often, "_word").groupBy(*keys).agg(F.min_by(F.struct("_word", "_words"), F.struct("_often", "_word")).alias("_r")).select(*keys, "_r.*")
+    return rarest.join(theirs.select(*[c for c in ("name", "company_id") if c in outer.columns], "_word", F.col("_words").alias("_theirs")), "_word").select("name", "company_id", "_words", "_theirs")
+
+
+def word_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, company_id): all words of the one side are on the other. asked: name, _words; known: company_id, _words.
+
+    Words that many names share meet only where a name has no rarer one, so the rows that meet grow with the names and not
+    with the square of those that share a word.
+    """
+    every = asked.select(F.explode("_words").alias("_word")).unionAll(known.select(F.explode("_words").alias("_word")))
+    often = every.groupBy("_word").agg(F.count(F.lit(1)).alias("_often"))
+    met = _met(asked, known, often).unionByName(_met(known, asked, often))
+    return met.filter(F.size(F.array_intersect("_words", "_theirs")) == F.size("_words")).select("name", "company_id").distinct()
+
+
 def companies(names: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """(name, company_id, match): exact, fuzzy or none.
 
     Names are compared without their legal form. One company of that name is an exact match
     and several are none. Otherwise a fuzzy match is one company all of whose words are in the name,
-    or that has all of the name's words; several such are none. Words meet in an equi-join,
-    so no name is compared with a company that shares no word with it.
+    or that has all of the name's words; several such are none (:func:`word_pairs`).
     """
-    asked = names.select(F.col(name)).distinct().withColumn("_norm", company(F.col(name)))
+    asked = names.select(F.col(name).alias("name")).distinct().withColumn("_norm", company(F.col("name")))
     table = known.select(F.col("id").alias("company_id"), company(F.col("name")).alias("_norm"))
     exact = table.groupBy("_norm").agg(F.count(F.lit(1)).alias("_n"), F.min("company_id").alias("_exact"))
-    words = lambda df, out: df.withColumn(out, F.array_distinct(F.filter(F.split("_norm", " "), lambda w: w != "")))
-    open_ = words(asked.filter("_norm != ''").join(exact, "_norm", "left_anti"), "_words")
-    left = open_.select(name, F.size("_words").alias("_size"), F.explode("_words").alias("_word"))
-    right = words(table.filter("_norm != ''"), "_theirs").select("company_id", F.size("_theirs").alias("_their_size"), F.explode("_theirs").alias("_word"))
-    shared = left.join(right, "_word").groupBy(name, "company_id", "_size", "_their_size").agg(F.count(F.lit(1)).alias("_both"))
-    inside = shared.filter(F.col("_both") == F.least("_size", "_their_size"))
-    fuzzy = inside.groupBy(name).agg(F.min("company_id").alias("_fuzzy"), F.max("company_id").alias("_other"))
-    out = asked.join(exact, "_norm", "left").join(fuzzy.filter("_fuzzy = _other"), name, "left")
+    words = lambda df: df.withColumn("_words", F.array_distinct(F.filter(F.split("_norm", " "), lambda w: w != "")))
+    open_ = words(asked.filter("_norm != ''").join(exact, "_norm", "left_anti"))
+    pairs = word_pairs(open_.select("name", "_words"), words(table.filter("_norm != ''")).select("company_id", "_words"))
+    fuzzy = pairs.groupBy("name").agg(F.min("company_id").alias("_fuzzy"), F.max("company_id").alias("_other"))
+    out = asked.join(exact, "_norm", "left").join(fuzzy.filter("_fuzzy = _other"), "name", "left")
     return out.select(
-        name,
+        F.col("name").alias(name),
         F.when(F.col("_n") == 1, F.col("_exact")).when(F.col("_n").isNull(), F.col("_fuzzy")).alias("company_id"),
         F.when(F.col("_n") == 1, "exact").when(F.col("_n").isNull() & F.col("_fuzzy").isNotNull(), "fuzzy").otherwise("none").alias("match"),
     )
@@ -123,6 +144,47 @@ def grouped_cases(hits: DataFrame, days: int = 180) -> DataFrame:
     return hits.withColumn("_starts", starts).withColumn("case_no", F.sum("_starts").over(pair.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
 
 
+def grown_cases(cases: DataFrame, hits: DataFrame, days: int = 180) -> tuple[DataFrame, DataFrame]:
+    """(hits with case_no, cases): new hits put into stored cases or new ones, whose numbers never change.
+
+    ``cases``: PARTIES, case_no, first, last: the first and last filing of each case (null: none has a date). Of the parties of
+    the new hits alone, stored spans and hits' dates are laid side by side in time; what lies within ``days`` of
+    each other is one island. Its new hits join its stored case, or are a new case, numbered after the parties' last one. An
+    island with several stored cases, which a hit has bridged, leaves them apart, and its hits go to the one of the least
+    number. Hits without a date go to the parties' first case. Batches one after another give
+    what :func:`grouped_cases` gives for all at once, but for numbers, wherever no hit bridges two stored cases.
+    """
+    hits = hits.withColumns({f"{p}_name": F.when(F.col(f"{p}_id").isNull(), F.col(p)) for p in ("plaintiff", "defendant")})
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in PARTIES])
+    touched = hits.select(*PARTIES).distinct()
+    old = cases.join(touched, same(cases, touched), "left_semi")
+    spans = old.select(*PARTIES, "case_no", F.col("first").alias("_a"), F.col("last").alias("_z"), F.lit(None).cast(hits.schema["docket_id"].dataType).alias("docket_id"))
+    dated = hits.filter(F.col("filed").isNotNull()).select(*PARTIES, F.lit(None).cast("long").alias("case_no"), F.col("filed").alias("_a"), F.col("filed").alias("_z"), "docket_id")
+    order = Window.partitionBy(*PARTIES).orderBy("_a", "_z", "case_no", "docket_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.datediff("_a", F.max("_z").over(before)) > days, F.lit(True))
+    islands = spans.filter(F.col("_a").isNotNull()).unionByName(dated).withColumn("_island", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    of_island = Window.partitionBy(*PARTIES, "_island")
+    stored = F.min("case_no").over(of_island)
+    last = old.groupBy(*PARTIES).agg(F.max("case_no").alias("_last"), F.min("case_no").alias("_least"))
+    rows = islands.withColumn("_stored", stored).filter("docket_id IS NOT NULL")
+    rows = rows.join(last, same(rows, last), "left").select(*[rows[c] for c in (*PARTIES, "docket_id", "_a", "_island", "_stored")], "_last")
+    # new islands are numbered in order of time after the parties' last case
+    fresh = F.dense_rank().over(Window.partitionBy(*PARTIES, F.col("_stored").isNull()).orderBy("_island"))
+    numbered = rows.withColumn("_no", F.coalesce("_stored", F.coalesce("_last", F.lit(-1).cast("long")) + fresh))
+    undated = hits.filter(F.col("filed").isNull())
+    first = numbered.groupBy(*PARTIES).agg(F.min("_no").alias("_new"))
+    known = touched.join(last, same(touched, last), "left").select(*[touched[c] for c in PARTIES], "_least")
+    known = known.join(first, same(known, first), "left").select(*[known[c] for c in PARTIES], F.coalesce("_least", "_new", F.lit(0).cast("long")).alias("_no"))
+    undated = undated.join(known, same(undated, known)).select(*[undated[c] for c in (*PARTIES, "docket_id")], F.lit(None).cast("date").alias("_a"), "_no")
+    placed = numbered.select(*PARTIES, "docket_id", "_a", "_no").unionByName(undated)
+    out = hits.join(placed.select("docket_id", F.col("_no").alias("case_no")), "docket_id")
+    grown = old.select(*PARTIES, "case_no", "first", "last").unionByName(placed.select(*PARTIES, F.col("_no").alias("case_no"), F.col("_a").alias("first"), F.col("_a").alias("last")))
+    grown = grown.groupBy(*PARTIES, "case_no").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    rest = cases.join(touched, same(cases, touched), "left_anti").select(*grown.columns)
+    return out, rest.unionByName(grown)
+
+
 def case_summary(grouped: DataFrame) -> DataFrame:
     """Per case: first filing, outcome (open while any docket is), dockets."""
     return grouped.groupBy(*PARTIES, "case_no").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import classify, dates, display, parties, text
 from tideline.operators import detail, enrich, estimate, matching, search, stats, store
 from tideline.plans import binding as b
+from tideline.session import cut
 from tideline.sources import layout, monthly, responses, tilde
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,6 +306,26 @@ def proximity_grouping(spark: SparkSession, d: str) -> DataFrame:
     return matching.case_summary(matching.grouped_cases(hits, 30))
 
 
+@query(
+    """WITH h AS (SELECT o_orderkey AS docket_id, CASE WHEN o_custkey % 100 > 30 THEN o_custkey % 100 END AS plaintiff_id, CASE WHEN o_custkey % 7 > 1 THEN o_custkey % 7 END AS defendant_id,
+  CASE WHEN o_custkey % 100 <= 30 THEN 'party ' || o_custkey % 50 END AS plaintiff_name, CASE WHEN o_custkey % 7 <= 1 THEN 'party ' || o_custkey % 3 END AS defendant_name, o_orderdate::DATE AS filed FROM orders),
+g AS (SELECT *, CASE WHEN datediff('day', lag(filed) OVER w, filed) > 30 THEN 1 ELSE 0 END AS s FROM h WINDOW w AS (PARTITION BY plaintiff_id, defendant_id, plaintiff_name, defendant_name ORDER BY filed, docket_id))
+SELECT docket_id, sum(s) OVER (PARTITION BY plaintiff_id, defendant_id, plaintiff_name, defendant_name ORDER BY filed, docket_id ROWS UNBOUNDED PRECEDING)::BIGINT AS case_no FROM g"""
+)
+def growing_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Dockets that come in three batches, the earlier first, put into cases that keep their numbers."""
+    a, z = F.col("o_custkey") % 100, F.col("o_custkey") % 7
+    party = lambda k: F.concat(F.lit("party "), (F.col("o_custkey") % k).cast("string"))
+    hits = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("docket_id"), F.when(a > 30, a).alias("plaintiff_id"), F.when(z > 1, z).alias("defendant_id"), party(50).alias("plaintiff"), party(3).alias("defendant"), F.to_date("o_orderdate").alias("filed"))
+    cases = spark.createDataFrame([], "plaintiff_id long, defendant_id long, plaintiff_name string, defendant_name string, case_no long, first date, last date")
+    out = []
+    for begin, end in (("1900-01-01", "1994-06-01"), ("1994-06-01", "1996-03-01"), ("1996-03-01", "2100-01-01")):
+        placed, cases = matching.grown_cases(cases, hits.filter((F.col("filed") >= begin) & (F.col("filed") < end)), 30)
+        cases = cut(cases)
+        out.append(placed.select("docket_id", "case_no"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(
     """WITH p AS (SELECT o_custkey AS challenge_id, o_orderkey AS product_id, o_orderpriority AS form, c_mktsegment AS own FROM orders JOIN customer ON o_custkey = c_custkey),
 j AS (SELECT *, contains(form, 'HIGH') OR contains(form, 'LOW') AS holds FROM p),

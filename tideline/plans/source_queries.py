@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, display, extract, parties, text
-from tideline.operators import detail, enrich, matching, products, search, store
+from tideline.operators import detail, enrich, matching, products, search, store, trigrams
 from tideline.plans import binding as b
 from tideline.plans.queries import _est, _prepared, query
+from tideline.session import scratch_path
 from tideline.sources import layout, monthly, responses, tilde
 
 NOW = dt.datetime(2026, 1, 1)
@@ -349,6 +350,8 @@ def page_envelopes(spark: SparkSession, d: str) -> DataFrame:
 
 # --- words, names, dates, prose, cells ----------------------------------------------------------------
 
+_TERMS = "SELECT DISTINCT lower(substr(n_name, 1, 4)) AS term FROM nation UNION SELECT DISTINCT substr(p_name, 3, 5) FROM part WHERE p_partkey % 50 = 0 UNION SELECT 'order ' || o_orderkey FROM orders WHERE o_orderkey % 1500 = 0 UNION SELECT 'e' UNION SELECT 'PART#'"
+
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
@@ -357,6 +360,23 @@ def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "part").select("p_partkey", text.similarity(F.col("p_name"), F.concat("p_type", "p_name")).alias("similarity"))
 
 
+@query(
+    b.SQL
+    + f""", terms AS (SELECT term, {_TRI.format('term')} AS q FROM ({_TERMS})), names AS (SELECT source, name, min(product_id) AS product_id, {_TRI.format('name')} AS a FROM products GROUP BY source, name),
+s AS (SELECT term, source, name, product_id, CASE WHEN len(a) + len(q) > 0 THEN len(list_intersect(a, q)) / len(list_distinct(list_concat(a, q)))::DOUBLE ELSE 0 END AS score FROM terms, names WHERE contains(lower(name), lower(term)) OR list_has_any(a, q))
+SELECT term, source, name, product_id, score FROM s WHERE contains(lower(name), lower(term)) OR score >= 0.3 QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, name, source) <= 10"""
+)
+def autocomplete_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """A table of terms at once, through the index of trigrams."""
+    part, orders = b.table(spark, d, "part"), b.table(spark, d, "orders")
+    terms = b.table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 4)).alias("term"))
+    terms = terms.unionByName(part.filter("p_partkey % 50 = 0").select(F.substring("p_name", 3, 5).alias("term"))).unionByName(orders.filter("o_orderkey % 1500 = 0").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("term")))
+    terms = terms.unionByName(spark.createDataFrame([("e",), ("PART#",)], "term string")).distinct()
+    folder, rows = scratch_path(spark, "trigrams"), b.products(spark, d)
+    trigrams.build(rows, folder)
+    return trigrams.suggestions(rows, folder, terms).select("term", "source", "name", "product_id", "score")
+
+
 @query(
     """WITH h AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '830 Patent' WHEN 1 THEN 'Other' WHEN 2 THEN '8301' END AS nature, CASE event_id % 3 WHEN 0 THEN '35:271 PATENT infringement' END AS cause,
   CASE user_id % 3 WHEN 0 THEN 'deld' WHEN 1 THEN 'njd' ELSE 'cand' END AS court, CASE event_type WHEN 'click' THEN 'plaintiff' WHEN 'view' THEN 'defendant' ELSE 'unmatched' END AS role, CASE event_id % 5 WHEN 0 THEN 'fuzzy' WHEN 1 THEN 'none' ELSE 'exact' END AS m, CASE WHEN user_id % 4 > 0 THEN user_id END AS other, user_id % 3 AS n FROM events),
