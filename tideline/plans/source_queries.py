@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, display, extract, parties, text
-from tideline.operators import detail, enrich, matching, products, search, store, trigrams
+from tideline.operators import detail, enrich, ledger, matching, products, search, store, trigrams
 from tideline.plans import binding as b
 from tideline.plans.queries import _est, _prepared, query
 from tideline.session import scratch_path
@@ -231,6 +231,36 @@ def manual_link(spark: SparkSession, d: str) -> DataFrame:
     return again.unionByName(said)
 
 
+# --- what may be asked next --------------------------------------------------------------------
+
+_ASKED = "SELECT event_type AS source, user_id AS key, ts AS m, event_id, CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'limited' WHEN 2 THEN 'error' WHEN 3 THEN 'limited' ELSE CASE WHEN event_id % 20 = 4 THEN 'absent' ELSE 'error' END END AS status FROM events"
+_LIMITS = ledger.Limits(13.0, 65.0, 3, {60: 5, 3600: 50, 86400: 125})
+
+
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    status = F.when(k % 5 == 0, "ok").when(k % 5 == 1, "limited").when(k % 5 == 2, "error").when(k % 5 == 3, "limited").otherwise(F.when(k % 20 == 4, "absent").otherwise("error"))
+    return b.table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), "event_id", status.alias("status"))
+
+
+@query(
+    "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_minute, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS in_hour, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW) AS in_day FROM events"
+)
+def rolling_budgets(spark: SparkSession, d: str) -> DataFrame:
+    rows = ledger.rolling(ledger.rolling(ledger.rolling(_attempts(spark, d), 60, "in_minute"), 3600, "in_hour"), 86400, "in_day")
+    return rows.select("event_id", "in_minute", "in_hour", "in_day")
+
+
+@query(
+    f"""WITH a AS ({_ASKED}), l AS (SELECT source, key, arg_max(status, (m, status)) AS status, max(m) AS m, max(m) FILTER (status IN ('ok', 'absent')) AS answer FROM a GROUP BY 1, 2),
+t AS (SELECT l.source, l.key, count(*) AS tries FROM l JOIN a ON a.source = l.source AND a.key = l.key AND a.status NOT IN ('ok', 'absent') AND (answer IS NULL OR a.m > answer) GROUP BY 1, 2),
+r AS (SELECT l.source, l.key, l.status, coalesce(tries, 0) AS tries, l.m FROM l LEFT JOIN t USING (source, key))
+SELECT source, key, status, tries, m AS "at", CASE WHEN status IN ('ok', 'absent') OR tries > 3 THEN NULL WHEN status = 'limited' THEN m + to_seconds((65 * 2 ** (tries - 1))::INT) ELSE m + INTERVAL 13 SECOND END AS due FROM r"""
+)
+def attempt_standing(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.standing(_attempts(spark, d), _LIMITS)
+
+
 # --- lists, products, previews ---------------------------------------------------------------------
 
 _KEYED = b.SQL + ", challenged AS (SELECT DISTINCT source, product_id FROM patents WHERE patent_number LIKE '1%'), sued AS (SELECT DISTINCT source, product_id FROM exclusivities WHERE code = 'R' AND expiry > DATE '2001-01-01')"

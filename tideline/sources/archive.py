@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
-from tideline.session import cut, scratch_path
+from tideline.session import cut, is_local, scratch_path
 
 MONTHS = "january february march april may june july august september october november december".split()
 #: Bytes of a member unpacked at once.
@@ -25,6 +25,8 @@ def members(spark: SparkSession, path: str, names: list[str]) -> dict[str, str]:
     The driver reads the archive's directory alone. Tasks unpack the members, a piece at a time, each to a
     file of its own; what the committed attempts return is read. Read the lines by :func:`tilde.numbered_lines`.
     """
+    if "://" not in path and not path.startswith("file:") and not is_local(spark):
+        raise ValueError("an archive's address needs a scheme, as tasks on other machines open it too")
     with _opened(path) as z:
         there = {n.rpartition("/")[2].lower(): n for n in z.namelist()}
     missing = [n for n in names if n.lower() not in there]
