@@ -12,6 +12,7 @@ from tideline.operators import ingest, runs
 from tideline.operators.commits import Store
 from tideline.plans import binding as b
 from tideline.plans.queries import query
+from tideline.plans.source_queries import _HEAD
 from tideline.session import scratch_path
 
 FIRST, SECOND = dt.datetime(2026, 1, 1, 12), dt.datetime(2026, 2, 1, 12)
@@ -177,3 +178,59 @@ def ingest_killed(spark: SparkSession, d: str) -> DataFrame:
     runs.run(store, "tilde", ingest.tilde_load(release), SECOND)
     ended = runs.runs(store).filter(F.col("started_at") == F.lit(SECOND)).first()["status"]
     return store.read("products_a", ingest.SCHEMAS["products_a"]).select("product_id", "application_number", "strength", F.lit(ended).alias("status"))
+
+
+# --- the other two sources --------------------------------------------------------------------------
+
+
+def _forms(spark: SparkSession, d: str, n: int) -> dict[str, DataFrame]:
+    """Products of some hundred applications in several forms; in the second release every fifth is a gel."""
+    form = "p_type" if n == 1 else "CASE WHEN p_partkey % 5 = 0 THEN 'GEL' ELSE p_type END"
+    raw = f"concat_ws('~', 'CALCIUM', concat({form}, '; ORAL'), p_name, 'x', '5MG', 'N', lpad(CAST(p_partkey % 300 AS string), 6, '0'), CAST(p_partkey AS string), 'x', 'Jan 5, 2001', 'x', 'x', 'x', p_brand)"
+    products = b.table(spark, d, "part").select((F.col("p_partkey") + 10).alias("line"), F.expr(raw).alias("raw"))
+    none = spark.createDataFrame([], "line long, raw string")
+    return {"products": _with_head(products, 14), "patents": _with_head(none, 10), "exclusivities": _with_head(none, 5)}
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 350 AS app, CASE c_custkey % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'ECONOMY' ELSE 'GEL' END AS form FROM customer),
+p AS (SELECT p_partkey AS product, p_partkey % 300 AS app, p_type AS f1, CASE WHEN p_partkey % 5 = 0 THEN 'GEL' ELSE p_type END AS f2 FROM part),
+j AS (SELECT k, product, CASE WHEN k % 2 = 0 THEN f2 ELSE f1 END AS own, form FROM c JOIN p USING (app)),
+w AS (SELECT *, min(own) OVER v <> max(own) OVER v AS several, bool_or(own = form) OVER v AS anyone FROM j WINDOW v AS (PARTITION BY k))
+SELECT 'Name ' || k AS challenge, product::VARCHAR AS product_number FROM w WHERE NOT several OR NOT anyone OR own = form"""
+)
+def ingested_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of printed challenges to products: made once, and made anew for every second challenge after the products have changed."""
+    store = Store(spark, scratch_path(spark, "challenges"))
+    k = F.col("c_custkey")
+    form = F.when(k % 3 == 0, "Promos").when(k % 3 == 1, "economy, oral").otherwise("gels")
+    texts = {
+        "ingredient": F.lit("x"), "form": form, "strength": F.concat(k.cast("string"), F.lit("MG")), "listed": F.concat(F.lit("Name "), k.cast("string"), F.lit("\n"), F.lpad((k % 350).cast("string"), 6, "0")),
+        "submitted": F.lit("1/5/2020"), "applicants": F.lit("1"), "status": F.lit("Eligible"), "posting": F.lit("1/6/2020"), "approval": F.lit(""), "marketing": F.lit(""), "expiration": F.lit(""),
+    }
+    cells = b.table(spark, d, "customer").select(k.alias("line"), *[c.alias(n) for n, c in texts.items()])
+    loads = {1: cells, 2: cells.filter("line % 2 = 0")}
+    for n, now in ((1, FIRST), (2, SECOND)):
+        runs.run(store, "tilde", ingest.tilde_load(_forms(spark, d, n)), now)
+        runs.run(store, "challenges", ingest.challenges_load(loads[n]), now)
+    t = lambda name: store.read(name, ingest.SCHEMAS[name])
+    return t("challenge_links").join(t("challenges").select("challenge_id", F.col("name").alias("challenge")), "challenge_id").join(t("products_a").select("product_id", "product_number"), "product_id").select("challenge", "product_number")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, 'Name ' || p_partkey AS name, CASE p_partkey % 4 WHEN 1 THEN p_partkey - 1 WHEN 2 THEN p_partkey WHEN 3 THEN p_partkey - 3 END AS r FROM part),
+q AS (SELECT s.k, s.name, CASE WHEN t.k <> s.k THEN t.name END AS reference FROM p s LEFT JOIN p t ON t.k = s.r)
+SELECT k::VARCHAR AS application_number, name, reference, CASE WHEN k % 4 = 2 THEN 'no known product for the reference "name ' || k || '", which is kept as a name' END AS issue FROM q"""
+)
+def ingested_references(spark: SparkSession, d: str) -> DataFrame:
+    """Biologic products whose references are stated by the one name, by their own, or by the other name."""
+    store = Store(spark, scratch_path(spark, "monthly"))
+    ref = "CASE p_partkey % 4 WHEN 1 THEN concat('NAME ', p_partkey - 1) WHEN 2 THEN concat('name ', p_partkey) ELSE 'N/A' END"
+    proper = "CASE p_partkey % 4 WHEN 2 THEN concat('proper ', p_partkey - 2) WHEN 3 THEN concat('Proper ', p_partkey - 3) ELSE '' END"
+    raw = f"concat_ws(',', '', p_brand, p_partkey, concat('Name ', p_partkey), concat('proper ', p_partkey), '351(a)', '5', 'VIAL', 'IV', '001', '', '5-Jan-01', 'CDER', {proper}, {ref}, '', '', '')"
+    lines = spark.createDataFrame([(1, ",".join(_HEAD))], "line long, raw string").unionByName(b.table(spark, d, "part").select((F.col("p_partkey") + 10).alias("line"), F.expr(raw).alias("raw")))
+    runs.run(store, "monthly", ingest.monthly_load(lines, _HEAD), FIRST)
+    products = store.read("products_b", ingest.SCHEMAS["products_b"])
+    issues = store.read("issues", ingest.SCHEMAS["issues"]).select(F.substring_index("raw", "/", 1).alias("application_number"), F.col("reason").alias("issue"))
+    names = products.select(F.col("product_id").alias("reference_id"), F.col("name").alias("reference"))
+    return products.join(names, "reference_id", "left").join(issues, "application_number", "left").select("application_number", "name", "reference", "issue")
