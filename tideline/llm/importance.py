@@ -169,23 +169,29 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
 
 def oracle_sql(n: int = WORDS, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> str:
-    """The same over `documents` and `benchmark` in DuckDB; its CRC-32 is folded over the bytes of each distinct run of words."""
+    """The same over `documents` and `benchmark` in DuckDB, whose CRC-32 of each distinct run goes on from that of the run without its last word."""
     table = list(range(256))
     for _ in range(8):
         table = [c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1 for c in table]
-    octets = "list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda x: ('0x' || x)::INT::UBIGINT)"
-    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, x: xor(list_extract({table}::UBIGINT[], ((xor(c, x) & 255) + 1)::BIGINT), c >> 8)), 4294967295)"
+    octets = "list_transform(regexp_extract_all(hex(encode(' ' || x1)), '..'), lambda h: ('0x' || h)::INT::UBIGINT)"
+    fold = f"list_reduce(list_prepend({{}}, {{}}), lambda c, h: xor(list_extract({table}::UBIGINT[], ((xor(c, h) & 255) + 1)::BIGINT), c >> 8))"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    runs = " || ".join(f"list_transform(range(1, len(w) - {k} + 1), lambda i: array_to_string(w[i:i + {k}], ' '))" for k in range(n))
+    names = [f"x{k}" for k in range(1, n + 1)]
+    states = [f"s1 AS MATERIALIZED (SELECT x1, {fold.format('4294967295::UBIGINT', 'o[2:]')} AS s FROM v)"]
+    for k in range(2, n + 1):
+        some, all_ = ", ".join(names[: k - 1]), ", ".join(names[:k])
+        states.append(f"s{k} AS MATERIALIZED (SELECT q.*, {fold.format('s', 'o')} AS s FROM (SELECT DISTINCT {all_} FROM q WHERE x{k} IS NOT NULL) q JOIN s{k - 1} USING ({some}) JOIN (SELECT x1 AS x{k}, o FROM v) USING (x{k}))")
+    features = " UNION ALL ".join(f"SELECT r, goal, s FROM q JOIN s{k} USING ({', '.join(names[:k])})" for k in range(1, n + 1))
     return f"""
 WITH a AS (SELECT row_number() OVER () AS r, 0 AS goal, doc_id, text FROM documents UNION ALL SELECT row_number() OVER (), 1, NULL, text FROM benchmark),
-w AS (SELECT r, goal, doc_id, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM a),
-f AS (SELECT r, goal, unnest({runs}) AS g FROM w),
-c AS (SELECT r, goal, g, count(*) AS n FROM f GROUP BY ALL),
-b AS (SELECT g, ({crc} % {buckets})::INT AS b FROM (SELECT DISTINCT g FROM c)),
-counts AS (SELECT b, coalesce(sum(n) FILTER (goal = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (goal = 1), 0)::DOUBLE AS t FROM c JOIN b USING (g) GROUP BY b),
+w AS MATERIALIZED (SELECT r, goal, doc_id, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM a),
+q AS MATERIALIZED (SELECT r, goal, {', '.join(f'z[{k}] AS x{k}' for k in range(1, n + 1))} FROM (SELECT r, goal, unnest(list_zip({', '.join(f'w[{k}:]' for k in range(1, n + 1))})) AS z FROM w)),
+v AS MATERIALIZED (SELECT x1, {octets} AS o FROM (SELECT DISTINCT x1 FROM q)),
+{", ".join(states)},
+c AS MATERIALIZED (SELECT r, goal, (xor(s, 4294967295) % {buckets})::INT AS b, count(*) AS n FROM ({features}) GROUP BY ALL),
+counts AS (SELECT b, coalesce(sum(n) FILTER (goal = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (goal = 1), 0)::DOUBLE AS t FROM c GROUP BY b),
 gains AS (SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + {buckets}) / ((s + 1) * (sum(t) OVER () + {buckets}))))::BIGINT AS gain FROM counts),
-m AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN b USING (g) JOIN gains USING (b) WHERE goal = 0 GROUP BY r),
+m AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN gains USING (b) WHERE goal = 0 GROUP BY r),
 d AS (SELECT w.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= {least_words} AS fits,
   floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
   FROM w LEFT JOIN m USING (r) WHERE goal = 0),
