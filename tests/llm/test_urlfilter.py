@@ -86,3 +86,16 @@ def test_rules_are_the_longest_fit(spark):
         best = max(fit, key=lambda x: len(x[0]), default=(None, None))
         assert (r["host"], r["path"], r["rule"]) == (host, path, best[0])
         assert best[0] is None or r["verdict"] == best[1]
+
+
+def test_long_and_broken_pages(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.com/", '<a href="//b.com/x"> <A class=q HREF = \'https://C.com\'>t</a> <a name="//no.com"> <abbr href="//no.com"> <a href="/own"> <a <a href=//d.com'), (2, "http://a.com/2", None), (3, "http://e.com/", '<a href="//b.com"><a href="//b.com">')],
+        "page_id long, url string, html string",
+    )
+    units = ["<a ", "<", '<a href="', "<a href=x:", ">"]
+    long = spark.createDataFrame([(10 + i, "http://long.com/", u) for i, u in enumerate(units)], "page_id long, url string, html string")
+    long = long.selectExpr("page_id", "url", "concat(repeat(html, CAST(3000000 / length(html) AS int)), '> <a href=\"//end.com\">') AS html")
+    got = sorted(map(tuple, u.host_links(pages.unionByName(long)).collect()))
+    assert [r for r in got if r[0] != "long.com"] == [("a.com", "b.com", 1), ("a.com", "c.com", 1), ("a.com", "d.com", 1), ("e.com", "b.com", 1)]
+    assert ("long.com", "end.com", len(units)) in got
