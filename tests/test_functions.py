@@ -120,3 +120,24 @@ def test_roles_and_manual_tiers(spark):
     df = spark.createDataFrame(rows, "a string, z string, n int, p boolean")
     told = [r[0] for r in df.coalesce(1).select(parties.manual_confidence(*map(F.col, "aznp"))).collect()]
     assert [r["tier"] for r in told] == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "NONE", "MEDIUM"] and len({r["note"] for r in told}) == 5
+
+
+def test_html_in_one_pass(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["<", ">", "a", " b", "\n", "<b>", "</b>", "&amp;"]) for _ in range(rng.randrange(0, 25))) for _ in range(400)] + ["", "<", ">", "<>", "a<b", "a>b<c"]
+    got = values(spark, [*texts, None], lambda c: text.without_tags(c, "_"))
+    assert got == [re.sub("<[^>]*>", "_", t) for t in texts] + [None]
+    long = spark.range(1).select(*[F.length(text.strip_html(F.expr(f"repeat('{unit}', {3_000_000 // len(unit)})"))).alias(str(i)) for i, unit in enumerate(["<", "<a ", "x<b>y"])]).first()
+    assert tuple(long) == (3_000_000, 2_999_999, 1_800_000)
+
+
+def test_links_and_lists_of_broken_pages(spark):
+    from tideline.sources import monthly
+
+    page = '<a href="x"><b>The List</b></A> <a title="a list" href="y">no</a> <a href="z">other</a> <a href="open">list <abbr>list</abbr>'
+    assert sorted(r["href"] for r in monthly.links(spark.createDataFrame([(page,), (None,), ("<a <a <a",)], "html string"), "LIST").collect()) == ["x", "y"]
+    many = spark.range(1).select(F.expr("concat(repeat('<a ', 300000), repeat('<table ', 100000), repeat('<tr ', 100000))").alias("html"))
+    assert monthly.links(many, "x").count() == 0 and monthly.patent_list(many, "t").count() == 0

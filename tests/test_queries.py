@@ -1,4 +1,4 @@
-"""Queries against their SQL over the smallest tables: those over texts of the sources' formats, and some that lists share."""
+"""Queries against their SQL over the smallest tables: those over texts of the sources' formats, runs of sources, and some that lists share."""
 
 import datetime as dt
 from pathlib import Path
@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tideline.plans import queries, source_queries
+from tideline.plans import ingest_queries, queries, source_queries
 
 SF = Path("/root/testdata/sf0.001")
-OWN = [n for n, f in queries.QUERIES.items() if f.__module__ == source_queries.__name__]
+OWN = [n for n, f in queries.QUERIES.items() if f.__module__ in (source_queries.__name__, ingest_queries.__name__)]
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,7 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", [*OWN, "horizon_counts", "portfolio_tiles", "controlling_item", "proximity_grouping", "patent_lookup", "term_enrichment", "term_responses", "autocomplete_trigram", "list_filtered"])
+@pytest.mark.parametrize("name", [*OWN, "horizon_counts", "portfolio_tiles", "controlling_item", "proximity_grouping", "growing_cases", "token_containment_join", "merged_cases", "entry_precedence", "reference_two_step", "conditional_narrowing", "nested_detail", "html_strip", "patent_lookup", "term_enrichment", "term_responses", "autocomplete_trigram", "list_filtered"])
 def test_rows_are_those_of_the_sql(spark, con, name):
     df = queries.QUERIES[name](spark, str(SF))
     cols = sorted(df.columns)
