@@ -109,5 +109,5 @@ def test_odd_rows_in_every_stage(spark, stage):
 
 
 def test_names():
-    assert [q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")] == list(QUERIES)
+    assert [q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")] == list(QUERIES)
     assert set(ORACLE_SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
