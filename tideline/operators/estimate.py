@@ -8,25 +8,38 @@ on the same key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["source", "product_id"]
 
 
+def patent_kinds() -> dict[str, Column]:
+    """What a patent may cover, by the columns that say so."""
+    return {"substance": F.col("covers_substance"), "product": F.col("covers_product"), "use": F.col("use_code") != ""}
+
+
 def patent_summary(patents: DataFrame) -> DataFrame:
-    """Per product: latest live expiry, latest live and verified one, count (delisted too), largest live gap."""
+    """Per product: latest live expiry, latest live and verified one, count (delisted too), largest live gap, and which kinds of live patents there are.
+
+    The kinds (``has_substance_patent`` and so on) are there if the patents' columns tell them; Spark leaves out what no filter reads.
+    """
     live = F.col("live")
+    told = {"covers_substance", "covers_product", "use_code"} <= set(patents.columns)
+    kinds = [F.bool_or(live & is_).alias(f"has_{kind}_patent") for kind, is_ in patent_kinds().items()] if told else []
     return patents.groupBy(*KEY).agg(
         F.max(F.when(live, F.col("expiry"))).alias("patent_date"),
         F.max(F.when(live & F.col("adjustment_days").isNotNull(), F.col("expiry"))).alias("verified_date"),
         F.count(F.lit(1)).alias("patent_count"),
         F.max(F.when(live, F.col("adjustment_days"))).alias("max_gap_days"),
+        *kinds,
     )
 
 
 def exclusivity_summary(exclusivities: DataFrame) -> DataFrame:
-    return exclusivities.groupBy(*KEY).agg(F.max("expiry").alias("exclusivity_date"), F.count(F.lit(1)).alias("exclusivity_count"))
+    """Per product: latest expiry, count, and the distinct codes, if there are codes."""
+    codes = [F.collect_set("code").alias("exclusivity_codes")] if "code" in exclusivities.columns else []
+    return exclusivities.groupBy(*KEY).agg(F.max("expiry").alias("exclusivity_date"), F.count(F.lit(1)).alias("exclusivity_count"), *codes)
 
 
 def estimates(products: DataFrame, patents: DataFrame, exclusivities: DataFrame) -> DataFrame:
