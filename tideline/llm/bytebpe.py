@@ -49,6 +49,8 @@ from tideline.session import bounded_batches, written
 
 #: Characters of texts of a block; items that are numbered, or put together, at once.
 BLOCK_BYTES, RUN = 14 << 20, 1 << 16
+#: Ids of a block that is decoded.
+IDS = 1 << 18
 #: Words of more bytes are merged by a heap.
 SHORT = 200
 #: Bytes of words that a task remembers at once.
@@ -216,7 +218,7 @@ def unpacked_ranks(data: bytes) -> np.ndarray:
 
 def packed_positions(numbers: np.ndarray, often: int) -> bytes:
     """Numbers of which those from ``often`` on occur once, in their order: these need not be told, only that one stands there."""
-    return struct.pack("<I", often) + packed_ranks(np.where(numbers >= often, 0, numbers + 1).astype(np.uint32))
+    return struct.pack("<I", often) + packed_ranks(np.where(numbers >= often, np.uint32(0), numbers + np.uint32(1)))
 
 
 def unpacked_positions(data: bytes) -> np.ndarray:
@@ -431,17 +433,23 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     schema = f"_id {kind}, decoded binary"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each batch, which is a block, with the number of its rows, and one for each of its distinct ids."""
-        for number, batch in enumerate(batches, TaskContext.get().partitionId() << 33):
-            lists = batch.column(1)
-            there = pc.is_valid(flat := lists.flatten()).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            ends = np.concatenate([[0], np.cumsum(there)])[ends]
-            keys, at = np.unique(flat.drop_null().to_numpy(), return_inverse=True)
-            shape = pa.schema([("_block", pa.int64()), ("_rows", pa.int64()), ("_key", pa.int64()), ("_number", pa.int64()), ("_ends", pa.binary()), ("_at", pa.binary()), ("_ids", pa.list_(batch.column(0).type))])
-            whole = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0))
-            yield _rows({"_block": [number], "_rows": [len(keys) + 1], "_ends": [packed(ends)], "_at": [packed(at)], "_ids": whole}, shape)
-            yield _rows({"_block": np.full(len(keys), number), "_rows": np.full(len(keys), len(keys) + 1), "_key": keys.astype(np.int64), "_number": np.arange(len(keys))}, shape)
+        """A row for each block, of IDS ids or one longer row, with the number of its rows, and one for each of its distinct ids."""
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            block = (np.cumsum(size) - 1) // IDS
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(batch)]
+            for lo, hi in itertools.pairwise(cuts):
+                lists = batch.column(1).slice(lo, hi - lo)
+                there = pc.is_valid(flat := lists.flatten()).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(there)])[np.cumsum(size[lo:hi])]
+                keys, at = np.unique(flat.drop_null().to_numpy(), return_inverse=True)
+                ids = batch.column(0).slice(lo, hi - lo)
+                shape = pa.schema([("_block", pa.int64()), ("_rows", pa.int64()), ("_key", pa.int64()), ("_number", pa.int64()), ("_ends", pa.binary()), ("_at", pa.binary()), ("_ids", pa.list_(ids.type))])
+                whole = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids)
+                yield _rows({"_block": [number], "_rows": [len(keys) + 1], "_ends": [packed(ends)], "_at": [packed(at)], "_ids": whole}, shape)
+                yield _rows({"_block": np.full(len(keys), number), "_rows": np.full(len(keys), len(keys) + 1), "_key": keys.astype(np.int64), "_number": np.arange(len(keys))}, shape)
+                number += 1
 
     rows = bounded_batches(source).mapInArrow(explode, f"_block long, _rows long, _key long, _number long, _ends binary, _at binary, _ids array<{kind}>")
 
