@@ -36,7 +36,7 @@ def _release(spark: SparkSession, d: str, n: int) -> dict[str, DataFrame]:
     days = b.table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("z"))
     both = days.withColumn("e", F.explode(F.when(F.col("l_suppkey") % 2 == 0, F.array(F.struct(F.lit("").alias("mark"), F.col("a").alias("day")), F.struct(F.lit("*PED").alias("mark"), F.col("z").alias("day")))).otherwise(F.array(F.struct(F.lit("").alias("mark"), F.col("a").alias("day"))))))
     patent = f"concat_ws('~', {_APPLICATION.format(k='l_partkey')}, concat(l_suppkey, e.mark), date_format(date_add(e.day, {n - 1}), 'MMM d, yyyy'), 'Y', '', '', 'x', '')"
-    patents = both.select((F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 2 + F.length("e.mark")).alias("line"), F.expr(patent).alias("raw"))
+    patents = both.select((F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 2 + F.length("e.mark") + 10).alias("line"), F.expr(patent).alias("raw"))
     orders = b.table(spark, d, "orders").filter(f"o_orderkey % 4 <> {n}")
     code = f"concat_ws('~', {_APPLICATION.format(k='o_custkey')}, o_orderpriority, date_format(trunc(o_orderdate, 'MM'), 'MMM d, yyyy'))"
     exclusivities = orders.select((F.col("o_orderkey") + 10).alias("line"), F.expr(code).alias("raw"))
