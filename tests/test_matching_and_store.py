@@ -269,3 +269,12 @@ def test_grown_cases(spark):
     placed, state = matching.grown_cases(state, spark.createDataFrame([(3, 1, 2, "a", "b", d(150)), (4, 1, 2, "a", "b", None), (5, 9, 2, "a", "b", None)], schema))
     assert {r["docket_id"]: r["case_no"] for r in placed.collect()} == {3: 0, 4: 0, 5: 0}
     assert sorted((r["plaintiff_id"], r["case_no"], r["first"], r["last"]) for r in state.filter("first IS NOT NULL").collect()) == [(1, 0, d(0), d(150)), (1, 1, d(300), d(300))]
+
+
+def test_products_of_both_parties_whether_challenged_or_not(spark):
+    dockets = spark.createDataFrame([(1, "A", "B"), (2, "A", "A"), (3, "C", "X")], "docket_id int, plaintiff string, defendant string")
+    found = spark.createDataFrame([("A", "a"), ("B", "b"), ("C", "c"), ("X", None)], "name string, company_id string")
+    products = spark.createDataFrame([("p1", "a"), ("p2", "b"), ("p3", "c"), ("p4", "a")], "product_id string, company_id string")
+    links = spark.createDataFrame([("p1",), ("p1",), ("p2",), (None,)], "product_id string")
+    got = sorted(map(tuple, matching.party_products(dockets, found, products, links).collect()))
+    assert got == [(1, "p1", True), (1, "p2", True), (1, "p4", False), (2, "p1", True), (2, "p4", False), (3, "p3", False)]

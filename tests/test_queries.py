@@ -40,3 +40,9 @@ def test_rows_are_those_of_the_sql(spark, con, name):
 
 def test_every_query_of_the_plans_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
+
+
+def test_docket_candidates_leave_no_product_of_a_party_out(spark, con):
+    sides = " UNION ".join(f"SELECT event_id, p_partkey FROM events JOIN part ON p_partkey % (SELECT count(*) FROM supplier) = {side}" for side in ("user_id % 150", "event_id % 90"))
+    got = sorted((r["docket_id"], r["product_id"]) for r in queries.QUERIES["docket_candidates"](spark, str(SF)).collect())
+    assert got == sorted(con.execute(sides).fetchall())
