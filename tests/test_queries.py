@@ -46,3 +46,15 @@ def test_docket_candidates_leave_no_product_of_a_party_out(spark, con):
     sides = " UNION ".join(f"SELECT event_id, p_partkey FROM events JOIN part ON p_partkey % (SELECT count(*) FROM supplier) = {side}" for side in ("user_id % 150", "event_id % 90"))
     got = sorted((r["docket_id"], r["product_id"]) for r in queries.QUERIES["docket_candidates"](spark, str(SF)).collect())
     assert got == sorted(con.execute(sides).fetchall())
+
+
+def test_strengths_of_two_figures_narrow_the_products_of_a_brand(spark, tmp_path):
+    t = duckdb.connect()
+    t.execute("CREATE TABLE part AS SELECT k::BIGINT AS p_partkey, 'x' AS p_name, s::INT AS p_size FROM (VALUES (2, 15), (202, 5), (402, 15), (1, 17), (201, 7), (401, 17), (3, 11), (203, 1)) v(k, s)")
+    t.execute("CREATE TABLE customer AS SELECT p_partkey AS c_custkey FROM part WHERE p_partkey NOT IN (201, 402)")
+    for name in ("part", "customer"):
+        t.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = sorted((r["case_id"], r["product_id"]) for r in queries.QUERIES["named_products"](spark, str(tmp_path)).collect() if r["case_id"] != 3)
+    # 2 and 202 state their own strength, 1 and 401 another product's, and 203 none
+    assert got == [(1, 201), (2, 2), (2, 402), (202, 202), (203, 3), (203, 203), (401, 201)]
+    assert sorted(t.execute(f"SELECT case_id, product_id FROM ({queries.ORACLE_SQL['named_products']}) WHERE case_id <> 3").fetchall()) == got
