@@ -58,3 +58,30 @@ def test_strengths_of_two_figures_narrow_the_products_of_a_brand(spark, tmp_path
     # 2 and 202 state their own strength, 1 and 401 another product's, and 203 none
     assert got == [(1, 201), (2, 2), (2, 402), (202, 202), (203, 3), (203, 203), (401, 201)]
     assert sorted(t.execute(f"SELECT case_id, product_id FROM ({queries.ORACLE_SQL['named_products']}) WHERE case_id <> 3").fetchall()) == got
+
+
+def same_as_sql(spark, folder, name, **tables):
+    """The query's rows over tables of one's own, after they were found to be those of its SQL."""
+    t = duckdb.connect()
+    for table, sql in tables.items():
+        t.execute(f"CREATE TABLE {table} AS {sql}")
+        t.execute(f"COPY {table} TO '{folder}/{table}.parquet' (FORMAT parquet)")
+    df = queries.QUERIES[name](spark, str(folder))
+    got = sorted((tuple(plain(v) for v in r) for r in df.collect()), key=str)
+    assert got == sorted((tuple(plain(v) for v in r) for r in t.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()), key=str)
+    return got
+
+
+LINES = "SELECT k::BIGINT AS l_orderkey, 3::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 1::INT AS l_linenumber, 1.0::DOUBLE AS l_quantity, price::DOUBLE AS l_extendedprice, 'N' AS l_returnflag, 'O' AS l_linestatus, day::TIMESTAMP AS l_shipdate FROM (VALUES {}) v(k, price, day)"
+
+
+def test_first_lines_of_patents_are_told_apart_by_a_price_alone(spark, tmp_path):
+    values = ", ".join(f"({k}, {price}, '{day}')" for k in (149_999, 900_000) for price, day in ((100, "2001-05-06"), (30_000, "2001-04-05")))
+    got = same_as_sql(spark, tmp_path, "tilde_patents", lineitem=LINES.format(values))
+    assert len(got) == 2
+
+
+def test_orders_of_seven_figures_keep_their_patents_apart(spark, tmp_path):
+    values = ", ".join(f"({k}, 100, '2001-05-0{k % 10}')" for k in (1_234_567, 1_234_568, 54_000_009))
+    got = same_as_sql(spark, tmp_path, "tilde_patents", lineitem=LINES.format(values))
+    assert [r[0] for r in got] == ["NDA123456", "NDA123456", "NDA540000"]
