@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.sources import layout, monthly, tilde
 
@@ -149,3 +150,16 @@ def test_terms(spark):
     got = {r["patent_number"]: (r["status"], r["filing"], r["days"]) for r in responses.terms(spark.createDataFrame(said, "patent_number string, code int, body string")).collect()}
     day, none = dt.date(2001, 11, 1), (None, None)
     assert got == {"a": ("ok", day, 0), "b": ("ok", day, 7), "c": ("not_found", *none), "d": ("not_found", *none), "e": ("not_found", *none), "f": ("ok", None, 7), "g": ("ok", None, 7), "h": ("not_found", *none), "i": ("not_found", *none), "j": ("error", *none), "k": ("denied", *none), "l": ("not_found", *none), "m": ("error", *none), "n": ("error", *none), "o": ("not_found", *none), "p": ("not_found", *none)}
+
+
+def test_lines_are_read_once_whatever_is_asked_of_them(spark):
+    head = F.when(F.col("id") == 0, "h~h")
+    made = lambda raw: spark.range(20).select((F.col("id") + 1).alias("line"), F.coalesce(head, F.expr(raw)).alias("raw"))
+    read = {
+        tilde.products: made("concat('I~TABLET;', id % 2, '~B~x~5MG~N~', id, '~001~x~Jan 5, 2001~x~x~x~A')"),
+        tilde.patents: made("concat('N~', id, '~001~', if(id % 3 = 0, '1*PED', '1'), '~', if(id % 2 = 0, 'soon', 'Jan 5, 2001'), '~Y~~~~')"),
+        tilde.exclusivities: made("concat('N~', id, '~001~NCE~', if(id % 2 = 0, 'soon', 'Jan 5, 2001'))"),
+    }
+    for reader, lines_ in read.items():
+        for part in reader(lines_):
+            assert part.count() > 0 and "Range (" not in part._jdf.queryExecution().toString()
