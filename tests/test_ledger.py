@@ -50,3 +50,11 @@ def test_ask_next(spark, table):
     assert not [k for s, k in got if s == "b"] and [k for s, k in got if s == "c"] == [8, 7, 6, 5, 4]
     free = [(r["source"], r["key"]) for r in ledger.ask_next(wanted, table(rows), ledger.TERMS, NOW, [F.col("rank")]).collect()]
     assert [k for s, k in free if s == "a"] == [8, 7, 6, 5, 4, 3, 2]
+
+
+def test_rolling_counts_at_the_edges_by_running_counts_alone(table):
+    # the same moment, just as long ago as the window, a microsecond more, and before 1970
+    at = [NOW, NOW, ago(60), ago(60), ago(60) - dt.timedelta(microseconds=1), ago(120), dt.datetime(1969, 12, 31, 23, 59, 30), dt.datetime(1970, 1, 1, 0, 0, 20)]
+    got = ledger.rolling(table([("a", k, t, "ok") for k, t in enumerate(at)]), 60, "n")
+    assert {r["key"]: r["n"] for r in got.collect()} == {0: 4, 1: 4, 2: 4, 3: 4, 4: 2, 5: 1, 6: 1, 7: 2}
+    assert "RangeFrame, -" not in got._jdf.queryExecution().toString()  # a frame that slides is gone through for every row

@@ -34,13 +34,18 @@ def rolling(attempts: DataFrame, seconds: int, column: str) -> DataFrame:
     """attempts with how many of the same source were made in the ``seconds`` up to each, itself and those of the same moment included.
 
     A source's attempts are dealt out by stretches of time as long as the window; each also goes to the next stretch, where it is only
-    looked back upon. So a source that holds most attempts is the work of many tasks.
+    looked back upon. So a source that holds most attempts is the work of many tasks. Moved on by the window, an attempt of the stretch
+    before counts for those that are not later than it; so both numbers are running counts, and no frame is gone through for each row.
     """
-    micros = F.unix_micros("at")
-    stretch = F.floor(micros / F.lit(seconds * SECOND)).cast("long")
-    both = attempts.withColumn("_here", F.explode(F.array(F.lit(True), F.lit(False)))).withColumns({"_m": micros, "_stretch": stretch + F.when(F.col("_here"), 0).otherwise(1)})
-    frame = Window.partitionBy("source", "_stretch").orderBy("_m").rangeBetween(-seconds * SECOND, 0)
-    return both.withColumn(column, F.count(F.lit(1)).over(frame)).filter("_here").drop("_here", "_m", "_stretch")
+    micros, window = F.unix_micros("at"), seconds * SECOND
+    both = attempts.withColumn("_here", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_m", micros + F.when(F.col("_here"), 0).otherwise(window))
+    stretch = both.withColumn("_stretch", F.floor(F.col("_m") / F.lit(window)).cast("long"))
+    of = Window.partitionBy("source", "_stretch")
+    before = of.orderBy("_m")
+    back = F.count_if(~F.col("_here"))
+    so_far = F.count_if(F.col("_here")).over(before.rangeBetween(Window.unboundedPreceding, 0))
+    gone = back.over(before.rangeBetween(Window.unboundedPreceding, -1))
+    return stretch.withColumn(column, so_far + back.over(of) - gone).filter("_here").drop("_here", "_m", "_stretch")
 
 
 def standing(attempts: DataFrame, limits: Limits) -> DataFrame:
