@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,3 +279,20 @@ def test_products_of_both_parties_whether_challenged_or_not(spark):
     links = spark.createDataFrame([("p1",), ("p1",), ("p2",), (None,)], "product_id string")
     got = sorted(map(tuple, matching.party_products(dockets, found, products, links).collect()))
     assert got == [(1, "p1", True), (1, "p2", True), (1, "p4", False), (2, "p1", True), (2, "p4", False), (3, "p3", False)]
+
+
+def test_challenge_links_are_judged_once_for_two_forms(spark):
+    forms = [None, "", "gel", "gels, oral", "tablet", "promos"]
+    rng = random.Random(2)
+    asked = [(k, rng.choice(["1", "2", "3", "4", None]), rng.choice(forms)) for k in range(60)]
+    owned = [(k, rng.choice(["1", "2", None]), rng.choice(forms)) for k in range(25)] + [(k, "3", "gel") for k in range(25, 28)]
+    got = matching.challenge_links(spark.createDataFrame(asked, "challenge_id int, application_number string, dosage_form string"), spark.createDataFrame(owned, "product_id int, application_number string, dosage_form string"))
+    words = lambda t: {w.removesuffix("s") for w in (t or "").replace(",", " ").split()}
+    want = set()
+    for c, number, form in asked:
+        mine = [(p, own) for p, n, own in owned if n is not None and n == number]
+        fits = [p for p, own in mine if words(form) & words(own)]
+        several = len({own for _, own in mine if own is not None}) > 1
+        want |= {(c, p) for p in (fits if several and fits else [p for p, _ in mine])}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "windowspecdefinition(challenge_id" not in got._jdf.queryExecution().toString()  # no pair is sorted to be judged
